@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from plumbline.llm.audio import op10_audio_features
+from plumbline.llm.tokens import op5_token_records
 
 QUERIES = {
+    "op5_token_records": op5_token_records,
     "op10_audio_features": op10_audio_features,
 }
 
