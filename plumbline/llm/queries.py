@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from plumbline.llm.audio import op10_audio_features
+from plumbline.llm.mixing import mixing_sql, op4_mix_sources
 from plumbline.llm.tokens import op5_token_records
 
 QUERIES = {
+    "op4_mix_sources": op4_mix_sources,
     "op5_token_records": op5_token_records,
     "op10_audio_features": op10_audio_features,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_mix_sources": mixing_sql(),
+}
