@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 from plumbline.llm.audio import op10_audio_features
+from plumbline.llm.decontam import DECONTAMINATE_SQL, op9_decontaminate
 from plumbline.llm.mixing import mixing_sql, op4_mix_sources
 from plumbline.llm.tokens import op5_token_records
 
 QUERIES = {
+    "op9_decontaminate": op9_decontaminate,
     "op4_mix_sources": op4_mix_sources,
     "op5_token_records": op5_token_records,
     "op10_audio_features": op10_audio_features,
 }
 
 ORACLES: dict[str, str] = {
+    "op9_decontaminate": DECONTAMINATE_SQL,
     "op4_mix_sources": mixing_sql(),
 }
