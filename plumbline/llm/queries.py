@@ -5,9 +5,11 @@ from __future__ import annotations
 from plumbline.llm.audio import op10_audio_features
 from plumbline.llm.decontam import DECONTAMINATE_SQL, op9_decontaminate
 from plumbline.llm.mixing import mixing_sql, op4_mix_sources
+from plumbline.llm.quality import op3_quality
 from plumbline.llm.tokens import op5_token_records
 
 QUERIES = {
+    "op3_quality": op3_quality,
     "op9_decontaminate": op9_decontaminate,
     "op4_mix_sources": op4_mix_sources,
     "op5_token_records": op5_token_records,
