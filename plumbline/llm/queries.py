@@ -6,10 +6,12 @@ from plumbline.llm.audio import op10_audio_features
 from plumbline.llm.decontam import DECONTAMINATE_SQL, op9_decontaminate
 from plumbline.llm.html import op8_main_text
 from plumbline.llm.mixing import mixing_sql, op4_mix_sources
+from plumbline.llm.pii import op6_personal_data
 from plumbline.llm.quality import op3_quality
 from plumbline.llm.tokens import op5_token_records
 
 QUERIES = {
+    "op6_personal_data": op6_personal_data,
     "op8_main_text": op8_main_text,
     "op3_quality": op3_quality,
     "op9_decontaminate": op9_decontaminate,
