@@ -47,6 +47,8 @@ class Config:
     rows: int = 3
     samples: int = 128
     sketch_longs: int = 8
+    #: Shingles that a text must have to be compared at all.
+    least: int = 1
 
     def most_bits(self) -> int:
         """The population count of an XOR over which a pair of the threshold similarity is ruled out."""
@@ -137,7 +139,7 @@ def _signatures(items: DataFrame, config: Config) -> DataFrame:
                     sets.append(shingles(batch.column(2)[at].as_py(), config.words, known))
                     size += len(sets[-1])
                     at += 1
-                some = [k for k, s in enumerate(sets) if len(s)]
+                some = [k for k, s in enumerate(sets) if len(s) >= config.least]
                 keys, sketches = signed([sets[k] for k in some], config)
                 wide = lambda x, c: pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, c, dtype=np.int32)), pa.array(x.ravel())).cast(longs)
                 rows = pa.array(np.array(some, np.int64) + begin)
@@ -227,10 +229,10 @@ def _between_components(nodes: DataFrame, buckets: DataFrame, labels: DataFrame,
 
 
 def near_duplicates(items: DataFrame, config: Config, name: str) -> DataFrame:
-    """items(k1, k2, text binary) -> one row per distinct text that isn't empty: k1, k2, n (size of its set), component
+    """items(k1, k2, text binary) -> one row per distinct text of ``least`` shingles or more: k1, k2, n (size of its set), copies (rows), component
     (a number that all texts linked with it share). items is read once for the signatures and once for each verification.
     """
-    once = _signatures(items, config).groupBy("k1", "k2").agg(*(F.first(c).alias(c) for c in ("n", "bands", "sketch")))
+    once = _signatures(items, config).groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies"), *(F.first(c).alias(c) for c in ("n", "bands", "sketch")))
     nodes = written(once.withColumn("node", F.monotonically_increasing_id()), f"{name}-nodes")
     buckets = nodes.select("node", F.explode("bands").alias("key"))
     centres = buckets.groupBy("key").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("size")).filter("size > 1")
@@ -245,7 +247,7 @@ def near_duplicates(items: DataFrame, config: Config, name: str) -> DataFrame:
     if not more.isEmpty():
         second = _verified(more, nodes, items, config, f"{name}-links")
         labels = connected_components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(second), f"{name}-components")
-    return nodes.select("k1", "k2", "n", "node").join(labels, "node", "left").select("k1", "k2", "n", F.coalesce("component", "node").alias("component"))
+    return nodes.select("k1", "k2", "n", "copies", "node").join(labels, "node", "left").select("k1", "k2", "n", "copies", F.coalesce("component", "node").alias("component"))
 
 
 # documents

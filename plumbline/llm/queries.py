@@ -7,11 +7,13 @@ from plumbline.llm.decontam import DECONTAMINATE_SQL, op9_decontaminate
 from plumbline.llm.html import op8_main_text
 from plumbline.llm.mixing import mixing_sql, op4_mix_sources
 from plumbline.llm.neardup import op7_near_duplicates
+from plumbline.llm.paragraphs import op1_paragraphs
 from plumbline.llm.pii import op6_personal_data
 from plumbline.llm.quality import op3_quality
 from plumbline.llm.tokens import op5_token_records
 
 QUERIES = {
+    "op1_paragraphs": op1_paragraphs,
     "op7_near_duplicates": op7_near_duplicates,
     "op6_personal_data": op6_personal_data,
     "op8_main_text": op8_main_text,
