@@ -36,11 +36,11 @@ def source_rates(docs: DataFrame, exponent: float, budget_factor: float, weights
     else:
         pairs = [x for k, v in weights.items() for x in (F.lit(k), F.lit(float(v)))]
         weight = F.coalesce(F.element_at(F.create_map(*pairs), F.coalesce("_source", F.lit(""))), F.lit(0.0)) if pairs else F.lit(0.0)
-    by = by.withColumn("_weight", weight)
+    by = by.withColumn("_weight", weight).cache()
     # rounded, so that the order of the additions doesn't matter
-    total = by.agg(F.sum(F.round("_weight", 6).cast("decimal(38,6)")).cast("double").alias("_w"), F.sum("_chars").cast("double").alias("_c"))
-    rate = F.when(F.col("_chars") > 0, F.col("_weight") / F.col("_w") * (F.col("_c") * budget_factor) / F.col("_chars")).otherwise(F.lit(1.0))
-    rates = by.crossJoin(F.broadcast(total)).select("_source", F.coalesce(rate, F.lit(0.0)).alias("_rate"))  # total is one row
+    total = by.agg(F.sum(F.round("_weight", 6).cast("decimal(38,6)")).cast("double").alias("w"), F.sum("_chars").cast("double").alias("c")).first()
+    rate = F.when(F.col("_chars") > 0, F.col("_weight") / F.lit(total.w) * (F.lit(total.c) * budget_factor) / F.col("_chars")).otherwise(F.lit(1.0))
+    rates = by.select("_source", F.coalesce(rate, F.lit(0.0)).alias("_rate"))
     rates = rates.withColumn("_parts", F.greatest(F.lit(1), F.ceil(F.col("_rate") / PART).cast("int")))
     return rates.withColumn("_cdf", poisson_cdf(F.col("_rate") / F.col("_parts")))
 
@@ -63,8 +63,8 @@ def uniform(seed: int, part: Column, id_col: Column, text_hash: Column) -> Colum
 
 
 def mix_sources(docs: DataFrame, *, exponent: float = 0.5, budget_factor: float = 1.0, weights: dict[str, float] | None = None, seed: int = 17, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """The columns of docs, ``copy`` (0, 1, ...) and ``order_key``; rows come in the order of that hash, over all
-    partitions: a global shuffle that a retry repeats exactly."""
+    """The columns of docs, ``copy`` (0, 1, ...) and ``order_key``. Rows are dealt to partitions by that hash and sorted
+    by it in each: a global shuffle that a retry repeats exactly, without the second pass that a sort's ranges need."""
     rates = source_rates(docs, exponent, budget_factor, weights, source_col, text_col).cache()
     if rates.count() <= BROADCAST_SOURCES:
         rates = F.broadcast(rates)
@@ -80,7 +80,8 @@ def mix_sources(docs: DataFrame, *, exponent: float = 0.5, budget_factor: float
     out = out.withColumn("_n", n).filter("_n > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
     key = F.md5(F.concat_ws(":", F.lit(f"order {seed}"), F.col("copy").cast("string"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.col("_hash")))
     keep = [c for c in docs.columns if c not in clash]
-    return out.select(*keep, "copy", key.alias("order_key")).orderBy("order_key")
+    shuffled = out.select(*keep, "copy", key.alias("order_key"))
+    return shuffled.repartition("order_key").sortWithinPartitions("order_key")
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
