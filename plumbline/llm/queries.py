@@ -10,9 +10,11 @@ from plumbline.llm.neardup import op7_near_duplicates
 from plumbline.llm.paragraphs import op1_paragraphs
 from plumbline.llm.pii import op6_personal_data
 from plumbline.llm.quality import op3_quality
+from plumbline.llm.substrings import op2_repeated_substrings
 from plumbline.llm.tokens import op5_token_records
 
 QUERIES = {
+    "op2_repeated_substrings": op2_repeated_substrings,
     "op1_paragraphs": op1_paragraphs,
     "op7_near_duplicates": op7_near_duplicates,
     "op6_personal_data": op6_personal_data,
