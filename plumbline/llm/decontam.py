@@ -193,6 +193,25 @@ def _matched(raw: DataFrame, block: Block, all_rows: bool) -> DataFrame:
     return raw.select("doc_id", F.xxhash64("raw").alias("key"), "raw").mapInArrow(run, RESULT)
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, block_words: int = 2_000_000, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, that hold no window of any item."""
+    raw = docs.select(F.lit(None).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("raw"))
+    rows = benchmark.select(F.col(item_col).cast("string"), F.col(item_text_col).cast("binary")).toLocalIterator()
+    for items in item_blocks(rows, block_words):
+        shared = docs.sparkSession.sparkContext.broadcast(Block(items, window, _counted(raw, {w for _, ws in items for w in ws})))  # at most block_words words
+        docs = docs.filter(_clean(shared)(F.col(text_col).cast("binary")))
+    return docs
+
+
+def _clean(shared):
+    """A filter: no window of the shared block occurs."""
+
+    def clean(texts: pa.Array) -> pa.Array:
+        return pa.array([shared.value.hits(words_of(t.as_py()))[0] is None for t in texts], pa.bool_())
+
+    return F.arrow_udf(clean, "boolean")
+
+
 def _combined(parts: list[DataFrame]) -> DataFrame:
     """Adds up the blocks' results by document: spans are merged, items united."""
     rows = parts[0].withColumn("first", F.lit(True))

@@ -268,6 +268,22 @@ def near_duplicate_documents(docs: DataFrame, config: Config = Config(), *, id_c
     return out.select("doc_id", F.coalesce("n", F.lit(0)).alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
+def drop_near_duplicates(docs: DataFrame, config: Config = Config(), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, without near-duplicates: one row of each component stays, that of the smallest id
+    (the smallest hash of the text if several rows have it; null ids come last). Texts without words all stay."""
+    keys = ["_k1", "_k2"]
+    rows = docs.withColumns(dict(zip(keys, text_key(text_col), strict=True)))
+    items = rows.select(F.col("_k1").alias("k1"), F.col("_k2").alias("k2"), F.col(text_col).cast("binary").alias("text"))
+    found = near_duplicates(items, config, "neardup").select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("component").alias("_component"))
+    order = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).cast("long").alias("id"), "_k1", "_k2")
+    first = rows.select(id_col, *keys).join(found, keys).groupBy("_component").agg(F.min(order).alias("first")).select("first.id", F.col("first._k1").alias("_k1"), F.col("first._k2").alias("_k2"), F.lit(True).alias("_first"))
+    # a text may be linked and have several rows: those of the first id stay; of equal rows, one
+    linked = rows.join(found.select(*keys, F.lit(True).alias("_linked")), keys, "left").join(first, [*keys], "left")
+    here = F.col("_first") & F.col(id_col).cast("long").eqNullSafe(F.col("id"))
+    alone = linked.filter(F.col("_linked").isNull()).select(*docs.columns)
+    return linked.filter(F.col("_linked") & here).dropDuplicates(keys).select(*docs.columns).unionByName(alone)
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plumbline.llm.common import small_batches, table
 
