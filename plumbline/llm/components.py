@@ -1,38 +1,5 @@
-"""Connected components of an edge table by alternating large and small stars, each a grouped minimum and a join."""
+"""Connected components, from the library's graph operators."""
 
-from __future__ import annotations
+from plumbline.operators.graph import connected_components
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from plumbline.llm.common import written
-
-
-def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """edges(a long, b long) -> (node, component): the smallest node that each node of an edge reaches.
-
-    A round costs two shuffles of the edges and is written to the shared folder, so that no lineage grows and a lost
-    executor costs one round. Grouped minima are combined before the shuffle; no neighbourhood is gathered in a task.
-    Rounds are logarithmic in the length of the longest chain. Nulls and loops are ignored.
-    """
-    now = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
-    before = _mark(now)
-    while before[0]:
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        # large star: larger neighbours point to the smallest one
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        # small star: a node and its smaller neighbours point to the smallest one
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e"))
-        now = written(small.select("e.a", "e.b").filter("a <> b").distinct(), name)
-        if (after := _mark(now)) == before:
-            break
-        before = after
-    roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
-
-
-def _mark(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("h")).first()
-    return row.n, row.h
+__all__ = ["connected_components"]

@@ -7,10 +7,9 @@
    sets differ, and its population count estimates a high similarity precisely.
 3. In each bucket of a band every node is paired with the smallest one; pairs whose sketches rule out the threshold
    (by more than ``SURE`` deviations) go; the others are verified on the full sets, and links give components.
-4. Buckets that hold more than one component after that are closed exactly: the sketches of nodes outside of the smallest
-   node's component meet those of all nodes of the bucket, block by block, and pairs that pass between different
-   components are verified too. No pair that could join two components is left out, and copies of one thing never
-   produce their square.
+4. Buckets that hold more than one component after that are closed exactly: nodes outside of the smallest node's
+   component meet all nodes of the bucket, block by block, and what could join two components is verified on the spot.
+   No such pair is left out, and tasks emit only links that join components: never the square of a group.
 
 A pair of the threshold similarity s shares a bucket with probability 1 - (1 - s^rows)^bands: for 0.75, 3 rows and 28
 bands all but 2e-7. Verification streams through rows sorted by centre: it holds one set and one text at a time; large
@@ -34,8 +33,8 @@ from plumbline.llm.common import written
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
 CACHED_WORDS = 400_000
-#: Members of a centre, and nodes of a block, that one task key gets.
-PER_KEY = 512
+#: Members of a centre that one task key gets, and shingles of a block.
+PER_KEY, BLOCK_SHINGLES = 128, 500_000
 SURE = 4.5
 
 
@@ -52,11 +51,11 @@ class Config:
 
     def most_bits(self) -> int:
         """The population count of an XOR over which a pair of the threshold similarity is ruled out."""
-        n = 64 * self.sketch_longs
-        s = self.percent / 100
-        differ = self.samples * (1 - s) + SURE * (self.samples * s * (1 - s)) ** 0.5
-        mean = n / 2 * (1 - (1 - 2 / n) ** (2 * min(differ, self.samples)))
-        return int(mean + SURE * (n / 4) ** 0.5 * min(1.0, 4 * differ / n)) + 1
+        n, k, s = 64 * self.sketch_longs, self.samples, self.percent / 100
+        differ = k * (1 - s)
+        left = (1 - 2 / n) ** (2 * differ)  # a bit's bias after the toggles of both sides
+        spread = (2 * left * (k * s * (1 - s)) ** 0.5) ** 2 + n / 4 * (1 - left**2) * (1 - left)
+        return int(n / 2 * (1 - left) + SURE * spread**0.5) + 1
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -185,20 +184,43 @@ def _verified(pairs: DataFrame, nodes: DataFrame, items: DataFrame, config: Conf
     return written(dealt.mapInArrow(run, "a long, b long").distinct(), name)
 
 
-def _between_components(nodes: DataFrame, buckets: DataFrame, labels: DataFrame, config: Config) -> DataFrame:
-    """Pairs (a < b) of one bucket and different components whose sketches pass, without the pairs of the smallest node."""
+def _sets(nodes: DataFrame, items: DataFrame, config: Config) -> DataFrame:
+    """node and its sorted shingle hashes (binary) for some nodes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
+        for batch in batches:
+            sets = [shingles(t.as_py(), config.words, known).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "set"])
+
+    texts = items.join(nodes.select("node", "k1", "k2"), ["k1", "k2"]).select("node", "text")
+    return texts.mapInArrow(run, "node long, set binary").dropDuplicates(["node"])
+
+
+def _between_components(nodes: DataFrame, buckets: DataFrame, labels: DataFrame, items: DataFrame, config: Config, name: str) -> DataFrame:
+    """Verified links (a, b) between components that share a bucket.
+
+    A node outside of the component of the bucket's smallest node (a stray) meets all nodes of the bucket, block by block;
+    sketches and sizes come first, then the sets. A pair is looked at in the first band that it shares only, and not if
+    links of its block have already joined its components, so a task emits fewer links than it holds nodes.
+    """
     own = buckets.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_ = own.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.min_by("component", "node").alias("core"), F.min("node").alias("centre")).filter("n > 2 and lo <> hi")
+    open_ = own.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.min_by("component", "node").alias("core"), F.min("node").alias("centre")).filter("size > 2 and lo <> hi")
     own = own.join(open_.select("key", "core", "centre"), "key").withColumn("stray", F.col("component") != F.col("core"))
-    counts = own.groupBy("key").agg(F.ceil(F.count_if("stray") / PER_KEY).cast("int").alias("strays"), F.ceil(F.count_if(~F.col("stray")) / PER_KEY).cast("int").alias("cores"))
-    own = own.join(counts, "key").join(nodes.select("node", "sketch"), "node")
+    own = written(own.join(nodes.select("node", "n"), "node"), f"{name}-open")
+    sets = written(_sets(nodes.join(own.select("node").distinct(), "node", "left_semi"), items, config), f"{name}-sets")
+    blocks = lambda which: F.ceil(F.coalesce(F.sum(F.when(which, F.col("n"))), F.lit(0)) / BLOCK_SHINGLES).cast("int")
+    counts = own.groupBy("key").agg(blocks(F.col("stray")).alias("strays"), blocks(~F.col("stray")).alias("cores"))
+    own = own.join(counts, "key")
     block = F.pmod(F.xxhash64("node"), F.when(F.col("stray"), F.col("strays")).otherwise(F.col("cores"))).cast("int")
     own = own.withColumn("block", block)
     cell = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("i"), j.cast("int").alias("j"))
     upto = lambda n, f: F.transform(F.sequence(F.lit(0), n - 1), f)
     here = F.col("block")
-    cells = F.when(F.col("stray"), F.concat(upto(F.col("strays"), lambda k: cell("s", F.least(here, k), F.greatest(here, k))), upto(F.col("cores"), lambda k: cell("c", here, k)))).otherwise(upto(F.col("strays"), lambda k: cell("c", k, here)))
-    rows = own.withColumn("cell", F.explode(cells)).select("key", "cell.kind", "cell.i", "cell.j", "node", "component", "centre", "stray", "block", "sketch")
+    with_cores = F.when(F.col("cores") > 0, upto(F.greatest(F.col("cores"), F.lit(1)), lambda k: cell("c", here, k))).otherwise(F.array().cast("array<struct<kind:string,i:int,j:int>>"))
+    cells = F.when(F.col("stray"), F.concat(upto(F.col("strays"), lambda k: cell("s", F.least(here, k), F.greatest(here, k))), with_cores)).otherwise(upto(F.col("strays"), lambda k: cell("c", k, here)))
+    rows = own.withColumn("cell", F.explode(cells)).join(nodes.select("node", "sketch", "bands"), "node").join(sets, "node")
+    rows = rows.select("key", "cell.kind", "cell.i", "cell.j", "node", "component", "centre", "stray", "block", "sketch", "bands", "set")
     most = config.most_bits()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,26 +228,59 @@ def _between_components(nodes: DataFrame, buckets: DataFrame, labels: DataFrame,
             for batch in batches:
                 yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
 
-        for (_, kind, i, j), group in groupby(tuples(), key=lambda r: r[:4]):
+        for (key, kind, i, j), group in groupby(tuples(), key=lambda r: r[:4]):
             rows = list(group)  # at most two blocks
             left = [r for r in rows if (r[7] if kind == "c" else r[8] == i)]
             right = [r for r in rows if (not r[7] if kind == "c" else r[8] == j)]
-            if not left or not right:
-                continue
-            sketch = np.array([r[9] for r in right], np.int64).view(np.uint64)
-            parts, ids = np.array([r[5] for r in right]), np.array([r[4] for r in right])
-            found: set[tuple[int, int]] = set()
-            for r in left:
-                if r[4] == r[6]:
-                    continue
-                bits = np.bitwise_count(sketch ^ np.array(r[9], np.int64).view(np.uint64)).sum(axis=1)
-                for other in ids[(bits <= most) & (parts != r[5]) & (ids != r[6])].tolist():
-                    found.add((min(other, r[4]), max(other, r[4])))
+            found = _links(left, right, key, most, config.percent) if left and right else []
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], pa.int64()) for c in (0, 1)], names=["a", "b"])
 
     dealt = rows.repartition("key", "kind", "i", "j").sortWithinPartitions("key", "kind", "i", "j", "node")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return written(dealt.mapInArrow(run, "a long, b long").distinct(), f"{name}-between")
+
+
+def _links(left: list[tuple], right: list[tuple], key: int, most: int, percent: int) -> list[tuple[int, int]]:
+    """Links between rows of two blocks (or of one with itself) that join components, as rows of ``_between_components``."""
+    sketch = np.array([r[9] for r in right], np.int64).view(np.uint64)
+    bands = np.array([r[10] for r in right], np.int64)
+    ids, centre = np.array([r[4] for r in right]), left[0][6]
+    sets = [np.frombuffer(r[11], np.uint64) for r in right]
+    sizes = np.array([len(x) for x in sets])
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            x = up
+        return x
+
+    numbers: dict[int, frozenset] = {}
+    found: list[tuple[int, int]] = []
+    for r in left:
+        if r[4] == centre:
+            continue
+        own = np.frombuffer(r[11], np.uint64)
+        bits = np.bitwise_count(sketch ^ np.array(r[9], np.int64).view(np.uint64)).sum(axis=1)
+        near = np.flatnonzero((bits <= most) & (ids != centre) & (ids != r[4]) & (100 * np.minimum(sizes, len(own)) >= percent * np.maximum(sizes, len(own))))
+        if not len(near):
+            continue
+        mine = np.array(r[10], np.int64)
+        same = bands[near] == mine
+        near = near[bands[near, same.argmax(axis=1)] == key]
+        members = None
+        for k in near.tolist():
+            x, y = root(r[5]), root(right[k][5])
+            if x == y:
+                continue
+            if members is None:
+                members = numbers.setdefault(r[4], frozenset(own.tolist()))
+            if right[k][4] not in numbers:
+                numbers[right[k][4]] = frozenset(sets[k].tolist())
+            both = len(members & numbers[right[k][4]])
+            if 100 * both >= percent * (len(members) + sizes[k] - both):
+                found.append((min(r[4], right[k][4]), max(r[4], right[k][4])))
+                parent[max(x, y)] = min(x, y)
+    return found
 
 
 def near_duplicates(items: DataFrame, config: Config, name: str) -> DataFrame:
@@ -243,10 +298,9 @@ def near_duplicates(items: DataFrame, config: Config, name: str) -> DataFrame:
     passed = written(pairs.filter(_bits("s", "t") <= config.most_bits()).select("a", "b"), f"{name}-pairs")
     links = _verified(passed, nodes, items, config, f"{name}-links")
     labels = connected_components(links, f"{name}-components")
-    more = written(_between_components(nodes, shared.select("key", "node"), labels, config), f"{name}-between")
+    more = _between_components(nodes, shared.select("key", "node"), labels, items, config, name)
     if not more.isEmpty():
-        second = _verified(more, nodes, items, config, f"{name}-links")
-        labels = connected_components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(second), f"{name}-components")
+        labels = connected_components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), f"{name}-components")
     return nodes.select("k1", "k2", "n", "copies", "node").join(labels, "node", "left").select("k1", "k2", "n", "copies", F.coalesce("component", "node").alias("component"))
 
 
