@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.operators.graph import connected_components, numbered
@@ -20,22 +20,25 @@ def word_tokens(files: DataFrame) -> DataFrame:
 
 
 def windows(tokens: DataFrame, n: int) -> DataFrame:
-    """file, pos, start_line, end_line, key (128 bits of the n tokens from pos on): windows of whole files, in order.
+    """file, pos, start_line, end_line, k1, k2 (128 bits of the n tokens from pos on).
 
-    Tokens of a file are gathered once (a file is bounded) and hashed as slices; nothing is joined.
+    Tokens of a file are gathered once (a file is bounded) and hashed as slices; nothing is joined, and the file's array
+    is not copied to each of its windows.
     """
     rows = tokens.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("pos", "text", "line"))).alias("ts"))
-    at = F.sequence(F.lit(1), F.size("ts") - n + 1)
-    rows = rows.filter(F.size("ts") >= n).select("file", "ts", F.explode(at).alias("k"))
-    part = F.slice("ts", F.col("k"), F.lit(n))
-    texts = F.array_join(F.transform(part, lambda t: t["text"]), "\u0001")
-    return rows.select("file", (F.col("k") - 1).alias("pos"), F.element_at("ts", F.col("k"))["line"].alias("start_line"), F.element_at("ts", F.col("k") + n - 1)["line"].alias("end_line"), F.md5(texts).alias("key"))
+    rows = rows.filter(F.size("ts") >= n).select("file", F.transform("ts", lambda t: t["text"]).alias("ws"), F.transform("ts", lambda t: t["line"]).alias("ls"))
+
+    def window(k: Column) -> Column:
+        part = F.slice("ws", k, F.lit(n))
+        return F.struct((k - 1).alias("pos"), F.element_at("ls", k).alias("start_line"), F.element_at("ls", k + n - 1).alias("end_line"), F.xxhash64(part).alias("k1"), F.xxhash64(F.lit(n), part).alias("k2"))
+
+    return rows.select("file", F.explode(F.transform(F.sequence(F.lit(1), F.size("ws") - n + 1), window)).alias("w")).select("file", "w.*")
 
 
 def repeated_windows(found: DataFrame) -> DataFrame:
     """Windows whose tokens occur at two places or more; counted before the shuffle, joined back."""
-    several = found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return found.join(several, "key")
+    several = found.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return found.join(several, ["k1", "k2"])
 
 
 def duplicated_lines(repeated: DataFrame) -> DataFrame:
@@ -51,9 +54,9 @@ def clone_pairs(tokens: DataFrame, n: int = 40) -> DataFrame:
     of equal ones), both sides become covered, and the search goes on. Matches only join files that share a window, so
     the components of files that do are solved apart, each in its own order.
     """
-    shared = repeated_windows(windows(tokens, n)).select("key", "file")
-    first = shared.groupBy("key").agg(F.min("file").alias("src"))
-    edges, nodes = numbered(shared.join(first, "key").select("src", F.col("file").alias("dst")).distinct())
+    shared = repeated_windows(windows(tokens, n)).select("k1", "k2", "file").distinct()
+    first = shared.groupBy("k1", "k2").agg(F.min("file").alias("src"))
+    edges, nodes = numbered(shared.join(first, ["k1", "k2"]).select("src", F.col("file").alias("dst")).distinct())
     linked = connected_components(edges)
     alone = nodes.select("name", F.col("node").alias("node")).join(linked, "node", "left").select(F.col("name").alias("file"), F.coalesce("component", "node").alias("component"))
     own = tokens.join(alone, "file")
