@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.operators.graph import connected_components, numbered
@@ -19,20 +21,35 @@ def word_tokens(files: DataFrame) -> DataFrame:
     return words.select("file", "line", (F.row_number().over(w) - 1).alias("pos"), "text")
 
 
+#: Odd multipliers of the two rolling hashes.
+ROLL = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
+
+
 def windows(tokens: DataFrame, n: int) -> DataFrame:
     """file, pos, start_line, end_line, k1, k2 (128 bits of the n tokens from pos on).
 
-    Tokens of a file are gathered once (a file is bounded) and hashed as slices; nothing is joined, and the file's array
-    is not copied to each of its windows.
+    Tokens of a file are gathered once, as hashes (a file is bounded), and its windows hashed together; nothing is joined.
     """
-    rows = tokens.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("pos", "text", "line"))).alias("ts"))
-    rows = rows.filter(F.size("ts") >= n).select("file", F.transform("ts", lambda t: t["text"]).alias("ws"), F.transform("ts", lambda t: t["line"]).alias("ls"))
-
-    def window(k: Column) -> Column:
-        part = F.slice("ws", k, F.lit(n))
-        return F.struct((k - 1).alias("pos"), F.element_at("ls", k).alias("start_line"), F.element_at("ls", k + n - 1).alias("end_line"), F.xxhash64(part).alias("k1"), F.xxhash64(F.lit(n), part).alias("k2"))
-
-    return rows.select("file", F.explode(F.transform(F.sequence(F.lit(1), F.size("ws") - n + 1), window)).alias("w")).select("file", "w.*")
+    rows = tokens.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("pos", F.xxhash64("text").alias("h"), "line"))).alias("ts"))
+    rows = rows.filter(F.size("ts") >= n).select("file", F.transform("ts", lambda t: t["h"]).alias("hs"), F.transform("ts", lambda t: t["line"]).alias("ls"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(len(batch)):
+                h = batch.column(1)[k].values.to_numpy().view(np.uint64)
+                lines = batch.column(2)[k].values.to_numpy()
+                count = len(h) - n + 1
+                keys = []
+                for m in ROLL:
+                    total = np.zeros(count, np.uint64)
+                    for i in range(n):
+                        total = total * m + h[i : i + count]
+                    keys.append(pa.array((total ^ (total >> np.uint64(29))).view(np.int64)))
+                file = batch.column(0).take(pa.array(np.full(count, k)))
+                yield pa.RecordBatch.from_arrays([file, pa.array(np.arange(count, dtype=np.int32)), pa.array(lines[:count].astype(np.int32)), pa.array(lines[n - 1 :].astype(np.int32)), *keys], names=["file", "pos", "start_line", "end_line", "k1", "k2"])
+
+    kind = tokens.schema["file"].dataType.simpleString()
+    return rows.mapInArrow(run, f"file {kind}, pos int, start_line int, end_line int, k1 long, k2 long")
 
 
 def repeated_windows(found: DataFrame) -> DataFrame:
