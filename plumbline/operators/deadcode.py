@@ -33,7 +33,7 @@ def parse_dead(reports: DataFrame, text: str = "report") -> DataFrame:
     go = of("deadcode").select(F.explode(F.from_json("_t", GO_SCHEMA)).alias("p")).select(F.explode("p.Funcs").alias("f")).filter(~F.coalesce("f.Generated", F.lit(False)))
     go = go.select(F.col("f.Position.File").alias("file"), F.col("f.Position.Line").alias("line"), F.col("f.Name").alias("name"), F.lit("function").alias("kind"))
     knip = of("knip").select(F.explode(F.from_json("_t", KNIP_SCHEMA)["issues"]).alias("i"))
-    lists = [F.transform(F.coalesce(F.col(f"i.{k}"), F.array().cast(_S)), lambda s, kind=kind: F.struct(F.coalesce(s["line"], F.lit(0)).alias("line"), s["name"].alias("name"), F.lit(kind).alias("kind"))) for k, kind in KNIP_KINDS.items()]
+    lists = [_listed(F.col(f"i.{k}"), kind) for k, kind in KNIP_KINDS.items()]
     knip = knip.select(F.col("i.file").alias("file"), F.explode(F.concat(*lists)).alias("s")).select("file", "s.line", "s.name", "s.kind")
     lines = of("vulture").select(F.explode(F.split(F.btrim("_t"), "\n")).alias("l")).filter(F.btrim("l") != "")
     part = lambda k: F.regexp_extract("l", VULTURE_LINE, k)
@@ -48,6 +48,10 @@ def parse_dead(reports: DataFrame, text: str = "report") -> DataFrame:
     return go.unionByName(knip).unionByName(vulture).unionByName(p)
 
 
+def _listed(items: Column, kind: str) -> Column:
+    return F.transform(F.coalesce(items, F.array().cast(_S)), lambda s: F.struct(F.coalesce(s["line"], F.lit(0)).alias("line"), s["name"].alias("name"), F.lit(kind).alias("kind")))
+
+
 def _mapped(c: Column, names: dict[str, str]) -> Column:
     out = F.lit(None).cast("string")
     for k, v in names.items():
