@@ -156,7 +156,7 @@ def fit_rules(x: np.ndarray, y: np.ndarray, trees: int = 30, depth: int = 3, rat
     w = np.zeros(z.shape[1], np.float32)
     ahead, t, bias = w.copy(), 1.0, float(np.log(prior / (1 - prior)))
     for _ in range(steps):
-        e = 1 / (1 + np.exp(-(z @ ahead + bias))) - y
+        e = 1 / (1 + np.exp(-np.clip(z @ ahead + bias, -30, 30))) - y
         new = ahead - step * (z.T @ e.astype(np.float32)) / len(y)
         new = np.sign(new) * np.maximum(np.abs(new) - step * penalty, 0)
         bias -= 2.0 * float(e.mean())
