@@ -33,6 +33,8 @@ from plumbline.llm.common import written
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
 CACHED_WORDS = 400_000
+#: Bytes of text whose shingles are hashed together.
+CHUNK_BYTES = 300_000
 #: Members of a centre that one task key gets, and shingles of a block.
 PER_KEY, BLOCK_SHINGLES = 128, 500_000
 SURE = 4.5
@@ -76,47 +78,57 @@ class WordHashes(dict):
 
 def shingles(text: bytes | None, k: int, known: WordHashes) -> np.ndarray:
     """The set as sorted 64-bit hashes."""
-    words = (text or b"").lower().split()  # both for ASCII only
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-    n = max(1, len(words) - k + 1)
-    out = np.full(n, np.uint64(min(k, len(words))))
-    for i in range(min(k, len(words))):
-        out = out * ODD + h[i : i + n]
-    return np.unique(mixed(out))
-
-
-def signed(sets: list[np.ndarray], config: Config) -> tuple[np.ndarray, np.ndarray]:
+    return shingle_sets([text], k, known)[0]
+
+
+def shingle_sets(texts: list[bytes | None], k: int, known: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+    """The sets of up to 65,536 texts, one after the other as sorted 64-bit hashes, and their sizes."""
+    split = [(t or b"").lower().split() for t in texts]  # both for ASCII only
+    counts = np.array([len(w) for w in split], np.int64)
+    h = np.fromiter((known[w] for ws in split for w in ws), np.uint64, int(counts.sum()))
+    begins = np.cumsum(counts) - counts
+    width = np.minimum(counts, k)  # a text of fewer words is one shingle
+    many = np.where(counts > 0, counts - width + 1, 0)
+    owner = np.repeat(np.arange(len(texts)), many)
+    start = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many) + begins[owner]
+    out = width[owner].astype(np.uint64)
+    for i in range(k):
+        some = width[owner] > i
+        if some.all():
+            out = out * ODD + h[start + i]
+        else:
+            out[some] = out[some] * ODD + h[start[some] + i]
+    out = mixed(out)
+    order = np.argsort(out, kind="stable")
+    if len(texts) > 1:
+        order = order[np.argsort(owner[order].astype(np.uint16), kind="stable")]
+    out, owner = out[order], owner[order]
+    first = np.ones(len(out), bool)
+    first[1:] = (out[1:] != out[:-1]) | (owner[1:] != owner[:-1])
+    return out[first], np.bincount(owner[first], minlength=len(texts))
+
+
+def signed(flat: np.ndarray, sizes: np.ndarray, config: Config) -> tuple[np.ndarray, np.ndarray]:
     """Band keys (int64, bands columns) and odd sketches (uint64, sketch_longs columns) of sets that aren't empty."""
     rng = np.random.default_rng(20)
     a = rng.integers(1, 2**32, config.samples, np.uint32) | np.uint32(1)
     b = rng.integers(0, 2**32, config.samples, np.uint32)
     salt = rng.integers(0, 2**63, config.samples).astype(np.uint64)
-    keys = np.zeros((len(sets), config.bands), np.int64)
-    sketches = np.zeros((len(sets), config.sketch_longs), np.uint64)
-    at = 0
-    while at < len(sets):
-        end, size = at, 0
-        while end < len(sets) and (end == at or size + len(sets[end]) <= 50_000):
-            size += len(sets[end])
-            end += 1
-        x = (np.concatenate(sets[at:end]) >> np.uint64(32)).astype(np.uint32)
-        starts = np.cumsum([0] + [len(s) for s in sets[at : end - 1]])
-        values = np.empty((config.samples, end - at), np.uint64)
-        for k in range(config.samples):
-            values[k] = np.minimum.reduceat(x * a[k] + b[k], starts)
-        h = np.zeros((config.bands, end - at), np.uint64) + np.arange(1, config.bands + 1, dtype=np.uint64)[:, None]
-        for r in range(config.rows):
-            h = mixed(h * ODD + values[r : config.rows * config.bands : config.rows] + np.uint64(1))
-        keys[at:end] = h.T.astype(np.int64)
-        bits = mixed(values * ODD + salt[:, None]) % np.uint64(64 * config.sketch_longs)
-        one = np.uint64(1) << (bits % np.uint64(64))
-        for k in range(config.samples):
-            rows = np.arange(at, end)
-            sketches[rows, (bits[k] // np.uint64(64)).astype(int)] ^= one[k]
-        at = end
-    return keys, sketches
+    x = (flat >> np.uint64(32)).astype(np.uint32)
+    starts = np.cumsum(sizes) - sizes
+    values = np.empty((config.samples, len(sizes)), np.uint64)
+    for k in range(config.samples):
+        values[k] = np.minimum.reduceat(x * a[k] + b[k], starts) if len(sizes) else 0
+    h = np.zeros((config.bands, len(sizes)), np.uint64) + np.arange(1, config.bands + 1, dtype=np.uint64)[:, None]
+    for r in range(config.rows):
+        h = mixed(h * ODD + values[r : config.rows * config.bands : config.rows] + np.uint64(1))
+    bits = mixed(values * ODD + salt[:, None]) % np.uint64(64 * config.sketch_longs)
+    one, place = np.uint64(1) << (bits % np.uint64(64)), (bits // np.uint64(64)).astype(int)
+    sketches = np.zeros((len(sizes), config.sketch_longs), np.uint64)
+    rows = np.arange(len(sizes))
+    for k in range(config.samples):
+        sketches[rows, place[k]] ^= one[k]
+    return h.T.astype(np.int64), sketches
 
 
 def text_key(text: str = "text") -> list:
@@ -130,22 +142,20 @@ def _signatures(items: DataFrame, config: Config) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
+        wide = lambda x, c: pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, c, dtype=np.int32)), pa.array(x.ravel())).cast(longs)
         for batch in batches:
-            at = 0
+            texts, at = batch.column(2).to_pylist(), 0
             while at < len(batch):
-                sets, size, begin = [], 0, at
-                while at < len(batch) and size < 400_000:
-                    sets.append(shingles(batch.column(2)[at].as_py(), config.words, known))
-                    size += len(sets[-1])
-                    at += 1
-                some = [k for k, s in enumerate(sets) if len(s) >= config.least]
-                keys, sketches = signed([sets[k] for k in some], config)
-                wide = lambda x, c: pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, c, dtype=np.int32)), pa.array(x.ravel())).cast(longs)
-                rows = pa.array(np.array(some, np.int64) + begin)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(rows), batch.column(1).take(rows), pa.array([len(sets[k]) for k in some], pa.int64()), wide(keys, config.bands), wide(sketches.view(np.int64), config.sketch_longs)],
-                    names=["k1", "k2", "n", "bands", "sketch"],
-                )
+                end, size = at, 0
+                while end < len(batch) and end - at < 2**16 and size < CHUNK_BYTES:
+                    size += len(texts[end] or b"")
+                    end += 1
+                flat, sizes = shingle_sets(texts[at:end], config.words, known)
+                some = sizes >= config.least
+                keys, sketches = signed(flat[np.repeat(some, sizes)], sizes[some], config)
+                rows = pa.array(np.flatnonzero(some) + at)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(sizes[some]), wide(keys, config.bands), wide(sketches.view(np.int64), config.sketch_longs)], names=["k1", "k2", "n", "bands", "sketch"])
+                at = end
 
     return items.mapInArrow(run, "k1 long, k2 long, n long, bands array<long>, sketch array<long>")
 
