@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.llm.common import written
 from plumbline.llm.neardup import ODD, Config, WordHashes, mixed, near_duplicates, text_key
 
 PARAGRAPHS = Config(bands=10, rows=2, samples=48, sketch_longs=4, least=6)
@@ -77,10 +78,12 @@ def _piece_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def repeated_pieces(rows: DataFrame) -> DataFrame:
     """doc_id, start and end (words of the document), component, first: of all pieces that occur twice or more."""
-    pieces = rows.select("doc_id", "text").mapInArrow(_pieces, "doc_id long, k1 long, k2 long, start int, end int")
+    pieces = written(rows.select("doc_id", "text").mapInArrow(_pieces, "doc_id long, k1 long, k2 long, start int, end int"), "pieces")
+    several = pieces.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1").drop("copies")
+    repeated = written(pieces.join(several, ["k1", "k2"]), "repeated-pieces")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "start")
-    counted = pieces.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies"), F.min(place).alias("first")).filter("copies > 1")
-    return pieces.join(counted, ["k1", "k2"]).select("doc_id", "start", "end", F.col("k1").alias("component"), "first")
+    first = repeated.groupBy("k1", "k2").agg(F.min(place).alias("first"))
+    return repeated.join(first, ["k1", "k2"]).select("doc_id", "start", "end", F.col("k1").alias("component"), "first")
 
 
 def repeated_paragraphs(rows: DataFrame, config: Config) -> DataFrame:
