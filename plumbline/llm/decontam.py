@@ -151,7 +151,7 @@ def _counted(docs: DataFrame, vocabulary: set[bytes]) -> dict[bytes, int]:
     return {names[r.word]: r.n for r in rows}
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, block_words: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, block_words: int = 200_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, n_words, hit_spans (array of word ranges, end exclusive) and items (sorted ids, as strings) per document."""
     raw = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("raw"))
     rows = benchmark.select(F.col(item_col).cast("string"), F.col(item_text_col).cast("binary")).toLocalIterator()
@@ -193,7 +193,7 @@ def _matched(raw: DataFrame, block: Block, all_rows: bool) -> DataFrame:
     return raw.select("doc_id", F.xxhash64("raw").alias("key"), "raw").mapInArrow(run, RESULT)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, block_words: int = 2_000_000, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, block_words: int = 200_000, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, that hold no window of any item."""
     raw = docs.select(F.lit(None).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("raw"))
     rows = benchmark.select(F.col(item_col).cast("string"), F.col(item_text_col).cast("binary")).toLocalIterator()

@@ -6,7 +6,7 @@ from plumbline.llm.audio import op10_audio_features
 from plumbline.llm.decontam import DECONTAMINATE_SQL, op9_decontaminate
 from plumbline.llm.html import op8_main_text
 from plumbline.llm.mixing import mixing_sql, op4_mix_sources
-from plumbline.llm.neardup import op7_near_duplicates
+from plumbline.llm.neardup import NEAR_DUPLICATES_SQL, op7_near_duplicates
 from plumbline.llm.paragraphs import op1_paragraphs
 from plumbline.llm.pii import op6_personal_data
 from plumbline.llm.quality import op3_quality
@@ -27,6 +27,8 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op7_near_duplicates": NEAR_DUPLICATES_SQL,
     "op9_decontaminate": DECONTAMINATE_SQL,
+
     "op4_mix_sources": mixing_sql(),
 }
