@@ -1,17 +1,19 @@
 """Substring dedup of paragraphs by MinHash banding, with repeated passages inside of paragraphs.
 
-Paragraphs (lines of ten words or more) go through ``neardup.near_duplicates``: banded MinHash candidates, the exact
+Paragraphs (lines of twenty words or more) go through ``neardup.near_duplicates``: banded MinHash candidates, the exact
 Jaccard similarity of their shingle sets, and components. The bands are chosen for recall: 10 bands of 2 samples miss a
 pair of similarity 0.75 with a probability of 3e-4 and one of 0.85 with 3e-6; collisions of dissimilar paragraphs cost a
 sketch comparison.
 
 A passage that repeats inside of longer paragraphs leaves these dissimilar. Therefore the words of a document are also
 cut where the hash of a word is the smallest among its REACH neighbours on both sides: copies of a passage are cut at the
-same words, wherever they stand. Pieces of eight words or more that are equal (128-bit hashes) form a component as well;
-a passage of over 50 words holds several.
+same words, wherever they stand. Pieces of eight words or more that are equal (128-bit hashes) in two documents form a
+component as well, if they lie in a run of such pieces of RUN_WORDS words or more; a passage of over 50 words does. Short
+phrases and lines that many documents share by chance or custom are left alone.
 
 A component keeps its first place (smallest document id, then place); all its other places can be removed. Null texts
-and empty lines have no units; null ids come last; documents without a repeated unit have no row.
+and empty lines have no units; null ids come last; documents without a repeated unit have no row. Rows that repeat an id
+are one document, whose passages repeat if another document has them.
 """
 
 from __future__ import annotations
@@ -20,14 +22,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import written
 from plumbline.llm.neardup import ODD, Config, WordHashes, mixed, near_duplicates, text_key
 
-PARAGRAPHS = Config(bands=10, rows=2, samples=48, sketch_longs=4, least=6)
-REACH, PIECE_WORDS = 6, 8
+PARAGRAPHS = Config(bands=10, rows=2, samples=48, sketch_longs=4, least=16)
+REACH, PIECE_WORDS, RUN_WORDS = 6, 8, 25
 
 
 def piece_starts(h: np.ndarray) -> np.ndarray:
@@ -47,7 +49,7 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows: list[tuple] = []
         size = 0
-        for doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for doc, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             words = (text or b"").lower().split()
             if not words:
                 continue
@@ -61,7 +63,7 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     p = np.concatenate([p, p * p[-1]])
                 keys.append(mixed(np.add.reduceat(h * p[place], starts) + (ends - starts).astype(np.uint64)).view(np.int64))
             long_ = ends - starts >= PIECE_WORDS
-            rows.append((np.full(long_.sum(), doc_id if doc_id is not None else 0), doc_id is None, keys[0][long_], keys[1][long_], starts[long_], ends[long_]))
+            rows.append((np.full(long_.sum(), doc), keys[0][long_], keys[1][long_], starts[long_], ends[long_]))
             size += len(rows[-1][0])
             if size > 100_000:
                 yield _piece_batch(rows)
@@ -71,19 +73,29 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _piece_batch(rows: list[tuple]) -> pa.RecordBatch:
-    null = np.concatenate([np.full(len(r[0]), r[1]) for r in rows])
-    columns = [np.concatenate([r[c] for r in rows]) for c in (0, 2, 3, 4, 5)]
-    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64(), mask=null), *(pa.array(c, pa.int64()) for c in columns[1:3]), *(pa.array(c, pa.int32()) for c in columns[3:])], names=["doc_id", "k1", "k2", "start", "end"])
+    columns = [np.concatenate([r[c] for r in rows]) for c in range(5)]
+    kinds = (pa.int64(),) * 3 + (pa.int32(),) * 2
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc", "k1", "k2", "start", "end"])
 
 
 def repeated_pieces(rows: DataFrame) -> DataFrame:
-    """doc_id, start and end (words of the document), component, first: of all pieces that occur twice or more."""
-    pieces = written(rows.select("doc_id", "text").mapInArrow(_pieces, "doc_id long, k1 long, k2 long, start int, end int"), "pieces")
-    several = pieces.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1").drop("copies")
-    repeated = written(pieces.join(several, ["k1", "k2"]), "repeated-pieces")
-    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "start")
-    first = repeated.groupBy("k1", "k2").agg(F.min(place).alias("first"))
-    return repeated.join(first, ["k1", "k2"]).select("doc_id", "start", "end", F.col("k1").alias("component"), "first")
+    """doc_id, start and end (words of the document), component, first: of all pieces in runs that documents share."""
+    # a row without an id is told apart by its text
+    named = rows.select(F.coalesce("doc_id", F.xxhash64("text")).alias("doc"), "text")
+    pieces = written(named.mapInArrow(_pieces, "doc long, k1 long, k2 long, start int, end int"), "pieces")
+    several = pieces.groupBy("k1", "k2").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo <> hi").select("k1", "k2")
+    here = Window.partitionBy("doc").orderBy("start", "end")
+    reach = F.max("end").over(here.rowsBetween(Window.unboundedPreceding, -1))
+    shared = pieces.join(several, ["k1", "k2"]).withColumn("new", F.coalesce(F.col("start") - reach >= PIECE_WORDS, F.lit(True)).cast("int"))
+    shared = shared.withColumn("run", F.sum("new").over(here.rowsBetween(Window.unboundedPreceding, 0)))
+    run = Window.partitionBy("doc", "run")
+    shared = shared.withColumn("words", F.max("end").over(run) - F.min("start").over(run)).filter(F.col("words") >= RUN_WORDS)
+    ids = rows.filter("doc_id is null").select(F.xxhash64("text").alias("doc"), F.lit(True).alias("no_id")).distinct()
+    shared = written(shared.select("doc", "k1", "k2", "start", "end").join(ids, "doc", "left"), "shared-pieces")
+    doc_id = F.when(F.col("no_id").isNull(), F.col("doc"))
+    place = F.struct(F.col("no_id").isNotNull().alias("no_id"), doc_id.alias("doc_id"), "start")
+    first = shared.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo <> hi").drop("lo", "hi")
+    return shared.join(first, ["k1", "k2"]).select(doc_id.alias("doc_id"), "start", "end", F.col("k1").alias("component"), "first")
 
 
 def repeated_paragraphs(rows: DataFrame, config: Config) -> DataFrame:
