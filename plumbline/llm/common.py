@@ -9,15 +9,16 @@ from plumbline.sources.shared import new_path, shared_dir, written
 
 __all__ = ["NULL_ID", "new_path", "row_key", "shared_dir", "small_batches", "table", "written"]
 
-#: Rows of one Arrow batch; whole texts travel in them, so the default of 10,000 rows is too many.
-ARROW_ROWS = 2000
+#: Rows and bytes of one Arrow batch; whole texts travel in them, so the default of 10,000 rows is too many.
+ARROW_ROWS, ARROW_BYTES = 2000, 16 << 20
 
 NULL_ID = -(2**63)
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Whole texts go through Arrow in batches of ARROW_ROWS rows, so that long texts don't fill a worker."""
+    """Whole texts go through Arrow in batches of at most so many rows and bytes, so that long texts don't fill a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def row_key(id_col: str, text_col: str) -> list[Column]:
