@@ -123,8 +123,9 @@ def greedy_clones(files: dict[str, tuple[list[str], list[int]]], n: int) -> Iter
 def dupe_report(tokens: DataFrame, clones: DataFrame, fail_above: float = 5.0) -> DataFrame:
     """total_lines (from the first to the last token of each file), duplicated_lines (both sides of all clones), percent
     (0 without lines), passed."""
-    lines = tokens.groupBy("file").agg((F.max("line") - F.min("line") + 1).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total_lines"))
-    dup = clones.agg(F.coalesce(F.sum(F.expr("end_line_a - start_line_a + 1 + end_line_b - start_line_b + 1")), F.lit(0)).cast("long").alias("duplicated_lines"))
-    both = lines.crossJoin(dup)  # one row each
+    lines = tokens.groupBy("file").agg((F.max("line") - F.min("line") + 1).cast("long").alias("lines")).select("lines", F.lit(0).cast("long").alias("dup"))
+    dup = clones.select(F.lit(0).cast("long").alias("lines"), F.expr("end_line_a - start_line_a + 1 + end_line_b - start_line_b + 1").cast("long").alias("dup"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    both = lines.unionByName(dup).agg(total("lines").alias("total_lines"), total("dup").alias("duplicated_lines"))
     percent = F.when(F.col("total_lines") == 0, F.lit(0.0)).otherwise(F.col("duplicated_lines") / F.col("total_lines") * 100)
     return both.withColumn("percent", percent).withColumn("passed", F.col("percent") <= fail_above)

@@ -46,9 +46,10 @@ def lines_by_file(files: DataFrame) -> DataFrame:
 
 def escape_report(hits: DataFrame, lines: DataFrame, fail_above: float, forbidden: list[str] = ()) -> DataFrame:
     """One row: hits, total_lines, rate per 1000 lines, forbidden names found, passed (rate at most fail_above)."""
-    found = hits.agg(F.count(F.lit(1)).alias("hits"), F.array_sort(F.collect_set(F.when(F.col("pattern").isin(*forbidden), F.col("pattern")))).alias("forbidden_found"))
-    total = lines.agg(F.coalesce(F.sum("lines"), F.lit(0)).alias("total_lines"))
-    both = found.crossJoin(total)  # one row each
+    rows = hits.select(F.lit(1).alias("hit"), "pattern", F.lit(0).cast("long").alias("lines")).unionByName(lines.select(F.lit(0).alias("hit"), F.lit(None).cast("string").alias("pattern"), "lines"))
+    both = rows.agg(
+        F.coalesce(F.sum("hit"), F.lit(0)).cast("long").alias("hits"), F.array_sort(F.collect_set(F.when(F.col("pattern").isin(*forbidden), F.col("pattern")))).alias("forbidden_found"), F.coalesce(F.sum("lines"), F.lit(0)).alias("total_lines")
+    )
     rate = F.when(F.col("total_lines") == 0, F.lit(0.0)).otherwise(F.col("hits") / F.col("total_lines") * 1000)
     return both.withColumn("rate", rate).withColumn("passed", (F.col("rate") <= fail_above) & (F.size("forbidden_found") == 0))
 
