@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.sources.shared import new_path, shared_dir, written
 
-__all__ = ["NULL_ID", "new_path", "row_key", "shared_dir", "small_batches", "table", "written"]
+__all__ = ["NULL_ID", "new_path", "shared_dir", "small_batches", "table", "written"]
 
 #: Rows and bytes of one Arrow batch; whole texts travel in them, so the default of 10,000 rows is too many.
 ARROW_ROWS, ARROW_BYTES = 2000, 16 << 20
@@ -21,10 +20,5 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
-def row_key(id_col: str, text_col: str) -> list[Column]:
-    """Two columns that name a row by its content; rows that repeat id and text share a key and a result."""
-    return [F.coalesce(F.col(id_col), F.lit(NULL_ID)).alias("_k1"), F.xxhash64(F.col(text_col)).alias("_k2")]
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
