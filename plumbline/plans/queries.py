@@ -71,7 +71,7 @@ def _report(hits: DataFrame, lines: DataFrame) -> DataFrame:
     return escape.escape_report(hits, lines, RATE_LIMIT, FORBIDDEN).select("hits", "total_lines", "rate", F.array_join("forbidden_found", ",").alias("forbidden_found"), "passed")
 
 
-@query(LINES_SQL + "SELECT file, line, pattern, text FROM hits")
+@query(LINES_SQL + "SELECT file, line::INTEGER AS line, pattern, text FROM hits")
 def escape_hits(spark, sf_dir):
     return escape.hatches(files_of(spark, sf_dir), HATCHES)
 
