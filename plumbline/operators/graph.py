@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.sources.shared import written
 
+if TYPE_CHECKING:
+    import pandas as pd
+
 
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
     """edges(a long, b long) -> (node, component): the smallest node that each node of an edge reaches.
@@ -110,6 +112,8 @@ def strong_components(edges: DataFrame, most: int = 1_000_000) -> DataFrame:
     sizes = placed.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
 
     def solve(frame: pd.DataFrame) -> pd.DataFrame:
+        import pandas as pd
+
         found = tarjan(list(zip(frame["a"].tolist(), frame["b"].tolist(), strict=True)))
         return pd.DataFrame({"node": list(found), "scc": list(found.values())}, dtype="int64")
 
@@ -160,6 +164,8 @@ def cycles(edges: DataFrame) -> DataFrame:
     inside = edges.join(of("src", "scc"), "src").join(of("dst", "other"), "dst").filter("scc = other").select("scc", "src", "ord", "dst")
 
     def chain(frame: pd.DataFrame) -> pd.DataFrame:
+        import pandas as pd
+
         rows = frame.sort_values(["src", "ord", "dst"])
         out: dict[str, list[str]] = {}
         for s, d in zip(rows["src"], rows["dst"], strict=True):
