@@ -15,6 +15,7 @@ or with labels of one kind, the score is the smoothed share of good labels (0.5
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -129,7 +130,7 @@ def fit_rules(x: np.ndarray, y: np.ndarray, trees: int = 30, depth: int = 3, rat
     if len(y) < 20 or y.min() == y.max():
         return RuleModel(float(np.log(prior / (1 - prior))))
     edges = [np.unique(np.quantile(x[:, k], np.linspace(0, 1, 65)[1:-1], method="higher")) for k in range(x.shape[1])]
-    bins = np.stack([np.searchsorted(e, x[:, k], "left") for k, e in enumerate(edges)], axis=1)
+    bins = np.stack([np.searchsorted(e, x[:, k], "left").astype(np.uint8) for k, e in enumerate(edges)], axis=1)  # 62 edges at most
     margin = np.full(len(y), np.log(prior / (1 - prior)))
     rules: dict[tuple[Condition, ...], None] = {}
     least = max(5, len(y) // 1000)
@@ -143,11 +144,17 @@ def fit_rules(x: np.ndarray, y: np.ndarray, trees: int = 30, depth: int = 3, rat
             if conditions in ends and full:
                 margin += rate * step * _holds(x, conditions)
     # the lasso: proximal gradient with momentum over the rules, scaled to a common spread
-    names = list(rules)
-    r = np.stack([_holds(x, c) for c in names], axis=1).astype(np.float32) if names else np.zeros((len(y), 0), np.float32)
-    mean = r.mean(axis=0)
+    seen: dict[bytes, tuple[Condition, ...]] = {}  # of rules that hold for the same rows, the shortest
+    for c in sorted(rules, key=len):
+        seen.setdefault(hashlib.sha256(np.packbits(_holds(x, c)).tobytes()).digest(), c)
+    names = list(seen.values())
+    z = np.empty((len(y), len(names)), np.float32)
+    for k, c in enumerate(names):
+        z[:, k] = _holds(x, c)
+    mean = z.mean(axis=0)
     spread = np.maximum(np.sqrt(mean * (1 - mean)), 0.05)
-    z = (r - mean) / spread
+    z -= mean
+    z /= spread
     v = np.ones(z.shape[1], np.float32)
     for _ in range(20):
         v = z.T @ (z @ v)
@@ -184,8 +191,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, max_rows: int = 20_000, t
     picked = own.filter(train).orderBy(F.xxhash64("_id"), "_id").limit(2 * max_rows)
     rows = docs.select(ids.alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(picked), "_id")  # at most 2 * max_rows pairs of numbers
     measured = rows.select("_id", "_label", text_statistics(F.col("_text")).alias("s")).select("_id", "_label", "s.*")
-    frame = measured.orderBy(F.xxhash64("_id"), *measured.columns).limit(max_rows).toPandas()
-    return fit_rules(frame[list(STATISTICS)].to_numpy(np.float64), frame["_label"].to_numpy(np.float64))
+    rows = measured.orderBy(F.xxhash64("_id"), *measured.columns).limit(max_rows).toArrow()
+    columns = [rows[s].to_numpy() for s in STATISTICS]
+    return fit_rules(np.stack(columns, axis=1), rows["_label"].to_numpy().astype(np.float64))
 
 
 def score_quality(docs: DataFrame, model: RuleModel, text_col: str = "text", score_col: str = "score") -> DataFrame:

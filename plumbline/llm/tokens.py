@@ -50,6 +50,15 @@ def masked_crc(data: bytes) -> int:
 # encoding
 
 
+@lru_cache(maxsize=2)
+def id_width(path: str) -> int:
+    """Bytes that hold every id of a tokenizer, from its file alone."""
+    with open(path) as f:
+        spec = json.load(f)
+    ids = [*spec["model"]["vocab"].values(), *(t["id"] for t in spec.get("added_tokens", ())), END_ID]
+    return 2 if max(ids) < 65536 else 4
+
+
 @lru_cache(maxsize=2)
 def _tokenizer(path: str) -> Callable[[str], bytes]:
     """Ids of a text as little-endian integers. Spaces and line ends always part words for the tokenizers this is for
@@ -59,7 +68,7 @@ def _tokenizer(path: str) -> Callable[[str], bytes]:
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    kind = np.dtype("<u2" if t.get_vocab_size() <= 65536 else "<u4")
+    kind = np.dtype(f"<u{id_width(path)}")
     known: dict[str, bytes] = {"": b""}
     older: dict[str, bytes] = {}
 
@@ -240,14 +249,11 @@ class TokenRecords(DataSource):
 
 def write_records(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encodes every text and writes the record files in ascending order of the ids (one range of ids a file)."""
-    from tokenizers import Tokenizer
-
     spark = docs.sparkSession
     spark.dataSource.register(TokenRecords)
-    width = 2 if Tokenizer.from_file(tokenizer).get_vocab_size() <= 65536 else 4
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     ordered = rows.orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    encode_tokens(ordered, tokenizer).write.format("token_records").mode("append").option("width", width).save(path)
+    encode_tokens(ordered, tokenizer).write.format("token_records").mode("append").option("width", id_width(tokenizer)).save(path)
 
 
 def read_records(spark: SparkSession, path: str, shuffle_seed: int | None = None) -> DataFrame:
