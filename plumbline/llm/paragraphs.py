@@ -5,13 +5,16 @@ Jaccard similarity of their shingle sets, and components. The bands are chosen f
 pair of similarity 0.75 with a probability of 3e-4 and one of 0.85 with 3e-6; collisions of dissimilar paragraphs cost a
 sketch comparison.
 
-A passage that repeats inside of longer paragraphs leaves these dissimilar. Therefore the words of a document are also
-cut where the hash of a word is the smallest among its REACH neighbours on both sides: copies of a passage are cut at the
-same words, wherever they stand. Pieces of eight words or more that are equal (128-bit hashes) in two documents form a
-component as well, if they lie in a run of such pieces of RUN_WORDS words or more; a passage of over 50 words does. Short
-phrases and lines that many documents share by chance or custom are left alone.
-
-A component keeps its first place (smallest document id, then place); all its other places can be removed. Null texts
+A passage that repeats inside of longer paragraphs leaves these dissimilar. Therefore every window of RUN_WORDS words has
+an anchor, its gram of GRAM_WORDS words with the smallest hash: equal windows have equal anchors at equal places, whatever
+stands around them. What the windows of an anchor cover is one region; an anchor that has the same region wherever it stands
+is one row, and the windows of the others are compared one by one, by 128-bit hashes. So each passage of RUN_WORDS words
+or more that stands in two documents is found, to its last word. Passages with changed words in between
+have shorter equal parts: anchors that two documents have, less than GRAM_WORDS words apart and over RUN_WORDS words in
+all, are repeats too. Short phrases and lines that many documents share by chance or custom are left alone.
+
+A component keeps its first place (smallest document id, then place); all its other places can be removed. A
+passage is a run of windows with the same first place; its component is the kept passage that this lies in. Null texts
 and empty lines have no units; null ids come last; documents without a repeated unit have no row. Rows that repeat an id
 are one document, whose passages repeat if another document has them.
 """
@@ -27,79 +30,159 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import written
 from plumbline.llm.neardup import ODD, Config, WordHashes, mixed, near_duplicates, text_key
+from plumbline.llm.substrings import gram_hashes, window_minima
 
 PARAGRAPHS = Config(bands=10, rows=2, samples=48, sketch_longs=4, least=16)
-REACH, PIECE_WORDS, RUN_WORDS = 6, 8, 25
+GRAM_WORDS, RUN_WORDS = 8, 25
+#: Words whose anchors are chosen together, and the bits of a place among them.
+CHUNK_WORDS = 200_000
+PLACE = np.uint64(2**20 - 1)
+
+
+def anchors(h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """For the word hashes of texts of these sizes, one after the other: (text, hash, hash of the region, at, first, last)
+    of each anchor; first..last are the windows that share it, and all places count from the text's begin."""
+    if len(h) < RUN_WORDS:
+        return (np.zeros(0, np.int64),) * 6
+    grams, windows = gram_hashes(h, (GRAM_WORDS, RUN_WORDS))
+    assert len(grams) <= int(PLACE) + 1
+    packed = (grams & ~PLACE) | np.arange(len(grams), dtype=np.uint64)
+    at = (window_minima(packed, RUN_WORDS - GRAM_WORDS + 1) & PLACE).astype(np.int64)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    start = np.flatnonzero(owner[: len(at)] == owner[RUN_WORDS - 1 :])
+    at = at[start]
+    new = np.ones(len(at), bool)
+    new[1:] = at[1:] != at[:-1]
+    begins = np.flatnonzero(new)
+    first, last, at = start[begins], start[np.append(begins[1:], len(start))[: len(begins)] - 1], at[begins]
+    text = owner[first]
+    base = (np.cumsum(sizes) - sizes)[text]
+    return text, grams[at].view(np.int64), region_hashes(windows, first, last).view(np.int64), at - base, first - base, last - base
+
+
+def region_hashes(windows: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """From the hashes of the first and last window, which meet: they share an anchor."""
+    return mixed(mixed(windows[first] * ODD + windows[last]) * ODD + (last - first).astype(np.uint64))
+
+
+def _word_hashes(text: bytes | None, known: WordHashes) -> np.ndarray:
+    words = (text or b"").lower().split()
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+
+
+def _parts(h: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """Words before and word hashes of the parts of a text: long texts are dealt out by window starts."""
+    return [(s, h[s : s + CHUNK_WORDS + RUN_WORDS - 1]) for s in range(0, len(h) - RUN_WORDS + 1, CHUNK_WORDS)]
+
+
+def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From doc, text: the anchors and the hashes of their regions."""
+    known = WordHashes()
 
+    def made(parts: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+        text, h, region, *_ = anchors(np.concatenate([p[1] for p in parts]), np.array([len(p[1]) for p in parts]))
+        return pa.RecordBatch.from_arrays([pa.array(np.array([p[0] for p in parts])[text], pa.int64()), pa.array(h, pa.int64()), pa.array(region, pa.int64())], names=["doc", "h", "region"])
 
-def piece_starts(h: np.ndarray) -> np.ndarray:
-    """Where pieces begin: at the first word, and where a hash is the smallest of its neighbourhood (leftmost of ties)."""
-    n = len(h)
-    cut = np.ones(n, bool)
-    for d in range(1, REACH + 1):
-        cut[d:] &= h[d:] < h[:-d]
-        cut[:-d] &= h[:-d] <= h[d:]
-    cut[0] = True
-    return np.flatnonzero(cut)
+    for batch in batches:
+        parts: list[tuple[int, np.ndarray]] = []
+        size = 0
+        for doc, text in zip(*(batch.column(c).to_pylist() for c in range(2)), strict=True):
+            for _, part in _parts(_word_hashes(text, known)):
+                parts.append((doc, part))
+                size += len(part)
+                if size >= CHUNK_WORDS:
+                    yield made(parts)
+                    parts, size = [], 0
+        if parts:
+            yield made(parts)
+
+
+def text_windows(h: np.ndarray, wanted: np.ndarray, single: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+    """Of a text with these word hashes: (start, end, exact, two hashes) of the regions of the wanted anchors (hashes,
+    sorted) that have a single region, of the windows of the others, and of those anchors if they make a run together."""
+    found = []
+    for s, part in _parts(h):
+        _, gram, _, at, first, last = anchors(part, np.array([len(part)]))
+        k = np.minimum(np.searchsorted(wanted, gram), len(wanted) - 1)
+        some = wanted[k] == gram
+        found.append(np.stack([at + s, first + s, last + s, single[k]])[:, some])
+    at, first, last, one = np.concatenate(found, axis=1)
+    if not len(at):
+        return []
+    one = one > 0
+    hashes = [gram_hashes(x, (RUN_WORDS, GRAM_WORDS)) for x in (h, h ^ np.uint64(0x5A5A5A5A5A5A5A5A))]
+    regions = (first[one], last[one] + RUN_WORDS, np.ones(one.sum(), bool), *(region_hashes(w, first[one], last[one]) for w, _ in hashes))
+    many = last[~one] - first[~one] + 1
+    start = np.repeat(first[~one], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    windows = (start, start + RUN_WORDS, np.ones(len(start), bool), *(w[start] for w, _ in hashes))
+    new = np.append(True, at[1:] - at[:-1] >= 2 * GRAM_WORDS)
+    begins = np.flatnonzero(new)
+    ends = np.append(begins[1:], len(at)) - 1
+    together = (at[ends] + GRAM_WORDS - at[begins] >= RUN_WORDS)[np.cumsum(new) - 1]
+    at = np.unique(at[together & ~one])
+    return [regions, windows, (at, at + GRAM_WORDS, np.zeros(len(at), bool), *(g[at] for _, g in hashes))]
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From doc, t, no_id, text, runs: doc, t, no_id, start, end, exact, w, v."""
+    known = WordHashes()
+    kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64())
 
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        columns = [np.concatenate([r[c] for r in rows]) for c in range(8)]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc", "t", "no_id", "start", "end", "exact", "w", "v"])
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known = WordHashes()
-    powers = [np.cumprod(np.full(1 << 16, m)) for m in (ODD, np.uint64(0xD6E8FEB86659FD93))]
     for batch in batches:
         rows: list[tuple] = []
         size = 0
-        for doc, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            words = (text or b"").lower().split()
-            if not words:
-                continue
-            h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-            starts = piece_starts(h)
-            ends = np.append(starts[1:], len(h))
-            place = np.arange(len(h)) - np.repeat(starts, ends - starts)
-            keys = []
-            for p in powers:
-                while place.max() >= len(p):  # a piece of more words than the table has
-                    p = np.concatenate([p, p * p[-1]])
-                keys.append(mixed(np.add.reduceat(h * p[place], starts) + (ends - starts).astype(np.uint64)).view(np.int64))
-            long_ = ends - starts >= PIECE_WORDS
-            rows.append((np.full(long_.sum(), doc), keys[0][long_], keys[1][long_], starts[long_], ends[long_]))
-            size += len(rows[-1][0])
+        for k in range(len(batch)):
+            key = [batch.column(c)[k].as_py() for c in range(3)]
+            wanted, single = (c.to_numpy(zero_copy_only=False) for c in batch.column(4)[k].values.flatten())
+            order = np.argsort(wanted)
+            for start, end, exact, w, v in text_windows(_word_hashes(batch.column(3)[k].as_py(), known), wanted[order], single[order]):
+                rows.append((*(np.full(len(start), x) for x in key), start, end, exact, w.view(np.int64), v.view(np.int64)))
+                size += len(start)
             if size > 100_000:
-                yield _piece_batch(rows)
+                yield made(rows)
                 rows, size = [], 0
         if rows:
-            yield _piece_batch(rows)
-
-
-def _piece_batch(rows: list[tuple]) -> pa.RecordBatch:
-    columns = [np.concatenate([r[c] for r in rows]) for c in range(5)]
-    kinds = (pa.int64(),) * 3 + (pa.int32(),) * 2
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc", "k1", "k2", "start", "end"])
+            yield made(rows)
 
 
-def repeated_pieces(rows: DataFrame) -> DataFrame:
-    """doc_id, start and end (words of the document), component, first: of all pieces in runs that documents share."""
+def repeated_passages(rows: DataFrame) -> DataFrame:
+    """doc_id, start and end (words of the document), component, first_doc_id, kept: of all passages that documents share."""
     # a row without an id is told apart by its text
-    named = rows.select(F.coalesce("doc_id", F.xxhash64("text")).alias("doc"), "text")
-    pieces = written(named.mapInArrow(_pieces, "doc long, k1 long, k2 long, start int, end int"), "pieces")
-    several = pieces.groupBy("k1", "k2").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo <> hi").select("k1", "k2")
-    here = Window.partitionBy("doc").orderBy("start", "end")
+    t = F.xxhash64(F.coalesce("text", F.lit(b"")))
+    named = rows.select(F.coalesce("doc_id", t).alias("doc"), t.alias("t"), F.col("doc_id").isNull().alias("no_id"), "text")
+    found = written(named.select("doc", "text").mapInArrow(_anchors, "doc long, h long, region long"), "word-anchors")
+    several = found.groupBy("h").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.min("region").alias("one"), F.max("region").alias("other"))
+    several = several.filter("lo <> hi").select("h", F.expr("one = other").alias("single"))
+    runs = found.select("doc", "h").join(several, "h").groupBy("doc").agg(F.collect_set(F.struct("h", "single")).alias("runs"))
+    texts = named.join(runs, "doc").select("doc", "t", "no_id", "text", "runs")
+    windows = written(texts.mapInArrow(_windows, "doc long, t long, no_id boolean, start int, end int, exact boolean, w long, v long"), "word-windows")
+    place = F.struct("no_id", "doc", "t", "start")
+    first = windows.groupBy("w", "v").agg(F.min(place).alias("first"), F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo <> hi")
+    first = first.select("w", "v", F.col("first.no_id").alias("f_no_id"), F.col("first.doc").alias("f_doc"), F.col("first.t").alias("f_t"), F.col("first.start").alias("f_start"))
+    shared = windows.join(first, ["w", "v"]).withColumn("offset", F.col("f_start") - F.col("start"))
+    keys = ["doc", "t", "no_id", "exact", "f_no_id", "f_doc", "f_t", "offset"]
+    here = Window.partitionBy(*keys).orderBy("start", "end")
     reach = F.max("end").over(here.rowsBetween(Window.unboundedPreceding, -1))
-    shared = pieces.join(several, ["k1", "k2"]).withColumn("new", F.coalesce(F.col("start") - reach >= PIECE_WORDS, F.lit(True)).cast("int"))
+    shared = shared.withColumn("new", F.coalesce(F.col("start") > reach, F.lit(True)).cast("int"))
     shared = shared.withColumn("run", F.sum("new").over(here.rowsBetween(Window.unboundedPreceding, 0)))
-    run = Window.partitionBy("doc", "run")
-    shared = shared.withColumn("words", F.max("end").over(run) - F.min("start").over(run)).filter(F.col("words") >= RUN_WORDS)
-    ids = rows.filter("doc_id is null").select(F.xxhash64("text").alias("doc"), F.lit(True).alias("no_id")).distinct()
-    shared = written(shared.select("doc", "k1", "k2", "start", "end").join(ids, "doc", "left"), "shared-pieces")
-    doc_id = F.when(F.col("no_id").isNull(), F.col("doc"))
-    place = F.struct(F.col("no_id").isNotNull().alias("no_id"), doc_id.alias("doc_id"), "start")
-    first = shared.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo <> hi").drop("lo", "hi")
-    return shared.join(first, ["k1", "k2"]).select(doc_id.alias("doc_id"), "start", "end", F.col("k1").alias("component"), "first")
+    units = shared.groupBy(*keys, "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    units = written(units.withColumn("kept", F.expr("doc = f_doc and t = f_t and offset = 0")).drop("run"), "passages")
+    whole = units.filter("kept").select("exact", "f_doc", "f_t", F.col("start").alias("from"), F.col("end").alias("to"))
+    units = units.join(whole, ["exact", "f_doc", "f_t"]).filter(F.expr("start + offset >= from and end + offset <= to"))
+    # equal parts that lie in an equal passage say nothing more
+    before = Window.partitionBy("doc", "t").orderBy("start", F.desc("exact")).rowsBetween(Window.unboundedPreceding, 0)
+    units = units.withColumn("reach", F.max(F.when(F.col("exact"), F.col("end"))).over(before))
+    units = units.filter(F.expr("kept or exact or end > coalesce(reach, -1)"))
+    doc_id, f_doc_id = (F.when(~F.col(n), F.col(c)) for n, c in (("no_id", "doc"), ("f_no_id", "f_doc")))
+    return units.select(doc_id.alias("doc_id"), "start", "end", F.xxhash64("exact", "f_doc", "f_t", "from").alias("component"), f_doc_id.alias("first_doc_id"), "kept")
 
 
 def repeated_paragraphs(rows: DataFrame, config: Config) -> DataFrame:
-    """doc_id, start (number of the line), end, component, first: of near-duplicate paragraphs."""
+    """doc_id, start (number of the line), end, component, first_doc_id, kept: of near-duplicate paragraphs."""
     lines = rows.select("doc_id", F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("start", "line")).filter(F.length("line") >= 2 * config.words)
     items = lines.select(*text_key("line"), F.col("line").cast("binary").alias("text"))
     found = near_duplicates(items, config, "paragraphs")
@@ -108,16 +191,16 @@ def repeated_paragraphs(rows: DataFrame, config: Config) -> DataFrame:
     placed = lines.select("doc_id", "start", *text_key("line")).join(found, ["k1", "k2"])
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "start")
     first = placed.groupBy("component").agg(F.min(place).alias("first"))
-    return placed.join(first, "component").select("doc_id", "start", (F.col("start") + 1).alias("end"), "component", "first")
+    here = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("start") == F.col("first.start"))
+    return placed.join(first, "component").select("doc_id", "start", (F.col("start") + 1).alias("end"), "component", F.col("first.doc_id").alias("first_doc_id"), here.alias("kept"))
 
 
 def paragraph_dedup(docs: DataFrame, config: Config = PARAGRAPHS, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per repeated unit: doc_id, unit (paragraph: start and end are lines; passage: they are words), component
     (a number within the unit's kind), first_doc_id (where the kept one stands) and kept."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    out = repeated_paragraphs(rows, config).withColumn("unit", F.lit("paragraph")).unionByName(repeated_pieces(rows).withColumn("unit", F.lit("passage")))
-    here = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("start") == F.col("first.start"))
-    return out.select("doc_id", "unit", "start", "end", "component", F.col("first.doc_id").alias("first_doc_id"), here.alias("kept"))
+    out = repeated_paragraphs(rows, config).withColumn("unit", F.lit("paragraph")).unionByName(repeated_passages(rows).withColumn("unit", F.lit("passage")))
+    return out.select("doc_id", "unit", "start", "end", "component", "first_doc_id", "kept")
 
 
 def op1_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:

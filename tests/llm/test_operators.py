@@ -77,6 +77,55 @@ def test_paragraphs(docs, no_docs, cases):
     assert paragraphs.paragraph_dedup(no_docs).count() == 0
 
 
+def shared_words(texts, n):
+    """The places of words that lie in n equal words of two documents."""
+    where = defaultdict(list)
+    for i, t in enumerate(texts):
+        w = t.split()
+        for k in range(len(w) - n + 1):
+            where[tuple(w[k : k + n])].append((i, k))
+    return {(i, k + j) for places in where.values() if len({i for i, _ in places}) > 1 for i, k in places for j in range(n)}
+
+
+def test_passages_anywhere(spark):
+    r = random.Random(5)
+    prose = lambda r, n: " ".join(str(r.randrange(5000)) for _ in range(n))
+    texts = []
+    for n in (*range(51, 81), 25, 26, 30, 40) * 3:
+        passage = prose(r, n)
+        texts += [f"{prose(r, r.randint(0, 70))} {passage} {prose(r, r.randint(0, 70))}".strip() for _ in range(2)]
+    for k in range(20):  # two texts share what a third has in part, and parts of it follow each other elsewhere
+        a, b = prose(r, 60).split(), prose(r, 40).split()
+        texts += [" ".join([*a[20:35], *prose(r, 9).split()]), " ".join([*a, *b]), " ".join([*prose(r, 5).split(), *b, *a]), " ".join(a[10:50])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = paragraphs.paragraph_dedup(df).filter("unit = 'passage'").collect()
+    assert {(u.doc_id, k) for u in found for k in range(u.start, u.end)} == shared_words(texts, 25)
+    kept = defaultdict(list)
+    for u in found:
+        if u.kept:
+            kept[u.component].append(u)
+    assert all(len(k) == 1 for k in kept.values()) and {u.component for u in found} == set(kept)
+    for u in found:
+        k = kept[u.component][0]
+        assert k.doc_id == u.first_doc_id
+        assert " ".join(texts[u.doc_id].split()[u.start : u.end]) in " ".join(texts[k.doc_id].split()[k.start : k.end])
+
+
+def test_anchors_of_long_texts(monkeypatch):
+    r = random.Random(6)
+    monkeypatch.setattr(paragraphs, "CHUNK_WORDS", 40)
+    for n in (25, 26, 64, 65, 300, 701):
+        h = np.array([r.getrandbits(64) for _ in range(n)], np.uint64)
+        batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([b" ".join(b"%d" % x for x in h)])], names=["doc", "text"])
+        assert sum(len(b) for b in paragraphs._anchors(iter([batch]))) >= n / 18 - 1
+        grams = np.unique(paragraphs.gram_hashes(h, (8,))[0].view(np.int64))
+        for single in (0, 1):
+            regions, windows, _ = paragraphs.text_windows(h, grams, np.full(len(grams), single))
+            exact = [windows, regions][single]
+            covered = [k for s, e in zip(exact[0], exact[1], strict=True) for k in range(s, e - 24)]
+            assert covered == list(range(n - 24))
+
+
 # 2
 
 
