@@ -83,6 +83,7 @@ def anchors(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     none = np.zeros(0, np.int64)
     if len(b) < length:
         return (none,) * 8
+    assert len(b) <= int(PLACE) + 1
     grams, windows = gram_hashes(b, (GRAM, length))
     packed = (grams & ~PLACE) | np.arange(len(grams), dtype=np.uint64)
     at = (window_minima(packed, length - GRAM + 1) & PLACE).astype(np.int64)
@@ -121,9 +122,14 @@ def _emit(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordB
                         shifts.append(s)
                     size += len(t)
                 at += 1
-            for part in range(0, len(texts), 64 if size > 8 * CHUNK else max(1, len(texts))):
-                some = slice(part, part + (64 if size > 8 * CHUNK else max(1, len(texts))))
-                yield _anchor_batch(texts[some], np.array(rows[some], int), np.array(shifts[some], int), k1, k2, length)
+            begin, held = 0, 0
+            for part in range(len(texts) + 1):  # at most 8 chunks at once, whose places fit
+                if part == len(texts) or held and held + len(texts[part]) > 8 * CHUNK:
+                    if part > begin:
+                        some = slice(begin, part)
+                        yield _anchor_batch(texts[some], np.array(rows[some], int), np.array(shifts[some], int), k1, k2, length)
+                    begin, held = part, 0
+                held += len(texts[part]) if part < len(texts) else 0
 
 
 def _anchor_batch(texts: list[bytes], rows: np.ndarray, shifts: np.ndarray, k1: np.ndarray, k2: np.ndarray, length: int) -> pa.RecordBatch:

@@ -147,6 +147,18 @@ def test_repeated_substrings_at_random(spark):
         assert [bytes(x) for x in got] == without_repeats(texts, 80)
 
 
+def test_anchors_of_texts_of_many_chunks(monkeypatch):
+    monkeypatch.setattr(substrings, "CHUNK", 1000)
+    monkeypatch.setattr(substrings, "PLACE", np.uint64(2**14 - 1))
+    r = random.Random(9)
+    texts = [r.randbytes(n) for n in (300, 40_000, 199, 0, 8_500, 700)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(range(len(texts))), pa.array(texts)], names=["k1", "k2", "text"])
+    rows = [x for b in substrings._emit(iter([batch]), 200) for x in b.to_pylist()]
+    assert sorted((x["k1"], k) for x in rows for k in range(x["first"], x["last"] + 1)) == [(i, k) for i, t in enumerate(texts) for k in range(len(t) - 199)]
+    grams = [substrings.gram_hashes(np.frombuffer(t, np.uint8), (32,))[0].view(np.int64) if len(t) > 31 else [] for t in texts]
+    assert all(x["last"] <= x["at"] <= x["first"] + 168 and grams[x["k1"]][x["at"]] == x["h"] for x in rows)
+
+
 def test_no_repeats_in_nothing(no_docs):
     assert substrings.remove_repeats(no_docs).count() == 0
 
