@@ -2,26 +2,37 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.sources.shared import written
+from plumbline.sources.shared import discard, written
 
 if TYPE_CHECKING:
     import pandas as pd
+    import pyarrow as pa
 
 
-def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
+#: Edges up to which one task finds the components; a choice of the plan, the result is the same.
+ONE_TASK = 500_000
+
+
+def connected_components(edges: DataFrame, name: str = "components", one_task: int = ONE_TASK) -> DataFrame:
     """edges(a long, b long) -> (node, component): the smallest node that each node of an edge reaches.
 
-    Alternating large and small stars. A round costs two shuffles of the edges and is written to the shared folder, so
+    A table of at most ``one_task`` distinct edges, counted first, is solved by one task in one pass. Larger ones by
+    alternating large and small stars: a round costs two shuffles of the edges and is written to the shared folder, so
     that no lineage grows and a lost executor costs one round. Grouped minima are combined before the shuffle; no
     neighbourhood is gathered in a task. Rounds are logarithmic in the length of the longest chain. Nulls and loops are
     ignored.
     """
     now = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
+    if now.count() <= one_task:
+        out = written(now.coalesce(1).mapInArrow(_rooted, "node long, component long"), name)
+        discard(now)
+        return out
     while not _flat(now):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -30,11 +41,34 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
         # small star: a node and its smaller neighbours point to the smallest one
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e"))
-        now = written(small.select("e.a", "e.b").filter("a <> b").distinct(), name)
+        before, now = now, written(small.select("e.a", "e.b").filter("a <> b").distinct(), name)
+        discard(before)
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
 
 
+def _rooted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All edges (a, b) -> node and the smallest node that it reaches."""
+    import pyarrow as pa
+
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        up = parent.setdefault(x, x)
+        while up != (top := parent[up]):
+            parent[x] = top
+            x, up = up, top
+        return up
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            x, y = root(a), root(b)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+    nodes = list(parent)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(map(root, nodes), pa.int64())], names=["node", "component"])
+
+
 def _flat(edges: DataFrame) -> bool:
     """Whether each node points to one other that points nowhere: all components are stars."""
     sides = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")), F.struct(F.col("b").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("into")))).alias("s"))

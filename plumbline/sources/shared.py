@@ -27,4 +27,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back: survives lost executors, keeps no lineage."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes tables of ``written`` that no later result reads."""
+    for t in tables:
+        if t is not None:
+            session = t.sparkSession
+            path = session._jvm.org.apache.hadoop.fs.Path(t.written_path)
+            path.getFileSystem(session._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
