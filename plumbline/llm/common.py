@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.sources.shared import new_path, shared_dir, written
+from plumbline.sources.shared import discard, new_path, shared_dir, written
 
-__all__ = ["NULL_ID", "new_path", "shared_dir", "small_batches", "table", "written"]
+__all__ = ["NULL_ID", "discard", "fresh", "new_path", "shared_dir", "small_batches", "table", "written"]
 
 #: Rows and bytes of one Arrow batch; whole texts travel in them, so the default of 10,000 rows is too many.
 ARROW_ROWS, ARROW_BYTES = 2000, 16 << 20
@@ -22,3 +22,12 @@ def small_batches(spark: SparkSession) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def fresh(df: DataFrame, name: str) -> DataFrame | None:
+    """As ``written``; None for an empty table."""
+    out = written(df, name)
+    if out.isEmpty():
+        discard(out)
+        return None
+    return out

@@ -12,27 +12,27 @@
    No such pair is left out, and tasks emit only links that join components: never the square of a group.
 
 A pair of the threshold similarity s shares a bucket with probability 1 - (1 - s^rows)^bands: for 0.75, 3 rows and 28
-bands all but 2e-7. Verification streams through rows sorted by centre: it holds one set and one text at a time; large
-centres are dealt out over several keys.
+bands all but 2e-7. Of each distinct text one row, picked by the smallest ``at``, is fetched for the verification, so a text
+that a third of all rows repeat is shingled once. Verification streams through rows sorted by centre: it holds two sets at a
+time; large centres are dealt out over several keys.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.components import connected_components
-from plumbline.llm.common import written
+from plumbline.llm.common import NULL_ID, discard, fresh, written
+from plumbline.llm.words import mixed, text_words
+from plumbline.operators.graph import connected_components
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
-CACHED_WORDS = 400_000
 #: Bytes of text whose shingles are hashed together.
 CHUNK_BYTES = 300_000
 #: Members of a centre that one task key gets, and shingles of a block.
@@ -47,50 +47,34 @@ class Config:
     bands: int = 28
     rows: int = 3
     samples: int = 128
+    #: 64-bit numbers of a sketch; without sketches all pairs of the stars are verified.
     sketch_longs: int = 8
-    #: Shingles that a text must have to be compared at all.
-    least: int = 1
 
     def most_bits(self) -> int:
         """The population count of an XOR over which a pair of the threshold similarity is ruled out."""
         n, k, s = 64 * self.sketch_longs, self.samples, self.percent / 100
+        if not n:
+            return 0
         differ = k * (1 - s)
         left = (1 - 2 / n) ** (2 * differ)  # a bit's bias after the toggles of both sides
         spread = (2 * left * (k * s * (1 - s)) ** 0.5) ** 2 + n / 4 * (1 - left**2) * (1 - left)
         return int(n / 2 * (1 - left) + SURE * spread**0.5) + 1
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+def shingle_sets(texts: list[bytes | None], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sets of texts, one after the other as sorted 64-bit hashes, and their sizes."""
+    h, counts, _ = text_words([t or b"" for t in texts])
+    return word_sets(h, counts, k)
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > CACHED_WORDS:
-            self.clear()
-        value = xxhash.xxh3_64_intdigest(word)
-        if len(word) <= 40:
-            self[word] = value
-        return value
-
-
-def shingles(text: bytes | None, k: int, known: WordHashes) -> np.ndarray:
-    """The set as sorted 64-bit hashes."""
-    return shingle_sets([text], k, known)[0]
-
-
-def shingle_sets(texts: list[bytes | None], k: int, known: WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    """The sets of up to 65,536 texts, one after the other as sorted 64-bit hashes, and their sizes."""
-    split = [(t or b"").lower().split() for t in texts]  # both for ASCII only
-    counts = np.array([len(w) for w in split], np.int64)
-    h = np.fromiter((known[w] for ws in split for w in ws), np.uint64, int(counts.sum()))
+def word_sets(h: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same of texts given by the hashes of their words, one after the other."""
     begins = np.cumsum(counts) - counts
     width = np.minimum(counts, k)  # a text of fewer words is one shingle
     many = np.where(counts > 0, counts - width + 1, 0)
-    owner = np.repeat(np.arange(len(texts)), many)
-    start = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many) + begins[owner]
+    owner = np.repeat(np.arange(len(counts)), many)
+    firsts = np.cumsum(many) - many
+    start = np.arange(len(owner)) + np.repeat(begins - firsts, many)
     out = width[owner].astype(np.uint64)
     for i in range(k):
         some = width[owner] > i
@@ -99,36 +83,51 @@ def shingle_sets(texts: list[bytes | None], k: int, known: WordHashes) -> tuple[
         else:
             out[some] = out[some] * ODD + h[start[some] + i]
     out = mixed(out)
-    order = np.argsort(out, kind="stable")
-    if len(texts) > 1:
-        order = order[np.argsort(owner[order].astype(np.uint16), kind="stable")]
-    out, owner = out[order], owner[order]
+    for begin, end in zip(firsts.tolist(), (firsts + many).tolist(), strict=True):
+        out[begin:end].sort()
     first = np.ones(len(out), bool)
-    first[1:] = (out[1:] != out[:-1]) | (owner[1:] != owner[:-1])
-    return out[first], np.bincount(owner[first], minlength=len(texts))
+    first[1:] = out[1:] != out[:-1]
+    first[firsts[many > 0]] = True
+    return out[first], np.bincount(owner[first], minlength=len(counts))
 
 
-def signed(flat: np.ndarray, sizes: np.ndarray, config: Config) -> tuple[np.ndarray, np.ndarray]:
-    """Band keys (int64, bands columns) and odd sketches (uint64, sketch_longs columns) of sets that aren't empty."""
+def minima(flat: np.ndarray, places: np.ndarray, samples: int) -> np.ndarray:
+    """MinHash values (samples rows) of the stretches of flat between each even place and the odd one after it."""
     rng = np.random.default_rng(20)
-    a = rng.integers(1, 2**32, config.samples, np.uint32) | np.uint32(1)
-    b = rng.integers(0, 2**32, config.samples, np.uint32)
-    salt = rng.integers(0, 2**63, config.samples).astype(np.uint64)
-    x = (flat >> np.uint64(32)).astype(np.uint32)
-    starts = np.cumsum(sizes) - sizes
-    values = np.empty((config.samples, len(sizes)), np.uint64)
-    for k in range(config.samples):
-        values[k] = np.minimum.reduceat(x * a[k] + b[k], starts) if len(sizes) else 0
-    h = np.zeros((config.bands, len(sizes)), np.uint64) + np.arange(1, config.bands + 1, dtype=np.uint64)[:, None]
+    a = rng.integers(1, 2**32, samples, np.uint32) | np.uint32(1)
+    b = rng.integers(0, 2**32, samples, np.uint32)
+    x = np.append((flat >> np.uint64(32)).astype(np.uint32), np.uint32(0))
+    values = np.empty((samples, len(places) // 2), np.uint64)
+    for k in range(samples):
+        values[k] = np.minimum.reduceat(x * a[k] + b[k], places)[::2] if len(places) else 0
+    return values
+
+
+def band_keys(values: np.ndarray, config: Config) -> np.ndarray:
+    """Even numbers (int64, bands columns) from the MinHash values of texts."""
+    h = np.zeros((config.bands, values.shape[1]), np.uint64) + np.arange(1, config.bands + 1, dtype=np.uint64)[:, None]
     for r in range(config.rows):
         h = mixed(h * ODD + values[r : config.rows * config.bands : config.rows] + np.uint64(1))
+    return (h.T & ~np.uint64(1)).astype(np.int64)
+
+
+def odd_sketches(values: np.ndarray, config: Config) -> np.ndarray:
+    """uint64, sketch_longs columns."""
+    salt = np.random.default_rng(21).integers(0, 2**63, config.samples).astype(np.uint64)
     bits = mixed(values * ODD + salt[:, None]) % np.uint64(64 * config.sketch_longs)
     one, place = np.uint64(1) << (bits % np.uint64(64)), (bits // np.uint64(64)).astype(int)
-    sketches = np.zeros((len(sizes), config.sketch_longs), np.uint64)
-    rows = np.arange(len(sizes))
+    sketches = np.zeros((values.shape[1], config.sketch_longs), np.uint64)
+    rows = np.arange(values.shape[1])
     for k in range(config.samples):
         sketches[rows, place[k]] ^= one[k]
-    return h.T.astype(np.int64), sketches
+    return sketches
+
+
+def signed(flat: np.ndarray, sizes: np.ndarray, config: Config) -> tuple[np.ndarray, np.ndarray]:
+    """Band keys and odd sketches of sets that aren't empty."""
+    ends = np.cumsum(sizes)
+    values = minima(flat, np.stack([ends - sizes, ends], axis=1).ravel(), config.samples)
+    return band_keys(values, config), odd_sketches(values, config)
 
 
 def text_key(text: str = "text") -> list:
@@ -138,87 +137,77 @@ def text_key(text: str = "text") -> list:
 
 
 def _signatures(items: DataFrame, config: Config) -> DataFrame:
-    longs = pa.list_(pa.int64())
+    """k1, k2, at, n, and the keys b0, b1, ... and the sketch s0, s1, ... as columns of their own, which Spark can aggregate
+    without sorting."""
+    numbers = [f"b{k}" for k in range(config.bands)] + [f"s{k}" for k in range(config.sketch_longs)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
-        wide = lambda x, c: pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, c, dtype=np.int32)), pa.array(x.ravel())).cast(longs)
         for batch in batches:
-            texts, at = batch.column(2).to_pylist(), 0
+            texts, at = batch.column(3).to_pylist(), 0
             while at < len(batch):
                 end, size = at, 0
-                while end < len(batch) and end - at < 2**16 and size < CHUNK_BYTES:
+                while end < len(batch) and size < CHUNK_BYTES:
                     size += len(texts[end] or b"")
                     end += 1
-                flat, sizes = shingle_sets(texts[at:end], config.words, known)
-                some = sizes >= config.least
-                keys, sketches = signed(flat[np.repeat(some, sizes)], sizes[some], config)
+                flat, sizes = shingle_sets(texts[at:end], config.words)
+                some = sizes > 0
+                keys, sketches = signed(flat, sizes[some], config)
                 rows = pa.array(np.flatnonzero(some) + at)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(sizes[some]), wide(keys, config.bands), wide(sketches.view(np.int64), config.sketch_longs)], names=["k1", "k2", "n", "bands", "sketch"])
+                own = [pa.array(c) for c in (*keys.T, *sketches.view(np.int64).T)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(rows) for c in range(3)), pa.array(sizes[some]), *own], names=["k1", "k2", "at", "n", *numbers])
                 at = end
 
-    return items.mapInArrow(run, "k1 long, k2 long, n long, bands array<long>, sketch array<long>")
+    return items.select("k1", "k2", "at", "text").mapInArrow(run, "k1 long, k2 long, at long, n long, " + ", ".join(f"{c} long" for c in numbers))
 
 
-def _bits(a: str, b: str) -> F.Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+def _bits(config: Config) -> F.Column:
+    out = F.lit(0)
+    for k in range(config.sketch_longs):
+        out = out + F.bit_count(F.col(f"s{k}").bitwiseXOR(F.col(f"t{k}")))
+    return out
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, items: DataFrame, config: Config, name: str) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold. Texts are joined once: a centre's to each key that its
-    members are dealt to, a member's to its centre's."""
-    keys = nodes.select("node", "k1", "k2")
+def _verified(pairs: DataFrame, sets: DataFrame, config: Config, name: str) -> DataFrame:
+    """The pairs (a, b) whose full sets reach the threshold: a centre's set goes to each key that its members are dealt to,
+    a member's to its centre's."""
     salted = pairs.join(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PER_KEY).cast("int").alias("m")), "a")
     salted = salted.withColumn("salt", F.pmod(F.xxhash64("b"), F.col("m")).cast("int"))
     needs = salted.select(F.col("b").alias("node"), "a", "salt", F.col("b")).unionByName(salted.select(F.col("a").alias("node"), "a", "salt", F.lit(None).cast("long").alias("b")).distinct())
-    needs = needs.join(keys, "node").select("k1", "k2", "a", "salt", "b")
-    texts = items.join(needs, ["k1", "k2"]).select("a", "salt", "b", "text")
-    dealt = texts.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+    dealt = sets.join(needs, "node").select("a", "salt", "b", "set").repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
         at, centre = None, np.zeros(0, np.uint64)
         for batch in batches:
             links = []
-            for k, (a, salt, b) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)):
+            for a, salt, b, raw in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+                own = np.frombuffer(raw, np.uint64)
                 if b is None:
-                    if at != (a, salt):
-                        at, centre = (a, salt), shingles(batch.column(3)[k].as_py(), config.words, known)
+                    at, centre = (a, salt), own
                     continue
-                own = shingles(batch.column(3)[k].as_py(), config.words, known)
+                assert at == (a, salt)
                 both = len(np.intersect1d(centre, own, assume_unique=True))
                 if 100 * both >= config.percent * (len(centre) + len(own) - both):
                     links.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in links], pa.int64()) for c in (0, 1)], names=["a", "b"])
 
-    return written(dealt.mapInArrow(run, "a long, b long").distinct(), name)
-
+    return written(dealt.mapInArrow(run, "a long, b long"), name)
 
-def _sets(nodes: DataFrame, items: DataFrame, config: Config) -> DataFrame:
-    """node and its sorted shingle hashes (binary) for some nodes."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
-        for batch in batches:
-            sets = [shingles(t.as_py(), config.words, known).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "set"])
-
-    texts = items.join(nodes.select("node", "k1", "k2"), ["k1", "k2"]).select("node", "text")
-    return texts.mapInArrow(run, "node long, set binary").dropDuplicates(["node"])
-
-
-def _between_components(nodes: DataFrame, buckets: DataFrame, labels: DataFrame, items: DataFrame, config: Config, name: str) -> DataFrame:
-    """Verified links (a, b) between components that share a bucket.
+def _between_components(nodes: DataFrame, shared: DataFrame, labels: DataFrame, sets: DataFrame, config: Config, name: str) -> DataFrame | None:
+    """Verified links (a, b) between components that share a bucket; None if no bucket is open.
 
     A node outside of the component of the bucket's smallest node (a stray) meets all nodes of the bucket, block by block;
     sketches and sizes come first, then the sets. A pair is looked at in the first band that it shares only, and not if
     links of its block have already joined its components, so a task emits fewer links than it holds nodes.
     """
-    own = buckets.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_ = own.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.min_by("component", "node").alias("core"), F.min("node").alias("centre")).filter("size > 2 and lo <> hi")
-    own = own.join(open_.select("key", "core", "centre"), "key").withColumn("stray", F.col("component") != F.col("core"))
-    own = written(own.join(nodes.select("node", "n"), "node"), f"{name}-open")
-    sets = written(_sets(nodes.join(own.select("node").distinct(), "node", "left_semi"), items, config), f"{name}-sets")
+    of = lambda c, n: labels.select(F.col("node").alias(c), F.col("component").alias(n))
+    own = shared.join(of("a", "core"), "a", "left").join(of("b", "component"), "b", "left")
+    own = own.select("key", F.col("b").alias("node"), F.coalesce("component", "b").alias("component"), (F.coalesce("component", "b") != F.coalesce("core", "a")).alias("stray"))
+    open_ = own.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.count_if("stray").alias("strays")).filter("size > 1 and strays > 0").select("key")
+    opened = fresh(own.join(open_, "key").join(nodes.select("node", "n"), "node"), f"{name}-open")
+    if opened is None:
+        return None
+    own = opened
     blocks = lambda which: F.ceil(F.coalesce(F.sum(F.when(which, F.col("n"))), F.lit(0)) / BLOCK_SHINGLES).cast("int")
     counts = own.groupBy("key").agg(blocks(F.col("stray")).alias("strays"), blocks(~F.col("stray")).alias("cores"))
     own = own.join(counts, "key")
@@ -230,8 +219,7 @@ def _between_components(nodes: DataFrame, buckets: DataFrame, labels: DataFrame,
     with_cores = F.when(F.col("cores") > 0, upto(F.greatest(F.col("cores"), F.lit(1)), lambda k: cell("c", here, k))).otherwise(F.array().cast("array<struct<kind:string,i:int,j:int>>"))
     cells = F.when(F.col("stray"), F.concat(upto(F.col("strays"), lambda k: cell("s", F.least(here, k), F.greatest(here, k))), with_cores)).otherwise(upto(F.col("strays"), lambda k: cell("c", k, here)))
     rows = own.withColumn("cell", F.explode(cells)).join(nodes.select("node", "sketch", "bands"), "node").join(sets, "node")
-    rows = rows.select("key", "cell.kind", "cell.i", "cell.j", "node", "component", "centre", "stray", "block", "sketch", "bands", "set")
-    most = config.most_bits()
+    rows = rows.select("key", "cell.kind", "cell.i", "cell.j", "node", "component", "stray", "block", "sketch", "bands", "set")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def tuples() -> Iterator[tuple]:
@@ -239,25 +227,39 @@ def _between_components(nodes: DataFrame, buckets: DataFrame, labels: DataFrame,
                 yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
 
         for (key, kind, i, j), group in groupby(tuples(), key=lambda r: r[:4]):
-            rows = list(group)  # at most two blocks
-            left = [r for r in rows if (r[7] if kind == "c" else r[8] == i)]
-            right = [r for r in rows if (not r[7] if kind == "c" else r[8] == j)]
-            found = _links(left, right, key, most, config.percent) if left and right else []
+            rows = [Member(*r[4:]) for r in group]  # at most two blocks
+            left = [r for r in rows if (r.stray if kind == "c" else r.block == i)]
+            right = [r for r in rows if (not r.stray if kind == "c" else r.block == j)]
+            found = _links(left, right, key, config) if left and right else []
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], pa.int64()) for c in (0, 1)], names=["a", "b"])
 
     dealt = rows.repartition("key", "kind", "i", "j").sortWithinPartitions("key", "kind", "i", "j", "node")
-    return written(dealt.mapInArrow(run, "a long, b long").distinct(), f"{name}-between")
-
-
-def _links(left: list[tuple], right: list[tuple], key: int, most: int, percent: int) -> list[tuple[int, int]]:
-    """Links between rows of two blocks (or of one with itself) that join components, as rows of ``_between_components``."""
-    sketch = np.array([r[9] for r in right], np.int64).view(np.uint64)
-    bands = np.array([r[10] for r in right], np.int64)
-    ids, centre = np.array([r[4] for r in right]), left[0][6]
-    sets = [np.frombuffer(r[11], np.uint64) for r in right]
+    links = fresh(dealt.mapInArrow(run, "a long, b long").distinct(), f"{name}-between")
+    discard(opened)
+    return links
+
+
+@dataclass
+class Member:
+    node: int
+    component: int
+    stray: bool
+    block: int
+    sketch: list[int]
+    bands: list[int]
+    set: bytes
+
+
+def _links(left: list[Member], right: list[Member], key: int, config: Config) -> list[tuple[int, int]]:
+    """Links between two blocks (or of one with itself) that join components."""
+    sketch = np.array([r.sketch for r in right], np.int64).view(np.uint64).reshape(len(right), -1)
+    bands = np.array([r.bands for r in right], np.int64)
+    ids = np.array([r.node for r in right])
+    sets = [np.frombuffer(r.set, np.uint64) for r in right]
     sizes = np.array([len(x) for x in sets])
     parent: dict[int, int] = {}
+    most = config.most_bits()
 
     def root(x: int) -> int:
         while (up := parent.get(x, x)) != x:
@@ -267,65 +269,93 @@ def _links(left: list[tuple], right: list[tuple], key: int, most: int, percent:
     numbers: dict[int, frozenset] = {}
     found: list[tuple[int, int]] = []
     for r in left:
-        if r[4] == centre:
-            continue
-        own = np.frombuffer(r[11], np.uint64)
-        bits = np.bitwise_count(sketch ^ np.array(r[9], np.int64).view(np.uint64)).sum(axis=1)
-        near = np.flatnonzero((bits <= most) & (ids != centre) & (ids != r[4]) & (100 * np.minimum(sizes, len(own)) >= percent * np.maximum(sizes, len(own))))
+        own = np.frombuffer(r.set, np.uint64)
+        bits = np.bitwise_count(sketch ^ np.array(r.sketch, np.int64).view(np.uint64)).sum(axis=1)
+        near = np.flatnonzero((bits <= most) & (ids != r.node) & (100 * np.minimum(sizes, len(own)) >= config.percent * np.maximum(sizes, len(own))))
         if not len(near):
             continue
-        mine = np.array(r[10], np.int64)
-        same = bands[near] == mine
+        same = bands[near] == np.array(r.bands, np.int64)
         near = near[bands[near, same.argmax(axis=1)] == key]
         members = None
         for k in near.tolist():
-            x, y = root(r[5]), root(right[k][5])
+            x, y = root(r.component), root(right[k].component)
             if x == y:
                 continue
             if members is None:
-                members = numbers.setdefault(r[4], frozenset(own.tolist()))
-            if right[k][4] not in numbers:
-                numbers[right[k][4]] = frozenset(sets[k].tolist())
-            both = len(members & numbers[right[k][4]])
-            if 100 * both >= percent * (len(members) + sizes[k] - both):
-                found.append((min(r[4], right[k][4]), max(r[4], right[k][4])))
+                members = numbers.setdefault(r.node, frozenset(own.tolist()))
+            if right[k].node not in numbers:
+                numbers[right[k].node] = frozenset(sets[k].tolist())
+            both = len(members & numbers[right[k].node])
+            if 100 * both >= config.percent * (len(members) + sizes[k] - both):
+                found.append((min(r.node, right[k].node), max(r.node, right[k].node)))
                 parent[max(x, y)] = min(x, y)
     return found
 
 
-def near_duplicates(items: DataFrame, config: Config, name: str) -> DataFrame:
-    """items(k1, k2, text binary) -> one row per distinct text of ``least`` shingles or more: k1, k2, n (size of its set), copies (rows), component
-    (a number that all texts linked with it share). items is read once for the signatures and once for each verification.
+def linked(nodes: DataFrame, fetched: Callable[[DataFrame], DataFrame], config: Config, name: str) -> DataFrame:
+    """nodes(node long, n, bands array of keys, sketch array) -> (node, component) of the nodes that are linked with others.
+
+    ``fetched`` gives (node, set: sorted 64-bit hashes, binary) for a table of nodes.
     """
-    once = _signatures(items, config).groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies"), *(F.first(c).alias(c) for c in ("n", "bands", "sketch")))
-    nodes = written(once.withColumn("node", F.monotonically_increasing_id()), f"{name}-nodes")
-    buckets = nodes.select("node", F.explode("bands").alias("key"))
-    centres = buckets.groupBy("key").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    shared = written(buckets.join(centres, "key").select("key", "node", "a"), f"{name}-buckets")
-    pairs = shared.filter("a <> node").select("a", F.col("node").alias("b")).distinct()
-    sketch = nodes.select("node", "sketch")
-    pairs = pairs.join(sketch.select(F.col("node").alias("a"), F.col("sketch").alias("s")), "a").join(sketch.select(F.col("node").alias("b"), F.col("sketch").alias("t")), "b")
-    passed = written(pairs.filter(_bits("s", "t") <= config.most_bits()).select("a", "b"), f"{name}-pairs")
-    links = _verified(passed, nodes, items, config, f"{name}-links")
+    keys = nodes.select("node", F.explode("bands").alias("key"))
+    centres = keys.groupBy("key").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    shared = written(keys.join(centres, "key").filter("node > a").select("key", "a", F.col("node").alias("b")), f"{name}-buckets")
+    sets = written(fetched(shared.select(F.explode(F.array("a", "b")).alias("node")).distinct()), f"{name}-sets")
+    pairs = shared.select("a", "b").distinct()
+    if config.sketch_longs:
+        longs = range(config.sketch_longs)
+        side = lambda c, s: nodes.select(F.col("node").alias(c), *(F.col("sketch")[k].alias(f"{s}{k}") for k in longs))
+        pairs = pairs.join(side("a", "s"), "a").join(side("b", "t"), "b").filter(_bits(config) <= config.most_bits()).select("a", "b")
+    pairs = written(pairs, f"{name}-pairs")
+    links = _verified(pairs, sets, config, f"{name}-links")
     labels = connected_components(links, f"{name}-components")
-    more = _between_components(nodes, shared.select("key", "node"), labels, items, config, name)
-    if not more.isEmpty():
+    more = _between_components(nodes, shared, labels, sets, config, name)
+    if more is not None:
         labels = connected_components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), f"{name}-components")
+    discard(shared, sets, pairs, links, more)
+    return labels
+
+
+def _text_sets(items: DataFrame, wanted: DataFrame, config: Config) -> DataFrame:
+    """node and its set for wanted(node, k1, k2, at)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_sets([t.as_py()], config.words)[0].tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "set"])
+
+    texts = items.join(wanted, ["k1", "k2", "at"]).select("node", "text")
+    return texts.mapInArrow(run, "node long, set binary").dropDuplicates(["node"])  # rows may repeat both id and text
+
+
+def near_duplicates(items: DataFrame, config: Config, name: str) -> DataFrame:
+    """items(k1, k2, at long, text binary) -> one row per distinct text that has words: k1, k2, n (size of its set), copies
+    (rows), component (a number that all texts linked with it share). items is read twice."""
+    found = _signatures(items, config)
+    numbers = found.columns[4:]
+    once = found.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies"), F.min("at").alias("at"), *(F.max(c).alias(c) for c in ("n", *numbers)))
+    wide = lambda c: F.array(*(F.col(x) for x in numbers if x[0] == c)).alias({"b": "bands", "s": "sketch"}[c])
+    nodes = written(once.select(F.monotonically_increasing_id().alias("node"), "k1", "k2", "at", "n", "copies", wide("b"), wide("s")), f"{name}-nodes")
+    places = nodes.select("node", "k1", "k2", "at")
+    labels = linked(nodes, lambda wanted: _text_sets(items, places.join(wanted, "node"), config), config, name)
     return nodes.select("k1", "k2", "n", "copies", "node").join(labels, "node", "left").select("k1", "k2", "n", "copies", F.coalesce("component", "node").alias("component"))
 
 
 # documents
 
 
+def _items(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(*text_key(text_col), F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("at"), F.col(text_col).cast("binary").alias("text"))
+
+
 def near_duplicate_documents(docs: DataFrame, config: Config = Config(), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id reachable) and kept, for every row of docs.
 
     Null and empty texts and texts without words have an empty set and are linked with nothing. A null id is never a
     component_id unless all of its component are null; such rows are kept. Rows that repeat an id share what it reaches.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *text_key(text_col), F.col(text_col).cast("binary").alias("text"))
-    found = near_duplicates(rows.select("k1", "k2", "text"), config, "neardup")
-    placed = rows.drop("text").join(found, ["k1", "k2"], "left")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *text_key(text_col))
+    placed = rows.join(near_duplicates(_items(docs, id_col, text_col), config, "neardup"), ["k1", "k2"], "left")
     least = placed.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     out = placed.join(least, "component", "left")
     component = F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
@@ -333,19 +363,19 @@ def near_duplicate_documents(docs: DataFrame, config: Config = Config(), *, id_c
 
 
 def drop_near_duplicates(docs: DataFrame, config: Config = Config(), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, without near-duplicates: one row of each component stays, that of the smallest id
-    (the smallest hash of the text if several rows have it; null ids come last). Texts without words all stay."""
-    keys = ["_k1", "_k2"]
-    rows = docs.withColumns(dict(zip(keys, text_key(text_col), strict=True)))
-    items = rows.select(F.col("_k1").alias("k1"), F.col("_k2").alias("k2"), F.col(text_col).cast("binary").alias("text"))
-    found = near_duplicates(items, config, "neardup").select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("component").alias("_component"))
-    order = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).cast("long").alias("id"), "_k1", "_k2")
-    first = rows.select(id_col, *keys).join(found, keys).groupBy("_component").agg(F.min(order).alias("first")).select("first.id", F.col("first._k1").alias("_k1"), F.col("first._k2").alias("_k2"), F.lit(True).alias("_first"))
-    # a text may be linked and have several rows: those of the first id stay; of equal rows, one
-    linked = rows.join(found.select(*keys, F.lit(True).alias("_linked")), keys, "left").join(first, [*keys], "left")
-    here = F.col("_first") & F.col(id_col).cast("long").eqNullSafe(F.col("id"))
-    alone = linked.filter(F.col("_linked").isNull()).select(*docs.columns)
-    return linked.filter(F.col("_linked") & here).dropDuplicates(keys).select(*docs.columns).unionByName(alone)
+    """The rows of docs, all columns whatever their names, without near-duplicates: one row of each component stays, that
+    of the smallest id (the smallest hash of the text if several rows have it; null ids come last). Texts without words
+    all stay."""
+    found = near_duplicates(_items(docs, id_col, text_col), config, "neardup").select("k1", "k2", "component")
+    # the row itself is one column, so that no name of its own can clash
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).cast("long").alias("id"), *text_key(text_col))
+    order = F.struct(F.col("id").isNull().alias("no_id"), "id", "k1", "k2")
+    first = rows.select("id", "k1", "k2").join(found, ["k1", "k2"]).groupBy("component").agg(F.min(order).alias("first"))
+    first = first.select(F.col("first.k1").alias("k1"), F.col("first.k2").alias("k2"), F.col("first.id").alias("first_id"), F.lit(True).alias("first"))
+    # a text may have several rows: those of the first id stay; of equal rows, one
+    placed = rows.join(found, ["k1", "k2"], "left").join(first, ["k1", "k2"], "left")
+    chosen = placed.filter(F.col("first") & F.col("id").eqNullSafe(F.col("first_id"))).dropDuplicates(["k1", "k2"])
+    return chosen.select("row.*").unionByName(placed.filter("component is null").select("row.*"))
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

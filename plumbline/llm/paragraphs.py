@@ -1,206 +1,196 @@
 """Substring dedup of paragraphs by MinHash banding, with repeated passages inside of paragraphs.
 
-Paragraphs (lines of twenty words or more) go through ``neardup.near_duplicates``: banded MinHash candidates, the exact
-Jaccard similarity of their shingle sets, and components. The bands are chosen for recall: 10 bands of 2 samples miss a
-pair of similarity 0.75 with a probability of 3e-4 and one of 0.85 with 3e-6; collisions of dissimilar paragraphs cost a
-sketch comparison.
-
-A passage that repeats inside of longer paragraphs leaves these dissimilar. Therefore every window of RUN_WORDS words has
-an anchor, its gram of GRAM_WORDS words with the smallest hash: equal windows have equal anchors at equal places, whatever
-stands around them. What the windows of an anchor cover is one region; an anchor that has the same region wherever it stands
-is one row, and the windows of the others are compared one by one, by 128-bit hashes. So each passage of RUN_WORDS words
-or more that stands in two documents is found, to its last word. Passages with changed words in between
-have shorter equal parts: anchors that two documents have, less than GRAM_WORDS words apart and over RUN_WORDS words in
-all, are repeats too. Short phrases and lines that many documents share by chance or custom are left alone.
-
-A component keeps its first place (smallest document id, then place); all its other places can be removed. A
-passage is a run of windows with the same first place; its component is the kept passage that this lies in. Null texts
-and empty lines have no units; null ids come last; documents without a repeated unit have no row. Rows that repeat an id
-are one document, whose passages repeat if another document has them.
+Two kinds of units are compared, both by their sets of distinct five-word shingles:
+
+* a paragraph is a line of ``least_words`` words or more. Its bands are chosen for recall: 10 bands of 2 MinHash samples miss
+  a pair of similarity 0.75 with a probability of 3e-4 and one of 0.85 with 3e-6;
+* a stretch is a run of ``stretch`` words of the whole text, across line ends. A passage that repeats inside of longer
+  paragraphs leaves these dissimilar, so texts are also read as overlapping stretches: each window of ``run_words`` - 2 *
+  ``MARGIN`` words has a MinHash sample of its grams of ``GRAM_WORDS`` words, the smallest hash, and that gram with MARGIN words
+  to both sides is a stretch whose one band is the sample. Equal windows choose equal grams, whatever stands around them, so
+  each passage of ``run_words`` words or more that stands in two places has a stretch in common at both.
+
+Units that collide in a band are joined, their exact Jaccard similarity is verified on the full sets, and the links give
+components (``neardup.linked``). Units with equal words are one node from the start. A component keeps its first place
+(smallest document id, then place); all its other places can be removed.
+
+Null texts and empty lines have no units; null ids come last; documents without a repeated unit have no row. Rows that
+repeat an id are told apart by their texts; rows that repeat both are copies of each other.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import written
-from plumbline.llm.neardup import ODD, Config, WordHashes, mixed, near_duplicates, text_key
+from plumbline.llm.common import discard, written
+from plumbline.llm.neardup import CHUNK_BYTES, ODD, Config, band_keys, linked, minima, word_sets
 from plumbline.llm.substrings import gram_hashes, window_minima
+from plumbline.llm.words import mixed, runs, text_words
 
-PARAGRAPHS = Config(bands=10, rows=2, samples=48, sketch_longs=4, least=16)
-GRAM_WORDS, RUN_WORDS = 8, 25
-#: Words whose anchors are chosen together, and the bits of a place among them.
-CHUNK_WORDS = 200_000
+GRAM_WORDS, MARGIN = 8, 10
+STRETCH = GRAM_WORDS + 2 * MARGIN
+#: Words of which stretches are cut together, and the bits of a place among them.
+CHUNK_WORDS = 100_000
 PLACE = np.uint64(2**20 - 1)
 
 
-def anchors(h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
-    """For the word hashes of texts of these sizes, one after the other: (text, hash, hash of the region, at, first, last)
-    of each anchor; first..last are the windows that share it, and all places count from the text's begin."""
-    if len(h) < RUN_WORDS:
-        return (np.zeros(0, np.int64),) * 6
-    grams, windows = gram_hashes(h, (GRAM_WORDS, RUN_WORDS))
+@dataclass(frozen=True)
+class Units:
+    config: Config = Config(bands=10, rows=2, samples=20, sketch_longs=0)
+    #: Words of the shortest paragraph that is compared; 1 takes every line that isn't empty.
+    least_words: int = 20
+    #: Words of a passage that is found wherever it stands.
+    run_words: int = 50
+
+
+def stretches(h: np.ndarray, sizes: np.ndarray, run_words: int) -> tuple[np.ndarray, ...]:
+    """For the word hashes of texts of these sizes, one after the other: (text, word that it starts with, its hash, its key)
+    of each stretch."""
+    window = run_words - 2 * MARGIN
+    if len(h) < max(window, STRETCH):
+        return (np.zeros(0, np.int64),) * 4
+    grams, whole = gram_hashes(h, (GRAM_WORDS, STRETCH))
     assert len(grams) <= int(PLACE) + 1
     packed = (grams & ~PLACE) | np.arange(len(grams), dtype=np.uint64)
-    at = (window_minima(packed, RUN_WORDS - GRAM_WORDS + 1) & PLACE).astype(np.int64)
+    at = (window_minima(packed, window - GRAM_WORDS + 1) & PLACE).astype(np.int64)
+    begins = np.cumsum(sizes) - sizes
     owner = np.repeat(np.arange(len(sizes)), sizes)
-    start = np.flatnonzero(owner[: len(at)] == owner[RUN_WORDS - 1 :])
-    at = at[start]
-    new = np.ones(len(at), bool)
-    new[1:] = at[1:] != at[:-1]
-    begins = np.flatnonzero(new)
-    first, last, at = start[begins], start[np.append(begins[1:], len(start))[: len(begins)] - 1], at[begins]
-    text = owner[first]
-    base = (np.cumsum(sizes) - sizes)[text]
-    return text, grams[at].view(np.int64), region_hashes(windows, first, last).view(np.int64), at - base, first - base, last - base
-
-
-def region_hashes(windows: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """From the hashes of the first and last window, which meet: they share an anchor."""
-    return mixed(mixed(windows[first] * ODD + windows[last]) * ODD + (last - first).astype(np.uint64))
-
-
-def _word_hashes(text: bytes | None, known: WordHashes) -> np.ndarray:
-    words = (text or b"").lower().split()
-    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    at = at[owner[: len(at)] == owner[window - 1 :]]
+    at = at[np.append(True, at[1:] != at[:-1])] if len(at) else at
+    start, text = at - MARGIN, owner[at]
+    inside = (start >= begins[text]) & (start + STRETCH <= begins[text] + sizes[text])
+    start, text, at = start[inside], text[inside], at[inside]
+    return text, start - begins[text], whole[start].view(np.int64), (grams[at] | np.uint64(1)).view(np.int64)
 
 
-def _parts(h: np.ndarray) -> list[tuple[int, np.ndarray]]:
-    """Words before and word hashes of the parts of a text: long texts are dealt out by window starts."""
-    return [(s, h[s : s + CHUNK_WORDS + RUN_WORDS - 1]) for s in range(0, len(h) - RUN_WORDS + 1, CHUNK_WORDS)]
+NUMBERS = tuple(f"b{k}" for k in range(10))
 
 
-def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From doc, text: the anchors and the hashes of their regions."""
-    known = WordHashes()
-
-    def made(parts: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
-        text, h, region, *_ = anchors(np.concatenate([p[1] for p in parts]), np.array([len(p[1]) for p in parts]))
-        return pa.RecordBatch.from_arrays([pa.array(np.array([p[0] for p in parts])[text], pa.int64()), pa.array(h, pa.int64()), pa.array(region, pa.int64())], names=["doc", "h", "region"])
-
+def _unit_rows(batches: Iterator[pa.RecordBatch], units: Units) -> Iterator[pa.RecordBatch]:
+    """From doc, t, no_id, text: paragraphs and stretches. Keys of paragraphs are even, those of stretches odd."""
+    config = units.config
+    names = ["at", "k1", "k2", "n", *NUMBERS[: config.bands]]
     for batch in batches:
-        parts: list[tuple[int, np.ndarray]] = []
-        size = 0
-        for doc, text in zip(*(batch.column(c).to_pylist() for c in range(2)), strict=True):
-            for _, part in _parts(_word_hashes(text, known)):
-                parts.append((doc, part))
-                size += len(part)
-                if size >= CHUNK_WORDS:
-                    yield made(parts)
-                    parts, size = [], 0
-        if parts:
-            yield made(parts)
-
-
-def text_windows(h: np.ndarray, wanted: np.ndarray, single: np.ndarray) -> list[tuple[np.ndarray, ...]]:
-    """Of a text with these word hashes: (start, end, exact, two hashes) of the regions of the wanted anchors (hashes,
-    sorted) that have a single region, of the windows of the others, and of those anchors if they make a run together."""
-    found = []
-    for s, part in _parts(h):
-        _, gram, _, at, first, last = anchors(part, np.array([len(part)]))
-        k = np.minimum(np.searchsorted(wanted, gram), len(wanted) - 1)
-        some = wanted[k] == gram
-        found.append(np.stack([at + s, first + s, last + s, single[k]])[:, some])
-    at, first, last, one = np.concatenate(found, axis=1)
-    if not len(at):
-        return []
-    one = one > 0
-    hashes = [gram_hashes(x, (RUN_WORDS, GRAM_WORDS)) for x in (h, h ^ np.uint64(0x5A5A5A5A5A5A5A5A))]
-    regions = (first[one], last[one] + RUN_WORDS, np.ones(one.sum(), bool), *(region_hashes(w, first[one], last[one]) for w, _ in hashes))
-    many = last[~one] - first[~one] + 1
-    start = np.repeat(first[~one], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-    windows = (start, start + RUN_WORDS, np.ones(len(start), bool), *(w[start] for w, _ in hashes))
-    new = np.append(True, at[1:] - at[:-1] >= 2 * GRAM_WORDS)
-    begins = np.flatnonzero(new)
-    ends = np.append(begins[1:], len(at)) - 1
-    together = (at[ends] + GRAM_WORDS - at[begins] >= RUN_WORDS)[np.cumsum(new) - 1]
-    at = np.unique(at[together & ~one])
-    return [regions, windows, (at, at + GRAM_WORDS, np.zeros(len(at), bool), *(g[at] for _, g in hashes))]
-
-
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From doc, t, no_id, text, runs: doc, t, no_id, start, end, exact, w, v."""
-    known = WordHashes()
-    kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64())
-
-    def made(rows: list[tuple]) -> pa.RecordBatch:
-        columns = [np.concatenate([r[c] for r in rows]) for c in range(8)]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc", "t", "no_id", "start", "end", "exact", "w", "v"])
-
+        texts = [t or b"" for t in batch.column(3).to_pylist()]
+        row = 0
+        while row < len(batch):
+            first, size = row, 0
+            while row < len(batch) and size < CHUNK_BYTES:
+                size += len(texts[row])
+                row += 1
+            own = texts[first:row]
+            h, counts, ends = text_words(own)
+            begins = np.append(0, ends[:-1])
+            lines = np.array([t.count(b"\n") + 1 for t in own])
+            some = np.flatnonzero(ends - begins >= max(units.least_words, 1))
+            if len(some):
+                doc = np.repeat(np.arange(len(own)), lines)
+                number = np.arange(len(doc)) - np.repeat(np.cumsum(lines) - lines, lines)
+                yield _placed(batch, doc[some] + first, number[some], _paragraph_numbers(h, begins[some], ends[some], config), names, False)
+            # texts of over CHUNK_WORDS words are dealt out by the starts of their windows
+            at = 0
+            parts: list[tuple[int, int, int, int]] = []  # text, first word here, words, words before
+            for r, n in enumerate(counts.tolist()):
+                parts += [(r, at + s, min(n - s, units.run_words + CHUNK_WORDS), s) for s in range(0, max(n - units.run_words, 0) + 1, CHUNK_WORDS)]
+                at += n
+            for part in [parts] if at <= CHUNK_WORDS else [[p] for p in parts]:
+                words = h if at <= CHUNK_WORDS else h[part[0][1] : part[0][1] + part[0][2]]
+                text, start, whole, key = stretches(words, np.array([p[2] for p in part]), units.run_words)
+                if len(text):
+                    table = np.array(part)
+                    yield _placed(batch, table[text, 0] + first, start + table[text, 3], [whole, key, np.full(len(text), STRETCH - config.words + 1)], names, True)
+
+
+def _paragraph_numbers(h: np.ndarray, begins: np.ndarray, ends: np.ndarray, config: Config) -> list[np.ndarray]:
+    """k1, k2, n (shingles at most) and the band keys of stretches of words."""
+    k, sizes = config.words, ends - begins
+    bands = np.empty((len(begins), config.bands), np.int64)
+    whole = sizes >= k
+    if whole.any():
+        flat = h[: len(h) - k + 1] + np.uint64(k)
+        for i in range(1, k):
+            flat = flat * ODD + h[i : len(h) - k + 1 + i]
+        bands[whole] = band_keys(minima(mixed(flat), np.stack([begins[whole], ends[whole] - k + 1], axis=1).ravel(), config.samples), config)
+    if not whole.all():  # paragraphs of fewer words are one shingle
+        flat = runs(h, begins[~whole], ends[~whole])
+        bands[~whole] = band_keys(minima(flat, np.repeat(np.arange(len(flat)), 2) + np.tile([0, 1], len(flat)), config.samples), config)
+    return [runs(h, begins, ends).view(np.int64), runs(mixed(h + ODD), begins, ends).view(np.int64), np.maximum(sizes - k + 1, 1), *bands.T]
+
+
+def _placed(batch: pa.RecordBatch, rows: np.ndarray, at: np.ndarray, numbers: list[np.ndarray], names: list[str], stretch: bool) -> pa.RecordBatch:
+    columns = [pa.array(np.ascontiguousarray(c), pa.int64()) for c in (at, *numbers)]
+    columns += [pa.nulls(len(rows), pa.int64())] * (len(names) - len(columns))
+    return pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(rows)) for c in range(3)), pa.array(np.full(len(rows), stretch)), *columns], names=["doc", "t", "no_id", "stretch", *names])
+
+
+def _unit_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """From text, wanted(node, stretch, at): node, set."""
     for batch in batches:
-        rows: list[tuple] = []
-        size = 0
-        for k in range(len(batch)):
-            key = [batch.column(c)[k].as_py() for c in range(3)]
-            wanted, single = (c.to_numpy(zero_copy_only=False) for c in batch.column(4)[k].values.flatten())
-            order = np.argsort(wanted)
-            for start, end, exact, w, v in text_windows(_word_hashes(batch.column(3)[k].as_py(), known), wanted[order], single[order]):
-                rows.append((*(np.full(len(start), x) for x in key), start, end, exact, w.view(np.int64), v.view(np.int64)))
-                size += len(start)
-            if size > 100_000:
-                yield made(rows)
-                rows, size = [], 0
-        if rows:
-            yield made(rows)
-
-
-def repeated_passages(rows: DataFrame) -> DataFrame:
-    """doc_id, start and end (words of the document), component, first_doc_id, kept: of all passages that documents share."""
-    # a row without an id is told apart by its text
+        for text, wanted in zip(batch.column(0), batch.column(1), strict=True):
+            nodes, stretch, at = (c.to_numpy(zero_copy_only=False) for c in wanted.values.flatten())
+            h, _, ends = text_words([text.as_py()])
+            begins = np.append(0, ends[:-1])
+            begin = np.where(stretch, at, begins[np.where(stretch, 0, at)])
+            size = np.where(stretch, STRETCH, ends[np.where(stretch, 0, at)] - begin)
+            for some in np.array_split(np.arange(len(nodes)), 1 + int(size.sum()) // 500_000):
+                here = np.repeat(begin[some] - np.cumsum(size[some]) + size[some], size[some]) + np.arange(size[some].sum())
+                flat, sizes = word_sets(h[here], size[some], k)
+                edges = np.append(0, np.cumsum(sizes)) * 8
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[some], pa.int64()), pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(flat)])], names=["node", "set"])
+
+
+def repeated_units(rows: DataFrame, units: Units = Units()) -> DataFrame:
+    """rows(doc_id long, text binary) -> doc_id, stretch, start (line, or word of the text), component, first_doc_id, kept."""
+    config = units.config
     t = F.xxhash64(F.coalesce("text", F.lit(b"")))
+    # a row without an id is told apart by its text
     named = rows.select(F.coalesce("doc_id", t).alias("doc"), t.alias("t"), F.col("doc_id").isNull().alias("no_id"), "text")
-    found = written(named.select("doc", "text").mapInArrow(_anchors, "doc long, h long, region long"), "word-anchors")
-    several = found.groupBy("h").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.min("region").alias("one"), F.max("region").alias("other"))
-    several = several.filter("lo <> hi").select("h", F.expr("one = other").alias("single"))
-    runs = found.select("doc", "h").join(several, "h").groupBy("doc").agg(F.collect_set(F.struct("h", "single")).alias("runs"))
-    texts = named.join(runs, "doc").select("doc", "t", "no_id", "text", "runs")
-    windows = written(texts.mapInArrow(_windows, "doc long, t long, no_id boolean, start int, end int, exact boolean, w long, v long"), "word-windows")
-    place = F.struct("no_id", "doc", "t", "start")
-    first = windows.groupBy("w", "v").agg(F.min(place).alias("first"), F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo <> hi")
-    first = first.select("w", "v", F.col("first.no_id").alias("f_no_id"), F.col("first.doc").alias("f_doc"), F.col("first.t").alias("f_t"), F.col("first.start").alias("f_start"))
-    shared = windows.join(first, ["w", "v"]).withColumn("offset", F.col("f_start") - F.col("start"))
-    keys = ["doc", "t", "no_id", "exact", "f_no_id", "f_doc", "f_t", "offset"]
-    here = Window.partitionBy(*keys).orderBy("start", "end")
-    reach = F.max("end").over(here.rowsBetween(Window.unboundedPreceding, -1))
-    shared = shared.withColumn("new", F.coalesce(F.col("start") > reach, F.lit(True)).cast("int"))
-    shared = shared.withColumn("run", F.sum("new").over(here.rowsBetween(Window.unboundedPreceding, 0)))
-    units = shared.groupBy(*keys, "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    units = written(units.withColumn("kept", F.expr("doc = f_doc and t = f_t and offset = 0")).drop("run"), "passages")
-    whole = units.filter("kept").select("exact", "f_doc", "f_t", F.col("start").alias("from"), F.col("end").alias("to"))
-    units = units.join(whole, ["exact", "f_doc", "f_t"]).filter(F.expr("start + offset >= from and end + offset <= to"))
-    # equal parts that lie in an equal passage say nothing more
-    before = Window.partitionBy("doc", "t").orderBy("start", F.desc("exact")).rowsBetween(Window.unboundedPreceding, 0)
-    units = units.withColumn("reach", F.max(F.when(F.col("exact"), F.col("end"))).over(before))
-    units = units.filter(F.expr("kept or exact or end > coalesce(reach, -1)"))
-    doc_id, f_doc_id = (F.when(~F.col(n), F.col(c)) for n, c in (("no_id", "doc"), ("f_no_id", "f_doc")))
-    return units.select(doc_id.alias("doc_id"), "start", "end", F.xxhash64("exact", "f_doc", "f_t", "from").alias("component"), f_doc_id.alias("first_doc_id"), "kept")
-
-
-def repeated_paragraphs(rows: DataFrame, config: Config) -> DataFrame:
-    """doc_id, start (number of the line), end, component, first_doc_id, kept: of near-duplicate paragraphs."""
-    lines = rows.select("doc_id", F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("start", "line")).filter(F.length("line") >= 2 * config.words)
-    items = lines.select(*text_key("line"), F.col("line").cast("binary").alias("text"))
-    found = near_duplicates(items, config, "paragraphs")
-    several = found.groupBy("component").agg(F.sum("copies").alias("size")).filter("size > 1")
-    found = found.join(several, "component").select("k1", "k2", "component")
-    placed = lines.select("doc_id", "start", *text_key("line")).join(found, ["k1", "k2"])
-    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "start")
-    first = placed.groupBy("component").agg(F.min(place).alias("first"))
-    here = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("start") == F.col("first.start"))
-    return placed.join(first, "component").select("doc_id", "start", (F.col("start") + 1).alias("end"), "component", F.col("first.doc_id").alias("first_doc_id"), here.alias("kept"))
-
-
-def paragraph_dedup(docs: DataFrame, config: Config = PARAGRAPHS, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per repeated unit: doc_id, unit (paragraph: start and end are lines; passage: they are words), component
-    (a number within the unit's kind), first_doc_id (where the kept one stands) and kept."""
+    numbers = list(NUMBERS[: config.bands])
+    schema = "doc long, t long, no_id boolean, stretch boolean, at long, k1 long, k2 long, n long, " + ", ".join(f"{c} long" for c in numbers)
+    found = written(named.mapInArrow(lambda b: _unit_rows(b, units), schema), "units")
+    place = [F.min_by(c, F.xxhash64("doc", "t", "at")).alias(c) for c in ("doc", "t", "at")]  # of one row that holds the unit
+    lines = found.filter("not stretch").groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies"), *place, *(F.max(c).alias(c) for c in ("n", *numbers)))
+    # only stretches whose key stands in several places go on: most don't
+    keys = found.filter("stretch").groupBy("k2").agg(F.count(F.lit(1)).alias("places")).filter("places > 1").select("k2")
+    several = written(found.filter("stretch").select("doc", "t", "no_id", "at", "k1", "k2", "n").join(keys, "k2"), "stretches")
+    same = several.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies"), *place, F.max("n").alias("n"))
+    columns = ["k1", "k2", "doc", "t", "at", "n", "copies", "stretch", "bands"]
+    both = lines.select("*", F.lit(False).alias("stretch"), F.array(*numbers).alias("bands")).select(columns)
+    both = both.unionByName(same.select("*", F.lit(True).alias("stretch"), F.array("k2").alias("bands")).select(columns))
+    nodes = written(both.select(F.monotonically_increasing_id().alias("node"), *columns, F.array().cast("array<long>").alias("sketch")), "unit-nodes")
+
+    def fetched(wanted: DataFrame) -> DataFrame:
+        by = nodes.join(wanted, "node").groupBy("doc", "t").agg(F.collect_list(F.struct("node", "stretch", "at")).alias("wanted"))  # units of one text
+        texts = named.join(by, ["doc", "t"]).select("text", "wanted")
+        return texts.mapInArrow(lambda b: _unit_sets(b, config.words), "node long, set binary").dropDuplicates(["node"])
+
+    labels = linked(nodes, fetched, config, "units")
+    placed = nodes.select("k1", "k2", "copies", "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    sizes = placed.groupBy("component").agg(F.sum("copies").alias("size")).filter("size > 1").select("component")
+    placed = placed.join(sizes, "component").select("k1", "k2", "component")
+    # a component is of one kind, as their keys are
+    all_units = found.filter("not stretch").select("doc", "t", "no_id", "at", "k1", "k2", F.lit(False).alias("stretch")).unionByName(several.select("doc", "t", "no_id", "at", "k1", "k2", F.lit(True).alias("stretch")))
+    out = written(all_units.join(placed, ["k1", "k2"]).select("doc", "t", "no_id", "at", "stretch", "component"), "repeated-units")
+    discard(found, several, nodes)
+    first = out.groupBy("component").agg(F.min(F.struct("no_id", "doc", "t", "at")).alias("first"))
+    here = F.expr("doc = first.doc and t = first.t and at = first.at and no_id = first.no_id")
+    doc_id, first_id = F.expr("if(no_id, null, doc)"), F.expr("if(first.no_id, null, first.doc)")
+    return out.join(first, "component").select(doc_id.alias("doc_id"), "stretch", F.col("at").alias("start"), "component", first_id.alias("first_doc_id"), here.alias("kept"))
+
+
+def paragraph_dedup(docs: DataFrame, units: Units = Units(), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per repeated unit: doc_id, unit (paragraph: start and end are lines; passage: they are words, of a stretch),
+    component, first_doc_id (where the kept one stands) and kept."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    out = repeated_paragraphs(rows, config).withColumn("unit", F.lit("paragraph")).unionByName(repeated_passages(rows).withColumn("unit", F.lit("passage")))
-    return out.select("doc_id", "unit", "start", "end", "component", "first_doc_id", "kept")
+    kind = F.when(F.col("stretch"), "passage").otherwise("paragraph")
+    end = F.col("start") + F.when(F.col("stretch"), STRETCH).otherwise(1)
+    return repeated_units(rows, units).select("doc_id", kind.alias("unit"), "start", end.alias("end"), "component", "first_doc_id", "kept")
 
 
 def op1_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,69 +61,99 @@ def without_repeats(texts, length):
 # 1
 
 
-def test_paragraphs(docs, no_docs, cases):
-    found = paragraphs.paragraph_dedup(docs).cache()
-    units = [(c[0], k, shingle_set(line)) for c in cases for k, line in enumerate((c[1] or "").split("\n"))]
-    units = [u for u in units if len(u[2]) >= 16]
-    of = classes([u[2] for u in units])
+@pytest.mark.parametrize("least_words", [1, 20])
+def test_paragraphs(docs, no_docs, cases, least_words):
+    units = paragraphs.Units(least_words=least_words)
+    found = paragraphs.paragraph_dedup(docs, units).cache()
+    lines = [(c[0], k, line) for c in cases for k, line in enumerate((c[1] or "").split("\n")) if len(line.encode().split()) >= least_words]
+    of = classes([shingle_set(line) for _, _, line in lines])
     size = defaultdict(int)
     for c in of:
         size[c] += 1
-    want = sorted(((u[0], u[1]) for u, c in zip(units, of, strict=True) if size[c] > 1), key=str)
+    want = sorted(((u[0], u[1]) for u, c in zip(lines, of, strict=True) if size[c] > 1), key=str)
     assert result(found.filter("unit = 'paragraph'"), "doc_id", "start") == want
-    assert found.filter("unit = 'paragraph' and kept").select("component").distinct().count() == found.filter("unit = 'paragraph'").select("component").distinct().count()
+    by_class = defaultdict(set)
+    for u, c in zip(lines, of, strict=True):
+        by_class[c].add((u[0], u[1]))
+    by_component = defaultdict(set)
+    for r in found.filter("unit = 'paragraph'").collect():
+        by_component[r.component].add((r.doc_id, r.start))
+    assert sorted(map(sorted_places, by_component.values())) == sorted(sorted_places(v) for c, v in by_class.items() if size[c] > 1)
+    for unit in ("paragraph", "passage"):
+        own = found.filter(F.col("unit") == unit)
+        assert own.filter("kept").select("component").distinct().count() == own.select("component").distinct().count() > 0
     passage = {r.doc_id for r in found.filter("unit = 'passage'").collect()}
-    assert {11, 12, 1, 2, 15, None} <= passage and not passage & {4, 5, 6, 7, 17, 20}
-    assert paragraphs.paragraph_dedup(no_docs).count() == 0
+    assert {11, 12, 1, 2, 13, 15, None} <= passage and not passage & {4, 5, 6, 7, 14, 17, 20}
+    assert paragraphs.paragraph_dedup(no_docs, units).count() == 0
 
 
-def shared_words(texts, n):
-    """The places of words that lie in n equal words of two documents."""
-    where = defaultdict(list)
-    for i, t in enumerate(texts):
-        w = t.split()
-        for k in range(len(w) - n + 1):
-            where[tuple(w[k : k + n])].append((i, k))
-    return {(i, k + j) for places in where.values() if len({i for i, _ in places}) > 1 for i, k in places for j in range(n)}
+def sorted_places(places):
+    return sorted(map(str, places))
 
 
 def test_passages_anywhere(spark):
+    """Passages of fifty words or more are found in both texts; what is found is similar; nothing else is."""
     r = random.Random(5)
     prose = lambda r, n: " ".join(str(r.randrange(5000)) for _ in range(n))
-    texts = []
-    for n in (*range(51, 81), 25, 26, 30, 40) * 3:
+    texts, planted = [], []
+    for n in (*range(50, 81), 200) * 4:
         passage = prose(r, n)
-        texts += [f"{prose(r, r.randint(0, 70))} {passage} {prose(r, r.randint(0, 70))}".strip() for _ in range(2)]
-    for k in range(20):  # two texts share what a third has in part, and parts of it follow each other elsewhere
-        a, b = prose(r, 60).split(), prose(r, 40).split()
-        texts += [" ".join([*a[20:35], *prose(r, 9).split()]), " ".join([*a, *b]), " ".join([*prose(r, 5).split(), *b, *a]), " ".join(a[10:50])]
+        for _ in range(2):
+            before = r.randint(0, 70)
+            sep = r.choice([" ", "\n", " \t"])
+            texts.append(f"{prose(r, before)}{sep}{passage.replace(' ', r.choice([' ', '  ']), 9)}{sep}{prose(r, r.randint(0, 70))}".strip())
+            planted.append((before, before + n))
+    alone = range(len(texts), len(texts) + 60)
+    texts += [prose(r, r.randint(1, 200)) for _ in alone]
+    texts += [" ".join([*texts[0].split()[planted[0][0] :][:20], *prose(r, 40).split()])]  # twenty words are too few
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    found = paragraphs.paragraph_dedup(df).filter("unit = 'passage'").collect()
-    assert {(u.doc_id, k) for u in found for k in range(u.start, u.end)} == shared_words(texts, 25)
-    kept = defaultdict(list)
+    found = paragraphs.paragraph_dedup(df, paragraphs.Units(least_words=10**6)).collect()
+    of_component = defaultdict(list)
     for u in found:
-        if u.kept:
-            kept[u.component].append(u)
-    assert all(len(k) == 1 for k in kept.values()) and {u.component for u in found} == set(kept)
+        of_component[u.component].append(u)
+    inside = defaultdict(set)
     for u in found:
-        k = kept[u.component][0]
-        assert k.doc_id == u.first_doc_id
-        assert " ".join(texts[u.doc_id].split()[u.start : u.end]) in " ".join(texts[k.doc_id].split()[k.start : k.end])
-
-
-def test_anchors_of_long_texts(monkeypatch):
+        if u.doc_id < len(planted) and planted[u.doc_id][0] <= u.start and u.end <= planted[u.doc_id][1]:
+            inside[u.doc_id].add(u.component)
+    assert all(inside[k] & inside[k + 1] for k in range(0, len(planted), 2))
+    assert not {u.doc_id for u in found} & {*alone, len(texts) - 1}
+    words = [t.split() for t in texts]
+    for own in of_component.values():
+        assert len(own) > 1 and [(u.doc_id, u.start) for u in own if u.kept] == [min((u.doc_id, u.start) for u in own)]
+        assert len(set(classes([shingle_set(" ".join(words[u.doc_id][u.start : u.end])) for u in own]))) == 1
+
+
+def test_stretches_of_long_texts(monkeypatch):
+    """Every window of run_words has a stretch, also where a long text is cut."""
     r = random.Random(6)
-    monkeypatch.setattr(paragraphs, "CHUNK_WORDS", 40)
-    for n in (25, 26, 64, 65, 300, 701):
-        h = np.array([r.getrandbits(64) for _ in range(n)], np.uint64)
-        batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([b" ".join(b"%d" % x for x in h)])], names=["doc", "text"])
-        assert sum(len(b) for b in paragraphs._anchors(iter([batch]))) >= n / 18 - 1
-        grams = np.unique(paragraphs.gram_hashes(h, (8,))[0].view(np.int64))
-        for single in (0, 1):
-            regions, windows, _ = paragraphs.text_windows(h, grams, np.full(len(grams), single))
-            exact = [windows, regions][single]
-            covered = [k for s, e in zip(exact[0], exact[1], strict=True) for k in range(s, e - 24)]
-            assert covered == list(range(n - 24))
+    for n in (50, 51, 64, 129, 300, 701):
+        text = b" ".join(b"%d" % r.randrange(10**6) for _ in range(n))
+        seen = []
+        for chunk in (100_000, 60):
+            monkeypatch.setattr(paragraphs, "CHUNK_WORDS", chunk)
+            batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([2]), pa.array([False]), pa.array([text])], names=["doc", "t", "no_id", "text"])
+            rows = [x for b in paragraphs._unit_rows(iter([batch]), paragraphs.Units(least_words=10**6)) for x in b.to_pylist()]
+            seen.append({(x["at"], x["k1"], x["k2"]) for x in rows})
+            starts = sorted(x["at"] for x in rows)
+            assert all(any(k <= s and s + paragraphs.STRETCH <= k + 50 for s in starts) for k in range(n - 49))
+        assert seen[0] == seen[1]
+
+
+def test_word_hashes(monkeypatch):
+    from plumbline.llm import words
+
+    r = random.Random(4)
+    texts = ["".join(r.choice("aAbB \n\t\x0bé\u00a0.") for _ in range(r.randint(0, 60))).encode() for _ in range(300)]
+    for piece in (1 << 19, 64, 5):
+        monkeypatch.setattr(words, "PIECE", piece)
+        h, counts, ends = words.text_words(texts)
+        split = [t.lower().split() for t in texts]
+        assert counts.tolist() == [len(w) for w in split]
+        flat = [w for ws in split for w in ws]
+        of = dict(zip(flat, h.tolist(), strict=True))
+        assert [of[w] for w in flat] == h.tolist() and len(set(of.values())) == len(of)
+        assert np.diff(ends, prepend=0).tolist() == [len(line.split()) for t in texts for line in t.split(b"\n")]
+    assert [len(x) for x in words.text_words([])] == [0, 0, 0] and words.text_words([b"", b" "])[1].tolist() == [0, 0]
 
 
 # 2
