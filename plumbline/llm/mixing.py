@@ -7,11 +7,12 @@ and after any retry, and the expected mix is exact however skewed the sources ar
 
 Rates over ``PART`` are cut into equal parts with a hash each (the sum of independent Poisson numbers is one), so the
 table of the distribution function has ``TERMS`` entries for any rate. The share of a source is proportional to
-``chars ** exponent`` (tempered mixing), or given in ``weights`` (sources that are not named there are left out).
+``chars ** exponent`` (tempered mixing), or given in ``weights``: sources that are not named there are left out, and
+nothing comes if no document is of a named source with characters and a weight.
 
 Null sources form one source (the result keeps null). Null texts weigh nothing and come at their source's rate, as do
-empty ones; a source without any characters has the rate 1. Rows that repeat id and text get the same count. An empty
-table gives an empty result. A null n_chars is not used: characters are counted in the text.
+empty ones; without ``weights`` a source without any characters has the rate 1. Rows that repeat id and text get the same
+count. An empty table gives an empty result. A null n_chars is not used: characters are counted in the text.
 """
 
 from __future__ import annotations
@@ -19,30 +20,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.llm.common import written
+
 PART, TERMS = 16.0, 100
 #: Sources up to which their table (a few numbers each) is broadcast; more are joined by shuffle.
 BROADCAST_SOURCES = 10_000
-NAMES = ("_source", "_chars", "_rate", "_parts", "_cdf", "_u", "_n")
 
 
 def source_rates(docs: DataFrame, exponent: float, budget_factor: float, weights: dict[str, float] | None, source_col: str, text_col: str) -> DataFrame:
-    """_source, _rate, _parts (how many Poisson numbers are added), _cdf (distribution function of each).
-
-    The table has a row per source, summed before the shuffle.
-    """
-    by = docs.groupBy(F.col(source_col).alias("_source")).agg(F.coalesce(F.sum(F.length(text_col).cast("long")), F.lit(0)).alias("_chars"))
+    """source, rate, parts (how many Poisson numbers are added), cdf (distribution function of each): a row per source,
+    summed before the shuffle, written once."""
+    by = docs.groupBy(F.col(source_col).cast("string").alias("source")).agg(F.coalesce(F.sum(F.length(text_col).cast("long")), F.lit(0)).alias("chars"))
     if weights is None:
-        weight = F.when(F.col("_chars") > 0, F.pow(F.col("_chars").cast("double"), F.lit(float(exponent)))).otherwise(F.lit(0.0))
+        power = F.when(F.col("chars") > 0, F.pow(F.col("chars").cast("double"), F.lit(float(exponent)))).otherwise(F.lit(0.0))
+        by = by.withColumn("weight", power)
     else:
-        pairs = [x for k, v in weights.items() for x in (F.lit(k), F.lit(float(v)))]
-        weight = F.coalesce(F.element_at(F.create_map(*pairs), F.coalesce("_source", F.lit(""))), F.lit(0.0)) if pairs else F.lit(0.0)
-    by = by.withColumn("_weight", weight).cache()
+        named = docs.sparkSession.createDataFrame([(k, float(v)) for k, v in weights.items()], "source string, weight double")
+        by = by.join(named, "source", "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
+    by = written(by, "source-sizes")
     # rounded, so that the order of the additions doesn't matter
-    total = by.agg(F.sum(F.round("_weight", 6).cast("decimal(38,6)")).cast("double").alias("w"), F.sum("_chars").cast("double").alias("c")).first()
-    rate = F.when(F.col("_chars") > 0, F.col("_weight") / F.lit(total.w) * (F.lit(total.c) * budget_factor) / F.col("_chars")).otherwise(F.lit(1.0))
-    rates = by.select("_source", F.coalesce(rate, F.lit(0.0)).alias("_rate"))
-    rates = rates.withColumn("_parts", F.greatest(F.lit(1), F.ceil(F.col("_rate") / PART).cast("int")))
-    return rates.withColumn("_cdf", poisson_cdf(F.col("_rate") / F.col("_parts")))
+    total = by.agg(F.sum(F.when(F.col("chars") > 0, F.round("weight", 6).cast("decimal(38,6)"))).cast("double").alias("w"), F.sum("chars").cast("double").alias("c")).first()
+    share = F.col("weight") / F.lit(total.w) if total.w else F.lit(0.0)
+    rate = F.when(F.col("chars") > 0, share * (F.lit(total.c or 0.0) * budget_factor) / F.col("chars")).otherwise(F.lit(1.0 if weights is None else 0.0))
+    rates = by.select("source", rate.alias("rate"))
+    rates = rates.withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("rate") / PART).cast("int")))
+    return rates.withColumn("cdf", poisson_cdf(F.col("rate") / F.col("parts")))
 
 
 def poisson_cdf(rate: Column) -> Column:
@@ -56,38 +58,43 @@ def poisson_cdf(rate: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(TERMS - 1)), first, more)["cdf"]
 
 
-def uniform(seed: int, part: Column, id_col: Column, text_hash: Column) -> Column:
+def uniform(seed: int, part: Column, doc_id: Column, text_hash: Column) -> Column:
     """52 bits of a hash, as a number in [0, 1)."""
-    key = F.concat_ws(":", F.lit(str(seed)), part.cast("string"), F.coalesce(id_col.cast("string"), F.lit("null")), text_hash)
+    key = F.concat_ws(":", F.lit(str(seed)), part.cast("string"), doc_id, text_hash)
     return F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """The name, with underscores at its end as long as a column has it."""
+    while name.lower() in {t.lower() for t in taken}:
+        name += "_"
+    return name
+
+
 def mix_sources(docs: DataFrame, *, exponent: float = 0.5, budget_factor: float = 1.0, weights: dict[str, float] | None = None, seed: int = 17, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """The columns of docs, ``copy`` (0, 1, ...) and ``order_key``. Rows are dealt to partitions by that hash and sorted
-    by it in each: a global shuffle that a retry repeats exactly, without the second pass that a sort's ranges need."""
-    rates = source_rates(docs, exponent, budget_factor, weights, source_col, text_col).cache()
+    """The columns of docs, then the number of the copy (``copy``: 0, 1, ...) and its place in the order (``order_key``); a
+    name that docs has already gets an underscore at its end. Rows are dealt to partitions by the order's hash and sorted by
+    it in each: a global shuffle that a retry repeats exactly, without the second pass that a sort's ranges need."""
+    rates = source_rates(docs, exponent, budget_factor, weights, source_col, text_col)
     if rates.count() <= BROADCAST_SOURCES:
         rates = F.broadcast(rates)
-    clash = [c for c in ("copy", "order_key") if c in docs.columns]
-    out = docs.drop(*clash).join(rates, F.col(source_col).eqNullSafe(F.col("_source")), "inner")
-    text_hash = F.md5(F.coalesce(F.col(text_col), F.lit("")))
-    out = out.withColumn("_hash", text_hash)
-
-    def inverse(u: Column) -> Column:
-        return F.size(F.filter("_cdf", lambda c: c <= u))
-
-    n = F.aggregate(F.sequence(F.lit(1), F.col("_parts")), F.lit(0), lambda s, k: s + inverse(uniform(seed, k, F.col(id_col), F.col("_hash"))))
-    out = out.withColumn("_n", n).filter("_n > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    key = F.md5(F.concat_ws(":", F.lit(f"order {seed}"), F.col("copy").cast("string"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.col("_hash")))
-    keep = [c for c in docs.columns if c not in clash]
-    shuffled = out.select(*keep, "copy", key.alias("order_key"))
-    return shuffled.repartition("order_key").sortWithinPartitions("order_key")
+    # the row itself is one column, so that no name of its own can clash
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    rows = docs.select(row.alias("row"), F.col(source_col).cast("string").alias("own"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("id"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("hash"))
+    drawn = rows.join(rates, F.col("own").eqNullSafe(F.col("source")))
+    numbers = F.transform(F.sequence(F.lit(1), F.col("parts")), lambda k: uniform(seed, k, F.col("id"), F.col("hash")))
+    n = F.aggregate(numbers, F.lit(0), lambda s, u: s + F.size(F.filter("cdf", lambda c: c <= u)))
+    drawn = drawn.select("row", "id", "hash", n.alias("n")).filter("n > 0").select("row", "id", "hash", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("number"))
+    key = F.md5(F.concat_ws(":", F.lit(f"order {seed}"), F.col("number").cast("string"), "id", "hash"))
+    shuffled = drawn.select("row", "number", key.alias("key")).repartition("key").sortWithinPartitions("key")
+    copy, order = (free_name(c, docs.columns) for c in ("copy", "order_key"))
+    return shuffled.select("row.*", F.col("number").alias(copy), F.col("key").alias(order))
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plumbline.llm.common import table
 
-    return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "text", "lang", "source", "n_chars", "copy", "order_key")
+    return mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars"))
 
 
 #: For documents whose source may be null; the same steps as above.

@@ -197,9 +197,10 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, max_rows: int = 20_000, t
 
 
 def score_quality(docs: DataFrame, model: RuleModel, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """The columns of docs and the score."""
-    measured = docs.withColumn("_statistics", text_statistics(F.col(text_col)))
-    return measured.withColumn(score_col, model.score(F.col("_statistics"))).drop("_statistics")
+    """The columns of docs, whatever their names, and the score (in place of a column of that name)."""
+    kept = [c for c in docs.columns if c.lower() != score_col.lower()]
+    measured = docs.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"), text_statistics(F.col(text_col)).alias("statistics"))
+    return measured.select("row.*", model.score(F.col("statistics")).alias(score_col))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

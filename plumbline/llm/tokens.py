@@ -19,11 +19,11 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -31,13 +31,10 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
-from pyspark.sql.types import StructType
 
 END_ID = 1
 #: Chunks between spaces whose ids a worker remembers (twice as many with older ones), and the longest that it remembers.
 CACHE_CHUNKS, CACHE_CHARS = 400_000, 48
-ENCODED = "doc_id long, ids binary"
 READ = "doc_id long, start long, n_tokens long, ids binary, file int, offset long"
 HEAD, META = struct.Struct("<QI"), struct.Struct("<BBq")
 
@@ -59,16 +56,50 @@ def id_width(path: str) -> int:
     return 2 if max(ids) < 65536 else 4
 
 
+#: Fixed names of the tokenizer format: pre-tokenizers that part words at white space and drop it, and normalizers that work
+#: character by character within words.
+PARTING = {"Whitespace", "WhitespaceSplit", "BertPreTokenizer"}
+WITHIN_WORDS = {"Lowercase", "NFC", "NFD", "NFKC", "NFKD", "StripAccents", "BertNormalizer"}
+
+
+def _drops_spaces(pre: dict) -> bool:
+    """Whether a pre-tokenizer keeps matches of a pattern only, none of which can hold white space, or is known for it."""
+    if pre.get("type") != "Split":
+        return pre.get("type") in PARTING
+    pattern = re.sub(r"\[\^\\s[^\[\]]*\]", "", pre["pattern"].get("Regex", " "))
+    return pre.get("behavior") == "Removed" and pre.get("invert", False) and not re.search(r"\s|\\s|\.|\[\^|\\[WPDSXRhv]", pattern)
+
+
+def _within_words(norm: dict) -> bool:
+    spaces = norm.get("type") == "Replace" and norm["pattern"] == {"Regex": "\\s+"} and norm["content"] == " "
+    return norm.get("type") in WITHIN_WORDS or spaces
+
+
+def parts_at_spaces(spec: dict) -> bool:
+    """Whether the ids of a text are those of its chunks between spaces and line ends, joined."""
+    pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer") or {}
+    first = (pre.get("pretokenizers") or [{}])[0] if pre.get("type") == "Sequence" else pre
+    norms = norm.get("normalizers", []) if norm.get("type") == "Sequence" else [norm] if norm else []
+    spans = any(set(" \n") & set(t["content"]) or t.get("lstrip") or t.get("rstrip") for t in spec.get("added_tokens", ()))
+    return _drops_spaces(first) and all(map(_within_words, norms)) and not spans
+
+
 @lru_cache(maxsize=2)
 def _tokenizer(path: str) -> Callable[[str], bytes]:
-    """Ids of a text as little-endian integers. Spaces and line ends always part words for the tokenizers this is for
-    (they drop white space and no token spans it), so the ids of the chunks between them, joined, are those of the text.
+    """Ids of a text as little-endian integers. Where the tokenizer's file says that spaces and line ends always part words,
+    the chunks between them are encoded once each and remembered; else the whole text is encoded.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
     kind = np.dtype(f"<u{id_width(path)}")
+    with open(path) as f:
+        parting = parts_at_spaces(json.load(f))
+
+    def whole(text: str) -> bytes:
+        return np.array(t.encode(text, add_special_tokens=False).ids, kind).tobytes()
+
     known: dict[str, bytes] = {"": b""}
     older: dict[str, bytes] = {}
 
@@ -95,133 +126,87 @@ def _tokenizer(path: str) -> Callable[[str], bytes]:
             return b"".join([extra[c] if c in extra else known[c] for c in chunks])
         return b"".join(map(known.__getitem__, chunks))
 
-    encode.end = np.array([END_ID], kind).tobytes()
-    return encode
-
-
-def encode_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and the ids of the whole text with END_ID at the end (uint16, or uint32 for a larger vocabulary)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _tokenizer(tokenizer)
-        for batch in batches:
-            at = 0
-            while at < len(batch):  # a few MB of ids at a time
-                out, size = [], 0
-                while at + len(out) < len(batch) and size < 8_000_000:
-                    out.append(encode(batch.column(1)[at + len(out)].as_py() or "") + encode.end)
-                    size += len(out[-1])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(out)), pa.array(out, pa.binary())], names=["doc_id", "ids"])
-                at += len(out)
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, ENCODED)
+    chosen = encode if parting else whole
+    chosen.end = np.array([END_ID], kind).tobytes()
+    return chosen
 
 
 # the file format
 
 
-@dataclass
-class _Written(WriterCommitMessage):
-    partition: int
-    name: str
-    records: int
-    tokens: int
-
-
 def _fs(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path)
 
 
-class _Writer(DataSourceWriter):
-    def __init__(self, path: str, width: int) -> None:
-        self.path, self.width = path, width
-
-    def write(self, iterator: Iterator) -> _Written:
-        from pyspark import TaskContext
-
-        part = TaskContext.get().partitionId()
-        name = f"part-{part:05d}-{uuid.uuid4().hex}"
-        fs, root = _fs(self.path)
-        fs.create_dir(root, recursive=True)
-        index, tokens, offset = [], 0, 0
-        with fs.open_output_stream(f"{root}/{name}.rec") as out:
-            for doc_id, ids in iterator:
-                data = META.pack(self.width, doc_id is not None, doc_id or 0) + bytes(ids)
-                size = struct.pack("<Q", len(data))
-                out.write(b"".join((size, struct.pack("<I", masked_crc(size)), data, struct.pack("<I", masked_crc(data)))))
-                index.append((offset, doc_id or 0, len(ids) // self.width))
-                tokens += len(ids) // self.width
-                offset += len(data) + HEAD.size + 4
-        with fs.open_output_stream(f"{root}/{name}.idx") as out:
-            out.write(np.array(index, "<i8").tobytes())
-        return _Written(part, name, len(index), tokens)
-
-    def commit(self, messages: list) -> None:
-        """One line a file, none a document."""
-        fs, root = _fs(self.path)
-        fs.create_dir(root, recursive=True)
-        files, start = [], 0
-        for m in sorted((m for m in messages if m is not None and m.records), key=lambda m: m.partition):
-            files.append({"name": m.name, "records": m.records, "tokens": m.tokens, "start": start})
-            start += m.tokens
-        with fs.open_output_stream(f"{root}/MANIFEST.json") as out:
-            out.write(json.dumps({"width": self.width, "tokens": start, "files": files}).encode())
-
-    def abort(self, messages: list) -> None:
-        fs, root = _fs(self.path)
-        for m in messages:
-            for end in ("rec", "idx") if m is not None else ():
-                if fs.get_file_info(f"{root}/{m.name}.{end}").type == pafs.FileType.File:
-                    fs.delete_file(f"{root}/{m.name}.{end}")
-
-
-class _File(InputPartition):
-    def __init__(self, number: int, name: str, start: int) -> None:
-        self.number, self.name, self.start = number, name, start
-
-
-class _Reader(DataSourceReader):
-    def __init__(self, path: str, seed: str | None) -> None:
-        self.path, self.seed = path, seed
-
-    def partitions(self) -> list[_File]:
-        fs, root = _fs(self.path)
-        with fs.open_input_stream(f"{root}/MANIFEST.json") as f:
-            files = json.loads(f.read())["files"]
-        parts = [_File(k, x["name"], x["start"]) for k, x in enumerate(files)] or [_File(-1, "", 0)]
-        if self.seed is not None:
-            np.random.default_rng(int(self.seed)).shuffle(parts)
-        return parts
-
-    def read(self, partition: _File) -> Iterator[pa.RecordBatch]:
-        if partition.number < 0:
-            return
-        fs, root = _fs(self.path)
-        with fs.open_input_stream(f"{root}/{partition.name}.idx") as f:
-            index = np.frombuffer(f.read(), "<i8").reshape(-1, 3)
-        starts = partition.start + np.cumsum(index[:, 2]) - index[:, 2]
-        order = np.arange(len(index))
-        if self.seed is not None:
-            order = np.random.default_rng([int(self.seed), partition.number]).permutation(order)
-        with fs.open_input_file(f"{root}/{partition.name}.rec") as f:
-            rows, size = [], 0
-            for k in order:
-                f.seek(int(index[k, 0]))
-                length, crc = HEAD.unpack(f.read(HEAD.size))
-                if crc != masked_crc(struct.pack("<Q", length)):
-                    raise ValueError(f"{partition.name}: broken length at {index[k, 0]}")
-                data = f.read(length)
-                if struct.unpack("<I", f.read(4))[0] != masked_crc(data):
-                    raise ValueError(f"{partition.name}: broken data at {index[k, 0]}")
-                width, present, doc_id = META.unpack_from(data)
-                ids = np.frombuffer(data, f"<u{width}", offset=META.size).astype("<u4").tobytes()
-                rows.append((doc_id if present else None, int(starts[k]), len(ids) // 4, ids, partition.number, int(index[k, 0])))
-                size += len(ids)
-                if size >= 4_000_000:
+def _manifest(path: str) -> dict | None:
+    fs, root = _fs(path)
+    if fs.get_file_info(f"{root}/MANIFEST.json").type != pafs.FileType.File:
+        return None
+    with fs.open_input_stream(f"{root}/MANIFEST.json") as f:
+        return json.loads(f.read())
+
+
+WRITTEN = "part int, name string, records long, tokens long"
+
+
+def write_partition(batches: Iterator[pa.RecordBatch], path: str, tokenizer: str, width: int) -> Iterator[pa.RecordBatch]:
+    """Encodes doc_id, text and writes them as one file with its index; gives one row about it (WRITTEN)."""
+    from pyspark import TaskContext
+
+    encode = _tokenizer(tokenizer)
+    part = TaskContext.get().partitionId()
+    name = f"part-{part:05d}-{uuid.uuid4().hex}"
+    fs, root = _fs(path)
+    out, index, tokens, offset = None, [], 0, 0
+    for batch in batches:
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            if out is None:
+                fs.create_dir(root, recursive=True)
+                out = fs.open_output_stream(f"{root}/{name}.rec")
+            ids = encode(text.as_py() or "") + encode.end
+            data = META.pack(width, doc_id is not None, doc_id or 0) + ids
+            size = struct.pack("<Q", len(data))
+            out.write(b"".join((size, struct.pack("<I", masked_crc(size)), data, struct.pack("<I", masked_crc(data)))))
+            index.append((offset, doc_id or 0, len(ids) // width))
+            tokens += len(ids) // width
+            offset += len(data) + HEAD.size + 4
+    if out is not None:
+        out.close()
+        with fs.open_output_stream(f"{root}/{name}.idx") as f:
+            f.write(np.array(index, "<i8").tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([name]), pa.array([len(index)], pa.int64()), pa.array([tokens], pa.int64())], names=["part", "name", "records", "tokens"])
+
+
+def read_partition(batches: Iterator[pa.RecordBatch], path: str, seed: int | None) -> Iterator[pa.RecordBatch]:
+    """From number, name, start of files: their records (READ)."""
+    fs, root = _fs(path)
+    for batch in batches:
+        for number, name, begin in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+            with fs.open_input_stream(f"{root}/{name}.idx") as f:
+                index = np.frombuffer(f.read(), "<i8").reshape(-1, 3)
+            starts = begin + np.cumsum(index[:, 2]) - index[:, 2]
+            order = np.arange(len(index))
+            if seed is not None:
+                order = np.random.default_rng([seed, number]).permutation(order)
+            with fs.open_input_file(f"{root}/{name}.rec") as f:
+                rows, size = [], 0
+                for k in order:
+                    f.seek(int(index[k, 0]))
+                    length, crc = HEAD.unpack(f.read(HEAD.size))
+                    if crc != masked_crc(struct.pack("<Q", length)):
+                        raise ValueError(f"{name}: broken length at {index[k, 0]}")
+                    data = f.read(length)
+                    if struct.unpack("<I", f.read(4))[0] != masked_crc(data):
+                        raise ValueError(f"{name}: broken data at {index[k, 0]}")
+                    width, present, doc_id = META.unpack_from(data)
+                    ids = np.frombuffer(data, f"<u{width}", offset=META.size).astype("<u4").tobytes()
+                    rows.append((doc_id if present else None, int(starts[k]), len(ids) // 4, ids, number, int(index[k, 0])))
+                    size += len(ids)
+                    if size >= 4_000_000:
+                        yield _batch(rows)
+                        rows, size = [], 0
+                if rows:
                     yield _batch(rows)
-                    rows, size = [], 0
-            if rows:
-                yield _batch(rows)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -230,30 +215,24 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
 
-class TokenRecords(DataSource):
-    """Spark data source ``token_records``; options: path, width (bytes an id, for writing), shuffle_seed (for reading)."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "token_records"
-
-    def schema(self) -> str:
-        return READ
-
-    def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
-        return _Writer(self.options["path"], int(self.options.get("width", "2")))
-
-    def reader(self, schema: StructType) -> DataSourceReader:
-        return _Reader(self.options["path"], self.options.get("shuffle_seed"))
-
-
 def write_records(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Encodes every text and writes the record files in ascending order of the ids (one range of ids a file)."""
-    spark = docs.sparkSession
-    spark.dataSource.register(TokenRecords)
+    """Encodes every text and writes the record files in ascending order of the ids (one range of ids a file). Tasks encode
+    and write; the driver gets a row a file. Files that the folder holds already stay, and come before the new ones."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     ordered = rows.orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    encode_tokens(ordered, tokenizer).write.format("token_records").mode("append").option("width", id_width(tokenizer)).save(path)
+    width = id_width(tokenizer)
+    done = ordered.mapInArrow(lambda b: write_partition(b, path, tokenizer, width), WRITTEN).collect()
+    before = _manifest(path)
+    files, start = (list(before["files"]), before["tokens"]) if before else ([], 0)
+    for r in sorted(done, key=lambda r: r.part):
+        files.append({"name": r.name, "records": r.records, "tokens": r.tokens, "start": start})
+        start += r.tokens
+    fs, root = _fs(path)
+    fs.create_dir(root, recursive=True)
+    new = f"{root}/MANIFEST-{uuid.uuid4().hex}.json"
+    with fs.open_output_stream(new) as out:
+        out.write(json.dumps({"tokens": start, "files": files}).encode())
+    fs.move(new, f"{root}/MANIFEST.json")  # readers see the old list or the new one
 
 
 def read_records(spark: SparkSession, path: str, shuffle_seed: int | None = None) -> DataFrame:
@@ -261,11 +240,14 @@ def read_records(spark: SparkSession, path: str, shuffle_seed: int | None = None
 
     Checks every checksum. With ``shuffle_seed`` files and the records in each come in a random order, by the index.
     """
-    spark.dataSource.register(TokenRecords)
-    reader = spark.read.format("token_records")
-    if shuffle_seed is not None:
-        reader = reader.option("shuffle_seed", str(shuffle_seed))
-    return reader.load(path)
+    manifest = _manifest(path)
+    if manifest is None:
+        raise ValueError(f"{path} holds no MANIFEST.json")
+    files = [(k, x["name"], x["start"]) for k, x in enumerate(manifest["files"])]
+    rank = np.arange(len(files)) if shuffle_seed is None else np.random.default_rng(shuffle_seed).permutation(len(files))
+    listed = spark.createDataFrame([(*f, int(r)) for f, r in zip(files, rank, strict=True)], "number int, name string, start long, rank int")
+    dealt = listed.repartitionByRange(max(len(files), 1), "rank") if len(files) > 1 else listed
+    return dealt.mapInArrow(lambda b: read_partition(b, path, shuffle_seed), READ)
 
 
 def op5_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:

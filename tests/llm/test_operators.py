@@ -241,11 +241,30 @@ def test_mixing(spark, docs, no_docs):
     assert result(again, "order_key") == result(mixing.mix_sources(df, weights={"big": 0.5, "small": 0.5}), "order_key")
     far = mixing.mix_sources(df, weights={"small": 1.0}, budget_factor=4.0).groupBy("doc_id").count().agg(F.avg("count"), F.var_pop("count")).collect()[0]
     assert 34 < far[0] < 46 and 25 < far[1] < 60
-    out = mixing.mix_sources(docs)
-    assert set(docs.columns) == set(out.columns) and out.filter("copy < 0").count() == 0
+    assert mixing.mix_sources(df, weights={}).count() == 0 == mixing.mix_sources(df, weights={"none": 2.0, "big": 0.0}).count()
+    assert {r.source for r in mixing.mix_sources(df, weights={"big": 1.0, "none": 1.0}).select("source").collect()} == {"big"}
     assert mixing.mix_sources(no_docs).count() == 0
 
 
+CLASHES = "copy string, order_key string, id int, row int, own int, _source string, source_ string, hash string, _hash string, n int, number int, key string, rate string, parts int, cdf int, k1 int, k2 int, component int, component_id int, first boolean, first_id int, _statistics string, s string, _id int, _label int, score string, _score double, items string, hit_spans string, n_words int, node int, at int, raw int"
+
+
+def test_columns_with_clashing_names(spark, cases):
+    """Operators and stages that pass rows on keep every column as it is."""
+    extra = [c.split() for c in CLASHES.split(", ")]
+    value = {"string": "v", "int": 5, "boolean": None, "double": 0.25}
+    rows = [(*c[:5], *(value[t] for _, t in extra)) for c in cases]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + CLASHES)
+    bench = spark.createDataFrame([(1, " ".join(cases[0][1].split()[5:25]))], "item_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(20)], "doc_id long, quality int")
+    model = quality.fit_quality(docs, labels)
+    for out in (mixing.mix_sources(docs), neardup.drop_near_duplicates(docs), decontam.drop_contaminated(docs, bench), quality.score_quality(docs, model, score_col="quality_score")):
+        assert out.columns[: len(docs.columns)] == docs.columns
+        got = out.select(*docs.columns).collect()
+        assert got and {tuple(r)[5:] for r in got} == {tuple(value[t] for _, t in extra)} and {tuple(r)[:5] for r in got} <= {c[:5] for c in cases}
+    assert mixing.mix_sources(docs).columns[-2:] == ["copy_", "order_key_"]
+
+
 def test_poisson_cdf(spark):
     got = spark.range(1).select(mixing.poisson_cdf(F.lit(2.5)).alias("c")).collect()[0].c
     want, p = [], np.exp(-2.5)
@@ -281,6 +300,29 @@ def test_token_records(spark, docs, no_docs, cases, tokenizer, tmp_path):
     assert tokens.read_records(spark, f"file://{tmp_path}/none").count() == 0
 
 
+def test_appended_records(spark, tokenizer, tmp_path):
+    path = f"file://{tmp_path}/more"
+    rows = lambda *ids: spark.createDataFrame([(i, f"text {i}") for i in ids], "doc_id long, text string")
+    tokens.write_records(rows(1, 2), path, tokenizer)
+    tokens.write_records(rows(3), path, tokenizer)
+    got = sorted(tokens.read_records(spark, path).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [1, 2, 3] and [r.start for r in got] == [0, *np.cumsum([r.n_tokens for r in got])[:-1].tolist()]
+
+
+def test_tokenizers_that_keep_spaces(tmp_path, tokenizer):
+    import json
+
+    assert tokens.parts_at_spaces(json.load(open(tokenizer)))
+    for kept in ({"type": "ByteLevel"}, {"type": "Metaspace"}, {"type": "Split", "pattern": {"Regex": ".+"}, "behavior": "Removed", "invert": True}, {"type": "Split", "pattern": {"Regex": "[^a]+"}, "behavior": "Removed", "invert": True}):
+        assert not tokens.parts_at_spaces({"pre_tokenizer": kept})
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    t = Tokenizer(models.BPE({c: k for k, c in enumerate("Ġabn")}, []))
+    t.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    t.save(str(tmp_path / "t.json"))
+    assert np.frombuffer(tokens._tokenizer(str(tmp_path / "t.json"))("a b  a"), "<u2").tolist() == t.encode("a b  a").ids == [1, 0, 2, 0, 0, 1]
+
+
 def test_broken_records_are_noticed(spark, docs, tokenizer, tmp_path):
     tokens.write_records(docs, f"file://{tmp_path}/r", tokenizer)
     file = next((tmp_path / "r").glob("*.rec"))
