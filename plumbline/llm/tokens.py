@@ -260,9 +260,9 @@ def op5_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def token_rows(spark: SparkSession, docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
-    from plumbline.llm.common import new_path, small_batches
+    from plumbline.llm.common import shared_dir, small_batches
 
     small_batches(spark)
-    path = new_path(spark, "token-records")
+    path = f"{shared_dir(spark)}/token-records-{uuid.uuid4().hex}"  # the files are the result: they stay
     write_records(docs, path, public_tokenizers.path("word_bpe_49k.json"))
     return read_records(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

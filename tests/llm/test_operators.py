@@ -543,3 +543,26 @@ def test_pipeline(spark, cases, tmp_path):
     assert set(ids["mixing"]) <= set(ids["decontamination"])
     assert ids["token_records"] == ids["mixing"]
     assert corpus_pipeline.ORACLE_SQL is None
+    assert sorted(r.doc_id for r in corpus_pipeline.run(spark, d).select("doc_id").collect()) == ids["token_records"]
+
+
+def test_pipeline_of_awkward_rows(spark, cases, docs, no_docs, tmp_path):
+    """Nulls in any column, empty texts, repeated rows, further columns with clashing names; empty tables."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    for name, rows in (("some", docs), ("none", no_docs)):
+        d = f"file://{tmp_path}/{name}"
+        rows.write.parquet(f"{d}/documents.parquet")
+        spark.createDataFrame([(2, None, 0), (None, 1, 0)] if name == "some" else [], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+        spark.createDataFrame([(0, None), (None, "")] if name == "some" else [], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+        now = spark.read.parquet(f"{d}/documents.parquet")
+        for stage, run in corpus_pipeline.STAGES:
+            run(spark, now, d).write.parquet(f"{d}/out-{stage}")
+            before, now = now, spark.read.parquet(f"{d}/out-{stage}")
+            if stage != "token_records":
+                assert now.columns == before.columns
+            if stage in ("quality", "decontamination"):
+                assert now.count() == before.count()
+            if stage == "near_duplicates" and name == "some":
+                assert sorted((r.doc_id for r in now.collect()), key=str) == sorted([1, 4, 5, 6, 7, 9, 10, 11, 12, 13, 14, 15, 16, 17, 20, None], key=str)
+        assert now.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+        assert now.count() == before.count() if name == "some" else not now.count()
