@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,8 +22,28 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_within: ContextVar[str] = ContextVar("_within", default="")
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{_within.get()}{name}-{uuid.uuid4().hex}"
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is written into the shared folder inside of this block is deleted at its end."""
+    folder = f"scratch-{uuid.uuid4().hex}/"
+    before = _within.set(folder)
+    try:
+        yield
+    finally:
+        _within.reset(before)
+        deleted(spark, f"{shared_dir(spark)}/{folder}")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -36,6 +59,4 @@ def discard(*tables: DataFrame | None) -> None:
     """Deletes tables of ``written`` that no later result reads."""
     for t in tables:
         if t is not None:
-            session = t.sparkSession
-            path = session._jvm.org.apache.hadoop.fs.Path(t.written_path)
-            path.getFileSystem(session._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+            deleted(t.sparkSession, t.written_path)
