@@ -8,29 +8,31 @@ content-chosen anchor: its 32-byte gram of the smallest hash. Two equal windows
 2. the others fetch their context, the bytes of their windows, from the text;
 3. the suffixes that start at equal anchors are sorted, which gives an enhanced suffix array of each anchor's
    occurrences with the lengths of common prefixes. A scan with a stack visits its common-prefix intervals (the nodes of
-   the suffix tree); in each, the occurrences are ordered by what stands to their left. Neighbours there that share
-   enough for a repeat of ``length`` bytes form a group of occurrences; it is maximal where the next bytes to the left
-   differ, and each occurrence is extended to the longest repeat it takes part in;
+   the suffix tree) bottom-up, and keeps the occurrences of each in the order of what stands to their left. Neighbours there
+   that come from different parts of the interval differ in the next byte to the right, and by the length of what they share
+   to the left in the next byte there too: a maximal repeat, whose group is all occurrences that share as much;
 4. the extents of all occurrences are merged by document, and what they cover is removed.
 
 Runs that a document repeats by itself (periodic texts) are resolved where they are found and emitted once. Anchors of
 more than ``most`` occurrences are resolved by counting hashes of their windows, combined before the shuffle, so that no
 group is gathered in a task. Matches never cross documents. Null and short texts have no repeats. Rows are told apart by
-id and text; rows that repeat both are copies of each other, and are removed as such.
+id and text; rows that repeat both are copies of each other, searched once and removed as such.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+from bisect import bisect_left, insort
 from collections.abc import Iterator
+from heapq import merge
 from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import NULL_ID, written
+from plumbline.llm.common import NULL_ID, fresh, written
 
 GRAM = 32
 CHUNK = 1_000_000
@@ -48,7 +50,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def gram_hashes(b: np.ndarray, sizes: tuple[int, ...]) -> list[np.ndarray]:
     """For each size, the hashes of the strings of that size at every place (shorter by size - 1): by doubling."""
-    level, width, power = mixed(b.astype(np.uint64) + np.uint64(1)), 1, BASE
+    level, width, power = mixed(b.astype(np.uint64) + np.uint64(1)), 1, np.array([BASE])
     parts: dict[int, list] = {s: [None, 0] for s in sizes}  # hash of the first bytes so far, how many
     out = {}
     while True:
@@ -191,62 +193,123 @@ def common(a: bytes, b: bytes) -> int:
     return lo
 
 
-def intervals(prefixes: list[int]) -> Iterator[tuple[int, int, int]]:
-    """The common-prefix intervals (length, from, to inclusive) of a suffix array; prefixes[k]: of suffixes k and k + 1."""
-    stack: list[tuple[int, int]] = []  # (length, from)
-    for k, p in enumerate([*prefixes, -1]):
-        begin = k
+def repeats(lefts: list[bytes], rights: list[bytes], length: int, want_groups: bool = True) -> tuple[list[list[tuple[int, int]]], list[tuple[int, int, int, list[int]]]]:
+    """Of the occurrences of one anchor, distinct and sorted by rights: for each the extents (bytes before, bytes from the
+    anchor on) of the maximal repeats of length or more that no longer one of it contains; and the maximal repeats
+    themselves: (bytes before, bytes from the anchor on, an occurrence, the places in the order of the lefts that have it).
+
+    Intervals are united bottom-up, the smaller part into the larger one, so that an occurrence moves a logarithmic number
+    of times. Two neighbours by their lefts that come from different parts differ in the next byte to the right; they have
+    ``common`` bytes to the left and differ in the next: what they share can be extended to neither side.
+    """
+    n = len(rights)
+    order = sorted(range(n), key=lefts.__getitem__)
+    rank = [0] * n
+    for k, x in enumerate(order):
+        rank[x] = k
+    extents: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+    groups: list[tuple[int, int, int, list[int]]] = []
+
+    def shared(p: int, q: int) -> int:
+        return common(lefts[order[p]], lefts[order[q]])
+
+    def united(one: list[int], other: list[int], right: int, found: dict[int, int]) -> list[int]:
+        """Both parts of an interval, as sorted ranks; notes how much neighbours of different parts share to the left."""
+        large, small = (one, other) if len(one) >= len(other) else (other, one)
+        for p in small:
+            at = bisect_left(large, p)
+            for q in large[max(at - 1, 0) : at + 1]:
+                left = shared(p, q)
+                if left + right >= length:
+                    found[p] = max(found.get(p, 0), left)
+                    found[q] = max(found.get(q, 0), left)
+        if len(small) * 8 > len(large):
+            return list(merge(large, small))
+        for p in small:
+            insort(large, p)
+        return large
+
+    def noted(members: list[int], right: int, found: dict[int, int]) -> None:
+        for p, left in found.items():
+            own = extents[order[p]]
+            if not own or own[-1][0] < left:  # rights only get shorter: longer ones to the left are new
+                own.append((left, right))
+        seen: set[tuple[int, int]] = set()
+        for p, left in found.items() if want_groups else ():
+            lo = hi = bisect_left(members, p)
+            while left + right >= length:  # all that share as much to the left, and then less
+                while lo and shared(members[lo - 1], p) >= left:
+                    lo -= 1
+                while hi + 1 < len(members) and shared(members[hi + 1], p) >= left:
+                    hi += 1
+                if (lo, hi) in seen:
+                    break
+                seen.add((lo, hi))
+                groups.append((left, right, order[p], [order[q] for q in members[lo : hi + 1]]))
+                left = max(shared(members[lo - 1], p) if lo else -1, shared(members[hi + 1], p) if hi + 1 < len(members) else -1)
+                if left < 0:
+                    break
+
+    stack: list[tuple[int, list[list[int]]]] = []  # (common bytes, parts of the interval)
+    for k in range(n):
+        own = [rank[k]]
+        p = common(rights[k], rights[k + 1]) if k + 1 < n else -1
         while stack and stack[-1][0] > p:
-            length, begin = stack.pop()
-            yield length, begin, k
-        if p >= 0 and (not stack or stack[-1][0] < p):
-            stack.append((p, begin))
-
-
-def repeats(lefts: list[bytes], rights: list[bytes], length: int) -> list[tuple[int, int, int]]:
-    """Of the occurrences of one anchor, distinct and sorted by rights: (occurrence, bytes before, bytes from the anchor
-    on) of each with the longest repeat of length or more that it has in each interval."""
-    out: list[tuple[int, int, int]] = []
-    for right, a, b in intervals([common(rights[k], rights[k + 1]) for k in range(len(rights) - 1)]):
-        order = sorted(range(a, b + 1), key=lefts.__getitem__)
-        shared = [common(lefts[x], lefts[y]) for x, y in zip(order, order[1:], strict=False)]
-        for k, x in enumerate(order):
-            left = max(shared[k - 1] if k else 0, shared[k] if k < len(shared) else 0)
-            if left + right >= length:
-                out.append((x, left, right))
-    return out
+            right, parts = stack.pop()
+            found: dict[int, int] = {}
+            for part in parts:
+                own = united(own, part, right, found)
+            noted(own, right, found)
+        if stack and stack[-1][0] == p:
+            stack[-1][1].append(own)
+        else:
+            stack.append((p, [own]))
+    return extents, groups
 
 
-def _repeated(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by h, right, left: h, k1, k2, start, end of occurrences of repeats. One anchor is held at a time."""
+GROUPS = "id long, length int, k1 long, k2 long, start int, end int"
+
+
+def _repeated(batches: Iterator[pa.RecordBatch], length: int, everywhere: bool) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by h, right, left (h, k1, k2, at, left, right) -> GROUPS. One anchor is held at a time."""
 
     def rows() -> Iterator[tuple]:
         for batch in batches:
             yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
 
     out: list[tuple] = []
-    for h, group in groupby(rows(), key=lambda r: r[0]):
-        places: dict[tuple[bytes, bytes], list] = defaultdict(list)
+    for _, group in groupby(rows(), key=lambda r: r[0]):
+        places: dict[tuple[bytes, bytes], list] = {}
         for _, k1, k2, at, left, right in group:
-            places[right, left].append((k1, k2, at))
+            places.setdefault((right, left), []).append((k1, k2, at))
         keys = list(places)
-        best: dict[tuple, list[tuple[int, int]]] = {k: [(len(k[1]), len(k[0]))] for k, p in places.items() if len(p) > 1}
+
+        def emit(key: tuple[bytes, bytes], left: int, right: int, where: list[tuple], out: list = out) -> None:
+            text = key[1][:left][::-1] + key[0][:right]
+            out += [(xxhash.xxh3_64_intdigest(text) - 2**63, left + right, k1, k2, at - left, at + right) for k1, k2, at in where]
+
+        for k, where in places.items():
+            if len(where) > 1:  # alike as far as their windows reach
+                emit(k, len(k[1]), len(k[0]), where)
         if len(keys) > 1:
-            for x, left, right in repeats([k[1] for k in keys], [k[0] for k in keys], length):
-                best.setdefault(keys[x], []).append((left, right))
-        for k, extents in best.items():
-            if len(extents) > 1:
-                extents = [e for e in set(extents) if not any(f != e and f[0] >= e[0] and f[1] >= e[1] for f in extents)]
-            out += [(h, k1, k2, at - left, at + right) for left, right in extents for k1, k2, at in places[k]]
+            extents, groups = repeats([k[1] for k in keys], [k[0] for k in keys], length, everywhere)
+            if everywhere:
+                for left, right, x, members in groups:
+                    emit(keys[x], left, right, [w for m in members for w in places[keys[m]]])
+            else:
+                for k, own in zip(keys, extents, strict=True):
+                    for left, right in own if len(places[k]) == 1 else ():
+                        emit(k, left, right, places[k])
         if len(out) > 20_000:
             yield _spans(out)
-            out = []
+            out.clear()
     if out:
         yield _spans(out)
 
 
 def _spans(out: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(),) * 3 + (pa.int32(),) * 2, strict=True)], names=["h", "k1", "k2", "start", "end"])
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["id", "length", "k1", "k2", "start", "end"])
 
 
 def _windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -264,9 +327,15 @@ def _windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
                 )
 
 
-def repeat_groups(docs: DataFrame, length: int = 200, most: int = 50_000) -> DataFrame:
-    """docs(k1, k2, text binary) -> h (anchor of the group), k1, k2, start, end: the occurrences of repeats of length
-    bytes or more, each with its longest extents; h is null for what a document repeats by itself."""
+def repeat_groups(docs: DataFrame, length: int = 200, most: int = 50_000, *, everywhere: bool = True) -> DataFrame:
+    """docs(k1, k2, text binary), no row twice -> id, length, k1, k2, start, end: the maximal repeats of length bytes or more
+    around each anchor, a row for each of their occurrences; id stands for the repeated string and is null for what a
+    document repeats by itself (start, end: what is covered). Repeats that reach beyond the windows of an anchor come in
+    overlapping parts, one for each anchor; those of an anchor of over ``most`` occurrences in parts of ``length`` bytes.
+
+    With ``everywhere`` false, an occurrence is left out of the groups whose string lies within a longer repeat of it (its
+    rows then don't grow with the depth of the tree, and cover the same bytes).
+    """
     found = written(docs.select("k1", "k2", "text").mapInArrow(lambda b: _emit(b, length), ANCHORS), "anchors")
     counts = written(found.filter("h is not null").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "anchor-counts")
     repeated = found.join(counts, "h")
@@ -277,17 +346,41 @@ def repeat_groups(docs: DataFrame, length: int = 200, most: int = 50_000) -> Dat
 
     contexts = with_texts(repeated.filter(F.col("n") <= most)).mapInArrow(lambda b: _contexts(b, length), "h long, k1 long, k2 long, at int, left binary, right binary")
     dealt = contexts.repartition("h").sortWithinPartitions("h", "right", "left")
-    out = dealt.mapInArrow(lambda b: _repeated(b, length), "h long, k1 long, k2 long, start int, end int")
-    itself = found.filter("h is null").select("h", "k1", "k2", F.col("first").alias("start"), F.col("last").alias("end"))
+    out = dealt.mapInArrow(lambda b: _repeated(b, length, everywhere), GROUPS)
+    itself = found.filter("h is null").select(F.lit(None).cast("long").alias("id"), F.lit(length).alias("length"), "k1", "k2", F.col("first").alias("start"), F.col("last").alias("end"))
     out = out.unionByName(itself)
     if not counts.filter(F.col("n") > most).isEmpty():
         windows = with_texts(repeated.filter(F.col("n") > most)).mapInArrow(lambda b: _windows(b, length), "k1 long, k2 long, start int, w long, v long")
         several = windows.groupBy("w", "v").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        hot = windows.join(several, ["w", "v"]).select(F.col("w").alias("h"), "k1", "k2", "start", (F.col("start") + length).alias("end"))
-        out = out.unionByName(hot)
+        hot = windows.join(several, ["w", "v"]).select(F.col("w").alias("id"), F.lit(length).alias("length"), "k1", "k2", "start", (F.col("start") + length).alias("end"))
+        out = out.unionByName(hot if everywhere else _ranges(hot))
     return out
 
 
+def _ranges(spans: DataFrame) -> DataFrame:
+    """Ranges of a document that overlap or touch, united: a row for each of the longest, without its string."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[int, int, int, int] | None = None
+        for batch in batches:
+            k1, k2, start, end = (batch.column(c).to_numpy() for c in range(4))
+            new = np.append(True, (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1]) | (start[1:] > end[:-1]))
+            at = np.flatnonzero(new)
+            rows = list(zip(k1[at].tolist(), k2[at].tolist(), start[at].tolist(), np.maximum.reduceat(end, at).tolist(), strict=True))
+            if held and held[:2] == rows[0][:2] and rows[0][2] <= held[3]:
+                rows[0] = (*held[:3], max(held[3], rows[0][3]))
+            elif held:
+                rows.insert(0, held)
+            held = rows.pop()
+            if rows:
+                yield _spans([(None, 0, *r) for r in rows])
+        if held:
+            yield _spans([(None, 0, *held)])
+
+    rows = spans.select("k1", "k2", "start", "end").repartition("k1", "k2").sortWithinPartitions("k1", "k2", "start")
+    return rows.mapInArrow(run, GROUPS)
+
+
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pair = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     for batch in batches:
@@ -309,9 +402,19 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def remove_repeats(docs: DataFrame, *, length: int = 200, most: int = 50_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, removed (maximal ranges of bytes) and kept (the other bytes), for every row of docs."""
-    keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("k1"), F.xxhash64(F.col(text_col).cast("binary")).alias("k2"), F.col(text_col).cast("binary").alias("text"))
-    spans = repeat_groups(keyed, length, most).groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    rows = keyed.join(spans, ["k1", "k2"], "left").select(F.when(F.col("k1") != NULL_ID, F.col("k1")).alias("doc_id"), "text", "spans")
+    text = F.col(text_col).cast("binary")
+    keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("k1"), F.xxhash64(text).alias("k2"), text.alias("text"))
+    # rows that repeat id and text are searched once, and covered as a whole by each other
+    twice = fresh(keyed.filter(F.length("text") >= length).groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("k1", "k2"), "repeated-rows")
+    once = keyed
+    if twice is not None:
+        once = keyed.join(twice, ["k1", "k2"], "left_anti").unionByName(keyed.join(twice, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]))
+    spans = repeat_groups(once, length, most, everywhere=False).groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    rows = keyed.join(spans, ["k1", "k2"], "left")
+    if twice is not None:
+        whole = F.array(F.struct(F.lit(0).alias("start"), F.length("text").alias("end")))
+        rows = rows.join(twice.withColumn("twice", F.lit(True)), ["k1", "k2"], "left").withColumn("spans", F.when(F.col("twice"), whole).otherwise(F.col("spans")))
+    rows = rows.select(F.when(F.col("k1") != NULL_ID, F.col("k1")).alias("doc_id"), "text", "spans")
     return rows.mapInArrow(_kept, "doc_id long, n_bytes long, removed array<struct<start:long,end:long>>, kept binary")
 
 

@@ -193,10 +193,88 @@ def test_no_repeats_in_nothing(no_docs):
     assert substrings.remove_repeats(no_docs).count() == 0
 
 
-def test_intervals():
-    texts = sorted(["banana", "ananas", "anna", "band", "ban"])
-    found = set(substrings.intervals([substrings.common(a, b) for a, b in zip(texts, texts[1:], strict=False)]))
-    assert found == {(0, 0, 4), (2, 0, 1), (3, 2, 4)}
+def plain_groups(texts, length):
+    """Maximal repeats: string -> places, for strings of length or more whose occurrences differ on both sides."""
+    where = defaultdict(list)
+    for i, t in enumerate(texts):
+        for a in range(len(t)):
+            for e in range(a + length, len(t) + 1):
+                where[t[a:e]].append((i, a))
+    out = {}
+    for x, places in where.items():
+        side = lambda k, x=x: {(texts[i][a - 1 : a] or (i, a)) if k else (texts[i][a + len(x) : a + len(x) + 1] or (i, a)) for i, a in places}
+        if len(places) > 1 and len(side(0)) > 1 and len(side(1)) > 1:
+            out[x] = sorted(places)
+    return out
+
+
+def test_maximal_repeats_of_an_anchor():
+    r = random.Random(7)
+    for _ in range(300):
+        n = r.randint(2, 12)
+        anchor = b"|##|"
+        pairs = sorted({("".join(r.choice("ab") for _ in range(r.randint(0, 5))), "".join(r.choice("ab") for _ in range(r.randint(0, 5)))) for _ in range(n)})
+        texts = [a.encode()[::-1] + anchor + b.encode() for a, b in pairs]
+        keys = sorted((anchor + b.encode(), a.encode()) for a, b in pairs)
+        extents, groups = substrings.repeats([k[1] for k in keys], [k[0] for k in keys], 6)
+        got = {k[1][:left][::-1] + k[0][:right]: sorted(m) for left, right, x, m in groups for k in [keys[x]]}
+        of = {keys[k]: k for k in range(len(keys))}
+        back = [of[t[t.index(b"|") :], t[: t.index(b"|")][::-1]] for t in texts]
+        want = {x: sorted(back[i] for i, _ in p) for x, p in plain_groups(texts, 6).items() if anchor in x}
+        assert got == want
+        for k, own in enumerate(extents):  # those that no longer one of the occurrence contains
+            mine = [(x.index(anchor), len(x) - x.index(anchor)) for x, m in want.items() if k in m]
+            assert {e for e in own} == {e for e in mine if not any(f != e and f[0] >= e[0] and f[1] >= e[1] for f in mine)}
+
+
+def test_large_groups_of_repeats_are_quick():
+    """Nested texts: each shares one byte more with the next, on both sides."""
+    import time
+
+    n = 20_000
+    keys = sorted((b"#" * 32 + b"a" * (k % 150) + b"b" * (k // 150), b"c" * (k * 7 % 167)) for k in range(n))
+    began = time.time()
+    extents, _ = substrings.repeats([k[1] for k in keys], [k[0] for k in keys], 100, False)
+    assert sum(map(len, extents)) >= n // 2 and time.time() - began < 30
+
+
+def test_repeat_groups(spark):
+    r = random.Random(3)
+    passage, other = ("".join(r.choice("abcdefgh") for _ in range(n)) for n in (90, 120))
+    prose = lambda n: "".join(r.choice("ijklmnop") for _ in range(n))
+    texts = [prose(30) + passage + prose(9), passage + prose(40), prose(5) + other + prose(7) + passage[:80], other, prose(300)]
+    rows = spark.createDataFrame([(i, 0, bytearray(t.encode())) for i, t in enumerate(texts)], "k1 long, k2 long, text binary")
+    found = defaultdict(set)
+    for x in substrings.repeat_groups(rows, 60).collect():
+        assert x.length == x.end - x.start
+        found[x.id].add((texts[x.k1][x.start : x.end], x.k1, x.start))
+    assert all(len({t for t, *_ in g}) == 1 and len(g) > 1 for g in found.values())
+    covered = {(i, k) for g in found.values() for t, i, a in g for k in range(a, a + len(t))}
+    gone = without_repeats(texts, 60)
+    assert all(len(t) - len([1 for i, _ in covered if i == n]) == len(gone[n]) for n, t in enumerate(texts))
+    for g in found.values():  # all places of its string
+        t = next(iter(g))[0]
+        assert {(i, a) for _, i, a in g} == {(i, a) for i, x in enumerate(texts) for a in range(len(x)) if x.startswith(t, a)}
+
+
+def test_many_equal_rows_and_periodic_texts(spark):
+    r = random.Random(12)
+    same, period = "".join(r.choice("abcdef") for _ in range(2000)), "xyz" * 400
+    texts = [(None, same)] * 2000 + [(None, "short")] * 50 + [(5, same[500:900] + "!"), (6, period), (7, period[:1000] + "q"), (8, "a" * 3000), (8, "a" * 3000), (9, "only here " * 3)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = substrings.remove_repeats(df).groupBy("doc_id", "n_bytes", F.col("kept").cast("string")).count().collect()
+    assert {tuple(x) for x in got} == {(None, 2000, "", 2000), (None, 5, "short", 50), (5, 401, "!", 1), (6, 1200, "", 1), (7, 1001, "q", 1), (8, 3000, "", 2), (9, 30, "only here " * 3, 1)}
+
+
+def test_repeats_in_a_text_of_many_megabytes(spark):
+    r = random.Random(13)
+    passage, far = r.randbytes(400).hex()[:400], r.randbytes(300).hex()[:300]
+    body = np.random.default_rng(1).integers(97, 123, 20_000_000, np.uint8).tobytes().decode()
+    big = body[:17_500_000] + passage + body[17_500_000:18_500_000] + far + body[18_500_000:] + far
+    df = spark.createDataFrame([(1, big), (2, "x" + passage + "y")], "doc_id long, text string")
+    got = {x.doc_id: [tuple(s) for s in x.removed] for x in substrings.remove_repeats(df).select("doc_id", "removed").collect()}
+    second = 18_500_400
+    assert got == {1: [(17_500_000, 17_500_400), (second, second + 300), (len(big) - 300, len(big))], 2: [(1, 401)]}
 
 
 # 3
