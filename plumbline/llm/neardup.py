@@ -197,8 +197,10 @@ def _between_components(nodes: DataFrame, shared: DataFrame, labels: DataFrame,
     """Verified links (a, b) between components that share a bucket; None if no bucket is open.
 
     A node outside of the component of the bucket's smallest node (a stray) meets all nodes of the bucket, block by block;
-    sketches and sizes come first, then the sets. A pair is looked at in the first band that it shares only, and not if
-    links of its block have already joined its components, so a task emits fewer links than it holds nodes.
+    only pairs that share one of the rarest shingles of each (a prefix filter, exact for the threshold) are looked at, so that
+    a bucket of many dissimilar nodes costs its size; sketches and sizes come next, then the sets. A pair is looked at in the
+    first band that it shares only, and not if links of its block have already joined its components, so a task emits fewer
+    links than it holds nodes.
     """
     of = lambda c, n: labels.select(F.col("node").alias(c), F.col("component").alias(n))
     own = shared.join(of("a", "core"), "a", "left").join(of("b", "component"), "b", "left")
@@ -251,13 +253,31 @@ class Member:
     set: bytes
 
 
+def prefixes(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(set, token) of the tokens of each set that must hold one of any other set that reaches the threshold with it: the
+    rarest of all these sets, ties by token; as many as may be missing, and one."""
+    sizes = np.array([len(x) for x in sets])
+    tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    _, inverse, counts = np.unique(tokens, return_inverse=True, return_counts=True)
+    order = np.lexsort((tokens, counts[inverse], owner))
+    place = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    kept = order[place < (sizes - -(-percent * sizes // 100) + 1)[owner]]  # owners come in order
+    return owner[kept], tokens[kept]
+
+
 def _links(left: list[Member], right: list[Member], key: int, config: Config) -> list[tuple[int, int]]:
-    """Links between two blocks (or of one with itself) that join components."""
+    """Links between two blocks (or of one with itself) that join components. Pairs that share no prefix token are out."""
     sketch = np.array([r.sketch for r in right], np.int64).view(np.uint64).reshape(len(right), -1)
     bands = np.array([r.bands for r in right], np.int64)
-    ids = np.array([r.node for r in right])
-    sets = [np.frombuffer(r.set, np.uint64) for r in right]
-    sizes = np.array([len(x) for x in sets])
+    ids, components = np.array([r.node for r in right]), np.array([r.component for r in right])
+    lefts, rights = ([np.frombuffer(r.set, np.uint64) for r in rows] for rows in (left, right))
+    sizes = np.array([len(x) for x in rights])
+    owner, tokens = prefixes([*lefts, *rights], config.percent)
+    at = np.searchsorted(owner, len(left))
+    order = np.argsort(tokens[at:], kind="stable")
+    posted, holders = tokens[at:][order], (owner[at:] - len(left))[order]
+    begins, ends = (np.searchsorted(posted, tokens[:at], side) for side in ("left", "right"))
+    edges = np.searchsorted(owner[:at], np.arange(len(left) + 1))
     parent: dict[int, int] = {}
     most = config.most_bits()
 
@@ -268,26 +288,31 @@ def _links(left: list[Member], right: list[Member], key: int, config: Config) ->
 
     numbers: dict[int, frozenset] = {}
     found: list[tuple[int, int]] = []
-    for r in left:
-        own = np.frombuffer(r.set, np.uint64)
-        bits = np.bitwise_count(sketch ^ np.array(r.sketch, np.int64).view(np.uint64)).sum(axis=1)
-        near = np.flatnonzero((bits <= most) & (ids != r.node) & (100 * np.minimum(sizes, len(own)) >= config.percent * np.maximum(sizes, len(own))))
+    for k, r in enumerate(left):
+        spans = [holders[b:e] for b, e in zip(begins[edges[k] : edges[k + 1]].tolist(), ends[edges[k] : edges[k + 1]].tolist(), strict=True) if e > b]
+        if not spans:
+            continue
+        near = np.unique(np.concatenate(spans))
+        own = len(lefts[k])
+        near = near[(components[near] != r.component) & (100 * np.minimum(sizes[near], own) >= config.percent * np.maximum(sizes[near], own))]
+        if config.sketch_longs and len(near):
+            near = near[np.bitwise_count(sketch[near] ^ np.array(r.sketch, np.int64).view(np.uint64)).sum(axis=1) <= most]
         if not len(near):
             continue
         same = bands[near] == np.array(r.bands, np.int64)
         near = near[bands[near, same.argmax(axis=1)] == key]
         members = None
-        for k in near.tolist():
-            x, y = root(r.component), root(right[k].component)
+        for i in near.tolist():
+            x, y = root(r.component), root(right[i].component)
             if x == y:
                 continue
             if members is None:
-                members = numbers.setdefault(r.node, frozenset(own.tolist()))
-            if right[k].node not in numbers:
-                numbers[right[k].node] = frozenset(sets[k].tolist())
-            both = len(members & numbers[right[k].node])
-            if 100 * both >= config.percent * (len(members) + sizes[k] - both):
-                found.append((min(r.node, right[k].node), max(r.node, right[k].node)))
+                members = numbers.setdefault(r.node, frozenset(lefts[k].tolist()))
+            if right[i].node not in numbers:
+                numbers[right[i].node] = frozenset(rights[i].tolist())
+            both = len(members & numbers[right[i].node])
+            if 100 * both >= config.percent * (own + sizes[i] - both):
+                found.append((min(r.node, right[i].node), max(r.node, right[i].node)))
                 parent[max(x, y)] = min(x, y)
     return found
 

@@ -502,6 +502,50 @@ def test_chains_of_near_copies(spark):
     assert result(neardup.near_duplicate_documents(df), "doc_id", "component_id") == sorted(((i, least[c]) for i, c in enumerate(of)), key=str)
 
 
+def test_a_bucket_of_many_dissimilar_texts():
+    """All pairs of a bucket against the prefix filter, and in time for a large one."""
+    import time
+
+    r = np.random.default_rng(3)
+    config = neardup.Config(bands=1, rows=1, samples=1, sketch_longs=0)
+    member = lambda i, x: neardup.Member(i, i, True, 0, [], [7], np.unique(np.array(x, np.uint64)).tobytes())
+    base = [r.integers(0, 2**62, 24) for _ in range(20)]
+    sets = [np.concatenate([b[: r.integers(14, 25)], r.integers(0, 60, r.integers(0, 8))]) for b in base for _ in range(6)]
+    rows = [member(i, x) for i, x in enumerate(sets)]
+    of = classes([frozenset(np.frombuffer(m.set, np.uint64).tolist()) for m in rows])
+    got = {i: i for i in range(len(rows))}
+    for a, b in neardup._links(rows, rows, 7, config):
+        assert of[a] == of[b]
+        got = {k: got[a] if v == got[b] else v for k, v in got.items()}
+    assert all((got[a] == got[b]) == (of[a] == of[b]) for a, b in combinations(range(len(rows)), 2))
+    many = [member(i, np.concatenate([r.integers(0, 2**62, 20), np.arange(4)])) for i in range(20_000)]
+    began = time.time()
+    assert neardup._links(many, many, 7, config) == [] and time.time() - began < 20
+
+
+def test_recall_near_the_threshold(spark):
+    """Pairs of a similarity of 0.75 to 0.84: bands, sketches and verification together find them."""
+    r = random.Random(21)
+    texts, want = [], 0
+    for k in range(400):
+        w = [f"{k}x{r.randrange(10**6)}" for _ in range(r.randint(60, 200))]
+        v = list(w)
+        while True:
+            u = list(v)
+            u[r.randrange(len(u))] = f"y{r.randrange(10**9)}"
+            a, b = shingle_set(" ".join(w)), shingle_set(" ".join(u))
+            if 100 * len(a & b) < 75 * len(a | b):
+                break
+            v = u
+        texts += [" ".join(w), " ".join(v)]
+        a, b = shingle_set(texts[-2]), shingle_set(texts[-1])
+        assert 75 <= 100 * len(a & b) / len(a | b) < 84
+        want += 1
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {(x.doc_id, x.component_id) for x in neardup.near_duplicate_documents(df).collect()}
+    assert sum((2 * k + 1, 2 * k) in found for k in range(want)) >= 0.99 * want
+
+
 # 8
 
 PAGE = """<!DOCTYPE html><html><head><title>no</title><style>p{}</style><script>var t="</p>";</script></head><body><header><h1>Site</h1></header><nav><ul><li><a href="/x">menu one</a></li></ul></nav>
