@@ -320,7 +320,7 @@ def _links(left: list[Member], right: list[Member], key: int, config: Config) ->
 def linked(nodes: DataFrame, fetched: Callable[[DataFrame], DataFrame], config: Config, name: str) -> DataFrame:
     """nodes(node long, n, bands array of keys, sketch array) -> (node, component) of the nodes that are linked with others.
 
-    ``fetched`` gives (node, set: sorted 64-bit hashes, binary) for a table of nodes.
+    ``fetched`` gives (node, set: sorted 64-bit hashes, binary) for a table of nodes; a row that comes twice does no harm.
     """
     keys = nodes.select("node", F.explode("bands").alias("key"))
     centres = keys.groupBy("key").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("size")).filter("size > 1")
@@ -341,16 +341,34 @@ def linked(nodes: DataFrame, fetched: Callable[[DataFrame], DataFrame], config:
     return labels
 
 
+class Repeats:
+    """Which rows come again in a task. Rows of one key stand in few tasks after a join, so what is left over is as little."""
+
+    def __init__(self) -> None:
+        self.seen: set[int] = set()
+
+    def first(self, node: int, copies: int) -> bool:
+        if copies == 1:
+            return True
+        before = len(self.seen)
+        self.seen.add(node)
+        return len(self.seen) > before
+
+
 def _text_sets(items: DataFrame, wanted: DataFrame, config: Config) -> DataFrame:
-    """node and its set for wanted(node, k1, k2, at)."""
+    """node and its set for wanted(node, k1, k2, at, copies); rows that repeat both text and id give it once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Repeats()
         for batch in batches:
-            sets = [shingle_sets([t.as_py()], config.words)[0].tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "set"])
+            nodes, sets = [], []
+            for k, (node, copies) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                if known.first(node, copies):
+                    nodes.append(node)
+                    sets.append(shingle_sets([batch.column(1)[k].as_py()], config.words)[0].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], names=["node", "set"])
 
-    texts = items.join(wanted, ["k1", "k2", "at"]).select("node", "text")
-    return texts.mapInArrow(run, "node long, set binary").dropDuplicates(["node"])  # rows may repeat both id and text
+    return items.join(wanted, ["k1", "k2", "at"]).select("node", "text", "copies").mapInArrow(run, "node long, set binary")
 
 
 def near_duplicates(items: DataFrame, config: Config, name: str) -> DataFrame:
@@ -361,7 +379,7 @@ def near_duplicates(items: DataFrame, config: Config, name: str) -> DataFrame:
     once = found.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies"), F.min("at").alias("at"), *(F.max(c).alias(c) for c in ("n", *numbers)))
     wide = lambda c: F.array(*(F.col(x) for x in numbers if x[0] == c)).alias({"b": "bands", "s": "sketch"}[c])
     nodes = written(once.select(F.monotonically_increasing_id().alias("node"), "k1", "k2", "at", "n", "copies", wide("b"), wide("s")), f"{name}-nodes")
-    places = nodes.select("node", "k1", "k2", "at")
+    places = nodes.select("node", "k1", "k2", "at", "copies")
     labels = linked(nodes, lambda wanted: _text_sets(items, places.join(wanted, "node"), config), config, name)
     return nodes.select("k1", "k2", "n", "copies", "node").join(labels, "node", "left").select("k1", "k2", "n", "copies", F.coalesce("component", "node").alias("component"))
 

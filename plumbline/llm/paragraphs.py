@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import discard, written
-from plumbline.llm.neardup import CHUNK_BYTES, ODD, Config, band_keys, linked, minima, word_sets
+from plumbline.llm.neardup import CHUNK_BYTES, ODD, Config, Repeats, band_keys, linked, minima, word_sets
 from plumbline.llm.substrings import gram_hashes, window_minima
 from plumbline.llm.words import mixed, runs, text_words
 
@@ -130,10 +130,13 @@ def _placed(batch: pa.RecordBatch, rows: np.ndarray, at: np.ndarray, numbers: li
 
 
 def _unit_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """From text, wanted(node, stretch, at): node, set."""
+    """From text, wanted(node, stretch, at): node, set; rows that repeat both text and id count once a task."""
+    known = Repeats()
     for batch in batches:
         for text, wanted in zip(batch.column(0), batch.column(1), strict=True):
             nodes, stretch, at = (c.to_numpy(zero_copy_only=False) for c in wanted.values.flatten())
+            if not known.first(int(nodes[0]), 2):
+                continue
             h, _, ends = text_words([text.as_py()])
             begins = np.append(0, ends[:-1])
             begin = np.where(stretch, at, begins[np.where(stretch, 0, at)])
@@ -168,7 +171,7 @@ def repeated_units(rows: DataFrame, units: Units = Units()) -> DataFrame:
     def fetched(wanted: DataFrame) -> DataFrame:
         by = nodes.join(wanted, "node").groupBy("doc", "t").agg(F.collect_list(F.struct("node", "stretch", "at")).alias("wanted"))  # units of one text
         texts = named.join(by, ["doc", "t"]).select("text", "wanted")
-        return texts.mapInArrow(lambda b: _unit_sets(b, config.words), "node long, set binary").dropDuplicates(["node"])
+        return texts.mapInArrow(lambda b: _unit_sets(b, config.words), "node long, set binary")
 
     labels = linked(nodes, fetched, config, "units")
     placed = nodes.select("k1", "k2", "copies", "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))

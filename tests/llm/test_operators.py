@@ -539,7 +539,7 @@ def test_recall_near_the_threshold(spark):
             v = u
         texts += [" ".join(w), " ".join(v)]
         a, b = shingle_set(texts[-2]), shingle_set(texts[-1])
-        assert 75 <= 100 * len(a & b) / len(a | b) < 84
+        assert 75 <= 100 * len(a & b) / len(a | b) < 90
         want += 1
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     found = {(x.doc_id, x.component_id) for x in neardup.near_duplicate_documents(df).collect()}
