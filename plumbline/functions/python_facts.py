@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import ast
 import io
+import re
 import tokenize
 from collections.abc import Iterator
 
@@ -20,17 +21,24 @@ DEFS = (ast.FunctionDef, ast.AsyncFunctionDef)
 BLANK_TOKENS = {tokenize.COMMENT, tokenize.NL, tokenize.NEWLINE, tokenize.INDENT, tokenize.DEDENT, tokenize.ENCODING, tokenize.ENDMARKER}
 
 
-def complexity(node: ast.AST) -> int:
-    """McCabe: 1, and 1 for each branch, boolean operator, comprehension and match case in the body."""
-    total = 1
-    for x in ast.walk(node):
+def complexity(body: list[ast.stmt]) -> int:
+    """McCabe: 1, and 1 for each branch, further boolean operand, comprehension and condition in it, ``else`` of a loop or a
+    try, and match case (without a last one that takes everything). Functions and classes inside count for themselves."""
+    total, work = 1, list(body)
+    while work:
+        x = work.pop()
+        if isinstance(x, (*DEFS, ast.ClassDef)):
+            continue
         total += isinstance(x, BRANCHES)
         if isinstance(x, ast.BoolOp):
             total += len(x.values) - 1
         elif isinstance(x, ast.comprehension):
             total += len(x.ifs)
-        elif isinstance(x, ast.match_case):
-            total += 1
+        elif isinstance(x, ast.Match):
+            total += len(x.cases) - any(isinstance(c.pattern, ast.MatchAs) and c.pattern.pattern is None for c in x.cases)
+        elif isinstance(x, (ast.For, ast.AsyncFor, ast.While, ast.Try, ast.TryStar)):
+            total += bool(x.orelse)
+        work += ast.iter_child_nodes(x)
     return total
 
 
@@ -61,24 +69,98 @@ def parameters(node: ast.FunctionDef, method: bool) -> int:
 
 
 def functions_of(content: str) -> list[tuple]:
-    """(name, start_line, end_line, complexity, param_count, max_nesting_depth)"""
+    """(name, start_line, end_line, complexity, param_count, max_nesting_depth) of functions and of methods of classes;
+    what is defined inside of a function or of a class in a class has no row."""
     try:
         tree = ast.parse(content)
     except (SyntaxError, ValueError, RecursionError):
         return []
     out: list[tuple] = []
 
-    def visit(node: ast.AST, prefix: str, method: bool) -> None:
-        for x in ast.iter_child_nodes(node):
+    def visit(nodes: list[ast.AST], prefix: str, method: bool) -> None:
+        for x in nodes:
             if isinstance(x, DEFS):
-                out.append((prefix + x.name, x.lineno, x.end_lineno, complexity(x), parameters(x, method), nesting(x.body)))
-                visit(x, f"{prefix}{x.name}.", False)
+                out.append((prefix + x.name, x.lineno, x.end_lineno, complexity(x.body), parameters(x, method), nesting(x.body)))
             elif isinstance(x, ast.ClassDef):
-                visit(x, f"{prefix}{x.name}.", True)
+                if not method:
+                    visit(x.body, f"{x.name}.", True)
             else:
-                visit(x, prefix, method)
+                visit(list(ast.iter_child_nodes(x)), prefix, method)
 
-    visit(tree, "", False)
+    visit(tree.body, "", False)
+    return out
+
+
+# Names that tell what a test does.
+MOCK_ASSERTS = {
+    "assert_any_await", "assert_any_call", "assert_awaited", "assert_awaited_once", "assert_awaited_once_with", "assert_awaited_with", "assert_called", "assert_called_once", "assert_called_once_with", "assert_called_with", "assert_has_awaits", "assert_has_calls",
+    "assert_not_awaited", "assert_not_called",
+}
+MOCK_ATTRIBUTES = {"call_args", "call_args_list", "call_count", "called", "method_calls", "mock_calls"}
+PYTEST_CHECKS = {"deprecated_call", "fail", "raises", "warns"}
+HELPERS = re.compile("_?(?:assert|check|compare|ensure|expect|validate|verify)", re.I)
+TEMP_MADE = {"mkdtemp", "mkstemp"}
+TEMP_CLEANED = {"addCleanup", "addfinalizer", "cleanup", "remove", "removedirs", "rmdir", "rmtree", "unlink"}
+
+
+def dotted_name(node: ast.AST) -> str:
+    """Of a name, an attribute or a call of one."""
+    if isinstance(node, ast.Call):
+        return dotted_name(node.func)
+    if isinstance(node, ast.Attribute):
+        return f"{dotted_name(node.value)}.{node.attr}".lstrip(".")
+    return node.id if isinstance(node, ast.Name) else ""
+
+
+def _marks(node: ast.AST) -> tuple[bool, bool]:
+    """Whether its decorators skip it always, and expect it to fail."""
+    tails = {dotted_name(d).rpartition(".")[2] for d in node.decorator_list}
+    return "skip" in tails, bool(tails & {"xfail", "expectedFailure"})
+
+
+def _test_row(test: ast.FunctionDef, name: str, skipped: bool, expected: bool) -> tuple:
+    own = _marks(test)
+    skipped, expected = skipped or own[0], expected or own[1]
+    assertions = interactions = 0
+    made = cleaned = False
+    work: list[tuple[ast.AST, bool]] = [(x, False) for x in test.body]
+    while work:
+        x, conditional = work.pop()
+        if isinstance(x, ast.Assert):
+            assertions += 1
+            interactions += any(isinstance(y, ast.Attribute) and y.attr in MOCK_ATTRIBUTES for y in ast.walk(x.test))
+        elif isinstance(x, ast.Call):
+            full = dotted_name(x.func)
+            tail = full.rpartition(".")[2]
+            if tail in MOCK_ASSERTS:
+                assertions, interactions = assertions + 1, interactions + 1
+            elif HELPERS.match(tail) or tail.lower().startswith("assert") or tail in PYTEST_CHECKS and full.startswith("pytest."):
+                assertions += 1
+            elif full in ("pytest.skip", "self.skipTest") and not conditional:
+                skipped = True
+            else:
+                made |= tail in TEMP_MADE
+                cleaned |= tail in TEMP_CLEANED
+        cleaned |= isinstance(x, ast.Try) and bool(x.finalbody)
+        conditional |= isinstance(x, (ast.If, ast.Try, ast.Match))
+        work += [(y, conditional) for y in ast.iter_child_nodes(x)]
+    return test.lineno, name, False, assertions, interactions, skipped, False, expected, made and not cleaned
+
+
+def tests_of(content: str) -> list[tuple]:
+    """(line, name, suite, assertions, interactions, skipped, focused, expected_failure, uncleaned_temp) of test functions and
+    of test methods of classes that are named Test... or have a base. Files that don't parse have none."""
+    try:
+        tree = ast.parse(content)
+    except (SyntaxError, ValueError, RecursionError):
+        return []
+    out = []
+    for x in tree.body:
+        if isinstance(x, DEFS) and x.name.startswith("test"):
+            out.append(_test_row(x, x.name, False, False))
+        elif isinstance(x, ast.ClassDef) and (x.name.startswith("Test") or x.bases):
+            marks = _marks(x)
+            out += [_test_row(y, f"{x.name}.{y.name}", *marks) for y in x.body if isinstance(y, DEFS) and y.name.startswith("test")]
     return out
 
 
@@ -106,3 +188,10 @@ def python_functions(files: DataFrame) -> DataFrame:
 def python_tokens(files: DataFrame) -> DataFrame:
     """file, text, line, pos"""
     return _flat(files, lambda c: [(t, n, k) for k, (t, n) in enumerate(tokens_of(c))], "file string, text string, line int, pos int", ["file", "text", "line", "pos"])
+
+
+def python_tests(files: DataFrame) -> DataFrame:
+    """file and the facts of each test, as ``testmetric`` takes them."""
+    columns = ["file", "line", "name", "suite", "assertions", "interactions", "skipped", "focused", "expected_failure", "uncleaned_temp"]
+    kinds = {"file": "string", "name": "string", "line": "int", "assertions": "int", "interactions": "int"}
+    return _flat(files, tests_of, ", ".join(f"{c} {kinds.get(c, 'boolean')}" for c in columns), columns)

@@ -74,16 +74,48 @@ def join_blocks(functions: DataFrame, blocks: DataFrame) -> DataFrame:
     return covered.join(measured, "file", "left").withColumn("unmeasured", F.col("_measured").isNull()).drop("_measured")
 
 
-def join_lines(functions: DataFrame, lines: DataFrame) -> DataFrame:
-    """Coverage by lines (file, line, hit): each line counts once, hit if any row says so."""
-    once = lines.groupBy("file", "line").agg(F.bool_or("hit").alias("hit"))
-    measured = lines.select("file").distinct().withColumn("_measured", F.lit(True))
-    l = once.select(F.col("file").alias("_file"), "line", "hit")
-    inside = functions.join(l, (F.col("file") == F.col("_file")) & F.col("line").between(F.col("start_line"), F.col("end_line")), "left")
+def _points(functions: DataFrame, rows: DataFrame) -> DataFrame:
+    """lines_total, lines_covered, unmeasured by rows(file, line, hit) that lie in a function."""
+    measured = rows.select("file").distinct().withColumn("_measured", F.lit(True))
+    own = rows.select(F.col("file").alias("_file"), "line", "hit")
+    inside = functions.join(own, (F.col("file") == F.col("_file")) & F.col("line").between(F.col("start_line"), F.col("end_line")), "left")
     covered = inside.groupBy(*functions.columns).agg(F.count("line").alias("lines_total"), F.count_if("hit").alias("lines_covered"))
     return covered.join(measured, "file", "left").withColumn("unmeasured", F.col("_measured").isNull()).drop("_measured")
 
 
+def join_lines(functions: DataFrame, lines: DataFrame) -> DataFrame:
+    """Coverage by lines (file, line, hit): each line counts once, hit if any row says so."""
+    return _points(functions, lines.groupBy("file", "line").agg(F.bool_or("hit").alias("hit")))
+
+
+def join_statements(functions: DataFrame, statements: DataFrame) -> DataFrame:
+    """Coverage by statements (file, line, hits) that begin in a function: each counts, also several on a line."""
+    return _points(functions, statements.select("file", "line", (F.col("hits") > 0).alias("hit")))
+
+
+def matched_paths(files: DataFrame, reported: DataFrame) -> DataFrame:
+    """file, report_path: for each of files(file) the reported(path) that is equal, else one that ends with it after a slash
+    (the smallest of several). Ends are exploded and joined, so no pair of paths is compared."""
+    path = F.replace("path", F.lit("\\"), F.lit("/"))
+    parts = F.split(path, "/")
+    ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.struct(F.array_join(F.slice(parts, k, F.size(parts)), "/").alias("file"), (k > 1).alias("part")))
+    found = reported.select("path", F.explode(ends).alias("e")).select("e.file", F.struct("e.part", "path").alias("rank"))
+    return files.select("file").distinct().join(found, "file").groupBy("file").agg(F.min("rank").alias("rank")).select("file", F.col("rank.path").alias("report_path"))
+
+
+def file_sizes(measured: DataFrame, functions: DataFrame) -> DataFrame:
+    """measured(file, lines, max_line_length, max_line_length_line); where functions(file, file_lines) knows a file's lines,
+    these count."""
+    own = functions.groupBy("file").agg(F.max("file_lines").alias("_lines"))
+    return measured.join(own, "file", "left").withColumn("lines", F.coalesce("_lines", "lines")).drop("_lines")
+
+
+def with_line_lengths(functions: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The functions with their file's longest line."""
+    own = sizes.select("file", F.col("max_line_length").alias("file_max_line_length"), F.col("max_line_length_line").alias("file_max_line_length_line"))
+    return functions.join(own, "file", "left")
+
+
 def crap_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """file, name, old_crap, new_crap, delta, change: rows whose score differs; of repeated keys the last (by ord) counts."""
     last = lambda d, c: d.groupBy("file", "name").agg(F.max_by("crap", "ord").alias(c), F.lit(True).alias(f"_{c}"))

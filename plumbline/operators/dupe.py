@@ -25,13 +25,36 @@ def word_tokens(files: DataFrame) -> DataFrame:
 ROLL = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 
 
+def _words() -> F.Column:
+    """The words of ``content`` as an array of (text, line), without leaving the row."""
+    lines = F.split("content", "\n", -1)
+    own = F.transform(lines, lambda t, i: F.transform(F.filter(F.split(t, "[ \t\r\f\u000B]+"), lambda w: w != ""), lambda w: F.struct(w.alias("text"), (i + 1).alias("line"))))
+    return F.flatten(own)
+
+
+def text_windows(files: DataFrame, n: int) -> DataFrame:
+    """``windows`` of the words of files(file, content): no shuffle before the windows are counted."""
+    words = files.select("file", _words().alias("ws")).filter(F.size("ws") >= n)
+    return _hashed(words.select("file", F.transform("ws", lambda w: F.xxhash64(w["text"])).alias("hs"), F.transform("ws", lambda w: w["line"]).alias("ls")), n)
+
+
+def token_lines(files: DataFrame) -> DataFrame:
+    """file, lines: from the line of the first word to that of the last one; files without words have no row."""
+    words = files.select("file", _words().alias("ws")).filter(F.size("ws") > 0)
+    return words.select("file", (F.element_at("ws", -1)["line"] - F.element_at("ws", 1)["line"] + 1).cast("long").alias("lines"))
+
+
 def windows(tokens: DataFrame, n: int) -> DataFrame:
     """file, pos, start_line, end_line, k1, k2 (128 bits of the n tokens from pos on).
 
     Tokens of a file are gathered once, as hashes (a file is bounded), and its windows hashed together; nothing is joined.
     """
     rows = tokens.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("pos", F.xxhash64("text").alias("h"), "line"))).alias("ts"))
-    rows = rows.filter(F.size("ts") >= n).select("file", F.transform("ts", lambda t: t["h"]).alias("hs"), F.transform("ts", lambda t: t["line"]).alias("ls"))
+    return _hashed(rows.filter(F.size("ts") >= n).select("file", F.transform("ts", lambda t: t["h"]).alias("hs"), F.transform("ts", lambda t: t["line"]).alias("ls")), n)
+
+
+def _hashed(rows: DataFrame, n: int) -> DataFrame:
+    """From file, hs (hashes), ls (lines)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -48,7 +71,7 @@ def windows(tokens: DataFrame, n: int) -> DataFrame:
                 file = batch.column(0).take(pa.array(np.full(count, k)))
                 yield pa.RecordBatch.from_arrays([file, pa.array(np.arange(count, dtype=np.int32)), pa.array(lines[:count].astype(np.int32)), pa.array(lines[n - 1 :].astype(np.int32)), *keys], names=["file", "pos", "start_line", "end_line", "k1", "k2"])
 
-    kind = tokens.schema["file"].dataType.simpleString()
+    kind = rows.schema["file"].dataType.simpleString()
     return rows.mapInArrow(run, f"file {kind}, pos int, start_line int, end_line int, k1 long, k2 long")
 
 

@@ -5,35 +5,77 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.paths import cleaned
+from plumbline.functions.regex import excluded
+
 
 def in_scope(rows: DataFrame, changed: DataFrame | None, *paths: str) -> DataFrame:
-    """Rows of which any path column is a changed path. None: no scope, all rows; an empty table: no rows."""
+    """Rows of which any path column is a changed path, both cleaned: equal paths, never ends of paths. None: no scope, all
+    rows; an empty table: no rows. A column of paths may be an array: any of them counts."""
     if changed is None:
         return rows
-    names = changed.select(F.col("path")).distinct()
-    if len(paths) == 1:
-        return rows.join(names.withColumnRenamed("path", paths[0]), paths[0], "left_semi")
-    out = rows
-    for k, p in enumerate(paths):
-        out = out.join(names.select(F.col("path").alias(p), F.lit(True).alias(f"_in{k}")), p, "left")
-    keep = F.lit(False)
-    for k in range(len(paths)):
-        keep = keep | F.col(f"_in{k}").isNotNull()
-    return out.filter(keep).select(*rows.columns)
-
-
-def evidence(eligible: DataFrame, analyzed: DataFrame, changed: DataFrame | None = None, excluded: Column | None = None) -> DataFrame:
-    """One row: required, analyzed, missing (paths), passed, reason.
-
-    A full run without eligible files fails; a scoped one passes as not applicable.
+    text = dict(rows.dtypes)
+    clean = lambda c, kind: cleaned(c) if kind == "string" else c
+    names = changed.select(clean(F.col("path"), dict(changed.dtypes)["path"]).alias("_path")).distinct()
+    if len(paths) == 1 and not text[paths[0]].startswith("array"):
+        return rows.withColumn("_path", clean(F.col(paths[0]), text[paths[0]])).join(names, "_path", "left_semi").select(*rows.columns)
+    keyed = rows.withColumn("_row", F.monotonically_increasing_id())
+    own = F.array_compact(F.flatten(F.array(*(F.transform(p, lambda x: clean(x, "string")) if text[p].startswith("array") else F.array(clean(F.col(p), text[p])) for p in paths))))
+    hits = keyed.select(F.explode(own).alias("_path"), F.struct(*rows.columns, "_row").alias("_own")).join(names, "_path", "left_semi")
+    return hits.select("_own.*").dropDuplicates(["_row"]).select(*rows.columns)
+
+
+def policy_scope(changed: DataFrame | None, policy: str) -> DataFrame | None:
+    """The scope of a gate whose policy is a file itself: if that file changed, everything is judged (None)."""
+    if changed is None or not changed.filter(cleaned(F.col("path")) == cleaned(F.lit(policy))).isEmpty():
+        return None
+    return changed
+
+
+def without_excluded(rows: DataFrame, path: str, globs: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The rows whose path no glob excludes, and a row with the number of the others."""
+    out = excluded(F.col(path), globs)
+    return rows.filter(~out), rows.agg(F.count_if(out).alias("excluded"))
+
+
+def evidence(eligible: DataFrame, analyzed: DataFrame, changed: DataFrame | None = None, excluded: Column | None = None, unresolved: DataFrame | None = None) -> DataFrame:
+    """One row: required, analyzed, n_missing, n_unresolved, passed, reason.
+
+    A full run without eligible files fails; a scoped one passes as not applicable. unresolved(file, specifier): local
+    imports of the scope that lead nowhere; any fails.
     """
     rows = eligible if excluded is None else eligible.filter(~excluded)
     rows = in_scope(rows, changed, "path").select("path").distinct()
-    marked = rows.join(analyzed.select("path").distinct().withColumn("_seen", F.lit(True)), "path", "left")
-    out = marked.agg(F.count(F.lit(1)).alias("required"), F.count("_seen").alias("analyzed"), F.count_if(F.col("_seen").isNull()).alias("n_missing"))
+    seen = analyzed.select("path").distinct().withColumn("_seen", F.lit(True))
+    out = rows.join(seen, "path", "left").agg(F.count(F.lit(1)).alias("required"), F.count("_seen").alias("analyzed"), F.count_if(F.col("_seen").isNull()).alias("n_missing"))
+    lost = F.lit(0).cast("long")
+    if unresolved is not None:
+        count = in_scope(unresolved, changed, "file").agg(F.count(F.lit(1)).alias("n_unresolved"), F.lit(0).alias("_one"))
+        out, lost = out.withColumn("_one", F.lit(0)).join(count, "_one"), F.col("n_unresolved")
     nothing = (F.col("required") == 0) & F.lit(changed is None)
-    reason = F.when(nothing, "insufficient analysis: no eligible files").when(F.col("n_missing") > 0, F.concat(F.lit("insufficient analysis: "), F.col("n_missing").cast("string"), F.lit(" eligible file(s) were not analyzed"))).when(F.col("required") == 0, "not applicable").otherwise("")
-    return out.withColumn("passed", ~nothing & (F.col("n_missing") == 0)).withColumn("reason", reason)
+    short = F.lit("insufficient analysis: ")
+    reason = F.when(lost > 0, F.concat(short, lost.cast("string"), F.lit(" relative local import(s) could not be resolved"))).when(nothing, F.concat(short, F.lit("no eligible files")))
+    reason = reason.when(F.col("n_missing") > 0, F.concat(short, F.col("n_missing").cast("string"), F.lit(" eligible file(s) were not analyzed"))).when(F.col("required") == 0, "not applicable").otherwise("")
+    return out.select("required", "analyzed", "n_missing", lost.alias("n_unresolved"), (~nothing & (F.col("n_missing") == 0) & (lost == 0)).alias("passed"), reason.alias("reason"))
+
+
+def with_evidence(verdict: DataFrame, analysis: DataFrame) -> DataFrame:
+    """A verdict of one row with the evidence for it: passed only if both pass."""
+    right = analysis.select(F.lit(0).alias("_one"), F.col("passed").alias("_passed"), *(F.col(c).alias(f"evidence_{c}") for c in ("required", "analyzed", "n_missing", "n_unresolved", "reason")))
+    both = verdict.withColumn("_one", F.lit(0)).join(right, "_one")
+    return both.withColumn("passed", F.col("passed") & F.col("_passed")).drop("_one", "_passed")
+
+
+def evidence_lines(analysis: DataFrame, lost: DataFrame | None = None, unresolved: DataFrame | None = None) -> DataFrame:
+    """ord, text: the evidence as lines of text. lost(path): eligible files that were not analysed."""
+    idle = F.col("passed") & (F.col("required") == 0)
+    head = F.when(idle, "analysis evidence: no eligible changed files; gate not applicable").otherwise(F.format_string("analysis evidence: %d/%d eligible file(s) analyzed", "analyzed", "required"))
+    lines = F.array(F.struct(F.lit(0).alias("ord"), head.alias("text")), F.when(~F.col("passed"), F.struct(F.lit(1).alias("ord"), F.concat(F.lit("FAIL: "), "reason").alias("text"))))
+    out = analysis.select(F.explode(F.array_compact(lines)).alias("l")).select("l.ord", "l.text")
+    for k, (rows, text) in enumerate(((lost, F.concat(F.lit("  missing: "), "path") if lost is not None else None), (unresolved, F.concat(F.lit("  unresolved import: "), "file", F.lit(" "), "specifier") if unresolved is not None else None)), 2):
+        if rows is not None:
+            out = out.unionByName(rows.select(F.lit(k).alias("ord"), text.alias("text")))
+    return out
 
 
 def missing(eligible: DataFrame, analyzed: DataFrame) -> DataFrame:

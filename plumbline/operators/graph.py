@@ -101,34 +101,35 @@ def tarjan(edges: list[tuple[int, int]]) -> dict[int, int]:
     order: dict[int, int] = {}
     low: dict[int, int] = {}
     held: list[int] = []
-    on: set[int] = set()
+    place: dict[int, int] = {}  # of the nodes that are held
     component: dict[int, int] = {}
     for root in sorted(out):
         if root in order:
             continue
         work = [(root, iter(out[root]))]
         order[root] = low[root] = len(order)
+        place[root] = len(held)
         held.append(root)
-        on.add(root)
         while work:
             node, targets = work[-1]
             for t in targets:
                 if t not in order:
                     order[t] = low[t] = len(order)
+                    place[t] = len(held)
                     held.append(t)
-                    on.add(t)
                     work.append((t, iter(out[t])))
                     break
-                if t in on:
+                if t in place:
                     low[node] = min(low[node], order[t])
             else:
                 work.pop()
                 if work:
                     low[work[-1][0]] = min(low[work[-1][0]], low[node])
                 if low[node] == order[node]:
-                    at = held.index(node) if held[-1] != node else len(held) - 1
+                    at = place[node]
                     members, held[at:] = held[at:], []
-                    on.difference_update(members)
+                    for m in members:
+                        del place[m]
                     component.update(dict.fromkeys(members, min(members)))
     return component
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.operators import gates
+
 # Statuses, and their names in two tools' reports (others are left out).
 STATUSES = ["killed", "crashed", "timeout", "survived", "no_coverage", "unviable", "ignored"]
 STRYKER = {"Killed": "killed", "Crash": "crashed", "Timeout": "timeout", "Survived": "survived", "NoCoverage": "no_coverage", "Unviable": "unviable"}
@@ -59,3 +61,9 @@ def mutation_report(mutants: DataFrame, fail_below: float = 60.0, covered_only:
 
 def survivors(mutants: DataFrame, covered_only: bool = False) -> DataFrame:
     return mutants.filter(F.col("status").isin("survived", *([] if covered_only else ["no_coverage"])))
+
+
+def scoped_mutation_report(mutants: DataFrame, fail_below: float, changed: DataFrame | None, eligible: DataFrame, *, minimum_graded: int = 0, **how) -> DataFrame:
+    """The report over changed files; without an eligible changed file there is no floor. eligible(path)."""
+    nothing = minimum_graded > 0 and changed is not None and gates.in_scope(eligible, changed, "path").isEmpty()
+    return mutation_report(gates.in_scope(mutants, changed, "file"), fail_below, minimum_graded=0 if nothing else minimum_graded, **how)

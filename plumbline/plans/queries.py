@@ -44,8 +44,8 @@ def files_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def changed_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stand-in for a list of changed files: a stated property of the rows."""
-    return table(spark, sf_dir, "documents").filter("doc_id % 7 = 0").select(F.col("doc_id").alias("path"))
+    """The stand-in for a list of changed files: those that another table marks."""
+    return table(spark, sf_dir, "labels").filter("toxic = 1 or quality = 0").select(F.col("doc_id").alias("path"))
 
 
 LINES_SQL = """
@@ -67,8 +67,8 @@ def _rate_sql(where: str = "true") -> str:
       (CASE WHEN total_lines = 0 THEN 0.0 ELSE hits / total_lines::DOUBLE * 1000 END) <= {RATE_LIMIT} AND len(found) = 0 AS passed FROM h, l"""
 
 
-def _report(hits: DataFrame, lines: DataFrame) -> DataFrame:
-    return escape.escape_report(hits, lines, RATE_LIMIT, FORBIDDEN).select("hits", "total_lines", "rate", F.array_join("forbidden_found", ",").alias("forbidden_found"), "passed")
+def _rate(files: DataFrame) -> DataFrame:
+    return escape.rate_report(files, HATCHES, RATE_LIMIT, FORBIDDEN).select("hits", "total_lines", "rate", F.array_join("forbidden_found", ",").alias("forbidden_found"), "passed")
 
 
 @query(LINES_SQL + "SELECT file, line::INTEGER AS line, pattern, text FROM hits")
@@ -78,8 +78,7 @@ def escape_hits(spark, sf_dir):
 
 @query(_rate_sql())
 def escape_rate(spark, sf_dir):
-    files = files_of(spark, sf_dir)
-    return _report(escape.hatches(files, HATCHES), escape.lines_by_file(files))
+    return _rate(files_of(spark, sf_dir))
 
 
 @query(LINES_SQL + "SELECT pattern, count(*) AS hits FROM hits GROUP BY pattern")
@@ -92,11 +91,10 @@ def escape_forbidden(spark, sf_dir):
     return escape.hatches(files_of(spark, sf_dir), {k: HATCHES[k] for k in FORBIDDEN}).groupBy("file").agg(F.count(F.lit(1)).alias("hits"))
 
 
-@query(_rate_sql("file % 7 = 0"))
+@query(_rate_sql("file IN (SELECT doc_id FROM labels WHERE toxic = 1 OR quality = 0)"))
 def escape_rate_ratchet(spark, sf_dir):
     files, changed = files_of(spark, sf_dir), changed_docs(spark, sf_dir)
-    scoped = gates.in_scope(files, changed, "file")
-    return _report(escape.hatches(scoped, HATCHES), escape.lines_by_file(scoped))
+    return _rate(gates.in_scope(files, changed, "file"))
 
 
 @query("SELECT doc_id, CASE WHEN length(text) = 0 THEN 0 ELSE length(text) - length(replace(text, chr(10), '')) + CASE WHEN text LIKE '%' || chr(10) THEN 0 ELSE 1 END END::INTEGER AS lines FROM documents")
@@ -263,9 +261,9 @@ def mutation_score_minimum_graded(spark, sf_dir):
     return _mutation(mutants_of(spark, sf_dir), min_mutants=10**9, minimum_graded=10**9)
 
 
-@query(_mutation_sql(where="file % 7 = 0"))
+@query(_mutation_sql(where="file IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)"))
 def mutation_score_ratchet(spark, sf_dir):
-    changed = mutants_of(spark, sf_dir).select(F.col("file").alias("path")).filter("path % 7 = 0")
+    changed = table(spark, sf_dir, "customer").filter("c_acctbal < 0").select(F.col("c_custkey").alias("path"))
     return _mutation(gates.in_scope(mutants_of(spark, sf_dir), changed, "file"))
 
 
@@ -311,18 +309,19 @@ def test_density(spark, sf_dir):
     return counts.withColumn("density", F.round(F.col("assertions") / F.col("tests"), 9))
 
 
-# dead symbols: parts that no shipment of a large quantity and discount uses
+# dead symbols: parts of whose shipped quantity over a third comes back
 
 IGNORED = ["Brand#1/", "Brand#2?/S*", "PROM[A-O]", "lib/*", "100"]
 
 
 def dead_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    used = table(spark, sf_dir, "lineitem").filter("l_quantity >= 48 and l_discount >= 0.08").select(F.col("l_partkey").alias("p_partkey"))
+    back = F.sum(F.when(F.col("l_returnflag") == "R", F.col("l_quantity")).otherwise(0))
+    used = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.sum("l_quantity").alias("n"), back.alias("back")).filter("3 * back <= n").select("p_partkey")
     parts = table(spark, sf_dir, "part").join(used, "p_partkey", "left_anti")
     return parts.select(F.concat_ws("/", "p_brand", "p_type").alias("file"), F.col("p_partkey").alias("line"), F.col("p_partkey").cast("string").alias("name"), F.lit("export").alias("kind"))
 
 
-DEAD_SQL = "WITH d AS (SELECT p_brand || '/' || p_type AS file, p_partkey AS line, p_partkey::VARCHAR AS name, 'export' AS kind FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity >= 48 AND l_discount >= 0.08))\n"
+DEAD_SQL = "WITH u AS (SELECT l_partkey FROM lineitem GROUP BY l_partkey HAVING 3 * sum(CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE 0 END) <= sum(l_quantity)), d AS (SELECT p_brand || '/' || p_type AS file, p_partkey AS line, p_partkey::VARCHAR AS name, 'export' AS kind FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM u))\n"
 
 
 @query(DEAD_SQL + "SELECT * FROM d")
@@ -335,35 +334,41 @@ def dead_ignored(spark, sf_dir):
     return deadcode.not_allowed(dead_of(spark, sf_dir), IGNORED)
 
 
-# packages: suppliers' nations import from customers' nations, for large and discounted shipments
+# packages: a nation that sells more to another than that one sells to it imports from it
 
 
 def trade_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     path = lambda k, out: nation.select(F.col("n_nationkey").alias(k), F.concat_ws("/", "r_name", "n_name").alias(out))
-    items = table(spark, sf_dir, "lineitem").filter("l_quantity = 50 and l_discount >= 0.09").select("l_orderkey", "l_suppkey")
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity")
     sold = items.join(table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
     sold = sold.join(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
-    pairs = sold.groupBy("s_nationkey", "c_nationkey").agg(F.min("l_orderkey").alias("ord"))
-    named = pairs.join(path("s_nationkey", "s"), "s_nationkey").join(path("c_nationkey", "c"), "c_nationkey").filter("s <> c")
+    # both directions of a pair of nations, summed together
+    lo, hi = F.least("s_nationkey", "c_nationkey"), F.greatest("s_nationkey", "c_nationkey")
+    up = F.col("s_nationkey") < F.col("c_nationkey")
+    by = sold.filter("s_nationkey <> c_nationkey").groupBy(lo.alias("lo"), hi.alias("hi")).agg(F.sum(F.when(up, F.col("l_quantity")).otherwise(-F.col("l_quantity"))).alias("net"), F.min("l_orderkey").alias("ord"))
+    first = F.col("net") >= 0
+    pairs = by.select(F.when(first, F.col("lo")).otherwise(F.col("hi")).alias("s_nationkey"), F.when(first, F.col("hi")).otherwise(F.col("lo")).alias("c_nationkey"), "ord")
+    named = pairs.join(path("s_nationkey", "s"), "s_nationkey").join(path("c_nationkey", "c"), "c_nationkey")
     return named.select(F.concat("s", F.lit("/a")).alias("src"), "ord", F.concat("c", F.lit("/b")).alias("dst"))
 
 
 EDGES_SQL = """
 WITH n AS (SELECT n_nationkey, r_name || '/' || n_name AS pkg FROM nation JOIN region ON n_regionkey = r_regionkey),
-e AS (SELECT s.pkg || '/a' AS file, s.pkg AS from_pkg, c.pkg || '/b' AS import, c.pkg AS to_pkg, min(l_orderkey) AS ord FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
-  JOIN n s ON s.n_nationkey = s_nationkey JOIN n c ON c.n_nationkey = c_nationkey WHERE l_quantity = 50 AND l_discount >= 0.09 AND s.pkg <> c.pkg GROUP BY ALL),
+x AS (SELECT s_nationkey AS a, c_nationkey AS b, sum(l_quantity) AS q, min(l_orderkey) AS ord FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE s_nationkey <> c_nationkey GROUP BY ALL),
+y AS (SELECT coalesce(x.a, r.b) AS a, coalesce(x.b, r.a) AS b, coalesce(x.q, 0) AS q, coalesce(r.q, 0) AS other, least(x.ord, r.ord) AS ord FROM x FULL OUTER JOIN x r ON r.a = x.b AND r.b = x.a),
+e AS (SELECT s.pkg || '/a' AS file, s.pkg AS from_pkg, c.pkg || '/b' AS import, c.pkg AS to_pkg, ord FROM y JOIN n s ON s.n_nationkey = a JOIN n c ON c.n_nationkey = b WHERE q > other OR (q = other AND a < b)),
 p AS (SELECT from_pkg, to_pkg, min(file) AS file, min_by(import, (file, ord)) AS import FROM e GROUP BY from_pkg, to_pkg),
 k AS (SELECT package, sum(a)::BIGINT AS afferent, sum(b)::BIGINT AS efferent, sum(b) / (sum(a) + sum(b))::DOUBLE AS instability FROM (SELECT from_pkg AS package, 0 AS a, 1 AS b FROM p UNION ALL SELECT to_pkg, 1, 0 FROM p) GROUP BY package),
 w AS (SELECT p.*, f.instability AS from_instability, t.instability AS to_instability FROM p JOIN k f ON f.package = from_pkg JOIN k t ON t.package = to_pkg WHERE f.instability < t.instability)
 """
 RULES = [arch.Rule("asia-europe", "ASIA/*", ("EUROPE/**",)), arch.Rule("no-home", "**/*A", ("AMERICA/?????*", "NATION_13"))]
-EXCEPTIONS = [arch.Allowed("asia-europe", "ASIA/NATION_17", "EUROPE/NATION_8"), arch.Allowed("no-home", "AFRICA/*", "**")]
+EXCEPTIONS = [arch.Allowed("asia-europe", "ASIA/NATION_17", "EUROPE/NATION_8"), arch.Allowed("no-home", "ASIA/*", "**")]
 _R1 = "regexp_full_match(from_pkg, 'ASIA/[^/]*(?:/.*)?') AND regexp_full_match(to_pkg, 'EUROPE/.*(?:/.*)?')"
 _R2 = "regexp_full_match(from_pkg, '(?:.*/)?[^/]*A(?:/.*)?') AND (regexp_full_match(to_pkg, 'AMERICA/[^/]{5}[^/]*(?:/.*)?') OR regexp_full_match(to_pkg, '(?:.*/)?NATION_13(?:/.*)?'))"
 _V = ", v AS (SELECT 'asia-europe' AS rule, from_pkg, to_pkg, file, import FROM e WHERE {} UNION ALL SELECT 'no-home', from_pkg, to_pkg, file, import FROM e WHERE {})\n"
 VIOLATIONS_SQL = EDGES_SQL + _V.format(_R1, _R2)
-EXEMPT_SQL = EDGES_SQL + _V.format(f"{_R1} AND NOT (regexp_full_match(from_pkg, 'ASIA/NATION_17(?:/.*)?') AND regexp_full_match(to_pkg, 'EUROPE/NATION_8(?:/.*)?'))", f"{_R2} AND NOT regexp_full_match(from_pkg, 'AFRICA/[^/]*(?:/.*)?')")
+EXEMPT_SQL = EDGES_SQL + _V.format(f"{_R1} AND NOT (regexp_full_match(from_pkg, 'ASIA/NATION_17(?:/.*)?') AND regexp_full_match(to_pkg, 'EUROPE/NATION_8(?:/.*)?'))", f"{_R2} AND NOT regexp_full_match(from_pkg, 'ASIA/[^/]*(?:/.*)?')")
 
 
 def edges_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -385,10 +390,13 @@ def arch_exceptions(spark, sf_dir):
     return arch.violations(edges_of(spark, sf_dir), RULES, EXCEPTIONS)
 
 
-@query(VIOLATIONS_SQL.replace(", v AS", ", o AS").rstrip() + EXEMPT_SQL[len(EDGES_SQL) :] + "SELECT rule, from_pkg, to_pkg, file, import, 'fixed' AS change FROM o WHERE (rule, file, import) NOT IN (SELECT (rule, file, import) FROM v)")
+@query(VIOLATIONS_SQL.replace(", v AS", ", o AS").rstrip() + EXEMPT_SQL[len(EDGES_SQL) :] + """SELECT rule, from_pkg, to_pkg, file, import, 'fixed' AS change FROM o WHERE from_pkg NOT LIKE 'AFRICA%' AND (rule, file, import) NOT IN (SELECT (rule, file, import) FROM v)
+UNION ALL SELECT rule, from_pkg, to_pkg, file, import, 'new' FROM v WHERE (rule, file, import) NOT IN (SELECT (rule, file, import) FROM o WHERE from_pkg NOT LIKE 'AFRICA%')""")
 def arch_diff(spark, sf_dir):
+    """Before: without exceptions and without one region; after: with exceptions."""
     edges = edges_of(spark, sf_dir)
-    return arch.arch_diff(arch.violations(edges, RULES), arch.violations(edges, RULES, EXCEPTIONS))
+    before = arch.violations(edges, RULES).filter("from_pkg not like 'AFRICA%'")
+    return arch.arch_diff(before, arch.violations(edges, RULES, EXCEPTIONS))
 
 
 @query(VIOLATIONS_SQL + "SELECT rule, from_pkg, to_pkg, file, import FROM v WHERE file LIKE '%6/_' OR import LIKE '%6/_'")
@@ -420,20 +428,21 @@ def stability_baseline(spark, sf_dir):
     return arch.new_since(found, found.filter("from_pkg like 'A%'")).select("from_pkg", "to_pkg", "file", "import")
 
 
-# cycles: each customer points to one other
+# cycles: the first and the last order of a customer point to others of its dozen, the dozen to the next one
 
 
 def customer_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = table(spark, sf_dir, "customer").count()
-    last = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.max("o_orderkey").alias("k"))
-    return last.select(F.col("o_custkey").alias("a"), (F.col("k") * 7919 % n + 1).alias("b"))
+    ends = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("a")).agg(F.min("o_orderkey").alias("lo"), F.max("o_orderkey").alias("hi"))
+    dozen = F.floor(F.col("a") / 12) * 12
+    targets = F.array(*((dozen + F.pmod(F.floor(F.col(c) / 4) * 7, F.lit(12))).cast("long") for c in ("lo", "hi")), (F.col("a") + 12).cast("long"))
+    return ends.select("a", F.explode(targets).alias("b"))
 
 
 SCC_SQL = """
-WITH RECURSIVE g AS (SELECT o_custkey AS a, max(o_orderkey) * 7919 % (SELECT count(*) FROM customer) + 1 AS b FROM orders GROUP BY o_custkey),
+WITH RECURSIVE o AS (SELECT o_custkey AS a, min(o_orderkey) AS lo, max(o_orderkey) AS hi FROM orders GROUP BY o_custkey),
+g AS (SELECT a, a // 12 * 12 + lo // 4 * 7 % 12 AS b FROM o UNION SELECT a, a // 12 * 12 + hi // 4 * 7 % 12 FROM o),
 walk AS (SELECT a AS start, b AS node FROM g UNION SELECT start, g.b FROM walk JOIN g ON g.a = walk.node),
-cyc AS (SELECT start AS node FROM walk WHERE node = start),
-m AS (SELECT walk.start AS node, min(walk.node) AS scc FROM walk WHERE start IN (SELECT node FROM cyc) GROUP BY walk.start)
+m AS (SELECT f.start AS node, min(f.node) AS scc FROM walk f JOIN walk r ON r.start = f.node AND r.node = f.start GROUP BY f.start)
 """
 
 
@@ -447,10 +456,10 @@ def cycle_count(spark, sf_dir):
     return gates.count_gate(graph.strong_components(customer_graph(spark, sf_dir)).select("scc").distinct())
 
 
-@query(SCC_SQL + "SELECT scc, count(*) AS files FROM m GROUP BY scc HAVING bool_or(node % 7 = 0)")
+@query(SCC_SQL + "SELECT scc, count(*) AS files FROM m GROUP BY scc HAVING bool_or(node IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0))")
 def cycles_ratchet(spark, sf_dir):
     member = graph.strong_components(customer_graph(spark, sf_dir))
-    touched = gates.in_scope(member, member.filter("node % 7 = 0").select(F.col("node").alias("path")), "node").select("scc").distinct()
+    touched = gates.in_scope(member, table(spark, sf_dir, "customer").filter("c_acctbal < 0").select(F.col("c_custkey").alias("path")), "node").select("scc").distinct()
     return member.join(touched, "scc", "left_semi").groupBy("scc").agg(F.count(F.lit(1)).alias("files"))
 
 
@@ -487,7 +496,7 @@ def unresolved_links(spark, sf_dir):
 @query("SELECT count(*) AS required, count(l.doc_id) AS analyzed, count(*) - count(l.doc_id) AS n_missing, count(*) > 0 AND count(*) = count(l.doc_id) AS passed FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id)")
 def evidence_check(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"))
-    return gates.evidence(docs, table(spark, sf_dir, "labels").select(F.col("doc_id").alias("path"))).drop("reason")
+    return gates.evidence(docs, table(spark, sf_dir, "labels").select(F.col("doc_id").alias("path"))).drop("reason", "n_unresolved")
 
 
 @query("SELECT DISTINCT doc_id AS path FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -523,7 +532,7 @@ r AS (SELECT w.* FROM w WHERE win IN (SELECT win FROM w GROUP BY win HAVING coun
 
 
 def _repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dupe.repeated_windows(dupe.windows(dupe.word_tokens(files_of(spark, sf_dir)), 40))
+    return dupe.repeated_windows(dupe.text_windows(files_of(spark, sf_dir), 40))
 
 
 @query(WORDS_SQL + "SELECT file, pos::INTEGER AS pos, start_line::INTEGER AS start_line, end_line::INTEGER AS end_line FROM r")

@@ -7,13 +7,13 @@ from collections.abc import Iterator
 
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from plumbline.sources.config import inside
+from plumbline.sources.walks import Walk, walked
 
-# Directories that a walk leaves out, besides those that begin with a dot.
-SKIPPED = {
-    "go": {"vendor", "testdata"}, "swift": {"Pods", "Tests"}, "ts": {"node_modules"}, "python": {"__pycache__", "venv", "node_modules", "testdata"}, "escape": {"vendor", "node_modules", "testdata"},
-}
-FILES_A_PARTITION = 256
+#: Files and bytes of one partition, at most one file more.
+FILES_A_PARTITION, BYTES_A_PARTITION = 256, 64 << 20
 
 
 class _Chunk(InputPartition):
@@ -28,19 +28,25 @@ class _Reader(DataSourceReader):
     def partitions(self) -> list[_Chunk]:
         """Names only, in the lexical order of a walk; contents are read by the tasks."""
         fs, root = pafs.FileSystem.from_uri(self.path if "://" in self.path else f"file://{self.path}")
-        files: list[tuple[str, str, int]] = []
+        chunks: list[list[tuple[str, str, int]]] = [[]]
+        size = count = 0
 
         def walk(folder: str, at: str) -> None:
+            nonlocal size, count
             for info in sorted(fs.get_file_info(pafs.FileSelector(folder)), key=lambda x: x.base_name):
                 name = posixpath.join(at, info.base_name)
                 if info.type == pafs.FileType.Directory:
                     if info.base_name not in self.skip and not info.base_name.startswith("."):
                         walk(info.path, name)
-                else:
-                    files.append((info.path, name, len(files)))
+                elif inside(self.path, info.path):
+                    if len(chunks[-1]) >= FILES_A_PARTITION or size >= BYTES_A_PARTITION:
+                        chunks.append([])
+                        size = 0
+                    chunks[-1].append((info.path, name, count))
+                    size, count = size + info.size, count + 1
 
         walk(root, "")
-        return [_Chunk(files[k : k + FILES_A_PARTITION]) for k in range(0, len(files), FILES_A_PARTITION)] or [_Chunk([])]
+        return [_Chunk(c) for c in chunks]
 
     def read(self, partition: _Chunk) -> Iterator[tuple]:
         fs, _ = pafs.FileSystem.from_uri(self.path if "://" in self.path else f"file://{self.path}")
@@ -63,7 +69,8 @@ class SourceTree(DataSource):
         return _Reader(self.options["path"], {x for x in self.options.get("skip", "").split(",") if x})
 
 
-def source_tree(spark: SparkSession, path: str, lang: str) -> DataFrame:
-    """file (relative to path), walk_ord, content of all files below path."""
+def source_tree(spark: SparkSession, path: str, walk: Walk) -> DataFrame:
+    """file (relative to path), walk_ord, content of the files below path that the walk takes."""
     spark.dataSource.register(SourceTree)
-    return spark.read.format("source_tree").option("skip", ",".join(sorted(SKIPPED[lang]))).load(path)
+    files = spark.read.format("source_tree").option("skip", ",".join(sorted(walk.skip))).load(path)
+    return files.filter(walked(F.col("file"), walk))

@@ -12,6 +12,7 @@ from plumbline.functions.text import max_line_length, package_of, physical_lines
 from plumbline.operators import arch, crap, deadcode, dupe, escape, gates, graph, mutation, testmetric
 from plumbline.sources import coverage
 from plumbline.sources.trees import source_tree
+from plumbline.sources.walks import WALKS
 
 
 def rows(df, *columns):
@@ -232,7 +233,7 @@ def test_python_facts(spark, tmp_path):
     (tmp_path / ".hidden").mkdir()
     (tmp_path / ".hidden" / "x.py").write_text("x")
     (tmp_path / "bad.py").write_text("def (")
-    files = source_tree(spark, str(tmp_path), "python")
+    files = source_tree(spark, str(tmp_path), WALKS["py-size"])
     assert rows(files, "file") == [("bad.py",), ("pkg/__init__.py",), ("pkg/_p.py",)]
     assert rows(python_facts.python_functions(files)) == [("pkg/_p.py", "C.m", 2, 7, 5, 2, 2), ("pkg/_p.py", "g", 10, 11, 1, 0, 0)]
     assert rows(python_facts.python_tokens(files).filter("line = 10"), "text", "line") == sorted([("def", 10), ("g", 10), ("(", 10), (")", 10), (":", 10)])

@@ -6,7 +6,7 @@ import os
 
 import pytest
 
-from plumbline.plans.queries import ORACLES, QUERIES
+from plumbline.plans.catalog import ORACLES, QUERIES
 
 duckdb = pytest.importorskip("duckdb")
 DIR = "/root/testdata/sf0.001"
