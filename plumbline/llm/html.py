@@ -18,14 +18,16 @@ from __future__ import annotations
 import html as references
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TAG = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
+TAG = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*))")
+COMMENT_END = re.compile(r"--!?>")
+STOP = re.compile("[>\"']")
 ATTRIBUTE = re.compile(r"(?:^|[\s\"'/])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 PART = re.compile(r"[a-z]+")
 # Fixed values of HTML: elements whose content is not markup, without end tag, and of the text flow.
@@ -99,34 +101,83 @@ class Weights:
         self.penalty = {t: 0.05 + 0.45 * out / (inn + out) for t, (inn, out) in tags.items()}
 
 
+class Ends:
+    """Where tags of a page end, in time linear in the page: what was searched in vain once isn't searched again."""
+
+    def __init__(self, page: str) -> None:
+        self.page = page
+        self.vain: dict[str, int] = {}  # of a text, the first place after which it is known not to come
+        self.failed: set[int] = set()  # places outside of quotes from which no tag ends
+
+    def find(self, what: str, at: int) -> int:
+        if at >= self.vain.get(what, len(self.page) + 1):
+            return -1
+        found = self.page.find(what, at)
+        if found < 0:
+            self.vain[what] = at
+        return found
+
+    def of_tag(self, at: int) -> int:
+        """The place after the ``>`` that ends a tag, quoted values skipped; -1 without one."""
+        passed = []
+        while at not in self.failed:
+            passed.append(at)
+            if self.find(">", at) < 0:
+                break
+            m = STOP.search(self.page, at)  # there is one
+            if m[0] == ">":
+                return m.end()
+            close = self.find(m[0], m.end())
+            if close < 0:
+                break
+            at = close + 1
+        self.failed.update(passed)
+        return -1
+
+
 def sequence(page: str) -> Iterator[tuple[str, str, str, str]]:
     """(open | close | text, tag name, attributes, text)"""
-    at, n = 0, len(page)
-    while at < n:
-        m = TAG.search(page, at)
-        if m is None:
-            yield "text", "", "", page[at:]
-            return
-        if m.start() > at:
-            yield "text", "", "", page[at : m.start()]
-        at = m.end()
-        if m[2] is None:
-            continue
-        name = m[2].lower()
+    at, n, text, ends = 0, len(page), 0, Ends(page)
+    while m := TAG.search(page, at):
         if m[1]:
+            begin = m.end()
+            if page.startswith((">", "->"), begin):
+                end = page.index(">", begin) + 1
+            else:
+                found = COMMENT_END.search(page, begin)
+                end = found.end() if found else n
+        elif m[2]:
+            end = ends.find(">", m.end()) + 1
+        else:
+            end = ends.of_tag(m.end())
+        if end <= 0:  # not a tag: its first character is text
+            at = m.start() + 1
+            continue
+        if m.start() > text:
+            yield "text", "", "", page[text : m.start()]
+        at = text = end
+        if m[4] is None:
+            continue
+        name = m[4].lower()
+        if m[3]:
             yield "close", name, "", ""
             continue
-        yield "open", name, m[3], ""
-        if name in RAW and not m[3].endswith("/"):
-            end = re.compile(f"</{re.escape(name)}(?=[\\s/>])[^>]*>", re.I).search(page, at)
-            at = end.end() if end else n
+        attributes = page[m.end() : end - 1]
+        yield "open", name, attributes, ""
+        if name in RAW and not attributes.endswith("/"):
+            found = re.compile(f"</{re.escape(name)}(?=[\\s/>])", re.I).search(page, at)
+            close = ends.find(">", found.end()) if found else -1
+            at = text = close + 1 if close >= 0 else n
             yield "close", name, "", ""
+    if text < n:
+        yield "text", "", "", page[text:]
 
 
 def main_blocks(page: str, weights: Weights) -> list[str]:
     """The blocks of the best region."""
     #: what stands above: (element, 1: for the article, -1: against it, 0: neither)
     above: list[tuple[str, int]] = []
+    open_: Counter[str] = Counter()  # names above
     against = roots = 0
     best, best_from, best_to = 0.0, 0, 0
     score, start = 0.0, 0
@@ -152,7 +203,8 @@ def main_blocks(page: str, weights: Weights) -> list[str]:
                 items.append(None)
             if kind == "open" and name == "p" or kind == "open" and name in CLOSES_P:
                 if above and above[-1][0] == "p":
-                    _, side = above.pop()
+                    x, side = above.pop()
+                    open_[x] -= 1
                     against -= side < 0
                     roots -= side > 0
             if kind == "open" and name in CONTAINERS:
@@ -162,11 +214,13 @@ def main_blocks(page: str, weights: Weights) -> list[str]:
                 else:
                     side = int(any(f in weights.for_ for f in own) and not against)
                 above.append((name, side))
+                open_[name] += 1
                 against += side < 0
                 roots += side > 0
-            elif kind == "close" and name in CONTAINERS and any(x == name for x, _ in above):
+            elif kind == "close" and open_[name]:
                 while True:
                     x, side = above.pop()
+                    open_[x] -= 1
                     against -= side < 0
                     roots -= side > 0
                     if x == name:

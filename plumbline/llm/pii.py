@@ -8,23 +8,27 @@ its neighbours, and the neighbours' lower-cased words where they are known from
 or ``@`` that are not near a spelled-out ``(at)`` or ``dot`` always have the label none; given that, the chain parts at
 such words, so the exact Viterbi path of a document is that of the short runs between them. Runs of a whole batch are
 decoded together, padded by length, in numpy. Decoded spans are trimmed to their letters and digits, checked, and added
-if they overlap no base span. The model is fitted to a small labelled table by gradient steps on its likelihood.
+if they overlap no base span. The model is fitted to a small labelled table (``pii_labels``, by hand) by gradient steps on its likelihood.
 
 Offsets are code points, end exclusive. Null texts count as empty. Rows are independent: no shuffle.
 """
 
 from __future__ import annotations
 
-import random
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.llm.pii_labels import LABELLED
+
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
 Span = tuple[str, int, int]
@@ -150,13 +154,15 @@ def parted(words: list[tuple[int, int, bool]]) -> Iterator[list[tuple[int, int,
         yield words[begin:]
 
 
+IP6 = re.compile(r"(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=.*::)(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}")
+NUMERIC = re.compile(r"\+?[0-9().-]*[0-9][0-9().-]*")
 SHAPES = [(re.compile(r"[A-Z]+"), "A"), (re.compile(r"[a-z\u0080-\U0010FFFF]+"), "a"), (re.compile(r"[0-9]+"), lambda m: f"{min(len(m[0]), 20) // 2 * 2 + 1 if len(m[0]) > 6 else len(m[0])}d")]
 
 
 def shape(word: str) -> str:
     for pattern, mark in SHAPES:
-        word = pattern.sub(mark, word[:80])
-    return word[:40]
+        word = pattern.sub(mark, word)
+    return word
 
 
 def kind_of_chars(word: str) -> str:
@@ -166,6 +172,7 @@ def kind_of_chars(word: str) -> str:
 
 def features(text: str, run: list[tuple[int, int, bool]], known: frozenset[str]) -> list[list[str]]:
     words = [text[a:b].rstrip(".,;:!?&$#%*\"'") for a, b, _ in run]
+    numeric = [bool(NUMERIC.fullmatch(w)) for w in words]
     out = []
     for k, w in enumerate(words):
         before, after = (words[k - 1] if k else ""), (words[k + 1] if k + 1 < len(words) else "")
@@ -174,6 +181,17 @@ def features(text: str, run: list[tuple[int, int, bool]], known: frozenset[str])
             fs.append("address" if DOMAIN.search(w) and w[0] != "@" else "mention")
         elif (d := len(digits(w))) > 4:
             fs.append(f"long={d >= 13}{card_number(w)}{'.' in w}{':' in w}")
+        if numeric[k]:  # the numbers that stand together here: how many digits, in how many words
+            lo = hi = k
+            while lo and numeric[lo - 1] and hi - lo < 8:
+                lo -= 1
+            while hi + 1 < len(words) and numeric[hi + 1] and hi - lo < 16:
+                hi += 1
+            d = digits("".join(words[lo : hi + 1]))
+            fs.append(f"g={min(hi - lo, 4)}:{len(d) // 3}:{13 <= len(d) <= 19 and luhn(d)}:{words[lo][0] if words[lo][0] in '+(' else 0}")
+            fs.append(f"luhn={13 <= len(d) <= 19 and luhn(d)}")
+        if IP6.fullmatch(w):
+            fs.append("colons")
         for tag, x in (("W", w), ("P", before), ("N", after)):
             x = x.lower()
             if x in known:
@@ -231,50 +249,36 @@ class Crf:
 # the labelled table and the fit
 
 
-def labelled_table(rows: int = 1000, seed: int = 5) -> list[tuple[str, list[Span]]]:
-    """Short texts with their spans, from patterns of how such data is written, and numbers that are none."""
-    r = random.Random(seed)
-    n = lambda k: "".join(r.choice("0123456789") for _ in range(k))
-    word = lambda: "".join(r.choice("abcdeghilmnoprstuvw") for _ in range(r.randint(2, 8)))
-
-    def card() -> str:
-        while not luhn(x := "4" + n(15)):
-            pass
-        return x
-
-    host = lambda: f"{word()}.{r.choice(['com', 'org', 'net', 'example.com'])}"
-    octets = lambda: ".".join(str(r.randint(0, 255)) for _ in range(4))
-    made = {
-        "email": [lambda: f"{word()}@{host()}", lambda: f"{word()}.{n(2)}@{host()}", lambda: f"{word()} (at) {word()} (dot) com", lambda: f"{word()} [at] {word()} [dot] org", lambda: f"{word()} (at) {host()}"],
-        "ip": [octets, octets, lambda: ":".join(f"{r.randrange(65536):x}" for _ in range(8)), lambda: f"2001:db8:{r.randrange(65536):x}::{r.randrange(65536):x}"],
-        "card": [card, lambda: " ".join((c := card())[k : k + 4] for k in (0, 4, 8, 12)), lambda: "-".join((c := card())[k : k + 4] for k in (0, 4, 8, 12)), lambda: ".".join((c := card())[k : k + 4] for k in (0, 4, 8, 12))],
-        "phone": [lambda: f"+1 ({n(3)}) {n(3)}-{n(4)}", lambda: f"({n(3)}) {n(3)}-{n(4)}", lambda: f"{n(3)}-{n(3)}-{n(4)}", lambda: f"+49 {n(3)} {n(7)}", lambda: f"{n(3)}.{n(3)}.{n(4)}"],
-    }
-    cards = {"email": ["mail", "write", "contact"], "ip": ["host", "from", "address"], "card": ["card", "visa", "number"], "phone": ["call", "tel", "phone"]}
-    none = [
-        lambda: f"{r.randint(1500, 2100)}", lambda: n(r.randint(1, 6)), lambda: f"{n(2)}.{n(1)}.{n(1)}", lambda: f"{r.randint(1990, 2030)}-{n(2)}-{n(2)}", lambda: f"{n(2)}:{n(2)}", lambda: f"{n(1)},{n(3)},{n(3)}", lambda: f"{n(2)}.{n(2)}%", lambda: f"#{n(5)}", lambda: f"{n(2)}-{n(2)}",
-        lambda: f"token = \"{''.join(r.choice('0123456789abcdef') for _ in range(40))}\"", lambda: f"v{n(1)}.{n(1)}", lambda: f"{word()}{n(2)}", lambda: f"{n(1)}th", lambda: f"${n(3)}.{n(2)}", lambda: f"{n(16)}", lambda: f"{n(9)}", lambda: f"@{word()}", lambda: "dot", lambda: f"{n(3)}-{n(1)}-{n(2)}-{n(6)}-{n(1)}", lambda: f"{n(1)} {n(1)} {n(2)}",
-    ]
+MARK = re.compile(r"\[\[(email|ip|card|phone):(.*?)\]\](?!\])")
+
+
+def labelled_table(text: str = LABELLED) -> list[tuple[str, list[Span]]]:
+    """Lines and their spans, from lines in which data stands as ``[[kind:data]]``."""
     out = []
-    for k in range(rows):
-        text = " ".join(word() for _ in range(r.randint(1, 4)))
-        if k % 2:
-            kind = KINDS[k // 2 % 4]
-            if r.random() < 0.4:
-                text += f" {r.choice(cards[kind])}"
-            start = len(text) + 1
-            text += f" {r.choice(made[kind])()}"
-            spans = [(kind, start, len(text))]
-            text += r.choice(["", ".", ",", "!!"])
-        else:
-            text += f" {r.choice(none)()}{r.choice(['', '.', ',', '!!', '&&&'])}"
-            spans = []
-        out.append((f"{text} {word()} {word()}", spans))
+    for line in text.strip().split("\n"):
+        plain, spans, at = "", [], 0
+        for m in MARK.finditer(line):
+            plain += line[at : m.start()]
+            spans.append((m[1], len(plain), len(plain) + len(m[2])))
+            plain, at = plain + m[2], m.end()
+        out.append((plain + line[at:], spans))
     return out
 
 
+def telling_words(table: list[tuple[str, list[Span]]]) -> frozenset[str]:
+    """Words without digits that stand in spans or next to them in two rows or more."""
+    counts: Counter[str] = Counter()
+    for text, spans in table:
+        found = set()
+        for _, a, b in spans:
+            near = [*text[:a].split()[-1:], *text[b:].split()[:1], *text[a:b].split()]
+            found.update(w.rstrip(".,;:!?&$#%*\"'").lower() for w in near)
+        counts.update(w for w in found if w and not DIGIT.search(w) and "@" not in w)
+    return frozenset(w for w, n in counts.items() if n > 1)
+
+
 def fit_crf(table: list[tuple[str, list[Span]]], rounds: int = 120, rate: float = 0.1, decay: float = 0.002) -> Crf:
-    known = frozenset({"(at)", "[at]", "(dot)", "[dot]", "dot", "token", "call", "tel", "phone", "card", "visa", "mail", "host"})
+    known = telling_words(table)
     index: dict[str, int] = {}
     rows: list[tuple[list[np.ndarray], np.ndarray, np.ndarray]] = []
     for text, spans in table:
@@ -329,7 +333,6 @@ def fit_crf(table: list[tuple[str, list[Span]]], rounds: int = 120, rate: float
     return Crf({f: w[k].astype(np.float32) for f, k in index.items()}, steps.astype(np.float32), known)
 
 
-IP6 = re.compile(r"(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=.*::)(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}")
 PHONE_FORM = re.compile(r"\+?[0-9(][\x20().0-9-]*[0-9]")
 
 
@@ -375,7 +378,15 @@ def decoded(texts: list[str], model: Crf) -> list[list[Span]]:
 
 
 def all_spans(base: list[Span], more: list[Span]) -> list[Span]:
-    added = [s for s in more if not any(s[1] < b and a < s[2] for _, a, b in base)]
+    """The base and those of the others that overlap none of it."""
+    ranges = sorted((a, b) for _, a, b in base)
+    starts = [a for a, _ in ranges]
+    reach = list(accumulate((b for _, b in ranges), max))
+    added = []
+    for s in more:
+        k = bisect_left(starts, s[2])  # those before it begin before the span ends
+        if not k or reach[k - 1] <= s[1]:
+            added.append(s)
     return sorted(base + added, key=lambda s: (KINDS.index(s[0]), s[1]))
 
 
