@@ -10,8 +10,8 @@ second pass joins document positions with that word on the word, keeps those whe
 after lie in the document: the positional and length bound), compares a rolling hash of the words there, and then the
 words themselves.
 
-Items are taken in blocks of at most ``block_words`` distinct words and windows (a proven bound of what each task
-holds); a larger benchmark is joined block by block, so nothing grows with it but the number of passes. Documents are
+Items are taken in blocks of at most ``block_words`` words (a proven bound of what each task holds; longer items are cut
+between windows); a larger benchmark is joined block by block, so nothing grows with it but the number of passes. Documents are
 never shuffled or collected. Null texts have no words and no hits; null items are skipped, and a null item id is listed
 as an empty string; items that repeat an id count once; an empty benchmark hits nothing.
 """
@@ -116,19 +116,21 @@ def rolling_at(ns: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
     return h
 
 
-def item_blocks(items: Iterator, block_words: int) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """Items as (id, words) in lists of at most block_words words; a longer item is a list of its own."""
+def item_blocks(items: Iterator, block_words: int, window: int) -> Iterator[list[tuple[str, list[bytes]]]]:
+    """Items as (id, words) in lists of at most block_words words; a longer item comes in parts that share window - 1 words,
+    so that each of its windows is whole in one."""
     block: list = []
     size = 0
+    most = max(block_words, window)
     for row in items:
-        ws = words_of(row[1])
-        if not ws:
-            continue
-        if block and size + len(ws) > block_words:
-            yield block
-            block, size = [], 0
-        block.append(("" if row[0] is None else str(row[0]), ws))
-        size += len(ws)
+        all_words = words_of(row[1])
+        for at in range(0, max(len(all_words) - window + 1, min(1, len(all_words))), most - window + 1):
+            ws = all_words[at : at + most]
+            if block and size + len(ws) > block_words:
+                yield block
+                block, size = [], 0
+            block.append(("" if row[0] is None else str(row[0]), ws))
+            size += len(ws)
     if block:
         yield block
 
@@ -156,7 +158,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, bl
     raw = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("raw"))
     rows = benchmark.select(F.col(item_col).cast("string"), F.col(item_text_col).cast("binary")).toLocalIterator()
     parts: list[DataFrame] = []
-    for items in item_blocks(rows, block_words):
+    for items in item_blocks(rows, block_words, window):
         block = Block(items, window, _counted(raw, {w for _, ws in items for w in ws}))
         parts.append(_matched(raw, block, not parts))
     if not parts:
@@ -197,7 +199,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = 10
     """The rows of docs, all columns, that hold no window of any item."""
     raw = docs.select(F.lit(None).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("raw"))
     rows = benchmark.select(F.col(item_col).cast("string"), F.col(item_text_col).cast("binary")).toLocalIterator()
-    for items in item_blocks(rows, block_words):
+    for items in item_blocks(rows, block_words, window):
         shared = docs.sparkSession.sparkContext.broadcast(Block(items, window, _counted(raw, {w for _, ws in items for w in ws})))  # at most block_words words
         docs = docs.filter(_clean(shared)(F.col(text_col).cast("binary")))
     return docs

@@ -676,6 +676,20 @@ def plain_hits(docs, items, n=10):
     return sorted(out, key=str)
 
 
+def test_blocks_keep_every_window():
+    r = random.Random(2)
+    items = [(k, " ".join(str(r.randrange(50)) for _ in range(r.choice([0, 1, 3, 9, 10, 11, 12, 40]))).encode()) for k in range(60)]
+    windows = lambda ws: {tuple(ws[k : k + 10]) for k in range(max(1, len(ws) - 9))} if ws else set()
+    for most in (8, 10, 11, 25, 10_000):
+        blocks = list(decontam.item_blocks(iter(items), most, 10))
+        assert all(sum(len(ws) for _, ws in b) <= max(most, 10) for b in blocks)
+        got = defaultdict(set)
+        for b in blocks:
+            for i, ws in b:
+                got[i] |= windows(ws)
+        assert got == {str(i): windows(t.split()) for i, t in items if t}
+
+
 @pytest.mark.parametrize("block_words", [2_000_000, 8])
 def test_decontamination(spark, docs, no_docs, cases, block_words):
     base = cases[0][1].split()
