@@ -88,65 +88,91 @@ def duplicated_lines(repeated: DataFrame) -> DataFrame:
 
 
 def clone_pairs(tokens: DataFrame, n: int = 40) -> DataFrame:
+    """Greedy clones of a token table: see ``window_clones``."""
+    return window_clones(windows(tokens, n), n)
+
+
+def window_clones(found: DataFrame, n: int) -> DataFrame:
     """Greedy clones: file_a, start_line_a, end_line_a, file_b, start_line_b, end_line_b, tokens.
 
     Files are visited in order; at each place not yet covered the longest match with a later place is taken (the first
-    of equal ones), both sides become covered, and the search goes on. Matches only join files that share a window, so
-    the components of files that do are solved apart, each in its own order.
+    of equal ones), both sides become covered, and the search goes on. A match is a run of equal windows along a diagonal,
+    so only repeated windows take part, as numbers: the rest of the files is never gathered. Matches only join files that
+    share a window, so the components of files that do are solved apart, each in its own order.
     """
-    shared = repeated_windows(windows(tokens, n)).select("k1", "k2", "file").distinct()
-    first = shared.groupBy("k1", "k2").agg(F.min("file").alias("src"))
-    edges, nodes = numbered(shared.join(first, ["k1", "k2"]).select("src", F.col("file").alias("dst")).distinct())
+    repeated = repeated_windows(found).select("file", "pos", "start_line", "end_line", "k1", "k2")
+    first = repeated.groupBy("k1", "k2").agg(F.min("file").alias("src"))
+    edges, nodes = numbered(repeated.join(first, ["k1", "k2"]).select("src", F.col("file").alias("dst")).distinct())
     linked = connected_components(edges)
     alone = nodes.select("name", F.col("node").alias("node")).join(linked, "node", "left").select(F.col("name").alias("file"), F.coalesce("component", "node").alias("component"))
-    own = tokens.join(alone, "file")
 
     def greedy(frame: pd.DataFrame) -> pd.DataFrame:
-        files = {f: (g["text"].tolist(), g["line"].tolist()) for f, g in frame.sort_values(["file", "pos"]).groupby("file")}
-        return pd.DataFrame(list(greedy_clones(files, n)), columns=COLUMNS)
+        return pd.DataFrame(list(greedy_clones(frame, n)), columns=COLUMNS)
 
-    return own.groupBy("component").applyInPandas(greedy, "file_a string, start_line_a int, end_line_a int, file_b string, start_line_b int, end_line_b int, tokens int")
+    return repeated.join(alone, "file").groupBy("component").applyInPandas(greedy, "file_a string, start_line_a int, end_line_a int, file_b string, start_line_b int, end_line_b int, tokens int")
 
 
 COLUMNS = ["file_a", "start_line_a", "end_line_a", "file_b", "start_line_b", "end_line_b", "tokens"]
 
 
-def greedy_clones(files: dict[str, tuple[list[str], list[int]]], n: int) -> Iterator[tuple]:
-    order = sorted(files)
-    places: dict[tuple, list[tuple[int, int]]] = {}
-    for i, f in enumerate(order):
-        text = files[f][0]
-        for p in range(len(text) - n + 1):
-            places.setdefault(tuple(text[p : p + n]), []).append((i, p))
-    covered = [[False] * len(files[f][0]) for f in order]
-    for i, f in enumerate(order):
-        text, lines = files[f]
-        for p in range(len(text) - n + 1):
-            if covered[i][p]:
+def _equal_run(a: np.ndarray, b: np.ndarray) -> int:
+    """How long two rows of numbers are equal and not negative from their begin on."""
+    done, step = 0, 64
+    while done < min(len(a), len(b)):
+        x, y = a[done : done + step], b[done : done + step]
+        size = min(len(x), len(y))
+        differ = np.flatnonzero((x[:size] != y[:size]) | (x[:size] < 0))
+        if len(differ):
+            return done + int(differ[0])
+        done, step = done + size, 2 * step
+    return done
+
+
+def greedy_clones(frame: pd.DataFrame, n: int) -> Iterator[tuple]:
+    """Of repeated windows (file, pos, start_line, end_line, k1, k2) of n tokens."""
+    frame = frame.sort_values(["file", "pos"])
+    frame = frame.assign(id=frame.groupby(["k1", "k2"], sort=False).ngroup())
+    order, own = [], []
+    for f, g in frame.groupby("file", sort=True):
+        pos = g["pos"].to_numpy()
+        ids = np.full(pos[-1] + 2, -1)
+        starts, ends = np.zeros(len(ids), int), np.zeros(len(ids), int)
+        ids[pos], starts[pos], ends[pos] = g["id"], g["start_line"], g["end_line"]
+        order.append(f)
+        own.append((pos, ids, starts, ends, np.zeros(len(ids) + n, bool)))
+    places: dict[int, list[tuple[int, int]]] = {}
+    for i, (pos, ids, *_) in enumerate(own):
+        for p in pos.tolist():
+            places.setdefault(int(ids[p]), []).append((i, p))
+    for i, (pos, ids, starts, ends, covered) in enumerate(own):
+        for p in pos.tolist():
+            if covered[p]:
                 continue
             best = (0, -1, -1)
-            for j, q in places[tuple(text[p : p + n])]:
-                if (j, q) <= (i, p) or covered[j][q]:
+            for j, q in places[int(ids[p])]:
+                if (j, q) <= (i, p) or own[j][4][q]:
                     continue
-                other = files[order[j]][0]
-                most = min(len(text) - p, len(other) - q, q - p if i == j else len(text))
-                size = 0
-                while size < most and text[p + size] == other[q + size]:
-                    size += 1
+                size = _equal_run(ids[p:], own[j][1][q:]) + n - 1
+                if i == j:
+                    size = min(size, q - p)
                 if size >= n and size > best[0]:
                     best = (size, j, q)
             size, j, q = best
             if size:
-                for k in range(size):
-                    covered[i][p + k] = covered[j][q + k] = True
-                b = files[order[j]][1]
-                yield f, lines[p], lines[p + size - 1], order[j], b[q], b[q + size - 1], size
+                covered[p : p + size] = True
+                own[j][4][q : q + size] = True
+                yield order[i], starts[p], ends[p + size - n], order[j], own[j][2][q], own[j][3][q + size - n], size
 
 
 def dupe_report(tokens: DataFrame, clones: DataFrame, fail_above: float = 5.0) -> DataFrame:
     """total_lines (from the first to the last token of each file), duplicated_lines (both sides of all clones), percent
     (0 without lines), passed."""
-    lines = tokens.groupBy("file").agg((F.max("line") - F.min("line") + 1).cast("long").alias("lines")).select("lines", F.lit(0).cast("long").alias("dup"))
+    return lines_report(tokens.groupBy("file").agg((F.max("line") - F.min("line") + 1).cast("long").alias("lines")), clones, fail_above)
+
+
+def lines_report(lines: DataFrame, clones: DataFrame, fail_above: float = 5.0) -> DataFrame:
+    """The same from lines(file, lines)."""
+    lines = lines.select("lines", F.lit(0).cast("long").alias("dup"))
     dup = clones.select(F.lit(0).cast("long").alias("lines"), F.expr("end_line_a - start_line_a + 1 + end_line_b - start_line_b + 1").cast("long").alias("dup"))
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
     both = lines.unionByName(dup).agg(total("lines").alias("total_lines"), total("dup").alias("duplicated_lines"))

@@ -557,10 +557,11 @@ def named_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def clone_pairs(spark, sf_dir):
-    return dupe.clone_pairs(dupe.word_tokens(named_files(spark, sf_dir)), 40)
+    return dupe.window_clones(dupe.text_windows(named_files(spark, sf_dir), 40), 40)
 
 
 @query()
 def dup_percent(spark, sf_dir):
-    tokens = dupe.word_tokens(named_files(spark, sf_dir))
-    return dupe.dupe_report(tokens, dupe.clone_pairs(tokens, 40)).withColumn("percent", F.round("percent", 9))
+    files = named_files(spark, sf_dir)
+    clones = dupe.window_clones(dupe.text_windows(files, 40), 40)
+    return dupe.lines_report(dupe.token_lines(files), clones).withColumn("percent", F.round("percent", 9))

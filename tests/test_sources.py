@@ -144,3 +144,80 @@ def test_tarjan_of_a_long_stack():
     began = time.time()
     found = graph.tarjan([(k, k + 1) for k in range(n)] + [(k + 1, k) for k in range(0, n, 2)])
     assert found[1] == 0 and time.time() - began < 10
+
+
+def plain_clones(files, n):
+    """Greedy clones over tokens: (text, line) lists by file."""
+    order = sorted(files)
+    covered = {f: [False] * len(files[f]) for f in order}
+    text = {f: [t for t, _ in files[f]] for f in order}
+    out = []
+    for i, f in enumerate(order):
+        for p in range(len(text[f]) - n + 1):
+            if covered[f][p]:
+                continue
+            best = (0, "", 0)
+            for g in order[i:]:
+                for q in range(p + 1 if g == f else 0, len(text[g]) - n + 1):
+                    if covered[g][q] or text[f][p : p + n] != text[g][q : q + n]:
+                        continue
+                    size = n
+                    while p + size < len(text[f]) and q + size < len(text[g]) and text[f][p + size] == text[g][q + size]:
+                        size += 1
+                    size = min(size, q - p) if f == g else size
+                    if size >= n and size > best[0]:
+                        best = (size, g, q)
+            size, g, q = best
+            if size:
+                for k in range(size):
+                    covered[f][p + k] = covered[g][q + k] = True
+                out.append((f, files[f][p][1], files[f][p + size - 1][1], g, files[g][q][1], files[g][q + size - 1][1], size))
+    return out
+
+
+def test_clones_against_tokens(spark):
+    import random
+
+    from plumbline.operators import dupe
+
+    r = random.Random(9)
+    files = {}
+    parts = [[r.choice("abcdefghij") for _ in range(r.randint(4, 14))] for _ in range(5)]
+    for k in range(14):
+        tokens = [t for _ in range(r.randint(1, 5)) for t in (r.choice(parts) if r.random() < 0.7 else [r.choice("abc") for _ in range(6)])]
+        files[f"f{k:02d}"] = [(t, 1 + i // 3) for i, t in enumerate(tokens)]
+    rows_ = [(f, t, line, p) for f, ts in files.items() for p, (t, line) in enumerate(ts)]
+    df = spark.createDataFrame(rows_, "file string, text string, line int, pos int")
+    assert rows(dupe.clone_pairs(df, 5)) == sorted(plain_clones(files, 5), key=str)
+    texts = spark.createDataFrame([(f, "\n".join(" ".join(t for t, line in ts if line == n) for n in range(1, ts[-1][1] + 1))) for f, ts in files.items()], "file string, content string")
+    assert rows(dupe.window_clones(dupe.text_windows(texts, 5), 5)) == sorted(plain_clones(files, 5), key=str)
+    assert rows(dupe.token_lines(texts)) == sorted((f, ts[-1][1]) for f, ts in files.items())
+
+
+def test_chains_of_random_graphs(spark):
+    """Components by reachability; the chain starts at the first file and follows edges in their order, depth first."""
+    import random
+
+    r = random.Random(4)
+    n = 40
+    pairs = sorted({(f"n{a:02d}", f"n{b:02d}") for a, b in ((r.randrange(n), r.randrange(n)) for _ in range(55))})
+    df = spark.createDataFrame([(a, k, b) for k, (a, b) in enumerate(pairs)], "src string, ord int, dst string")
+    out = {}
+    for a, b in pairs:
+        out.setdefault(a, []).append(b)
+
+    def reach(x):
+        seen, work = set(), list(out.get(x, []))
+        while work:
+            y = work.pop()
+            if y not in seen:
+                seen.add(y)
+                work += out.get(y, [])
+        return seen
+
+    far = {x: reach(x) for x in {y for p in pairs for y in p}}
+    want = {tuple(sorted({y for y in far[x] if x in far[y]} | {x})) for x in far if x in far[x]}
+    found = graph.cycles(df).collect()
+    assert {tuple(c.files) for c in found} == want and len(found) == len(want) > 1
+    for c in found:
+        assert c.chain[0] == c.chain[-1] == c.files[0] and all((a, b) in pairs for a, b in zip(c.chain, c.chain[1:], strict=False)) and len(set(c.chain[1:])) == len(c.chain) - 1
