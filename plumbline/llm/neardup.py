@@ -410,15 +410,15 @@ def drop_near_duplicates(docs: DataFrame, config: Config = Config(), *, id_col:
     of the smallest id (the smallest hash of the text if several rows have it; null ids come last). Texts without words
     all stay."""
     found = near_duplicates(_items(docs, id_col, text_col), config, "neardup").select("k1", "k2", "component")
-    # the row itself is one column, so that no name of its own can clash
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).cast("long").alias("id"), *text_key(text_col))
+    # which rows stay is decided without the texts; they are shuffled once
     order = F.struct(F.col("id").isNull().alias("no_id"), "id", "k1", "k2")
-    first = rows.select("id", "k1", "k2").join(found, ["k1", "k2"]).groupBy("component").agg(F.min(order).alias("first"))
-    first = first.select(F.col("first.k1").alias("k1"), F.col("first.k2").alias("k2"), F.col("first.id").alias("first_id"), F.lit(True).alias("first"))
+    ids = docs.select(F.col(id_col).cast("long").alias("id"), *text_key(text_col))
+    first = ids.join(found, ["k1", "k2"]).groupBy("component").agg(F.min(order).alias("first")).select("first.k1", "first.k2", F.col("first.id").alias("first_id"))
+    # the row itself is one column, so that no name of its own can clash
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).cast("long").alias("id"), *text_key(text_col), F.coalesce(F.length(F.btrim(F.col(text_col).cast("string"), F.lit(" \t\n\v\f\r"))) > 0, F.lit(False)).alias("words"))
     # a text may have several rows: those of the first id stay; of equal rows, one
-    placed = rows.join(found, ["k1", "k2"], "left").join(first, ["k1", "k2"], "left")
-    chosen = placed.filter(F.col("first") & F.col("id").eqNullSafe(F.col("first_id"))).dropDuplicates(["k1", "k2"])
-    return chosen.select("row.*").unionByName(placed.filter("component is null").select("row.*"))
+    chosen = rows.filter("words").join(first, ["k1", "k2"]).filter(F.col("id").eqNullSafe(F.col("first_id"))).dropDuplicates(["k1", "k2"])
+    return chosen.select("row.*").unionByName(rows.filter("not words").select("row.*"))
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
