@@ -221,3 +221,17 @@ def test_chains_of_random_graphs(spark):
     assert {tuple(c.files) for c in found} == want and len(found) == len(want) > 1
     for c in found:
         assert c.chain[0] == c.chain[-1] == c.files[0] and all((a, b) in pairs for a, b in zip(c.chain, c.chain[1:], strict=False)) and len(set(c.chain[1:])) == len(c.chain) - 1
+
+
+def test_tables_of_finished_steps_are_deleted(spark):
+    from plumbline.sources.shared import discard, scratch, shared_dir, written
+
+    folder = shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    t = written(spark.range(3), "kept")
+    assert t.count() == 3 and len(set(os.listdir(folder)) - before) == 1
+    discard(t, None)
+    with scratch(spark):
+        assert written(spark.range(4), "inside").count() == 4
+        assert len(set(os.listdir(folder)) - before) == 1
+    assert set(os.listdir(folder)) == before
