@@ -643,6 +643,21 @@ def test_main_text(spark):
     assert html.extract_main_text(pages.limit(0)).count() == 0
 
 
+# pages with other names than the labelled ones, and their main text
+HELD_OUT = [
+    ("""<html><head><title>t</title></head><body class="home"><div id="top-nav-bar"><a href=/>Home</a> <a>About us</a></div><div class="gdpr-cookie-banner">We use cookies <button>OK</button></div>
+<div class="layout"><div class="left-sidebar widgets"><h3>Latest</h3><ul><li>one thing</li><li>other thing</li></ul></div><div class="post-content entry"><h1>Rain in the hills</h1><p>It rained for <em>nine</em> days.</p><div class="ad-slot-1">Buy umbrellas</div><p>Then the sun came.</p><ol><li>First cloud</li><li>Second cloud</li></ol></div></div><div class="site-footer">Copyright 2020</div></body></html>""","Rain in the hills\nIt rained for nine days.\nThen the sun came.\nFirst cloud\nSecond cloud"),
+("""<body><header class="page-header"><a>Logo</a><nav class=mainmenu><a>News</a><a>Sport</a></nav></header><main role="main"><h2>Bread</h2><p>Flour &amp; water.</p><blockquote>Quote here</blockquote><form class="newsletter-form">Your mail <input></form><p>Bake it.</p><section id="reader-comments"><h3>Comments</h3><p>Nice!</p></section></main><aside class="related-articles"><p>More to read about bread and butter</p></aside><footer>Imprint</footer></body>""","Bread\nFlour & water.\nQuote here\nBake it."),
+("""<div class="search-box">Search</div><div id="main-story"><h1>Title</h1><p>Body text one two three.</p><p>Body text four five.</p><div class="social-share-buttons">Share this</div></div><div class="comment-list"><div>anna: I agree with all of this very much</div></div><div class="subscribe-popup">Subscribe now</div>""","Title\nBody text one two three.\nBody text four five."),
+("""<p>No chrome at all.</p><p>Two blocks.</p>""","No chrome at all.\nTwo blocks."),]
+
+
+def test_main_text_of_unseen_names():
+    weights = html.Weights(html.labelled_pages())
+    for page, want in HELD_OUT:
+        assert "\n".join(html.main_blocks(page, weights)) == want
+
+
 def test_hostile_pages_take_linear_time():
     import time
 
