@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from plumbline.llm.alignment import op11_alignment
 from plumbline.llm.audio import op10_audio_features
 from plumbline.llm.decontam import DECONTAMINATE_SQL, op9_decontaminate
 from plumbline.llm.html import op8_main_text
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_main_text": op8_main_text,
     "op9_decontaminate": op9_decontaminate,
     "op10_audio_features": op10_audio_features,
+    "op11_alignment": op11_alignment,
 }
 
 ORACLES: dict[str, str] = {
