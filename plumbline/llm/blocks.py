@@ -48,7 +48,8 @@ def word_hashes(b: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray
 
 class WordBlock:
     """The words of some texts, numbered; a word is a run of bytes outside of ``gaps``, A-Z as a-z. Words of texts with other
-    ``keys`` (one number a text) are other entries."""
+    ``keys`` (one number a text) are other entries. ``breaks``, a line end among them, part a text into pieces, each of which
+    comes after a number -1; ``ends`` adds the entry END to each text."""
 
     def __init__(self, gaps: np.ndarray, breaks: np.ndarray | None = None, ends: bool = False) -> None:
         self.gaps, self.breaks, self.ends = gaps, breaks, ends
@@ -80,11 +81,9 @@ class WordBlock:
         self.words.append([joined[s:e] for s, e in zip(start[first].tolist(), end[first].tolist(), strict=True)])
         self.hashes.append(distinct)
         self.firsts.append(text[first] + self.rows)
-        if self.breaks is not None:  # -1 before the first word of each further piece of a text
+        if self.breaks is not None:  # -1 before each piece
             piece = np.cumsum(self.breaks[b], dtype=np.int32)[start]
-            cut = np.flatnonzero((np.diff(piece) != 0) & (np.diff(text) == 0)) + 1
-            own = np.insert(own, cut, -1)
-            sizes = sizes + np.bincount(text[cut], minlength=len(texts))
+            own = np.insert(own, np.flatnonzero(np.diff(piece, prepend=-1)), -1)
         self.ids.append(own)
         self.sizes.append(sizes)
         self.rows += len(texts)

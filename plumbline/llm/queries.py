@@ -9,6 +9,7 @@ from plumbline.llm.html import op8_main_text
 from plumbline.llm.mixing import mixing_sql, op4_mix_sources
 from plumbline.llm.neardup import NEAR_DUPLICATES_SQL, op7_near_duplicates
 from plumbline.llm.paragraphs import op1_paragraphs
+from plumbline.llm.phrases import PHRASES_SQL, op12_phrases
 from plumbline.llm.pii import op6_personal_data
 from plumbline.llm.quality import op3_quality
 from plumbline.llm.substrings import op2_repeated_substrings
@@ -26,10 +27,12 @@ QUERIES = {
     "op9_decontaminate": op9_decontaminate,
     "op10_audio_features": op10_audio_features,
     "op11_alignment": op11_alignment,
+    "op12_phrases": op12_phrases,
 }
 
 ORACLES: dict[str, str] = {
     "op4_mix_sources": mixing_sql(),
     "op7_near_duplicates": NEAR_DUPLICATES_SQL,
     "op9_decontaminate": DECONTAMINATE_SQL,
+    "op12_phrases": PHRASES_SQL,
 }
