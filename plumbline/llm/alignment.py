@@ -23,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,6 +35,8 @@ from pyspark.sql import functions as F
 from plumbline.llm.blocks import in_blocks, some_rows, split_rows, written_kinds
 from plumbline.llm.common import small_batches, table, written
 
+#: Of text in a block: each distinct chunk of it is held as text, with its groups.
+BLOCK_BYTES = 16 << 20
 #: A single space after neither a space nor U+2581 (which is B's space) and before no white space: tokens of A start there, and
 #: no piece of B holds a space but at its begin.
 CUT = re.compile("(?<=[^ ▁]) (?=\\S)")
@@ -81,6 +84,16 @@ def linked(a: np.ndarray, of_a: np.ndarray, b: np.ndarray, of_b: np.ndarray, len
     return of_a[at], a[at], b[np.searchsorted(ends_b, stretches)]
 
 
+def links_of(keys: list[str], lengths: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same from groups as texts; a group's number is its place."""
+    sides, owners = [], []
+    for s in (0, 1):
+        own = [k.split("|")[s] for k in keys]
+        sides.append(np.array(",".join(own).split(",") if own else [], np.int64))
+        owners.append(np.repeat(np.arange(len(own)), [k.count(",") + 1 for k in own]))
+    return linked(sides[0], owners[0], sides[1], owners[1], lengths)
+
+
 class Chunks:
     """The distinct chunks of a block, encoded, and the distinct groups that they consist of."""
 
@@ -89,12 +102,9 @@ class Chunks:
         self.lengths = _lengths(path_a, path_b)
         self.number: dict[str, int] = {}
         self.shown: list[str] = []  # groups of each chunk as a text
-        self.bad: list[bool] = []
-        self.sizes: list[tuple[int, int]] = []
+        self.bad, self.tokens_a, self.tokens_b, self.counts = bytearray(), array("q"), array("q"), array("q")  # of each chunk
         self.groups: dict[str, int] = {}
-        self.held: list[np.ndarray] = []  # groups of the chunks, one after the other
-        self.counts: list[int] = []  # how many each has
-        self.tokens: list[tuple[list[int], list[int]]] = []  # of each group
+        self.held = array("i")  # groups of the chunks, one after the other
 
     def add(self, new: list[str]) -> None:
         ids_a = [e.ids for e in self.a.encode_batch_fast([" " + c for c in new], add_special_tokens=False)]
@@ -109,7 +119,6 @@ class Chunks:
         cut_a, cut_b = (np.searchsorted(ends_a, both) + 1).tolist(), (np.searchsorted(ends_b, both) + 1).tolist()
         upto = dict(zip(good, np.searchsorted(both, np.cumsum([len(raw[k]) for k in good]), "right").tolist(), strict=True))
         text_a, text_b = list(map(str, flat_a.tolist())), list(map(str, flat_b.tolist()))
-        list_a, list_b = flat_a.tolist(), flat_b.tolist()
         at = p = q = 0
         for k, chunk in enumerate(new):
             own, shown = [], []
@@ -118,8 +127,7 @@ class Chunks:
                 key = f"{','.join(text_a[p:i])}|{','.join(text_b[q:j])}"
                 member = self.groups.get(key)
                 if member is None:
-                    member = self.groups[key] = len(self.tokens)
-                    self.tokens.append((list_a[p:i], list_b[q:j]))
+                    member = self.groups[key] = len(self.groups)
                 own.append(member)
                 shown.append(key)
                 p, q = i, j
@@ -127,9 +135,10 @@ class Chunks:
             self.number[chunk] = len(self.shown)
             self.shown.append(";".join(shown))
             self.bad.append(bad[k])
-            self.sizes.append((len(ids_a[k]), len(ids_b[k])))
+            self.tokens_a.append(len(ids_a[k]))
+            self.tokens_b.append(len(ids_b[k]))
             self.counts.append(len(own))
-            self.held.append(np.array(own, np.int32))
+            self.held.extend(own)
 
 
 def _taken(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -151,40 +160,37 @@ def align_block(number: int, batches: Iterator[tuple[pa.RecordBatch, list[bytes]
                 chunks.add(new)
             numbers = list(map(chunks.number.__getitem__, own))
             if not own or any(map(chunks.bad.__getitem__, numbers)):
-                held.append(np.zeros(0, np.int64))
+                held.append(np.zeros(0, np.int32))
                 digests.append("")
             else:
-                held.append(np.array(numbers))
+                held.append(np.array(numbers, np.int32))
                 digests.append(hashlib.sha256(";".join(map(chunks.shown.__getitem__, numbers)).encode()).hexdigest())
     sizes = np.array([len(h) for h in held])
-    doc, flat = np.repeat(np.arange(len(held)), sizes), np.concatenate(held).astype(np.int64)
-    per = np.array(chunks.sizes or np.zeros((0, 2)), np.int64)
-    counts = np.array(chunks.counts, np.int64)
-    summed = lambda v: np.bincount(doc, v[flat], len(held)).astype(np.int64)
+    doc, flat = np.repeat(np.arange(len(ids)), sizes), np.concatenate(held).astype(np.int64)
+    per_a, per_b, counts, members = (np.array(x) for x in (chunks.tokens_a, chunks.tokens_b, chunks.counts, chunks.held))
+    del held
+    summed = lambda v: np.bincount(doc, v[flat], len(ids)).astype(np.int64)
     # distinct chunks of each document, then its distinct groups
     pairs, times = np.unique(doc << 32 | flat, return_counts=True)
     d, c = pairs >> 32, pairs & 0xFFFFFFFF
-    members = np.concatenate([*chunks.held, np.zeros(0, np.int32)])
     starts = np.cumsum(counts) - counts
     member = members[_taken(starts[c], counts[c])].astype(np.int64)
     of = np.repeat(d, counts[c]) << 32 | member
     distinct, at = np.unique(of, return_inverse=True)
     times = np.bincount(at, np.repeat(times, counts[c]), len(distinct)).astype(np.int32)
     d, member = distinct >> 32, distinct & 0xFFFFFFFF
-    n = np.bincount(d, minlength=len(held))
+    n = np.bincount(d, minlength=len(ids))
     docs = pa.RecordBatch.from_arrays(
-        [pa.array(np.full(len(held), number)), pa.array(ids, pa.int64()), *(pa.array(summed(v)) for v in (per[:, 0], per[:, 1], counts)), pa.array(digests, pa.string()), split_rows(member.astype("<i4"), n), split_rows(times.astype("<i4"), n)],
+        [pa.array(np.full(len(ids), number)), pa.array(ids, pa.int64()), *(pa.array(summed(v)) for v in (per_a, per_b, counts)), pa.array(digests, pa.string()), split_rows(member.astype("<i4"), n), split_rows(times.astype("<i4"), n)],
         names=["block", "doc_id", "n_a", "n_b", "n_groups", "groups_sha256", "members", "times"],
     )
     yield from some_rows(docs, 2000)
     keys = pa.RecordBatch.from_arrays([pa.array(np.full(len(chunks.groups), number)), pa.array(np.arange(len(chunks.groups), dtype=np.int32)), pa.array(list(chunks.groups), pa.string())], names=["block", "member", "key"])
     yield from some_rows(keys)
     # links once per distinct group, then the distinct pairs of each document
-    sides = [np.array([i for t in chunks.tokens for i in t[s]], np.int64) for s in (0, 1)]
-    owners = [np.repeat(np.arange(len(chunks.tokens)), [len(t[s]) for t in chunks.tokens]) for s in (0, 1)]
-    group, a, b = linked(sides[0], owners[0], sides[1], owners[1], chunks.lengths)
+    group, a, b = links_of(list(chunks.groups), chunks.lengths)
     names, pair = np.unique(a << 32 | b, return_inverse=True)
-    links = np.bincount(group, minlength=len(chunks.tokens))
+    links = np.bincount(group, minlength=len(chunks.groups))
     begin = np.cumsum(links) - links
     seen = np.unique(np.repeat(d, links[member]) << 32 | pair[_taken(begin[member], links[member])])
     docs_of = np.bincount(seen & 0xFFFFFFFF, minlength=len(names))
@@ -200,15 +206,8 @@ def group_links(groups: DataFrame, path_a: str, path_b: str) -> DataFrame:
         lengths = _lengths(path_a, path_b)
         for batch in batches:
             keys = batch.column(0)
-            split = [k.split("|") for k in keys.to_pylist()]
-            sides, owners = [], []
-            for s in (0, 1):
-                own = [k[s].split(",") for k in split]
-                sides.append(np.array([i for t in own for i in t], np.int64))
-                owners.append(np.repeat(np.arange(len(own)), [len(t) for t in own]))
-            if len(split):
-                group, a, b = linked(sides[0], owners[0], sides[1], owners[1], lengths)
-                yield pa.RecordBatch.from_arrays([keys.take(pa.array(group)), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], names=["key", "a", "b"])
+            group, a, b = links_of(keys.to_pylist(), lengths)
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(group)), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], names=["key", "a", "b"])
 
     return groups.select("key").mapInArrow(run, "key string, a int, b int")
 
@@ -244,7 +243,7 @@ def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, own in in_blocks(batches, 1):
+        for number, own in in_blocks(batches, 1, BLOCK_BYTES):
             yield from align_block(number, own, path_a, path_b)
 
     kinds = written_kinds(rows, make, KINDS, "alignment")

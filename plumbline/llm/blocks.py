@@ -101,7 +101,7 @@ class WordBlock:
         return [words[k] for k in first.tolist()], texts[first], np.concatenate(ids), np.concatenate(self.sizes)
 
 
-def in_blocks(batches: Iterator[pa.RecordBatch], text_column: int) -> Iterator[tuple[int, Iterator[tuple[pa.RecordBatch, list[bytes]]]]]:
+def in_blocks(batches: Iterator[pa.RecordBatch], text_column: int, most: int = BLOCK_BYTES) -> Iterator[tuple[int, Iterator[tuple[pa.RecordBatch, list[bytes]]]]]:
     """The number of each block and its batches, with their texts as bytes (null: empty)."""
     from pyspark import TaskContext
 
@@ -112,7 +112,7 @@ def in_blocks(batches: Iterator[pa.RecordBatch], text_column: int) -> Iterator[t
             continue
         texts = [t or b"" for t in batch.column(text_column).cast(pa.binary()).to_pylist()]
         new = sum(map(len, texts))
-        if held and size + new > BLOCK_BYTES:
+        if held and size + new > most:
             yield (part << 32) + number, iter(held)
             held, size, number = [], 0, number + 1
         held.append((batch, texts))
