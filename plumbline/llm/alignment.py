@@ -23,9 +23,10 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-from array import array
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.blocks import in_blocks, some_rows, split_rows, written_kinds
 from plumbline.llm.common import small_batches, table, written
+from plumbline.llm.words import mixed, runs
 
 #: Of text in a block: each distinct chunk of it is held as text, with its groups.
 BLOCK_BYTES = 16 << 20
@@ -94,51 +96,46 @@ def links_of(keys: list[str], lengths: tuple[np.ndarray, np.ndarray]) -> tuple[n
     return linked(sides[0], owners[0], sides[1], owners[1], lengths)
 
 
-class Chunks:
-    """The distinct chunks of a block, encoded, and the distinct groups that they consist of."""
-
-    def __init__(self, path_a: str, path_b: str) -> None:
-        self.a, self.b, self.pieces = _tokenizers(path_a, path_b)
-        self.lengths = _lengths(path_a, path_b)
-        self.number: dict[str, int] = {}
-        self.shown: list[str] = []  # groups of each chunk as a text
-        self.bad, self.tokens_a, self.tokens_b, self.counts = bytearray(), array("q"), array("q"), array("q")  # of each chunk
-        self.groups: dict[str, int] = {}
-        self.held = array("i")  # groups of the chunks, one after the other
-
-    def add(self, new: list[str]) -> None:
-        ids_a = [e.ids for e in self.a.encode_batch_fast([" " + c for c in new], add_special_tokens=False)]
-        ids_b = self.b.encode(new, num_threads=1)
-        raw = [b" " + c.encode() for c in new]
-        bad = [b"".join([self.pieces[i] for i in own]) != r or sum(self.lengths[0][x].tolist()) != len(r) for own, x, r in zip(ids_b, ids_a, raw, strict=True)]
-        good = [k for k, x in enumerate(bad) if not x]
-        flat_a = np.array([i for k in good for i in ids_a[k]], np.int64)
-        flat_b = np.array([i for k in good for i in ids_b[k]], np.int64)
-        ends_a, ends_b = np.cumsum(self.lengths[0][flat_a]), np.cumsum(self.lengths[1][flat_b])
-        both = np.intersect1d(ends_a, ends_b, assume_unique=True)
-        cut_a, cut_b = (np.searchsorted(ends_a, both) + 1).tolist(), (np.searchsorted(ends_b, both) + 1).tolist()
-        upto = dict(zip(good, np.searchsorted(both, np.cumsum([len(raw[k]) for k in good]), "right").tolist(), strict=True))
-        text_a, text_b = list(map(str, flat_a.tolist())), list(map(str, flat_b.tolist()))
-        at = p = q = 0
-        for k, chunk in enumerate(new):
-            own, shown = [], []
-            for g in range(at, upto.get(k, at)):
-                i, j = cut_a[g], cut_b[g]
-                key = f"{','.join(text_a[p:i])}|{','.join(text_b[q:j])}"
-                member = self.groups.get(key)
-                if member is None:
-                    member = self.groups[key] = len(self.groups)
-                own.append(member)
-                shown.append(key)
-                p, q = i, j
-            at = upto.get(k, at)
-            self.number[chunk] = len(self.shown)
-            self.shown.append(";".join(shown))
-            self.bad.append(bad[k])
-            self.tokens_a.append(len(ids_a[k]))
-            self.tokens_b.append(len(ids_b[k]))
-            self.counts.append(len(own))
-            self.held.extend(own)
+def encoded(chunks: list[str], path_a: str, path_b: str) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """Of both tokenizers: the ids of all chunks, one after the other, and how many each has; and which chunks either of them
+    doesn't give back. These have no ids."""
+    a, b, pieces = _tokenizers(path_a, path_b)
+    lengths = _lengths(path_a, path_b)
+    ids, sizes, bad = ([], []), ([], []), []
+    for at in range(0, len(chunks), 10_000):
+        some = chunks[at : at + 10_000]
+        raw = [b" " + c.encode() for c in some]
+        own = ([e.ids for e in a.encode_batch_fast([" " + c for c in some], add_special_tokens=False)], b.encode(some, num_threads=1))
+        flat = [np.array(list(chain.from_iterable(x)), np.int64) for x in own]
+        n = [np.array(list(map(len, x))) for x in own]
+        size = np.array(list(map(len, raw)))
+        wrong = np.zeros(len(some), bool)
+        for k in (0, 1):
+            wrong |= np.bincount(np.repeat(np.arange(len(some)), n[k]), lengths[k][flat[k]], len(some)) != size
+        if b"".join(map(pieces.__getitem__, flat[1].tolist())) != b"".join(raw):
+            wrong |= [b"".join(map(pieces.__getitem__, x)) != r for x, r in zip(own[1], raw, strict=True)]
+        for k in (0, 1):
+            ids[k].append(flat[k][~np.repeat(wrong, n[k])].astype(np.int32))
+            sizes[k].append(np.where(wrong, 0, n[k]))
+        bad.append(wrong)
+    return [np.concatenate(x) for x in ids], [np.concatenate(x) for x in sizes], np.concatenate(bad)
+
+
+def grouped(ids: list[np.ndarray], sizes: list[np.ndarray], lengths: tuple[np.ndarray, np.ndarray]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct groups of all chunks as texts; the groups of the chunks, one after the other; how many each chunk has.
+    Within a block groups are told apart by 64-bit hashes of their ids."""
+    ends = [np.cumsum(lengths[k][ids[k]]) for k in (0, 1)]
+    both = np.intersect1d(*ends, assume_unique=True)
+    to = [np.searchsorted(e, both) + 1 for e in ends]
+    begin = [np.concatenate([[0], t[:-1]]) for t in to]
+    hashes = [runs(mixed(ids[k].astype(np.uint64) + np.uint64(k)), begin[k], to[k]) for k in (0, 1)]
+    _, first, member = np.unique(mixed(hashes[0]) + hashes[1], return_index=True, return_inverse=True)
+    shown = []
+    for k in (0, 1):
+        text = list(map(str, ids[k].tolist()))
+        shown.append([text[i] if j == i + 1 else ",".join(text[i:j]) for i, j in zip(begin[k][first].tolist(), to[k][first].tolist(), strict=True)])
+    upto = np.concatenate([[0], np.cumsum(lengths[0][ids[0]])])[np.cumsum(sizes[0])]  # where the chunks end, in bytes
+    return [f"{x}|{y}" for x, y in zip(*shown, strict=True)], member.astype(np.int32), np.diff(np.searchsorted(both, upto, "right"), prepend=0)
 
 
 def _taken(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -148,26 +145,26 @@ def _taken(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def align_block(number: int, batches: Iterator[tuple[pa.RecordBatch, list[bytes]]], path_a: str, path_b: str) -> Iterator[pa.RecordBatch]:
-    chunks = Chunks(path_a, path_b)
-    ids, held, digests = [], [], []
+    chunks: defaultdict[str, int] = defaultdict()
+    chunks.default_factory = chunks.__len__
+    ids, held = [], []
     for batch, texts in batches:
         ids.extend(batch.column(0).to_pylist())
         for raw in texts:
             text = raw.decode()
-            own = chunks_of(text) if text else []
-            new = [c for c in dict.fromkeys(own) if c not in chunks.number]
-            if new:
-                chunks.add(new)
-            numbers = list(map(chunks.number.__getitem__, own))
-            if not own or any(map(chunks.bad.__getitem__, numbers)):
-                held.append(np.zeros(0, np.int32))
-                digests.append("")
-            else:
-                held.append(np.array(numbers, np.int32))
-                digests.append(hashlib.sha256(";".join(map(chunks.shown.__getitem__, numbers)).encode()).hexdigest())
+            held.append(np.array(list(map(chunks.__getitem__, chunks_of(text))) if text else [], np.int32))
+    flat_ids, (per_a, per_b), bad = encoded(list(chunks), path_a, path_b) if chunks else ([np.zeros(0, np.int32)] * 2, [np.zeros(0, np.int64)] * 2, np.zeros(0, bool))
+    lengths = _lengths(path_a, path_b)
+    groups, members, counts = grouped(flat_ids, [per_a, per_b], lengths)
+    del chunks, flat_ids
+    held = [h[:0] if bad[h].any() else h for h in held]
+    own = list(map(groups.__getitem__, members.tolist()))
+    to = np.cumsum(counts).tolist()
+    shown = [own[j - 1] if n == 1 else ";".join(own[j - n : j]) for j, n in zip(to, counts.tolist(), strict=True)]
+    digests = [hashlib.sha256(";".join(map(shown.__getitem__, h.tolist())).encode()).hexdigest() if len(h) else "" for h in held]
+    del own, shown
     sizes = np.array([len(h) for h in held])
     doc, flat = np.repeat(np.arange(len(ids)), sizes), np.concatenate(held).astype(np.int64)
-    per_a, per_b, counts, members = (np.array(x) for x in (chunks.tokens_a, chunks.tokens_b, chunks.counts, chunks.held))
     del held
     summed = lambda v: np.bincount(doc, v[flat], len(ids)).astype(np.int64)
     # distinct chunks of each document, then its distinct groups
@@ -185,12 +182,12 @@ def align_block(number: int, batches: Iterator[tuple[pa.RecordBatch, list[bytes]
         names=["block", "doc_id", "n_a", "n_b", "n_groups", "groups_sha256", "members", "times"],
     )
     yield from some_rows(docs, 2000)
-    keys = pa.RecordBatch.from_arrays([pa.array(np.full(len(chunks.groups), number)), pa.array(np.arange(len(chunks.groups), dtype=np.int32)), pa.array(list(chunks.groups), pa.string())], names=["block", "member", "key"])
+    keys = pa.RecordBatch.from_arrays([pa.array(np.full(len(groups), number)), pa.array(np.arange(len(groups), dtype=np.int32)), pa.array(groups, pa.string())], names=["block", "member", "key"])
     yield from some_rows(keys)
     # links once per distinct group, then the distinct pairs of each document
-    group, a, b = links_of(list(chunks.groups), chunks.lengths)
+    group, a, b = links_of(groups, lengths)
     names, pair = np.unique(a << 32 | b, return_inverse=True)
-    links = np.bincount(group, minlength=len(chunks.groups))
+    links = np.bincount(group, minlength=len(groups))
     begin = np.cumsum(links) - links
     seen = np.unique(np.repeat(d, links[member]) << 32 | pair[_taken(begin[member], links[member])])
     docs_of = np.bincount(seen & 0xFFFFFFFF, minlength=len(names))
