@@ -6,6 +6,7 @@ from plumbline.llm.alignment import op11_alignment
 from plumbline.llm.audio import op10_audio_features
 from plumbline.llm.decontam import DECONTAMINATE_SQL, op9_decontaminate
 from plumbline.llm.html import op8_main_text
+from plumbline.llm.lm import op13_language_model
 from plumbline.llm.mixing import mixing_sql, op4_mix_sources
 from plumbline.llm.neardup import NEAR_DUPLICATES_SQL, op7_near_duplicates
 from plumbline.llm.paragraphs import op1_paragraphs
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_audio_features": op10_audio_features,
     "op11_alignment": op11_alignment,
     "op12_phrases": op12_phrases,
+    "op13_language_model": op13_language_model,
 }
 
 ORACLES: dict[str, str] = {
