@@ -152,32 +152,32 @@ def pair_nodes(ranked: DataFrame, total: int, ranges: int) -> DataFrame:
     return ranked.mapInArrow(run, "range int, g1 long, g2 long, n long")
 
 
-def _places(g1: np.ndarray, g2: np.ndarray) -> np.ndarray:
+def _places(g1: np.ndarray, g2: np.ndarray, size: int) -> np.ndarray:
     """Bits of the filter, a row for each hash."""
     h = mixed(g1.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ mixed(g2.view(np.uint64) + np.uint64(77)))
     step = (h >> np.uint64(32)) | np.uint64(1)
-    return np.array([(h + np.uint64(k) * step) % np.uint64(FILTER_BITS) for k in range(FILTER_HASHES)])
+    return np.array([(h + np.uint64(k) * step) % np.uint64(size) for k in range(FILTER_HASHES)])
 
 
-def pair_filter(pairs: DataFrame) -> np.ndarray:
-    """A Bloom filter as 64-bit words; the driver gets at most FILTER_BITS / 64 rows, however many pairs there are."""
+def pair_filter(pairs: DataFrame, size: int) -> np.ndarray:
+    """A Bloom filter of so many bits as 64-bit words; the driver gets at most a row a word, however many pairs there are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(FILTER_BITS // 64, np.uint64)
+        bits = np.zeros(size // 64, np.uint64)
         for batch in batches:
-            at = _places(batch.column(0).to_numpy(), batch.column(1).to_numpy()).ravel()
+            at = _places(batch.column(0).to_numpy(), batch.column(1).to_numpy(), size).ravel()
             np.bitwise_or.at(bits, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
         used = np.flatnonzero(bits)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(bits[used].view(np.int64))], names=["word", "bits"])
 
     found = pairs.select("g1", "g2").mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = np.zeros(FILTER_BITS // 64, np.uint64)
+    out = np.zeros(size // 64, np.uint64)
     out[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
     return out
 
 
-def triple_nodes(ranked: DataFrame, pairs: DataFrame, total: int, ranges: int) -> DataFrame:
-    known = ranked.sparkSession.sparkContext.broadcast(pair_filter(pairs))
+def triple_nodes(ranked: DataFrame, pairs: DataFrame, total: int, ranges: int, filter_bits: int) -> DataFrame:
+    known = ranked.sparkSession.sparkContext.broadcast(pair_filter(pairs, filter_bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = known.value
@@ -188,7 +188,7 @@ def triple_nodes(ranked: DataFrame, pairs: DataFrame, total: int, ranges: int) -
             if not len(gs):
                 continue
             real = np.maximum(distinct, 0)
-            at = _places(gs[real >> 32], gs[real & 0xFFFFFFFF])
+            at = _places(gs[real >> 32], gs[real & 0xFFFFFFFF], filter_bits)
             may = np.all(bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1) == 1, axis=0) & (distinct >= 0)
             go = np.flatnonzero(may[own][:-1] & may[own][1:])
             triples, counts = np.unique(own[go].astype(np.int64) << 32 | ids[go + 2], return_counts=True)
@@ -219,15 +219,15 @@ def scored(words: DataFrame, pairs: DataFrame, triples: DataFrame) -> DataFrame:
     return of_two.unionByName(of_three).select("lang", "phrase", "a", "c.l", "c.r", "c.score")
 
 
-def mine_phrases(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFrame:
+def mine_phrases(docs: DataFrame, least: int = LEAST, top: int = TOP, in_range: int = RANGE, filter_bits: int = FILTER_BITS) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's best phrases of two or three words from docs(text, lang)."""
     kinds = phrase_blocks(docs)
     words, total = named(kinds["words"], least)
-    ranges = max(1, -(-total // RANGE))
+    ranges = max(1, -(-total // in_range))
     known = kinds["words"].join(words, ["lang", "word"]).select("block", "word_no", "g", "f")
     ranked = written(kinds["pieces"].groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_ranked, RANKED), "phrase-shards")
     pairs = written(merged(pair_nodes(ranked, max(total, 1), ranges), 2, least), "phrase-level2")
-    triples = written(merged(triple_nodes(ranked, pairs, max(total, 1), ranges), 3, least), "phrase-level3")
+    triples = written(merged(triple_nodes(ranked, pairs, max(total, 1), ranges, filter_bits), 3, least), "phrase-level3")
     discard(ranked)
     place = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), "phrase")
     best = scored(words, pairs, triples).withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= top)

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from conftest import SCHEMA, plain, prose
 
-from plumbline.llm import alignment
+from plumbline.llm import alignment, lm, phrases
 
 
 def result(df, *columns):
@@ -97,3 +97,155 @@ def test_chunks_are_parted_by_both_tokenizers():
         assert " ".join(chunks) == text
         assert [i for c in chunks for i in a.encode(" " + c, add_special_tokens=False).ids] == a.encode(" " + text, add_special_tokens=False).ids
         assert [i for c in chunks for i in b.encode(c)] == b.encode(text)
+
+
+# 12
+
+
+def plain_phrases(rows, least, top):
+    f, n = Counter(), Counter()
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    for lang, text in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split("[.,;:!?\x0a-\x0d]", (text or "").translate(low)):
+            words = re.findall("[^\x20\x09]+", piece)
+            n[lang] += len(words)
+            f.update((lang, tuple(words[i : i + k])) for k in (1, 2, 3) for i in range(len(words) - k + 1))
+    out = defaultdict(list)
+    for (lang, g), a in f.items():
+        if len(g) == 1 or a < least:
+            continue
+        cuts = [(1_000_000 * a * a // (f[lang, g[:k]] * f[lang, g[k:]]), k, f[lang, g[:k]], f[lang, g[k:]]) for k in range(1, len(g))]
+        if len(g) == 2 and any(h[0] == lang and len(h[1]) == 3 and g in (h[1][:2], h[1][1:]) and b >= least and 100 * b >= 50 * a for h, b in f.items()):
+            continue
+        score, _, left, right = min(cuts)
+        out[lang].append((-score, -a, " ".join(g).encode(), left, right))
+    return sorted(((lang, k + 1, p.decode(), -a, left, right, n[lang], -s) for lang, rows in out.items() for k, (s, a, p, left, right) in enumerate(sorted(rows)[:top])), key=str)
+
+
+PHRASE_COLUMNS = ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
+
+
+@pytest.mark.parametrize(("least", "top"), [(2, 10_000), (3, 20), (10, 2000)])
+def test_phrases(spark, awkward, no_docs, least, top):
+    r = random.Random(9)
+    few = [plain(k, " ".join(r.choice("abcd") + r.choice(["", "", ".", "  "]) for _ in range(r.randint(0, 60))), r.choice(["x", "y", None, "und", ""])) for k in range(120)]
+    kept = [c for c in awkward if len(c[1] or "") < 20_000] + few
+    docs = spark.createDataFrame(kept, SCHEMA).repartition(5)
+    assert result(phrases.mine_phrases(docs, least, top), *PHRASE_COLUMNS) == plain_phrases([(c[2], c[1]) for c in kept], least, top)
+    assert phrases.mine_phrases(no_docs, least, top).count() == 0
+
+
+def test_phrases_do_not_depend_on_ranges_and_the_filter(spark):
+    r = random.Random(10)
+    rows = [plain(k, " ".join(r.choices("abcdefgh", range(8, 0, -1), k=200))) for k in range(60)]
+    got = phrases.mine_phrases(spark.createDataFrame(rows, SCHEMA), 10, 500, in_range=500, filter_bits=64)  # nearly everything passes
+    assert result(got, *PHRASE_COLUMNS) == plain_phrases([(c[2], c[1]) for c in rows], 10, 500)
+
+
+def test_scores_of_counts_whose_products_pass_64_bits(spark):
+    words = spark.createDataFrame([("x", "u", 5 * 10**12, 0), ("x", "v", 4 * 10**12, 7 * 10**12)], "lang string, word string, f long, g long")
+    pairs = spark.createDataFrame([(0, 7 * 10**12, 3 * 10**12 + 1)], "g1 long, g2 long, n long")
+    triples = spark.createDataFrame([], "g1 long, g2 long, g3 long, n long")
+    got = phrases.scored(words, pairs, triples).first()
+    assert (got.phrase, got.score) == ("u v", 10**6 * (3 * 10**12 + 1) ** 2 // (20 * 10**24))
+
+
+# 13
+
+
+def learns_not(doc_id):
+    return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 7 == 2
+
+
+def plain_words(text):
+    return [*re.findall(rb"[^\x20\x09-\x0d]+", (text or "").encode().lower()), b""]
+
+
+SMALL = lm.Shape(top=8, width=4, tails=3, buckets=64, rounds=2, batch=50)
+
+
+def held(F):
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+
+
+def test_base_scores_and_counts(awkward_docs, awkward, no_docs):
+    from pyspark.sql import functions as F
+
+    c = Counter(w for r in awkward if not learns_not(r[0]) for w in plain_words(r[1]))
+    n, v = sum(c.values()), len(c)
+    want = sorted(((r[0], learns_not(r[0]), len(w), sum(c[x] > 0 for x in w), n, round(sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w), 6)) for r in awkward for w in [plain_words(r[1])]), key=str)
+    got = lm.score_texts(awkward_docs, held(F), SMALL)
+    assert result(got.withColumn("base_score", F.round("base_score", 6)), "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score") == want
+    assert got.filter("score is null or isnan(score) or score > 0").isEmpty()
+    assert lm.score_texts(no_docs, held(F), SMALL).isEmpty()
+
+
+def test_nothing_to_learn_from(spark):
+    from pyspark.sql import functions as F
+
+    got = lm.score_texts(spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string"), F.lit(True), SMALL).orderBy("doc_id").collect()
+    assert [(r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in got] == [(3, 0, 0, 0.0), (1, 0, 0, 0.0)]
+
+
+def test_probabilities_of_all_outcomes_sum_to_one(spark):
+    r = random.Random(5)
+    rows = [(k, " ".join("".join(r.choices("abc", (6, 2, 1), k=r.randint(1, 5))) for _ in range(30))) for k in range(20)]
+    from pyspark.sql import functions as F
+
+    kinds = lm.word_blocks(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", F.lit(False))
+    words, counts = lm.counted(kinds["words"], SMALL)
+    model = lm.Model(SMALL, counts)
+    rng = np.random.default_rng(1)
+    model.weights = [rng.normal(size=w.shape).astype(np.float32) for w in model.weights]
+    # each outcome's symbol and its share of a class
+    shares, ranks = counts.rare_shares(), {w: k for k, (w, _) in enumerate(counts.top)}
+    outcomes = [(SMALL.rare + 1, shares[0])]
+    for w in words.filter("first and c > 0").collect():
+        if w.word in ranks:
+            outcomes.append((ranks[w.word], 1.0))
+        else:
+            outcomes.append((SMALL.top + w.tail, w.c / counts.tails[w.tail]) if w.c > 2 else (SMALL.rare, shares[w.c]))
+    assert len(outcomes) > 60
+    for context in ([], [0], [3, 9], [1, 2, SMALL.rare], [SMALL.rare + 1, 5, 5, 2]):
+        runs = [np.array([*context, s]) for s, _ in outcomes]
+        text = np.repeat(np.arange(len(runs)), len(context) + 1)
+        last = model.log10(np.concatenate(runs), text)[len(context) :: len(context) + 1]
+        assert sum(10**x * share for x, (_, share) in zip(last, outcomes, strict=True)) == pytest.approx(1, abs=1e-4)
+
+
+def test_gradients_are_those_of_the_log_probability(spark):
+    counts = lm.Counts(100, 20, (4, 3, 2), [(str(k), 20 - k) for k in range(8)], [5, 6, 7])
+    rng = np.random.default_rng(2)
+    model = lm.Model(SMALL, counts)
+    model.weights = [rng.normal(size=w.shape).astype(np.float32) * 0.3 for w in model.weights]
+    symbol, text = rng.integers(0, SMALL.rare + 1, 40), np.repeat([0, 1], 20)
+    before, start = model.log10(symbol, text).sum(), [w.copy() for w in model.weights]
+    squares, met = [np.zeros_like(w) for w in model.weights], [np.zeros(SMALL.buckets) for _ in model.weights]
+    model.train(symbol, text, squares, met)
+    for which in (0, 1):
+        row = int(met[which].argmax())
+        gradient = -np.sqrt(squares[which][row]) * np.sign(model.weights[which][row] - start[which][row]) * -1
+        for column in range(gradient.size):
+            probe = lm.Model(SMALL, counts)
+            probe.weights = [w.astype(np.float64) for w in start]
+            probe.weights[which][row, column] += 1e-4
+            assert (probe.log10(symbol, text).sum() - before) / 1e-4 == pytest.approx(math.log10(math.e) * gradient[column], abs=0.02)
+
+
+def test_context_helps_on_held_out_texts(spark):
+    from pyspark.sql import functions as F
+
+    r = random.Random(6)
+    follow = {w: r.sample("abcdefghijklmnop", 2) for w in "abcdefghijklmnop"}
+
+    def text():
+        words = [r.choice("abcdefghijklmnop")]
+        for _ in range(60):
+            words.append(r.choice(follow[words[-1]]))
+        return " ".join(words)
+
+    rows = [(k, text()) for k in range(400)]
+    got = lm.score_texts(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), held(F), lm.Shape(top=32, width=8, tails=2, buckets=1024, batch=256)).filter("held_out")
+    sums = got.agg(F.sum("score").alias("s"), F.sum("base_score").alias("b"), F.sum("n_tokens").alias("n")).first()
+    assert sums.s / sums.n > -0.45 and sums.s > sums.b + 0.5 * sums.n  # a choice of two is 0.3
