@@ -174,6 +174,7 @@ def py_tests(spark, sf_dir):
         F.lit("import unittest\n\ndef test_"), d.cast("string"), F.lit("(x, y=1):\n    pass\n"), F.repeat(F.lit("    assert x\n"), (d % 4).cast("int")), F.repeat(F.lit("    m.assert_called_once()\n"), (d % 3).cast("int")),
         F.when(d % 5 == 0, "    pytest.skip('no')\n").otherwise(""), F.when(d % 6 == 0, "    t = mkdtemp()\n").otherwise(""), F.when(d % 12 == 0, "    shutil.rmtree(t)\n").otherwise(""), F.repeat(F.lit("    if x and y:\n        for k in x:\n            pass\n        else:\n            y = [z for z in x if z]\n"), (d % 3).cast("int")),
         F.lit("    def inner():\n        if x:\n            assert y\n\nclass Case(unittest.TestCase):\n    @unittest.skip('later')\n    def test_m(self, a):\n        self.assertEqual(1, a)\n"),
+        F.lit("    def any(*args):\n        pass\n    def other(this, a, /, b=lambda q: q, *, c):\n        pass\n    @abc.staticmethod\n    def loose(a, **k):\n        pass\n    def bare():\n        pass\n"),
     )
     return table(spark, sf_dir, "documents").select(d.cast("string").alias("file"), body.alias("content"))
 
@@ -187,7 +188,7 @@ def python_test_facts(spark, sf_dir):
 
 @query("""
 SELECT doc_id::VARCHAR AS file, 'test_' || doc_id AS name, (1 + doc_id % 4 + 6 * (doc_id % 3))::INTEGER AS complexity, 2 AS param_count, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE 2 END AS max_nesting_depth FROM documents
-UNION ALL SELECT doc_id::VARCHAR, 'Case.test_m', 1, 1, 0 FROM documents""")
+UNION ALL SELECT doc_id::VARCHAR, 'Case.' || m.name, 1, m.params, 0 FROM documents, (VALUES ('test_m', 1), ('any', 0), ('other', 3), ('loose', 2), ('bare', 0)) m(name, params)""")
 def python_function_facts(spark, sf_dir):
     return python_functions(py_tests(spark, sf_dir)).select("file", "name", "complexity", "param_count", "max_nesting_depth")
 

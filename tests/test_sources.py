@@ -109,12 +109,27 @@ def test_complexity_of_written_down_functions():
     assert [f[0] for f in python_facts.functions_of(code)] == ["f", "A.m", "h"]
 
 
-def test_test_facts():
+def test_test_facts(spark):
     code = "import x\nclass TestA(Base):\n  @pytest.mark.xfail\n  def test_a(self):\n    with pytest.raises(E):\n      f()\n    self.assertEqual(1, 2)\n    if y:\n      self.skipTest('z')\nclass Other:\n  def test_no(self): pass\n@skip\ndef test_b():\n  t = tempfile.mkdtemp()\n  try:\n    assert m.called\n  finally:\n    pass\nasync def test_c():\n  _check_it()\n  pytest.skip('now')\n"
-    assert python_facts.tests_of(code) == [
+    files = spark.createDataFrame([("a", code), ("b", "def ("), ("c", None), ("d", "x = 1")], "file string, content string")
+    facts = python_facts.python_tests(files).orderBy("line")
+    assert [tuple(r) for r in facts.select("line", "name", "suite", "assertions", "interactions", "skipped", "focused", "expected_failure", "uncleaned_temp").collect()] == [
         (4, "TestA.test_a", False, 2, 0, False, False, True, False), (13, "test_b", False, 1, 1, True, False, False, False), (19, "test_c", False, 1, 0, True, False, False, False),
     ]
-    assert python_facts.tests_of("def (") == []
+
+
+def test_what_is_called(spark):
+    body = ["m().assert_called()", "x[0].assert_any_call(1)", "pytest.raises(E)", "other.raises(E)", "foo(1).expect_it()", "f(pytest.skip)", "self.skipTest('a')", "tempfile.mkdtemp()", "assert a.b.call_count == c.d", "(lambda: check_all(1))()"]
+    code = "def test_a():\n  " + "\n  ".join(body) + "\n"
+    r = python_facts.python_tests(spark.createDataFrame([("a", code)], "file string, content string")).first()
+    assert (r.assertions, r.interactions, r.skipped, r.uncleaned_temp) == (6, 3, True, True)
+
+
+def test_parameters(spark):
+    code = "class A:\n" + "".join(f"  {d}def m{k}({a}): pass\n" for k, (d, a) in enumerate([("", "self, a"), ("", "*args"), ("", "this, /, a, *, b=lambda q, r: q, **k"), ("@staticmethod\n  ", "a"), ("@abc.staticmethod()\n  ", "a"), ("@classmethod\n  ", "c, a"), ("", "")])) + "def f(self, *, b): pass\n"
+    got = python_facts.python_functions(spark.createDataFrame([("a", code)], "file string, content string")).orderBy("start_line")
+    assert [r.param_count for r in got.collect()] == [1, 0, 3, 1, 1, 1, 0, 2]
+
 
 
 def test_scopes_and_names(spark):
