@@ -21,7 +21,9 @@ from pyspark.sql import DataFrame
 from plumbline.llm.common import new_path
 from plumbline.llm.words import runs
 
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
+#: Of text whose words are found together.
+PART_BYTES = 3 << 20
 #: Bytes that are hashed together.
 HASHED = 1 << 19
 _NUMBERS = np.random.default_rng(47).integers(0, 2**64, 256, np.uint64)
@@ -61,6 +63,15 @@ class WordBlock:
         self.size = self.rows = 0
 
     def add(self, texts: list[bytes], keys: np.ndarray) -> None:
+        begin = size = 0
+        for k, t in enumerate(texts):
+            if size and size + len(t) > PART_BYTES:
+                self._add(texts[begin:k], keys[begin:k])
+                begin, size = k, 0
+            size += len(t)
+        self._add(texts[begin:], keys[begin:])
+
+    def _add(self, texts: list[bytes], keys: np.ndarray) -> None:
         joined = b"\n".join([*texts, b""]).lower()
         b = np.frombuffer(joined, np.uint8)
         gap = self.gaps[b]
@@ -101,7 +112,7 @@ class WordBlock:
         return [words[k] for k in first.tolist()], texts[first], np.concatenate(ids), np.concatenate(self.sizes)
 
 
-def in_blocks(batches: Iterator[pa.RecordBatch], text_column: int, most: int = BLOCK_BYTES) -> Iterator[tuple[int, Iterator[tuple[pa.RecordBatch, list[bytes]]]]]:
+def in_blocks(batches: Iterator[pa.RecordBatch], text_column: int) -> Iterator[tuple[int, Iterator[tuple[pa.RecordBatch, list[bytes]]]]]:
     """The number of each block and its batches, with their texts as bytes (null: empty)."""
     from pyspark import TaskContext
 
@@ -112,7 +123,7 @@ def in_blocks(batches: Iterator[pa.RecordBatch], text_column: int, most: int = B
             continue
         texts = [t or b"" for t in batch.column(text_column).cast(pa.binary()).to_pylist()]
         new = sum(map(len, texts))
-        if held and size + new > most:
+        if held and size + new > BLOCK_BYTES:
             yield (part << 32) + number, iter(held)
             held, size, number = [], 0, number + 1
         held.append((batch, texts))
