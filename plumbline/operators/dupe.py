@@ -10,7 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions.wordhash import lines_at, word_hashes, word_places
 from plumbline.operators.graph import connected_components, numbered
+from plumbline.sources.shared import written
 
 
 def word_tokens(files: DataFrame) -> DataFrame:
@@ -25,23 +27,26 @@ def word_tokens(files: DataFrame) -> DataFrame:
 ROLL = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 
 
-def _words() -> F.Column:
-    """The words of ``content`` as an array of (text, line), without leaving the row."""
-    lines = F.split("content", "\n", -1)
-    own = F.transform(lines, lambda t, i: F.transform(F.filter(F.split(t, "[ \t\r\f\u000B]+"), lambda w: w != ""), lambda w: F.struct(w.alias("text"), (i + 1).alias("line"))))
-    return F.flatten(own)
+def text_windows(files: DataFrame, n: int) -> DataFrame:
+    """``windows`` of the words of files(file, content): one pass over the texts, and no shuffle before the windows are
+    counted."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, text in enumerate(batch.column(1).cast(pa.binary())):
+                raw = np.frombuffer(text.as_buffer(), np.uint8) if text.is_valid else np.zeros(0, np.uint8)
+                start, end = word_places(raw)
+                if len(start) >= n:
+                    yield _rolled(batch.column(0), k, word_hashes(raw, start, end), lines_at(raw, start), n)
 
-def text_windows(files: DataFrame, n: int) -> DataFrame:
-    """``windows`` of the words of files(file, content): no shuffle before the windows are counted."""
-    words = files.select("file", _words().alias("ws")).filter(F.size("ws") >= n)
-    return _hashed(words.select("file", F.transform("ws", lambda w: F.xxhash64(w["text"])).alias("hs"), F.transform("ws", lambda w: w["line"]).alias("ls")), n)
+    kind = files.schema["file"].dataType.simpleString()
+    return files.select("file", "content").mapInArrow(run, f"file {kind}, {WINDOW}")
 
 
 def token_lines(files: DataFrame) -> DataFrame:
     """file, lines: from the line of the first word to that of the last one; files without words have no row."""
-    words = files.select("file", _words().alias("ws")).filter(F.size("ws") > 0)
-    return words.select("file", (F.element_at("ws", -1)["line"] - F.element_at("ws", 1)["line"] + 1).cast("long").alias("lines"))
+    words = files.select("file", F.btrim("content", F.lit(" \t\n\r\f\u000b")).alias("t")).filter("t <> ''")
+    return words.select("file", (F.length("t") - F.length(F.replace("t", F.lit("\n"), F.lit(""))) + 1).cast("long").alias("lines"))
 
 
 def windows(tokens: DataFrame, n: int) -> DataFrame:
@@ -59,20 +64,26 @@ def _hashed(rows: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(len(batch)):
-                h = batch.column(1)[k].values.to_numpy().view(np.uint64)
-                lines = batch.column(2)[k].values.to_numpy()
-                count = len(h) - n + 1
-                keys = []
-                for m in ROLL:
-                    total = np.zeros(count, np.uint64)
-                    for i in range(n):
-                        total = total * m + h[i : i + count]
-                    keys.append(pa.array((total ^ (total >> np.uint64(29))).view(np.int64)))
-                file = batch.column(0).take(pa.array(np.full(count, k)))
-                yield pa.RecordBatch.from_arrays([file, pa.array(np.arange(count, dtype=np.int32)), pa.array(lines[:count].astype(np.int32)), pa.array(lines[n - 1 :].astype(np.int32)), *keys], names=["file", "pos", "start_line", "end_line", "k1", "k2"])
+                yield _rolled(batch.column(0), k, batch.column(1)[k].values.to_numpy().view(np.uint64), batch.column(2)[k].values.to_numpy(), n)
 
     kind = rows.schema["file"].dataType.simpleString()
-    return rows.mapInArrow(run, f"file {kind}, pos int, start_line int, end_line int, k1 long, k2 long")
+    return rows.mapInArrow(run, f"file {kind}, {WINDOW}")
+
+
+WINDOW = "pos int, start_line int, end_line int, k1 long, k2 long"
+
+
+def _rolled(files: pa.Array, k: int, h: np.ndarray, lines: np.ndarray, n: int) -> pa.RecordBatch:
+    """The windows of the k-th file from the hashes and the lines of its tokens."""
+    count = len(h) - n + 1
+    keys = []
+    for m in ROLL:
+        total = np.zeros(count, np.uint64)
+        for i in range(n):
+            total = total * m + h[i : i + count]
+        keys.append(pa.array((total ^ (total >> np.uint64(29))).view(np.int64)))
+    columns = [files.take(pa.array(np.full(count, k))), *(pa.array(x.astype(np.int32)) for x in (np.arange(count), lines[:count], lines[n - 1 :])), *keys]
+    return pa.RecordBatch.from_arrays(columns, names=["file", *(c.split()[0] for c in WINDOW.split(", "))])
 
 
 def repeated_windows(found: DataFrame) -> DataFrame:
@@ -87,6 +98,31 @@ def duplicated_lines(repeated: DataFrame) -> DataFrame:
     return each.groupBy("file").agg(F.count(F.lit(1)).alias("lines"))
 
 
+#: Parts that the places of one window are dealt over, so that a frequent window is no hot key.
+PARTS = 8
+
+
+def repeat_runs(found: DataFrame, n: int) -> DataFrame:
+    """Maximal repeated runs of windows of n tokens: file_a, start_line_a, end_line_a, file_b, start_line_b, end_line_b, tokens.
+
+    Each place of a window but the first (by file, then position) is joined to the first one, so there is one row for each
+    repeated window, however many places share it. Rows of one pair of files and one distance that follow each other
+    are a run: its tokens are those of b from its first window's begin to its last one's end. A run ends where the first
+    place of the next window is another one, as where an earlier file holds less of a passage. In one file a run may overlap
+    its first place, as in a repeated word. Windows are equal by 128 bits of their tokens' hashes.
+    """
+    place = F.struct("file", "pos", "start_line", "end_line")
+    repeated = written(repeated_windows(found).select("file", "pos", "start_line", "end_line", "k1", "k2"), "repeated-windows")
+    first = repeated.groupBy("k1", "k2").agg(F.min(place).alias("a")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    rows = repeated.withColumn("part", F.pmod(F.xxhash64("file", "pos"), F.lit(PARTS)).cast("int")).join(first, ["k1", "k2", "part"])
+    rows = rows.filter((F.col("a.file") != F.col("file")) | (F.col("a.pos") != F.col("pos"))).withColumn("distance", F.col("pos") - F.col("a.pos"))
+    diagonal = [F.col("a.file"), F.col("file"), F.col("distance")]
+    rows = rows.withColumn("run", F.col("pos") - F.row_number().over(Window.partitionBy(*diagonal).orderBy("pos")))
+    return rows.groupBy(F.col("a.file").alias("file_a"), F.col("file").alias("file_b"), "distance", "run").agg(
+        F.min("a.start_line").alias("start_line_a"), F.max("a.end_line").alias("end_line_a"), F.min("start_line").alias("start_line_b"), F.max("end_line").alias("end_line_b"), (F.count(F.lit(1)) + n - 1).alias("tokens")
+    ).select("file_a", "start_line_a", "end_line_a", "file_b", "start_line_b", "end_line_b", "tokens")
+
+
 def clone_pairs(tokens: DataFrame, n: int = 40) -> DataFrame:
     """Greedy clones of a token table: see ``window_clones``."""
     return window_clones(windows(tokens, n), n)

@@ -16,13 +16,13 @@ def in_scope(rows: DataFrame, changed: DataFrame | None, *paths: str) -> DataFra
         return rows
     text = dict(rows.dtypes)
     clean = lambda c, kind: cleaned(c) if kind == "string" else c
-    names = changed.select(clean(F.col("path"), dict(changed.dtypes)["path"]).alias("_path")).distinct()
+    names = changed.select(clean(F.col("path"), dict(changed.dtypes)["path"]).alias("path")).distinct()
+    packed = F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("own")  # so that no name of the rows counts
     if len(paths) == 1 and not text[paths[0]].startswith("array"):
-        return rows.withColumn("_path", clean(F.col(paths[0]), text[paths[0]])).join(names, "_path", "left_semi").select(*rows.columns)
-    keyed = rows.withColumn("_row", F.monotonically_increasing_id())
+        return rows.select(packed, clean(F.col(paths[0]), text[paths[0]]).alias("path")).join(names, "path", "left_semi").select("own.*")
     own = F.array_compact(F.flatten(F.array(*(F.transform(p, lambda x: clean(x, "string")) if text[p].startswith("array") else F.array(clean(F.col(p), text[p])) for p in paths))))
-    hits = keyed.select(F.explode(own).alias("_path"), F.struct(*rows.columns, "_row").alias("_own")).join(names, "_path", "left_semi")
-    return hits.select("_own.*").dropDuplicates(["_row"]).select(*rows.columns)
+    hits = rows.select(packed, own.alias("paths"), F.monotonically_increasing_id().alias("row")).select("own", "row", F.explode("paths").alias("path"))
+    return hits.join(names, "path", "left_semi").dropDuplicates(["row"]).select("own.*")
 
 
 def policy_scope(changed: DataFrame | None, policy: str) -> DataFrame | None:
@@ -61,9 +61,10 @@ def evidence(eligible: DataFrame, analyzed: DataFrame, changed: DataFrame | None
 
 def with_evidence(verdict: DataFrame, analysis: DataFrame) -> DataFrame:
     """A verdict of one row with the evidence for it: passed only if both pass."""
-    right = analysis.select(F.lit(0).alias("_one"), F.col("passed").alias("_passed"), *(F.col(c).alias(f"evidence_{c}") for c in ("required", "analyzed", "n_missing", "n_unresolved", "reason")))
-    both = verdict.withColumn("_one", F.lit(0)).join(right, "_one")
-    return both.withColumn("passed", F.col("passed") & F.col("_passed")).drop("_one", "_passed")
+    right = analysis.select(F.lit(0).alias("one"), F.col("passed").alias("analysed"), F.struct(*(F.col(c).alias(f"evidence_{c}") for c in ("required", "analyzed", "n_missing", "n_unresolved", "reason"))).alias("evidence"))
+    both = verdict.select(F.struct(*verdict.columns).alias("own"), F.lit(0).alias("one")).join(right, "one")
+    passed = (F.col("own.passed") & F.col("analysed")).alias("passed")
+    return both.select(*(passed if c == "passed" else F.col(f"own.{c}") for c in verdict.columns), "evidence.*")
 
 
 def evidence_lines(analysis: DataFrame, lost: DataFrame | None = None, unresolved: DataFrame | None = None) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.regex import excluded
 from plumbline.functions.text import max_line_length, physical_lines
-from plumbline.operators import arch, crap, deadcode, dupe, escape, gates, graph, mutation, testmetric
+from plumbline.operators import arch, crap, deadcode, dupe, escape, gates, graph, mutation, orders, testmetric
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -551,6 +551,41 @@ def dup_docs(spark, sf_dir):
     return by.filter("copies > 1").drop("k")
 
 
+RUNS_SQL = WORDS_SQL + """, f AS (SELECT win, min(struct_pack(file := file, pos := pos, s := start_line, e := end_line)) AS a FROM r GROUP BY win),
+d AS (SELECT a.file AS fa, a.s AS sa, a.e AS ea, r.*, pos - a.pos AS dist, pos - row_number() OVER (PARTITION BY a.file, file, pos - a.pos ORDER BY pos) AS run FROM r JOIN f USING (win) WHERE (a.file, a.pos) <> (file, pos)),
+runs AS (SELECT fa AS file_a, min(sa)::INTEGER AS start_line_a, max(ea)::INTEGER AS end_line_a, file AS file_b, min(start_line)::INTEGER AS start_line_b, max(end_line)::INTEGER AS end_line_b, count(*) + 39 AS tokens FROM d GROUP BY fa, file, dist, run)
+"""
+RUN_PERCENT_SQL = RUNS_SQL + """, t2 AS (SELECT coalesce(sum(ls[len(ls)] - ls[1] + 1), 0)::BIGINT AS total_lines FROM t WHERE len(ws) > 0), u AS (SELECT coalesce(sum(end_line_a - start_line_a + 1 + end_line_b - start_line_b + 1), 0)::BIGINT AS duplicated_lines FROM runs{where}),
+p AS (SELECT *, CASE WHEN total_lines = 0 THEN 0.0 ELSE round(duplicated_lines / total_lines::DOUBLE * 100, 9) END AS percent FROM t2, u) SELECT *, percent <= 5 AS passed FROM p"""
+_RUN_CHANGED = "file_a IN (SELECT doc_id FROM labels WHERE toxic = 1 OR quality = 0) OR file_b IN (SELECT doc_id FROM labels WHERE toxic = 1 OR quality = 0)"
+
+
+def runs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dupe.repeat_runs(dupe.text_windows(files_of(spark, sf_dir), 40), 40)
+
+
+@query(RUNS_SQL + "SELECT * FROM runs")
+def repeat_runs(spark, sf_dir):
+    return runs_of(spark, sf_dir)
+
+
+@query(RUNS_SQL + f"SELECT * FROM runs WHERE {_RUN_CHANGED}")
+def repeat_runs_ratchet(spark, sf_dir):
+    """Runs of which either side changed."""
+    return gates.in_scope(runs_of(spark, sf_dir), changed_docs(spark, sf_dir), "file_a", "file_b")
+
+
+@query(RUN_PERCENT_SQL.format(where=""))
+def repeat_percent(spark, sf_dir):
+    return dupe.lines_report(dupe.token_lines(files_of(spark, sf_dir)), runs_of(spark, sf_dir)).withColumn("percent", F.round("percent", 9))
+
+
+@query(RUNS_SQL + "SELECT * FROM runs ORDER BY tokens DESC, file_a, start_line_a, file_b, start_line_b LIMIT 50")
+def top_repeat_runs(spark, sf_dir):
+    best = orders.in_order(runs_of(spark, sf_dir), "clones")
+    return best.limit(50)
+
+
 def named_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files_of(spark, sf_dir).withColumn("file", F.lpad(F.col("file").cast("string"), 12, "0"))
 
