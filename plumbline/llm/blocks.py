@@ -21,7 +21,8 @@ from pyspark.sql import DataFrame
 from plumbline.llm.common import new_path
 from plumbline.llm.words import runs
 
-BLOCK_BYTES = 16 << 20
+#: Small, as executors of 3 GB are to hold several tasks; a larger block has fewer entries per text.
+BLOCK_BYTES = 8 << 20
 #: Of text whose words are found together.
 PART_BYTES = 3 << 20
 #: Bytes that are hashed together.
