@@ -86,9 +86,17 @@ def numbered(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def trimmed(edges: DataFrame, rounds: int = 3) -> DataFrame:
     """Without edges from nodes that nothing enters or to nodes that nothing leaves: these are in no cycle. A few rounds
-    leave little of a graph that is mostly layered; the rest goes on as it is."""
+    leave little of a graph that is mostly layered; the rest goes on as it is. A round that removes nothing is the last."""
+    edges = written(edges, "graph-core")
+    size = edges.count()
     for _ in range(rounds):
-        edges = written(edges.join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(edges.select(F.col("a").alias("b")).distinct(), "b", "left_semi"), "graph-core")
+        sources, targets = edges.select("a").distinct(), edges.select("b").distinct()
+        less = written(edges.join(targets.select(F.col("b").alias("a")), "a", "left_semi").join(sources.select(F.col("a").alias("b")), "b", "left_semi"), "graph-core")
+        discard(edges)
+        edges, before = less, size
+        size = edges.count()
+        if size == before:
+            break
     return edges
 
 
@@ -134,32 +142,123 @@ def tarjan(edges: list[tuple[int, int]]) -> dict[int, int]:
     return component
 
 
+def _solved(frame: pd.DataFrame) -> pd.DataFrame:
+    import pandas as pd
+
+    found = tarjan(list(zip(frame["a"].tolist(), frame["b"].tolist(), strict=True)))
+    return pd.DataFrame({"node": list(found), "scc": list(found.values())}, dtype="int64")
+
+
 def strong_components(edges: DataFrame, most: int = 1_000_000) -> DataFrame:
     """edges(a long, b long) -> (node, scc): the smallest node of each strongly connected component of two nodes or more.
 
-    After trimming, each weakly connected component of at most ``most`` edges is solved in a task of its own; larger ones
-    by passing labels forward and backward over the whole table until they settle, round by round in written tables.
+    After trimming, each weakly connected component of at most ``most`` edges is solved in a task of its own; what is larger
+    is contracted first (``contracted``).
     """
     loops = edges.filter("a = b").select(F.col("a").alias("node"), F.col("a").alias("scc")).distinct()
     core = trimmed(edges.filter("a <> b").distinct())
     weak = connected_components(core)
     placed = written(core.join(weak.withColumnRenamed("node", "a"), "a"), "graph-placed")
     sizes = placed.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-
-    def solve(frame: pd.DataFrame) -> pd.DataFrame:
-        import pandas as pd
-
-        found = tarjan(list(zip(frame["a"].tolist(), frame["b"].tolist(), strict=True)))
-        return pd.DataFrame({"node": list(found), "scc": list(found.values())}, dtype="int64")
-
-    small = placed.join(sizes.filter(F.col("size") <= most), "component").groupBy("component").applyInPandas(solve, "node long, scc long")
+    small = placed.join(sizes.filter(F.col("size") <= most), "component").groupBy("component").applyInPandas(_solved, "node long, scc long")
     large = sizes.filter(F.col("size") > most)
-    found = small if large.isEmpty() else small.unionByName(coloured(placed.join(large.select("component"), "component").select("a", "b")))
+    found = small if large.isEmpty() else small.unionByName(contracted(placed.join(large.select("component"), "component").select("a", "b"), most))
     several = found.groupBy("scc").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("scc")
     cycles = found.join(several, "scc").select("node", "scc")
     return cycles.unionByName(loops.join(cycles.select("node"), "node", "left_anti"))
 
 
+#: Of a cluster that one task contracts: its edges at most, one head among so many nodes, and steps that a head reaches.
+CLUSTER_EDGES, HEADS, REACH = 100_000, 12, 3
+
+
+def contracted(edges: DataFrame, most: int) -> DataFrame:
+    """(node, scc) of a graph that is too large for a task, by making it smaller without losing a cycle.
+
+    A round trims, replaces chains by edges (``_without_chains``) and merges the components that lie inside of clusters
+    around random heads (``_merged_in_clusters``), each of which a task finds. Rounds go on until ``most`` edges are left for
+    one task, or until they hardly help; then labels are passed over what is left (``coloured``). Afterwards the steps are
+    undone backwards: a merged node is where its head is, a node of a chain is where both of the chain's ends are, if that is
+    one place, and else alone. Rounds don't grow with the length of chains.
+    """
+    steps: list[tuple[str, DataFrame]] = []
+    all_nodes = written(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "graph-nodes")
+    left, size, turn = trimmed(edges), None, 0
+    while True:
+        before, size = size, left.count()
+        if size <= max(most, 1) or (before is not None and size > 0.9 * before):
+            break
+        left, chains, rings = _without_chains(left)
+        left, merged = _merged_in_clusters(trimmed(left), turn)
+        left = trimmed(left)
+        steps += [("merge", rings), ("chain", chains), ("merge", merged)]
+        turn += 1
+    rest = left.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(_solved, "node long, scc long") if size <= max(most, 1) else coloured(left)
+    labels = written(rest, "graph-labels")
+    at = lambda node, name: labels.select(F.col("node").alias(node), F.col("scc").alias(name))
+    for kind, rows in reversed(steps):
+        if kind == "merge":
+            new = rows.join(at("head", "far"), "head", "left").select("node", F.coalesce("far", "head").alias("scc"))
+            heads = rows.select(F.col("head").alias("node"), F.col("head").alias("scc")).distinct().join(labels, "node", "left_anti")
+            new = new.unionByName(heads)
+        else:
+            both = rows.join(at("u", "su"), "u", "left").join(at("w", "sw"), "w", "left")
+            su, sw = F.coalesce("su", "u"), F.coalesce("sw", "w")
+            new = both.filter(su == sw).select("node", su.alias("scc"))
+            ends = both.filter(su == sw).select(F.col("u").alias("node"), su.alias("scc")).distinct()
+            new = new.unionByName(ends.join(labels, "node", "left_anti"))
+        old, labels = labels, written(labels.unionByName(new), "graph-labels")
+        discard(old, rows)
+    least = labels.groupBy("scc").agg(F.min("node").alias("least"))
+    own = labels.join(least, "scc").select("node", F.col("least").alias("scc"))
+    return all_nodes.join(own, "node", "left").select("node", F.coalesce("scc", "node").alias("scc"))
+
+
+def _without_chains(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Edges with each chain of nodes that have one edge in and one out replaced by one edge; chains(node, u, w): its nodes
+    and the nodes before and after it; rings(node, head): chains that are closed. Chains are found as components, in
+    logarithmic rounds."""
+    sides = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(None).cast("long").alias("before"), F.col("b").alias("after")), F.struct(F.col("b").alias("node"), F.col("a").alias("before"), F.lit(None).cast("long").alias("after")))).alias("s"))
+    by = sides.groupBy("s.node").agg(F.count("s.before").alias("into"), F.count("s.after").alias("out"), F.max("s.before").alias("before"), F.max("s.after").alias("after"))
+    inner = written(by.filter("into = 1 and out = 1").select("node", "before", "after"), "graph-chain-nodes")
+    is_inner = lambda c, flag: inner.select(F.col("node").alias(c), F.lit(True).alias(flag))
+    marked = inner.join(is_inner("before", "follows"), "before", "left").join(is_inner("after", "leads"), "after", "left")
+    linked = connected_components(marked.filter("leads").select(F.col("node").alias("a"), F.col("after").alias("b")), "graph-chains")
+    placed = marked.join(linked, "node", "left").withColumn("chain", F.coalesce("component", "node"))
+    ends = placed.groupBy("chain").agg(F.max(F.when(F.col("follows").isNull(), F.col("before"))).alias("u"), F.max(F.when(F.col("leads").isNull(), F.col("after"))).alias("w"))
+    members = written(placed.select("node", "chain").join(ends, "chain"), "graph-chains")
+    kept = edges.join(inner.select(F.col("node").alias("a")), "a", "left_anti").join(inner.select(F.col("node").alias("b")), "b", "left_anti")
+    short = written(kept.unionByName(members.filter("u <> w").select(F.col("u").alias("a"), F.col("w").alias("b"))).distinct(), "graph-short")
+    chains = written(members.filter("u is not null").select("node", "u", "w"), "graph-chain-steps")
+    rings = written(members.filter("u is null and node <> chain").select("node", F.col("chain").alias("head")), "graph-rings")
+    discard(inner, members)
+    return short, chains, rings
+
+
+def _merged_in_clusters(edges: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+    """Edges between what is left after each strongly connected component within a cluster became its smallest node, and
+    merged(node, head). A cluster holds what a head reaches first in a few steps, whatever the direction."""
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    lot = F.xxhash64("node", F.lit(turn))
+    nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    near = written(nodes.withColumn("cluster", F.when(F.pmod(lot, F.lit(HEADS)) == 0, F.col("node"))), "graph-clusters")
+    for _ in range(REACH):
+        offered = both.join(near.filter("cluster is not null").withColumnRenamed("node", "a"), "a").groupBy(F.col("b").alias("node")).agg(F.min_by("cluster", F.xxhash64("cluster", F.lit(turn))).alias("offered"))
+        old, near = near, written(near.join(offered, "node", "left").select("node", F.coalesce("cluster", "offered").alias("cluster")), "graph-clusters")
+        discard(old)
+    of = lambda c, name: near.filter("cluster is not null").select(F.col("node").alias(c), F.col("cluster").alias(name))
+    within = edges.join(of("a", "cluster"), "a").join(of("b", "other"), "b").filter("cluster = other").select("cluster", "a", "b")
+    within = written(within, "graph-within")
+    fit = within.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= CLUSTER_EDGES).select("cluster")
+    found = within.join(fit, "cluster").groupBy("cluster").applyInPandas(_solved, "node long, scc long")
+    merged = written(found.filter("node <> scc").select("node", F.col("scc").alias("head")), "graph-merged")
+    to = lambda c: merged.select(F.col("node").alias(c), F.col("head").alias(f"{c}_head"))
+    moved = edges.join(to("a"), "a", "left").join(to("b"), "b", "left").select(F.coalesce("a_head", "a").alias("a"), F.coalesce("b_head", "b").alias("b"))
+    out = written(moved.filter("a <> b").distinct(), "graph-moved")
+    discard(near, within)
+    return out, merged
+
+
 def _spread(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """labels(node, label): the smallest label of all nodes that reach a node over the edges, to a fixpoint."""
     while True:
