@@ -149,7 +149,8 @@ def some_rows(batch: pa.RecordBatch, rows: int = 20_000) -> Iterator[pa.RecordBa
 def written_kinds(rows: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], kinds: dict[str, str], name: str) -> dict[str, DataFrame]:
     """Runs ``make``, whose batches hold the columns of one kind each, once; a table of the shared folder for each kind.
 
-    kinds: the columns of each kind; names that several kinds share have one type."""
+    kinds: the columns of each kind; names that several kinds share have one type. All kinds are in the same files, whose
+    columns a reader of one kind picks, so a task writes one file."""
     columns: dict[str, str] = {}
     for spec in kinds.values():
         columns.update(c.strip().split(" ", 1) for c in spec.split(","))
@@ -164,9 +165,5 @@ def written_kinds(rows: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], It
 
     spark = rows.sparkSession
     path = new_path(spark, name)
-    rows.mapInArrow(run, "kind string, " + ", ".join(f"{c} {t}" for c, t in columns.items())).write.option("compression", "zstd").partitionBy("kind").parquet(path)
-    out = {}
-    for kind, spec in kinds.items():
-        out[kind] = spark.read.schema(f"{spec}, kind string").parquet(path).filter(f"kind = '{kind}'").drop("kind")
-        out[kind].written_path = path
-    return out
+    rows.mapInArrow(run, "kind string, " + ", ".join(f"{c} {t}" for c, t in columns.items())).write.option("compression", "zstd").parquet(path)
+    return {kind: spark.read.schema(f"{spec}, kind string").parquet(path).filter(f"kind = '{kind}'").drop("kind") for kind, spec in kinds.items()}
