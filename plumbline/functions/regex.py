@@ -79,6 +79,28 @@ def excluded(path: Column, globs: list[str]) -> Column:
     return out
 
 
+def glob_pattern(glob: Column) -> Column:
+    """``exclude_glob`` of a column of globs; null for an empty one."""
+    plain = F.regexp_replace(F.trim(F.regexp_replace(glob, r"^\./", "")), "/$", "")
+    safe = F.regexp_replace(plain, r"([\\.+()|\[\]{}^$])", r"\\$1")
+    parts = F.regexp_replace(F.regexp_replace(safe, r"\*\*", "\u0002"), "\u0002/", "\u0001")
+    out = F.replace(F.replace(parts, F.lit("*"), F.lit("[^/]*")), F.lit("?"), F.lit("[^/]"))
+    out = F.replace(F.replace(out, F.lit("\u0001"), F.lit("(?:.*/)?")), F.lit("\u0002"), F.lit(".*"))
+    return F.when(plain != "", F.concat(F.lit("(?s)\\A"), F.when(plain.contains("/"), "").otherwise("(?:.*/)?"), out, F.lit("(?:/.*)?\\z")))
+
+
+def literal_folder(glob: Column) -> Column:
+    """The folders that a glob names before its first wildcard or last part, with a slash; empty for a bare name."""
+    return F.regexp_extract(F.trim(F.regexp_replace(glob, r"^\./", "")), "^((?:[^*?/]+/)*)[^/]+", 1)
+
+
+def folders_above(path: Column) -> Column:
+    """All that ``literal_folder`` may be of a glob that matches the path."""
+    parts = F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/")
+    ends = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda k: F.concat(F.array_join(F.slice(parts, F.lit(1), k), "/"), F.lit("/")))
+    return F.when(F.size(parts) > 1, F.concat(F.array(F.lit("")), ends)).otherwise(F.array(F.lit("")))
+
+
 def allowed(file: Column, name: Column, entries: list[str]) -> Column:
     """Whether an allow-list of dead code covers a finding: ``dir/``, a path glob, a glob of the base name, or a symbol
     (also as the last part of a dotted name). Blank lines and ``#`` lines are skipped."""

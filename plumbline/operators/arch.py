@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.regex import excluded
+from plumbline.functions.regex import excluded, folders_above, glob_pattern, literal_folder
 from plumbline.functions.text import package_of
 
 
@@ -58,6 +58,24 @@ def violations(edges: DataFrame, rules: list[Rule], exceptions: list[Allowed] =
     return across.select(F.explode(F.array_compact(F.array(*map(breaks, rules)))).alias("rule"), "from_pkg", "to_pkg", "file", "import")
 
 
+def rule_violations(edges: DataFrame, rules: DataFrame, exceptions: DataFrame | None = None) -> DataFrame:
+    """``violations`` with rules(rule, source, deny array) and exceptions(rule, source, target) as tables, of any length.
+
+    A rule is found by the literal folders that its source begins with: the folders above an edge's package are joined with
+    them, and only then are globs matched, so a rule meets the edges below its folder and the plan doesn't grow with rules.
+    Rules whose source begins with a wildcard or is a bare name meet all edges. Rules of one name are one rule each.
+    """
+    of = rules.select("rule", literal_folder(F.col("source")).alias("folder"), glob_pattern(F.col("source")).alias("from_glob"), F.array_join(F.array_compact(F.transform("deny", glob_pattern)), "|").alias("to_glob")).filter("from_glob is not null and to_glob <> ''")
+    path = lambda c: F.replace(c, F.lit("\\"), F.lit("/"))
+    across = edges.filter("from_pkg <> to_pkg").select("from_pkg", "to_pkg", "file", "import", F.explode(folders_above(F.col("from_pkg"))).alias("folder"))
+    met = across.join(of, "folder").filter(F.rlike(path("from_pkg"), F.col("from_glob")) & F.rlike(path("to_pkg"), F.col("to_glob")))
+    out = met.select("rule", "from_pkg", "to_pkg", "file", "import")
+    if exceptions is None:
+        return out
+    free = exceptions.select(F.col("rule").alias("of"), glob_pattern(F.col("source")).alias("from_glob"), glob_pattern(F.col("target")).alias("to_glob"))
+    return out.join(free, (F.col("rule") == F.col("of")) & F.rlike(path("from_pkg"), F.col("from_glob")) & F.rlike(path("to_pkg"), F.col("to_glob")), "left_anti")
+
+
 def package_pairs(edges: DataFrame) -> DataFrame:
     """from_pkg, to_pkg, file, import: each pair once, with the first edge of its smallest file."""
     at = F.struct("file", "ord")

@@ -58,29 +58,47 @@ def merged_ranges(lines: DataFrame, by: list[str], line: str = "line") -> DataFr
     return runs.groupBy(*by, "_run").agg(F.min(line).alias("start"), F.max(line).alias("end")).drop("_run")
 
 
+def _level(length: Column) -> Column:
+    """The least k with 4^k >= length."""
+    return F.when(length <= 1, F.lit(0)).otherwise(F.ceil(F.length(F.bin(length - 1)) / 2)).cast("int")
+
+
+def _inside(functions: DataFrame, rows: DataFrame, *sums: Column) -> DataFrame:
+    """Aggregates of rows(file, s, e, ...) that lie wholly in a function (start_line to end_line of the file), and whether the
+    file has no rows at all (unmeasured). The functions' columns are kept; equal functions are one.
+
+    A function is indexed by one or two bins of the least power of four that isn't smaller than it; a row by the bin of its
+    begin for each size that its file's functions have. So a row meets the functions around it, a few times as many as it
+    lies in, and not all of its file; a generated file of very many functions is dealt over its bins.
+    """
+    own = F.struct(*functions.columns)
+    level = _level((F.col("end_line") - F.col("start_line") + 1).cast("long"))
+    bins = F.sequence(F.expr("shiftright(cast(start_line as bigint), 2 * level)"), F.expr("shiftright(cast(end_line as bigint), 2 * level)"))
+    indexed = functions.distinct().select(own.alias("own"), "file", "start_line", "end_line", level.alias("level")).select("own", F.col("file").alias("of"), F.col("start_line").alias("begin"), F.col("end_line").alias("end"), F.col("level").alias("size"), F.explode_outer(bins).alias("bin"))
+    sizes = indexed.select(F.col("of").alias("file"), F.col("size").alias("level")).distinct()
+    placed = rows.join(sizes, "file").select("*", F.expr("shiftright(cast(s as bigint), 2 * level)").alias("at"))
+    met = indexed.join(placed, (F.col("of") == F.col("file")) & (F.col("size") == F.col("level")) & (F.col("bin") == F.col("at")) & (F.col("s") >= F.col("begin")) & (F.col("e") <= F.col("end")), "left")
+    counted = met.groupBy("own").agg(*sums)
+    measured = rows.select("file").distinct().select(F.col("file").alias("seen"))
+    out = counted.join(measured, F.col("own.file") == F.col("seen"), "left").withColumn("unmeasured", F.col("seen").isNull()).drop("seen")
+    return out.select("own.*", *(c for c in out.columns if c != "own"))
+
+
 def join_blocks(functions: DataFrame, blocks: DataFrame) -> DataFrame:
     """Coverage by blocks that lie wholly in a function of the same file: sums of statements, uncovered ranges by start.
 
     The files' report decides what is unmeasured; blocks that repeat are summed, not merged.
     """
-    measured = blocks.select("file").distinct().withColumn("_measured", F.lit(True))
-    b = blocks.select(F.col("file").alias("_file"), F.col("start_line").alias("_s"), F.col("end_line").alias("_e"), "num_stmt", "count")
-    inside = functions.join(b, (F.col("file") == F.col("_file")) & (F.col("_s") >= F.col("start_line")) & (F.col("_e") <= F.col("end_line")), "left")
-    keys = functions.columns
-    covered = inside.groupBy(*keys).agg(
-        F.coalesce(F.sum("num_stmt"), F.lit(0)).alias("lines_total"), F.coalesce(F.sum(F.when(F.col("count") > 0, F.col("num_stmt"))), F.lit(0)).alias("lines_covered"),
-        F.sort_array(F.collect_list(F.when(F.col("count") == 0, F.struct(F.col("_s").alias("start"), F.col("_e").alias("end"))))).alias("uncovered_lines"),
-    )
-    return covered.join(measured, "file", "left").withColumn("unmeasured", F.col("_measured").isNull()).drop("_measured")
+    b = blocks.select("file", F.col("start_line").alias("s"), F.col("end_line").alias("e"), F.col("num_stmt").alias("n"), F.col("count").alias("hits"))
+    none = F.sort_array(F.collect_list(F.when(F.col("hits") == 0, F.struct(F.col("s").alias("start"), F.col("e").alias("end")))))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return _inside(functions, b, total(F.col("n")).alias("lines_total"), total(F.when(F.col("hits") > 0, F.col("n"))).alias("lines_covered"), none.alias("uncovered_lines"))
 
 
 def _points(functions: DataFrame, rows: DataFrame) -> DataFrame:
     """lines_total, lines_covered, unmeasured by rows(file, line, hit) that lie in a function."""
-    measured = rows.select("file").distinct().withColumn("_measured", F.lit(True))
-    own = rows.select(F.col("file").alias("_file"), "line", "hit")
-    inside = functions.join(own, (F.col("file") == F.col("_file")) & F.col("line").between(F.col("start_line"), F.col("end_line")), "left")
-    covered = inside.groupBy(*functions.columns).agg(F.count("line").alias("lines_total"), F.count_if("hit").alias("lines_covered"))
-    return covered.join(measured, "file", "left").withColumn("unmeasured", F.col("_measured").isNull()).drop("_measured")
+    own = rows.select("file", F.col("line").alias("s"), F.col("line").alias("e"), "hit")
+    return _inside(functions, own, F.count("s").alias("lines_total"), F.count_if("hit").alias("lines_covered"))
 
 
 def join_lines(functions: DataFrame, lines: DataFrame) -> DataFrame:

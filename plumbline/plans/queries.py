@@ -463,6 +463,61 @@ def cycles_ratchet(spark, sf_dir):
     return member.join(touched, "scc", "left_semi").groupBy("scc").agg(F.count(F.lit(1)).alias("files"))
 
 
+CALLS_SQL = """
+WITH RECURSIVE o AS (SELECT o_custkey AS a, min(o_orderkey) AS lo, max(o_orderkey) AS hi FROM orders GROUP BY o_custkey),
+g AS (SELECT a, a // 12 * 12 + lo // 4 * 7 % 12 AS b FROM o UNION ALL SELECT a, a // 12 * 12 + hi // 4 * 7 % 12 FROM o UNION ALL SELECT a, a + 12 FROM o),
+c AS (SELECT c_custkey AS name, (c_acctbal < -900)::INTEGER AS assertions, c_mktsegment <> 'BUILDING' AS helper FROM customer),
+h AS (SELECT name FROM c WHERE helper AND assertions > 0 UNION SELECT g.a FROM h JOIN g ON g.b = h.name JOIN c ON c.name = g.a WHERE c.helper)
+"""
+
+
+def functions_and_calls(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Customers of one segment are tests, the others may be helpers; those with the largest debts assert."""
+    customer = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("name"), (F.col("c_acctbal") < -900).cast("int").alias("assertions"), (F.col("c_mktsegment") != "BUILDING").alias("helper"))
+    return customer, customer_graph(spark, sf_dir).select(F.col("a").alias("caller"), F.col("b").alias("callee"))
+
+
+@query(CALLS_SQL + "SELECT name FROM h")
+def asserting_helpers(spark, sf_dir):
+    return testmetric.asserting_helpers(*functions_and_calls(spark, sf_dir))
+
+
+@query(CALLS_SQL + "SELECT c.name, c.assertions + count(h.name) AS assertions FROM c LEFT JOIN g ON g.a = c.name LEFT JOIN h ON h.name = g.b WHERE NOT c.helper GROUP BY c.name, c.assertions")
+def helper_assertions(spark, sf_dir):
+    functions, calls = functions_and_calls(spark, sf_dir)
+    tests = functions.filter("not helper").select("name", F.col("assertions").cast("long").alias("assertions"))
+    return testmetric.with_helper_calls(tests, calls, testmetric.asserting_helpers(functions, calls))
+
+
+# a rule for each customer: it may not deal with one of 25 regions
+
+
+RULE_TABLE_SQL = "SELECT 'r' || o_custkey AS rule, 'C' || o_custkey % 97 || '/c' || o_custkey || '/' || left(o_orderpriority, 1) AS from_pkg, 'N' || o_orderkey % 25 || '/x' AS to_pkg, o_orderkey AS file, o_orderstatus AS import FROM orders WHERE o_orderkey % 25 = o_custkey % 25"
+
+
+def rule_table(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    k, o = F.col("c_custkey"), F.col("o_custkey")
+    rules = table(spark, sf_dir, "customer").select(text("r", k).alias("rule"), text("C", k % 97, "/c", k, "/*").alias("source"), F.array(text("N", k % 25, "/**"), F.lit("never/x")).alias("deny"))
+    edges = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("file"), text("C", o % 97, "/c", o, "/", F.substring("o_orderpriority", 1, 1)).alias("from_pkg"), F.col("o_orderstatus").alias("import"), text("N", F.col("o_orderkey") % 25, "/x").alias("to_pkg")
+    )
+    return edges, rules
+
+
+@query(RULE_TABLE_SQL)
+def rule_violations(spark, sf_dir):
+    return arch.rule_violations(*rule_table(spark, sf_dir))
+
+
+@query(RULE_TABLE_SQL + " AND NOT (o_custkey % 3 = 0 AND o_orderpriority LIKE '1%')")
+def rule_violations_exceptions(spark, sf_dir):
+    """A third of the customers is free in its first package."""
+    edges, rules = rule_table(spark, sf_dir)
+    free = rules.filter("cast(substr(rule, 2) as int) % 3 = 0").select("rule", F.concat(F.replace("source", F.lit("*"), F.lit("")), F.lit("1")).alias("source"), F.lit("N?*/x").alias("target"))
+    return arch.rule_violations(edges, rules, free)
+
+
 @query()
 def cycle_chains(spark, sf_dir):
     edges = customer_graph(spark, sf_dir)

@@ -155,6 +155,20 @@ def import_edges_go(spark, sf_dir):
     return imports.go_edges(files, "mod", "sub").select("src", "dst")
 
 
+@query("""
+WITH RECURSIVE m AS (SELECT doc_id AS d, 'p' || doc_id % 23 AS pkg, CASE WHEN n_chars % 2 = 1 AND doc_id % 23 // 6 = n_chars % 23 // 6 THEN 'p' || n_chars % 23 END AS target FROM documents),
+g AS (SELECT a.d AS a, b.d AS b FROM m a JOIN m b ON b.pkg = a.target AND b.d <> a.d AND b.target IS NOT NULL),
+w AS (SELECT a AS s, b AS t FROM g UNION SELECT w.s, g.b FROM w JOIN g ON g.a = w.t), n AS (SELECT d, pkg || '/f' || d || '.go' AS file FROM m)
+SELECT x.file, min(y.file) AS component FROM w JOIN w r ON r.s = w.t AND r.t = w.s JOIN n x ON x.d = w.s JOIN n y ON y.d = w.t GROUP BY x.file""")
+def go_hub_cycles(spark, sf_dir):
+    """Packages by number, whose files grow with the documents; half of them import another package of their six."""
+    d, n = F.col("doc_id"), F.col("n_chars")
+    near = (n % 2 == 1) & (F.floor(d % 23 / 6) == F.floor(n % 23 / 6))
+    content = F.concat(F.lit("package p\n\nimport (\n\t\"fmt\"\n"), F.when(near, F.concat(F.lit('\t"mod/p'), (n % 23).cast("string"), F.lit('"\n'))).otherwise(""), F.lit(")\n"))
+    files = table(spark, sf_dir, "documents").select(F.concat(F.lit("p"), (d % 23).cast("string"), F.lit("/f"), d.cast("string"), F.lit(".go")).alias("file"), content.alias("content"))
+    return imports.go_cycles(files, "mod")
+
+
 @query(_TS_SQL + """, e AS (SELECT count(*) AS required, count(DISTINCT l.doc_id) AS analyzed FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id)),
 u AS (SELECT count(*) AS n_unresolved FROM t WHERE dst IS NULL)
 SELECT required, analyzed, required - analyzed AS n_missing, n_unresolved, n_unresolved = 0 AND required = analyzed AND required > 0 AS passed,
