@@ -12,6 +12,7 @@ is lost.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ from plumbline.llm.common import new_path
 from plumbline.llm.words import runs
 
 #: Small, as executors of 3 GB are to hold several tasks; a larger block has fewer entries per text.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 16 << 20
 #: Of text whose words are found together.
 PART_BYTES = 3 << 20
 #: Bytes that are hashed together.
@@ -146,24 +147,50 @@ def some_rows(batch: pa.RecordBatch, rows: int = 20_000) -> Iterator[pa.RecordBa
         yield batch.slice(at, rows)
 
 
+#: Bytes of a kind that a task holds before it writes them.
+HELD_BYTES = 8 << 20
+
+
 def written_kinds(rows: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], kinds: dict[str, str], name: str) -> dict[str, DataFrame]:
     """Runs ``make``, whose batches hold the columns of one kind each, once; a table of the shared folder for each kind.
 
-    kinds: the columns of each kind; names that several kinds share have one type. All kinds are in the same files, whose
-    columns a reader of one kind picks, so a task writes one file."""
-    columns: dict[str, str] = {}
-    for spec in kinds.values():
-        columns.update(c.strip().split(" ", 1) for c in spec.split(","))
-    types = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64()}
-    fields = [("kind", pa.string()), *((c, types[t]) for c, t in columns.items())]
+    A task writes a Parquet file of each kind itself, so that what it makes doesn't pass through the JVM once more; the driver
+    gets the names, a row a file, of tasks that ended. Files of failed attempts are never named."""
+    spark = rows.sparkSession
+    path = new_path(spark, name)
+    names = {k: [c.strip().split(" ")[0] for c in spec.split(",")] for k, spec in kinds.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in make(batches):
-            kind = next(k for k, spec in kinds.items() if [c.strip().split(" ")[0] for c in spec.split(",")] == batch.schema.names)
-            have = dict(zip(batch.schema.names, batch.columns, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array([kind] * len(batch)), *(have[c].cast(t) if c in have else pa.nulls(len(batch), t) for c, t in fields[1:])], names=[c for c, _ in fields])
+        import pyarrow.fs as pafs
+        import pyarrow.parquet as pq
+
+        fs, root = pafs.FileSystem.from_uri(path)
+        held: dict[str, list[pa.RecordBatch]] = {k: [] for k in kinds}
+        files: dict[str, tuple[str, pq.ParquetWriter]] = {}
+
+        def flush(kind: str) -> None:
+            if held[kind]:
+                if kind not in files:
+                    fs.create_dir(root, recursive=True)
+                    file = f"{kind}-{uuid.uuid4().hex}.parquet"
+                    files[kind] = file, pq.ParquetWriter(f"{root}/{file}", held[kind][0].schema, compression="zstd", filesystem=fs)
+                files[kind][1].write_table(pa.Table.from_batches(held[kind]))
+                held[kind].clear()
 
-    spark = rows.sparkSession
-    path = new_path(spark, name)
-    rows.mapInArrow(run, "kind string, " + ", ".join(f"{c} {t}" for c, t in columns.items())).write.option("compression", "zstd").parquet(path)
-    return {kind: spark.read.schema(f"{spec}, kind string").parquet(path).filter(f"kind = '{kind}'").drop("kind") for kind, spec in kinds.items()}
+        for batch in make(batches):
+            kind = next(k for k in kinds if names[k] == batch.schema.names)
+            held[kind].append(batch)
+            if sum(b.nbytes for b in held[kind]) > HELD_BYTES:
+                flush(kind)
+        for kind in kinds:
+            flush(kind)
+        for _, writer in files.values():
+            writer.close()
+        yield pa.RecordBatch.from_arrays([pa.array(list(files)), pa.array([f for f, _ in files.values()], pa.string())], names=["kind", "file"])
+
+    made = rows.mapInArrow(run, "kind string, file string").collect()
+    out = {}
+    for kind, spec in kinds.items():
+        own = sorted(f"{path}/{r.file}" for r in made if r.kind == kind)
+        out[kind] = spark.read.schema(spec).parquet(*own) if own else spark.createDataFrame([], spec)
+    return out
