@@ -9,7 +9,8 @@ from plumbline.operators import arch, crap, deadcode, escape, gates, mutation, t
 from plumbline.operators.orders import in_order
 from plumbline.plans import queries as q
 from plumbline.plans.queries import query, table
-from plumbline.sources import config, coverage
+from plumbline.sources import config, coverage, splitjson
+from plumbline.sources.shared import new_path
 
 # mutants: users are files, events mutants
 
@@ -122,6 +123,31 @@ def ingest_istanbul(spark, sf_dir):
     return found.groupBy("file", "line", "hits").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _in_files(reports, name: str) -> str:
+    """Reports written as JSON texts into the shared folder, many in a file; gives the folder."""
+    path = new_path(reports.sparkSession, name)
+    reports.select("report").write.text(path)
+    return path
+
+
+@query(_LINES_SQL)
+def split_coverage_json(spark, sf_dir):
+    """The same lines from files that are read by ranges of 64 KB."""
+    lists = [F.collect_list(F.when(c, F.col("line"))).alias(n) for n, c in (("executed_lines", F.col("hit")), ("missing_lines", ~F.col("hit")))]
+    by = _items(spark, sf_dir).groupBy("file").agg(F.struct(*lists).alias("v")).groupBy((F.xxhash64("file") % 20).alias("k")).agg(F.map_from_entries(F.collect_list(F.struct("file", "v"))).alias("files"))
+    path = _in_files(by.select(F.to_json(F.struct(F.create_map(F.lit("version"), F.lit('a "{[ \\ name')).alias("meta"), "files", F.create_map(F.lit("covered"), F.lit(1)).alias("totals"))).alias("report")), "coverage-reports")
+    return coverage.coverage_json(splitjson.as_reports(splitjson.json_members(spark, path, "files", 1 << 16), "files"))
+
+
+@query("SELECT user_id::VARCHAR AS file, event_id::INTEGER AS line, event_type AS mutator, CASE WHEN event_type IN ('click', 'error') THEN 'survived' ELSE 'killed' END AS status FROM events")
+def split_stryker(spark, sf_dir):
+    """Mutants from files that are read by ranges of 64 KB."""
+    one = F.struct(F.col("event_type").alias("mutatorName"), F.when(F.col("event_type").isin("click", "error"), "Survived").otherwise("Killed").alias("status"), F.struct(F.struct(F.col("event_id").cast("int").alias("line")).alias("start")).alias("location"))
+    by = table(spark, sf_dir, "events").groupBy(F.col("user_id").cast("string").alias("file")).agg(F.struct(F.collect_list(one).alias("mutants")).alias("v"))
+    reports = by.groupBy((F.xxhash64("file") % 10).alias("k")).agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(F.struct("file", "v"))).alias("files"))).alias("report"))
+    return mutation.parse_mutants(splitjson.as_reports(splitjson.json_members(spark, _in_files(reports, "mutation-reports"), "files", 1 << 16), "files"))
+
+
 @query(_LINES_SQL)
 def ingest_lcov(spark, sf_dir):
     line = F.concat(F.lit("DA:"), F.col("line").cast("string"), F.lit(","), F.col("hit").cast("int").cast("string"))
