@@ -118,6 +118,26 @@ def import_unresolved_ts(spark, sf_dir):
     return imports.script_unresolved(ts_files(spark, sf_dir), ".", MAPPINGS)
 
 
+_ALIAS_SQL = f"""{_FILES_SQL}, t AS (
+  SELECT pkg || '/m' || d AS src, d, CASE WHEN d % 3 = 0 THEN d ELSE d + 1 END AS q FROM m),
+r AS (SELECT src, (SELECT pkg || '/m' || m.d FROM m WHERE m.d = CASE WHEN q % 2 = 0 THEN q + 2 ELSE q END) AS dst FROM t)
+"""
+
+
+@query(_ALIAS_SQL + "SELECT src || '.ts' AS src, dst || '.ts' AS dst FROM r WHERE dst IS NOT NULL AND dst <> src")
+def import_edges_alias_table(spark, sf_dir):
+    """A mapping for each document, as a table: those of even ones lead to the document two further, and win over a general one."""
+    d = F.col("doc_id")
+    name = lambda k: F.concat(F.lit("pkg"), (k % 17).cast("string"), F.lit("/m"), k.cast("string"))
+    docs = table(spark, sf_dir, "documents")
+    q = F.when(d % 3 == 0, d).otherwise(d + 1)
+    files = docs.select(F.concat(name(d), F.lit(".ts")).alias("file"), F.concat(F.lit('import a from "~d'), q.cast("string"), F.lit('/x/'), name(q), F.lit('";\nimport b from "@none/b";\n')).alias("content"))
+    twice = docs.select(d).unionByName(docs.select((d + 1).alias("doc_id"))).distinct()
+    exact = twice.select(F.col("doc_id").cast("int").alias("rank"), F.concat(F.lit("~d"), d.cast("string"), F.lit("/x/")).alias("before"), F.lit("").alias("after"), F.lit(True).alias("star"), F.array(F.concat(F.lit("none/"), d.cast("string"), F.lit("/*")), F.when(d % 2 == 0, name(d + 2)).otherwise("*")).alias("targets"))
+    general = docs.sparkSession.createDataFrame([(2**31 - 1, "~d", "", True, ["wrong/*"])], "rank int, before string, after string, star boolean, targets array<string>")
+    return imports.script_edges(files, ".", exact.unionByName(general)).select("src", "dst")
+
+
 def py_files(spark, sf_dir):
     n = lambda k: k.cast("string")
     return _script(
