@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -215,19 +216,20 @@ def test_probabilities_of_all_outcomes_sum_to_one(spark):
 
 
 def test_gradients_are_those_of_the_log_probability(spark):
+    WIDE = replace(SMALL, buckets=1 << 15)  # no two features in one row
     counts = lm.Counts(100, 20, (4, 3, 2), [(str(k), 20 - k) for k in range(8)], [5, 6, 7])
     rng = np.random.default_rng(2)
-    model = lm.Model(SMALL, counts)
+    model = lm.Model(WIDE, counts)
     model.weights = [rng.normal(size=w.shape).astype(np.float32) * 0.3 for w in model.weights]
-    symbol, text = rng.integers(0, SMALL.rare + 1, 40), np.repeat([0, 1], 20)
+    symbol, text = rng.integers(0, WIDE.rare + 1, 40), np.repeat([0, 1], 20)
     before, start = model.log10(symbol, text).sum(), [w.copy() for w in model.weights]
-    squares, met = [np.zeros_like(w) for w in model.weights], [np.zeros(SMALL.buckets) for _ in model.weights]
+    squares, met = [np.zeros_like(w) for w in model.weights], [np.zeros(WIDE.buckets) for _ in model.weights]
     model.train(symbol, text, squares, met)
     for which in (0, 1):
         row = int(met[which].argmax())
         gradient = -np.sqrt(squares[which][row]) * np.sign(model.weights[which][row] - start[which][row]) * -1
         for column in range(gradient.size):
-            probe = lm.Model(SMALL, counts)
+            probe = lm.Model(WIDE, counts)
             probe.weights = [w.astype(np.float64) for w in start]
             probe.weights[which][row, column] += 1e-4
             assert (probe.log10(symbol, text).sum() - before) / 1e-4 == pytest.approx(math.log10(math.e) * gradient[column], abs=0.02)
