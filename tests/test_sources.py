@@ -2,6 +2,7 @@
 
 import ast
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from plumbline.functions import python_facts
 from plumbline.functions.paths import cleaned, relative_to
 from plumbline.operators import escape, gates, graph, imports
 from plumbline.sources import config
-from plumbline.sources.trees import source_tree
+from plumbline.sources.trees import in_walk_order, listed, source_tree
 from plumbline.sources.walks import WALKS, eligible
 
 
@@ -250,3 +251,29 @@ def test_tables_of_finished_steps_are_deleted(spark):
         assert written(spark.range(4), "inside").count() == 4
         assert len(set(os.listdir(folder)) - before) == 1
     assert set(os.listdir(folder)) == before
+
+
+def test_trees_are_listed_in_the_order_of_a_walk(spark, tmp_path):
+    import os
+
+    r = random.Random(3)
+    for k in range(60):
+        folder = tmp_path.joinpath(*(r.choice(["a", "a-b", "B", "_c", "é", ".git", "skip"]) for _ in range(r.randint(0, 4))))
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / r.choice(["x.py", "a.b", f"f{k}.py", "_y"])).write_text(str(k))
+    want = []
+
+    def walk(folder, at):
+        for name in sorted(os.listdir(folder)):
+            path = os.path.join(folder, name)
+            if os.path.isdir(path):
+                if name != "skip" and not name.startswith("."):
+                    walk(path, at + name + "/")
+            else:
+                want.append(at + name)
+
+    walk(str(tmp_path), "")
+    got = in_walk_order(listed(spark, str(tmp_path), {"skip"}).repartition(5)).orderBy("walk_ord").collect()
+    assert [(x.file, x.walk_ord) for x in got] == [(f, k) for k, f in enumerate(want)]
+    (tmp_path / "none").mkdir()
+    assert in_walk_order(listed(spark, str(tmp_path / "none"))).count() == 0
