@@ -5,9 +5,12 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
+from collections.abc import Callable
 from dataclasses import dataclass
 from pathlib import Path
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -144,3 +147,12 @@ def report_json(report: DataFrame) -> DataFrame:
 def exit_code(report: DataFrame) -> int:
     """0 if every row's ``passed`` holds, 1 otherwise."""
     return 0 if report.filter(~F.col("passed")).isEmpty() else 1
+
+
+def exit_status(report: Callable[[], DataFrame]) -> int:
+    """``exit_code`` of the report that a call makes; 2 if it can't be made: wrong names or values, files that can't be read."""
+    try:
+        return exit_code(report())
+    except (ValueError, OSError, PySparkException) as e:
+        print(e, file=sys.stderr)
+        return 2

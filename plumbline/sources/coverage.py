@@ -43,5 +43,5 @@ def lcov(reports: DataFrame) -> DataFrame:
 
 def changed_files(spark: SparkSession, path: str) -> DataFrame:
     """One path a line, trimmed, with slashes, without ``./``; an empty file gives an empty table."""
-    lines = spark.read.text(path).select(F.btrim(F.replace("value", F.lit("\\"), F.lit("/"))).alias("path")).filter("path <> ''")
+    lines = spark.read.text(path).select(F.btrim(F.replace("value", F.lit("\\"), F.lit("/")), F.lit(" \t\n\x0b\x0c\r\x85\xa0")).alias("path")).filter("path <> ''")
     return lines.select(F.regexp_replace("path", r"\A(?:\./)+", "").alias("path")).distinct()
