@@ -336,10 +336,15 @@ def fit_crf(table: list[tuple[str, list[Span]]], rounds: int = 120, rate: float
 PHONE_FORM = re.compile(r"\+?[0-9(][\x20().0-9-]*[0-9]")
 
 
+#: An address; its signs may be spelled out, in brackets or bare. A bare "at" needs a spelled "dot" after it.
+_LOCAL, _DOT = r"[\w.+-]+(?:\s+dot\s+[\w+-]+)*", r"(?:\.|\s*[(\[{]dot[)\]}]\s*|\s+dot\s+)"
+ADDRESS = re.compile(rf"(?i){_LOCAL}(?:(?:@|\s*[(\[{{]at[)\]}}]\s*)[\w-]+(?:{_DOT}[\w-]+)+|\s+at\s+[\w-]+(?:{_DOT}[\w-]+)*\s+dot\s+[\w-]+)")
+
+
 def valid(kind: str, text: str) -> bool:
     d = len(digits(text))
     if kind == "email":
-        return bool(re.fullmatch(r"(?i)[\w.+-]+(?:@|\s*[(\[{]at[)\]}]\s*)[\w-]+(?:(?:\.|\s*[(\[{]dot[)\]}]\s*|\s+dot\s+)[\w-]+)+", text))
+        return bool(ADDRESS.fullmatch(text))
     if kind == "ip":
         return bool(IP6.fullmatch(text)) or bool(re.fullmatch(r"[0-9]+(?:\.[0-9]+){3}", text)) and ip_parts(text)
     if kind == "card":

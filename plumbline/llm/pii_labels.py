@@ -13,6 +13,25 @@ write to [[email:peter (at) example.net]] for the slides
 send it to [[email:office {at} example {dot} com]] please
 ask [[email:maria [at] uni-example.edu]] about the exam
 reports go to [[email:errors (AT) example (DOT) org]] only
+mail [[email:jane at example dot com]] and ask for the form
+just write [[email:jim dot berg at shop dot example dot org]] instead
+drop a line to [[email:press AT paper DOT example]] today
+schreib an [[email:kurt at beispiel dot de]] wenn du kommst
+contact [[email:a.smith at college dot example dot edu]] for a copy
+my mail is [[email:rosa_9 at example dot net]], in words
+[[email:team at example dot io]] answers within a day
+old address was [[email:vbn at qrstle dot com]], not used now
+ab cd ef [[email:mo at xwz dot com]]!! said the note
+her note said [[email:lkj at mnop dot com]]. nothing else
+Fragen bitte an [[email:post at firma dot de]].
+on the card stood [[email:ghia at trolm dot com]], and a name
+we met at the dot on the map near noon
+look at row two dot three in the table
+he stood at home dot dot dot and waited
+the dot at the end is part of the name
+at nine she put a dot on the list
+a red dot at the door stands for nothing
+stop at every dot you see and turn left
 The editor ([[email:desk@paper-example.info]]) declined to comment.
 From: [[email:bob@example.com]] To: [[email:alice@example.com]] Subject: lunch
 He wrote from [[email:x1@y2.example]] last night

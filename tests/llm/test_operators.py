@@ -480,7 +480,7 @@ def made_rows(rows, seed):
         return sep.join(x[k : k + 4] for k in (0, 4, 8, 12))
 
     made = {
-        "email": [lambda: f"{word()}@{host()}", lambda: f"{word()}.{n(2)}@{host()}", lambda: f"{word()} (at) {word()} (dot) com", lambda: f"{word()} [at] {word()} [dot] org", lambda: f"{word()} (at) {host()}"],
+        "email": [lambda: f"{word()}@{host()}", lambda: f"{word()}.{n(2)}@{host()}", lambda: f"{word()} (at) {word()} (dot) com", lambda: f"{word()} [at] {word()} [dot] org", lambda: f"{word()} (at) {host()}", lambda: f"{word()} at {word()} dot com", lambda: f"{word()} AT {word()} DOT {word()} DOT net"],
         "ip": [lambda: ".".join(str(r.randint(0, 255)) for _ in range(4)), lambda: ":".join(f"{r.randrange(65536):x}" for _ in range(8)), lambda: f"2001:db8:{r.randrange(65536):x}::{r.randrange(65536):x}"],
         "card": [lambda: card(""), lambda: card(" "), lambda: card("-"), lambda: card(".")],
         "phone": [lambda: f"+1 ({n(3)}) {n(3)}-{n(4)}", lambda: f"({n(3)}) {n(3)}-{n(4)}", lambda: f"{n(3)}-{n(3)}-{n(4)}", lambda: f"+49 {n(3)} {n(7)}", lambda: f"{n(3)}.{n(3)}.{n(4)}"],
@@ -488,6 +488,7 @@ def made_rows(rows, seed):
     none = [
         lambda: f"{r.randint(1500, 2100)}", lambda: n(r.randint(1, 6)), lambda: f"{n(2)}.{n(1)}.{n(1)}", lambda: f"{r.randint(1990, 2030)}-{n(2)}-{n(2)}", lambda: f"{n(2)}:{n(2)}", lambda: f"{n(1)},{n(3)},{n(3)}", lambda: f"{n(2)}.{n(2)}%", lambda: f"#{n(5)}", lambda: f"v{n(1)}.{n(1)}",
         lambda: f"{word()}{n(2)}", lambda: f"${n(3)}.{n(2)}", lambda: f"{n(9)}", lambda: f"@{word()}", lambda: "dot", lambda: f"{n(3)}-{n(1)}-{n(2)}-{n(6)}-{n(1)}", lambda: f"{n(1)} {n(1)} {n(2)}",
+        lambda: f"{word()} at the dot", lambda: f"dot {word()} at {word()}", lambda: f"{word()} dot {word()} {word()}",
     ]
     out = []
     for k in range(rows):
@@ -513,6 +514,8 @@ def test_crf_of_unseen():
     assert right >= 0.95 * 500 and wrong <= 0.03 * 500 and base < 0.6 * 500  # measured: 0.99, 0.01, 0.5
     (spans,) = pii.decoded(["please write to jane (at) example (dot) com today"], model)
     assert spans == [("email", 16, 43)]
+    found = pii.decoded(["mail jane at example dot com", "or jane AT example DOT com now", "we met at noon near the dot on the map", "stop at the dot please"], model)
+    assert found == [[("email", 5, 28)], [("email", 3, 26)], [], []]
 
 
 def test_viterbi_against_all_paths():
