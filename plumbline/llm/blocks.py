@@ -194,3 +194,9 @@ def written_kinds(rows: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], It
         own = sorted(f"{path}/{r.file}" for r in made if r.kind == kind)
         out[kind] = spark.read.schema(spec).parquet(*own) if own else spark.createDataFrame([], spec)
     return out
+
+
+def saved(rows: DataFrame, name: str) -> DataFrame:
+    """As ``written``, for rows that come out of Python: the tasks that make them write them."""
+    spec = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    return written_kinds(rows, lambda batches: batches, {"rows": spec}, name)["rows"]

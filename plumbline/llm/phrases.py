@@ -29,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.blocks import WordBlock, byte_set, in_blocks, some_rows, written_kinds
-from plumbline.llm.common import discard, small_batches, table, written
+from plumbline.llm.blocks import WordBlock, byte_set, in_blocks, saved, some_rows, written_kinds
+from plumbline.llm.common import small_batches, table, written
 from plumbline.llm.words import mixed
 
 LEAST, TOP = 10, 2000
@@ -124,7 +124,7 @@ def _nodes(names: list[np.ndarray], counts: np.ndarray, f1: np.ndarray, total: i
     yield from some_rows(pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["range", *(f"g{k + 1}" for k in range(len(names))), "n"]), 100_000)
 
 
-def merged(nodes: DataFrame, depth: int, least: int) -> DataFrame:
+def merged(nodes: DataFrame, depth: int, least: int, ranges: int) -> DataFrame:
     """The runs of each range merged: a row per node of at least ``least``."""
     names = [f"g{k + 1}" for k in range(depth)]
 
@@ -138,7 +138,9 @@ def merged(nodes: DataFrame, depth: int, least: int) -> DataFrame:
         kept = sums >= least
         return pa.table([*(pa.array(c[new][kept]) for c in cols), pa.array(sums[kept])], names=[*names, "n"])
 
-    return nodes.groupBy("range").applyInArrow(merge, ", ".join(f"{c} long" for c in [*names, "n"]))
+    tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = nodes.repartition(max(tasks, min(ranges, 4 * tasks)), "range")  # smaller sorts: all nodes of a level are dealt here
+    return dealt.groupBy("range").applyInArrow(merge, ", ".join(f"{c} long" for c in [*names, "n"]))
 
 
 def pair_nodes(ranked: DataFrame, total: int, ranges: int) -> DataFrame:
@@ -225,10 +227,9 @@ def mine_phrases(docs: DataFrame, least: int = LEAST, top: int = TOP, in_range:
     words, total = named(kinds["words"], least)
     ranges = max(1, -(-total // in_range))
     known = kinds["words"].join(words, ["lang", "word"]).select("block", "word_no", "g", "f")
-    ranked = written(kinds["pieces"].groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_ranked, RANKED), "phrase-shards")
-    pairs = written(merged(pair_nodes(ranked, max(total, 1), ranges), 2, least), "phrase-level2")
-    triples = written(merged(triple_nodes(ranked, pairs, max(total, 1), ranges, filter_bits), 3, least), "phrase-level3")
-    discard(ranked)
+    ranked = saved(kinds["pieces"].groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_ranked, RANKED), "phrase-shards")
+    pairs = saved(merged(pair_nodes(ranked, max(total, 1), ranges), 2, least, ranges), "phrase-level2")
+    triples = saved(merged(triple_nodes(ranked, pairs, max(total, 1), ranges, filter_bits), 3, least, ranges), "phrase-level3")
     place = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), "phrase")
     best = scored(words, pairs, triples).withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= top)
     sizes = kinds["words"].groupBy("lang").agg(F.sum("n").alias("n"))
