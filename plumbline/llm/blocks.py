@@ -12,6 +12,7 @@ is lost.
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -33,6 +34,14 @@ _NUMBERS = np.random.default_rng(47).integers(0, 2**64, 256, np.uint64)
 END = b""
 
 
+def release() -> None:
+    """Gives freed memory back to the system: a Python worker stays when its task ends, beside the workers of later stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def byte_set(chars: bytes) -> np.ndarray:
     table = np.zeros(256, bool)
     table[list(chars)] = True
@@ -186,6 +195,7 @@ def written_kinds(rows: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], It
             flush(kind)
         for _, writer in files.values():
             writer.close()
+        release()
         yield pa.RecordBatch.from_arrays([pa.array(list(files)), pa.array([f for f, _ in files.values()], pa.string())], names=["kind", "file"])
 
     made = rows.mapInArrow(run, "kind string, file string").collect()

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.blocks import WordBlock, byte_set, in_blocks, saved, some_rows, written_kinds
+from plumbline.llm.blocks import WordBlock, byte_set, in_blocks, release, saved, some_rows, written_kinds
 from plumbline.llm.common import small_batches, table, written
 from plumbline.llm.words import mixed
 
@@ -104,6 +104,7 @@ def _ranked(pieces: pa.Table, words: pa.Table) -> pa.Table:
         own = own[(own >= 0) | np.append(own[1:] >= 0, False)]  # one break is enough
         rows.append((block, own.astype("<i4").tobytes(), g[order].astype("<i8").tobytes(), f[order].astype("<i8").tobytes()))
     kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
+    release()
     return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["block", "ids", "gs", "fs"])
 
 
@@ -136,6 +137,7 @@ def merged(nodes: DataFrame, depth: int, least: int, ranges: int) -> DataFrame:
         new = np.flatnonzero(np.any([np.diff(c, prepend=c[0] - 1) != 0 for c in cols], axis=0))
         sums = np.add.reduceat(n, new)
         kept = sums >= least
+        release()
         return pa.table([*(pa.array(c[new][kept]) for c in cols), pa.array(sums[kept])], names=[*names, "n"])
 
     tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -149,7 +151,9 @@ def pair_nodes(ranked: DataFrame, total: int, ranges: int) -> DataFrame:
             both = (ids[:-1] >= 0) & (ids[1:] >= 0)
             pairs, counts = np.unique(ids[:-1][both].astype(np.int64) << 32 | ids[1:][both], return_counts=True)
             one, two = pairs >> 32, pairs & 0xFFFFFFFF
+            del both, pairs
             yield from _nodes([gs[one], gs[two]], counts, fs[one], total, ranges)
+        release()
 
     return ranked.mapInArrow(run, "range int, g1 long, g2 long, n long")
 
@@ -193,9 +197,12 @@ def triple_nodes(ranked: DataFrame, pairs: DataFrame, total: int, ranges: int, f
             at = _places(gs[real >> 32], gs[real & 0xFFFFFFFF], filter_bits)
             may = np.all(bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1) == 1, axis=0) & (distinct >= 0)
             go = np.flatnonzero(may[own][:-1] & may[own][1:])
+            del key, both, at, real, may
             triples, counts = np.unique(own[go].astype(np.int64) << 32 | ids[go + 2], return_counts=True)
             pair, three = distinct[triples >> 32], triples & 0xFFFFFFFF
+            del distinct, own, go, triples
             yield from _nodes([gs[pair >> 32], gs[pair & 0xFFFFFFFF], gs[three]], counts, fs[pair >> 32], total, ranges)
+        release()
 
     return ranked.mapInArrow(run, "range int, g1 long, g2 long, g3 long, n long")
 
