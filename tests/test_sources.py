@@ -277,3 +277,15 @@ def test_trees_are_listed_in_the_order_of_a_walk(spark, tmp_path):
     assert [(x.file, x.walk_ord) for x in got] == [(f, k) for k, f in enumerate(want)]
     (tmp_path / "none").mkdir()
     assert in_walk_order(listed(spark, str(tmp_path / "none"))).count() == 0
+
+
+def test_go_edges_make_pairs_without_shuffling_them(spark):
+    text = 'package p\n\nimport (\n\t"m/p"\n\t"m/p/sub"\n\t"m/p"\n\t"m/none"\n)\n'
+    files = spark.createDataFrame([("p/a.go", "package p\n"), ("p/z.go", text), ("p/sub/b.go", text), ("p/b.go", None), ("p/z.go", text), ("q/c.go", text)], "file string, content string")
+    edges = imports.go_edges(files, "m")
+    targets = ["p/a.go", "p/b.go", "p/sub/b.go", "p/z.go"]
+    expected = [(s, k, t) for s in ("p/z.go", "p/sub/b.go", "q/c.go") for k, t in enumerate(x for x in targets if x != s)]
+    assert rows(edges) == sorted(expected, key=str)
+    plan = edges.select("src", "dst")._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("Join")]
+    assert "Aggregate" not in above and "Window" not in above and "Sort" not in above
