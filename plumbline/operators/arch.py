@@ -58,17 +58,27 @@ def violations(edges: DataFrame, rules: list[Rule], exceptions: list[Allowed] =
     return across.select(F.explode(F.array_compact(F.array(*map(breaks, rules)))).alias("rule"), "from_pkg", "to_pkg", "file", "import")
 
 
+#: Parts that the edges below a folder at the top are dealt over.
+PARTS = 16
+
+
 def rule_violations(edges: DataFrame, rules: DataFrame, exceptions: DataFrame | None = None) -> DataFrame:
     """``violations`` with rules(rule, source, deny array) and exceptions(rule, source, target) as tables, of any length.
 
     A rule is found by the literal folders that its source begins with: the folders above an edge's package are joined with
     them, and only then are globs matched, so a rule meets the edges below its folder and the plan doesn't grow with rules.
-    Rules whose source begins with a wildcard or is a bare name meet all edges. Rules of one name are one rule each.
+    Rules whose source begins with a wildcard or is a bare name meet all edges. Rules of one name are one rule each. Only folders
+    as deep as some rule's are joined, and edges below a shallow one, which may be most of all, are dealt over ``PARTS`` parts.
     """
     of = rules.select("rule", literal_folder(F.col("source")).alias("folder"), glob_pattern(F.col("source")).alias("from_glob"), F.array_join(F.array_compact(F.transform("deny", glob_pattern)), "|").alias("to_glob")).filter("from_glob is not null and to_glob <> ''")
     path = lambda c: F.replace(c, F.lit("\\"), F.lit("/"))
-    across = edges.filter("from_pkg <> to_pkg").select("from_pkg", "to_pkg", "file", "import", F.explode(folders_above(F.col("from_pkg"))).alias("folder"))
-    met = across.join(of, "folder").filter(F.rlike(path("from_pkg"), F.col("from_glob")) & F.rlike(path("to_pkg"), F.col("to_glob")))
+    depth = F.length("folder") - F.length(F.replace("folder", F.lit("/")))
+    shallow = depth <= 1
+    depths = of.select(depth.alias("depth")).distinct()  # as many as a path has folders
+    above = edges.filter("from_pkg <> to_pkg").select("from_pkg", "to_pkg", "file", "import", F.explode(folders_above(F.col("from_pkg"))).alias("folder")).withColumn("depth", depth)
+    across = above.join(F.broadcast(depths), "depth").withColumn("part", F.when(shallow, F.pmod(F.xxhash64("from_pkg", "to_pkg", "file", "import"), F.lit(PARTS)).cast("int")).otherwise(0))
+    of = of.withColumn("part", F.explode(F.when(shallow, F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(0)))))
+    met = across.join(of, ["folder", "part"]).filter(F.rlike(path("from_pkg"), F.col("from_glob")) & F.rlike(path("to_pkg"), F.col("to_glob")))
     out = met.select("rule", "from_pkg", "to_pkg", "file", "import")
     if exceptions is None:
         return out

@@ -99,3 +99,36 @@ def test_scopes_with_any_names(spark):
     changed = spark.createDataFrame([("d",), ("a",)], "path string")
     assert rows(gates.in_scope(rows_, changed, "own")) == [("c", 2, "d", 0)]
     assert rows(gates.in_scope(rows_, changed, "path", "own")) == [("a", 1, "b", 0), ("c", 2, "d", 0)]
+
+
+def test_edges_meet_only_folders_that_rules_name(spark):
+    """No row for each edge under the top folder, which would be one key for all; rules at the top still meet all edges."""
+    edges = spark.createDataFrame([(f"C{k % 3}/c{k}/a", "N/x", f"{k}", "i") for k in range(200)], "from_pkg string, to_pkg string, file string, import string")
+    rules = spark.createDataFrame([(f"r{k}", f"C{k % 3}/c{k}/*", ["N/**"]) for k in range(200)], "rule string, source string, deny array<string>")
+    keep = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = arch.rule_violations(edges, rules)
+        assert found.count() == 200
+        most = found._jdf.queryExecution().executedPlan()
+        found.collect()
+        sizes = []
+        stack = [most]
+        while stack:
+            node = stack.pop()
+            name = node.getClass().getSimpleName()
+            if name == "AdaptiveSparkPlanExec":
+                stack.append(node.executedPlan())
+                continue
+            if name.endswith("QueryStageExec"):
+                stack.append(node.plan())
+                continue
+            if name == "ShuffleExchangeExec":
+                sizes.append(node.metrics().apply("shuffleRecordsWritten").value())
+            stack += [node.children().apply(k) for k in range(node.children().size())]
+        assert max(sizes) == 200
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", keep)
+    top = spark.createDataFrame([("all", "**", ["N/*"]), ("one", "C1/**", ["N/*"])], "rule string, source string, deny array<string>")
+    got = arch.rule_violations(edges, top).groupBy("rule").count().collect()
+    assert {r["rule"]: r["count"] for r in got} == {"all": 200, "one": sum(k % 3 == 1 for k in range(200))}
