@@ -58,6 +58,10 @@ def test_counts(tests: DataFrame) -> DataFrame:
 ONE_TASK = 500_000
 
 
+#: Rounds after which calls of marked helpers are dropped; the result is the same.
+ROUNDS = 4
+
+
 def asserting_helpers(functions: DataFrame, calls: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     """name of the helpers that assert, themselves or through another one, from functions(name, assertions, helper) and
     calls(caller, callee). helper: whether a function may be one at all (no test; where a test is handed on, one that takes
@@ -65,7 +69,8 @@ def asserting_helpers(functions: DataFrame, calls: DataFrame, one_task: int = ON
 
     Marks spread backward over calls. At most ``one_task`` distinct calls of helpers, counted first, are followed by one task.
     More are followed in rounds, each of which joins the names marked in the round before only; a round is written, so a
-    lost executor costs one round, and there are as many as helpers call each other in a row.
+    lost executor costs one round, and there are as many as helpers call each other in a row. Every ``ROUNDS`` rounds the calls of
+    helpers that are marked go, so a round is compared with the few since then and not with all before.
     """
     may = functions.filter("helper").select("name").distinct()
     known = written(calls.select("caller", "callee").distinct().join(may.withColumnRenamed("name", "caller"), "caller", "left_semi"), "helper-calls")
@@ -76,14 +81,16 @@ def asserting_helpers(functions: DataFrame, calls: DataFrame, one_task: int = ON
         out = written(rows.coalesce(1).mapInArrow(_followed, f"name {kind}"), "helpers")
         discard(known, new)
         return out
-    parts = [new]
+    parts, recent = [new], [new]
     while not new.isEmpty():
-        before = parts[0]
-        for p in parts[1:]:
-            before = before.unionByName(p)
+        if len(recent) >= ROUNDS or len(parts) == 1:
+            old, known = known, written(_without(known, "caller", recent), "helper-calls")
+            discard(old)
+            recent = []
         found = known.join(new.withColumnRenamed("name", "callee"), "callee", "left_semi").select(F.col("caller").alias("name")).distinct()
-        new = written(found.join(before, "name", "left_anti"), "helpers")
+        new = written(_without(found, "name", recent), "helpers")
         parts.append(new)
+        recent.append(new)
     discard(known, *parts[1:][-1:])  # the last one is empty
     out = parts[0]
     for p in parts[1:-1]:
@@ -91,6 +98,12 @@ def asserting_helpers(functions: DataFrame, calls: DataFrame, one_task: int = ON
     return out
 
 
+def _without(rows: DataFrame, column: str, names: list[DataFrame]) -> DataFrame:
+    for n in names:
+        rows = rows.join(n.withColumnRenamed("name", column), column, "left_anti")
+    return rows
+
+
 def _followed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Calls (caller, callee) and marked names (callee is null) -> all names that a marked one is reached from."""
     import pyarrow as pa

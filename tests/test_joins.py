@@ -132,3 +132,18 @@ def test_edges_meet_only_folders_that_rules_name(spark):
     top = spark.createDataFrame([("all", "**", ["N/*"]), ("one", "C1/**", ["N/*"])], "rule string, source string, deny array<string>")
     got = arch.rule_violations(edges, top).groupBy("rule").count().collect()
     assert {r["rule"]: r["count"] for r in got} == {"all": 200, "one": sum(k % 3 == 1 for k in range(200))}
+
+
+def test_rounds_of_helpers_read_few_tables(spark, monkeypatch):
+    """A long row of helpers: no round reads the names of all rounds before."""
+    n, leaves, plain = 24, [], testmetric.written
+
+    def counted(df, name):
+        leaves.append(df._jdf.queryExecution().analyzed().collectLeaves().size())
+        return plain(df, name)
+
+    monkeypatch.setattr(testmetric, "written", counted)
+    functions = spark.createDataFrame([(k, int(k in (n, 40)), k != 7) for k in range(50)], "name long, assertions int, helper boolean")
+    calls = spark.createDataFrame([(k, k + 1) for k in range(n)] + [(n, 20), (20, 18), (45, 40), (40, 45), (46, 47)], "caller long, callee long")
+    assert sorted(r.name for r in testmetric.asserting_helpers(functions, calls, 0).collect()) == [*range(8, n + 1), 40, 45]
+    assert max(leaves) <= testmetric.ROUNDS + 3
