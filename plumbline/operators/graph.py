@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import TYPE_CHECKING
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.sources.shared import discard, written
@@ -77,8 +77,8 @@ def _flat(edges: DataFrame) -> bool:
 
 
 def numbered(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """edges(src, dst) -> edges(a long, b long) and nodes(name, node)."""
-    names = edges.select(F.explode(F.array("src", "dst")).alias("name")).filter("name is not null").distinct()
+    """edges(src, dst) -> edges(a long, b long) and nodes(name, node), numbered in the order of the names, of numbers by value."""
+    names = edges.select(F.explode(F.array("src", "dst")).alias("name")).filter("name is not null").distinct().orderBy(F.expr("try_cast(name as bigint)"), "name")
     nodes = written(names.withColumn("node", F.monotonically_increasing_id()), "graph-nodes")
     by = lambda c, n: nodes.select(F.col("name").alias(c), F.col("node").alias(n))
     return written(edges.join(by("src", "a"), "src").join(by("dst", "b"), "dst").select("a", "b").distinct(), "graph-edges"), nodes
@@ -152,15 +152,20 @@ def _solved(frame: pd.DataFrame) -> pd.DataFrame:
 def strong_components(edges: DataFrame, most: int = 1_000_000) -> DataFrame:
     """edges(a long, b long) -> (node, scc): the smallest node of each strongly connected component of two nodes or more.
 
-    After trimming, each weakly connected component of at most ``most`` edges is solved in a task of its own; what is larger
-    is contracted first (``contracted``).
+    After trimming, a large graph is cut between islands of its order (``within_islands``). Each weakly connected component of
+    at most ``most`` edges is solved in one task, small ones together; what is larger is contracted first (``contracted``).
     """
     loops = edges.filter("a = b").select(F.col("a").alias("node"), F.col("a").alias("scc")).distinct()
     core = trimmed(edges.filter("a <> b").distinct())
+    size = core.count()
+    if size > min(most, ONE_TASK):
+        whole, core = core, written(within_islands(core), "graph-islands")
+        discard(whole)
     weak = connected_components(core)
     placed = written(core.join(weak.withColumnRenamed("node", "a"), "a"), "graph-placed")
     sizes = placed.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    small = placed.join(sizes.filter(F.col("size") <= most), "component").groupBy("component").applyInPandas(_solved, "node long, scc long")
+    together = F.pmod(F.xxhash64("component"), F.lit(size // CLUSTER_EDGES + 1))
+    small = placed.join(sizes.filter(F.col("size") <= most), "component").groupBy(together.alias("together")).applyInPandas(_solved, "node long, scc long")
     large = sizes.filter(F.col("size") > most)
     found = small if large.isEmpty() else small.unionByName(contracted(placed.join(large.select("component"), "component").select("a", "b"), most))
     several = found.groupBy("scc").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("scc")
@@ -168,6 +173,36 @@ def strong_components(edges: DataFrame, most: int = 1_000_000) -> DataFrame:
     return cycles.unionByName(loops.join(cycles.select("node"), "node", "left_anti"))
 
 
+def within_islands(edges: DataFrame) -> DataFrame:
+    """Without edges that no cycle holds, by the nodes' order alone: a cycle that passes a place between two numbers upwards
+    comes back over it, so where no edge leads down over a place, no component reaches over it. Nodes between two such places are an
+    island, and only edges within one are kept.
+
+    The nodes are sorted in ranges, and the driver gets a row a range, twice; so an order that follows the edges cuts a layered graph of
+    any length at once, and any other order costs a few passes.
+    """
+    down = edges.filter("a > b").groupBy(F.col("b").alias("node")).agg(F.max("a").alias("reach"))
+    nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(down, "node", "left")
+    ranged = written(nodes.repartitionByRange("node").select("node", F.coalesce("reach", "node").alias("reach"), F.spark_partition_id().alias("part")), "graph-ranges")
+    own = Window.partitionBy("part").orderBy("node")
+
+    def carried(rows: DataFrame, value: F.Column) -> DataFrame:
+        """rows with the largest value of all ranges before theirs."""
+        out, largest = [], None
+        for r in sorted(rows.groupBy("part").agg(F.max(value).alias("v")).collect(), key=lambda r: r.part):
+            out.append((r.part, largest))
+            largest = max((v for v in (largest, r.v) if v is not None), default=None)
+        return rows.join(F.broadcast(rows.sparkSession.createDataFrame(out, "part int, carried long")), "part")
+
+    before = F.greatest("carried", F.max("reach").over(own.rowsBetween(Window.unboundedPreceding, -1)))
+    begun = written(carried(ranged, F.col("reach")).select("node", "part", F.when(before.isNull() | (F.col("node") > before), F.col("node")).alias("begin")), "graph-ranges")
+    island = F.coalesce(F.last("begin", ignorenulls=True).over(own), "carried")
+    placed = written(carried(begun, F.col("begin")).select("node", island.alias("island")), "graph-ranges")
+    discard(ranged, begun)
+    of = lambda c, name: placed.select(F.col("node").alias(c), F.col("island").alias(name))
+    return edges.join(of("a", "island"), "a").join(of("b", "other"), "b").filter("island = other").select("a", "b")
+
+
 #: Of a cluster that one task contracts: its edges at most, one head among so many nodes, and steps that a head reaches.
 CLUSTER_EDGES, HEADS, REACH = 100_000, 12, 3
 

@@ -51,3 +51,15 @@ def test_a_chain_of_cycles_is_not_walked(spark, monkeypatch):
     r = random.Random(8)
     edges = [(12 * d + k, 12 * d + (k + 1) % 12) for d in range(300) for k in range(12)] + [(12 * d + r.randrange(12), 12 * (d + 1) + r.randrange(12)) for d in range(300) for _ in range(3)]
     assert got(graph.strong_components(frame(spark, edges), most=40)) == sccs(edges)
+
+
+def test_a_long_layered_graph_is_cut_by_its_order(spark, monkeypatch):
+    monkeypatch.setattr(graph, "contracted", lambda edges, most: pytest.fail("a layered graph was contracted"))
+    monkeypatch.setattr(graph, "ONE_TASK", 100)
+    r = random.Random(9)
+    edges = [(12 * d + r.randrange(12), 12 * d + r.randrange(12)) for d in range(400) for _ in range(14)] + [(k, k + 12) for k in range(4800)]
+    edges += [(5000, 5001), (5001, 5002), (5002, 5003), (5003, 5001), (5002, 5000)]  # nested and touching ways back
+    assert got(graph.strong_components(frame(spark, edges), most=500)) == sccs(edges)
+    cut = graph.within_islands(frame(spark, edges))
+    assert cut.filter("b = a + 12").isEmpty() and cut.filter("a >= 5000").count() == 5
+    assert graph.within_islands(frame(spark, edges).limit(0)).isEmpty()
