@@ -84,8 +84,13 @@ def _ranges(spark: SparkSession, path: str, size: int) -> list[tuple[str, int, i
     return [(head + x.path, start, min(size, x.size - start)) for x in infos for start in range(0, x.size, size)]
 
 
+def _tasks(spark: SparkSession, ranges: list[tuple]) -> int:
+    """Small ranges share tasks: one for each ``RANGE_BYTES``, or a few for each core if that is more."""
+    return max(1, min(len(ranges), max(4 * spark.sparkContext.defaultParallelism, sum(r[2] for r in ranges) // RANGE_BYTES)))
+
+
 def _scan(spark: SparkSession, ranges: list[tuple], columns: str, work, schema: str) -> DataFrame:
-    rows = spark.createDataFrame(ranges, columns).repartition(max(1, len(ranges)))
+    rows = spark.createDataFrame(ranges, columns).repartition(_tasks(spark, ranges))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}

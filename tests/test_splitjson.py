@@ -42,3 +42,15 @@ def test_no_files_and_texts_that_end_early(spark, tmp_path):
     assert [tuple(x) for x in got] == [("a", "1")]
     (tmp_path / "empty").mkdir()
     assert splitjson.json_members(spark, f"file://{tmp_path}/empty", None).count() == 0
+
+
+def test_small_ranges_share_tasks(spark, tmp_path):
+    import json
+
+    from plumbline.sources import splitjson
+
+    (tmp_path / "r.json").write_text(json.dumps({"files": {f"f{k}": {"n": k} for k in range(500)}}))
+    found = splitjson.json_members(spark, f"file://{tmp_path}", "files", 32)
+    assert found.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+    assert sorted((r.key, r.value) for r in found.collect()) == sorted((f"f{k}", json.dumps({"n": k})) for k in range(500))
+    assert splitjson._tasks(spark, [("p", 0, 1 << 16)] * (1 << 20)) == 1 << 12  # 64 GB: one for each 16 MB
