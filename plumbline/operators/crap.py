@@ -63,28 +63,44 @@ def _level(length: Column) -> Column:
     return F.when(length <= 1, F.lit(0)).otherwise(F.ceil(F.length(F.bin(length - 1)) / 2)).cast("int")
 
 
-def _inside(functions: DataFrame, rows: DataFrame, *sums: Column) -> DataFrame:
+#: rows of a task of these joins
+ROWS_A_TASK = 1 << 18
+
+
+def tasks_for(rows: int) -> int:
+    """How many tasks take so many rows, so that a task's memory stays the same for larger tables."""
+    return 1 + rows // ROWS_A_TASK
+
+
+def _inside(functions: DataFrame, rows: DataFrame, tasks: int | None, *sums: Column) -> DataFrame:
     """Aggregates of rows(file, s, e, ...) that lie wholly in a function (start_line to end_line of the file), and whether the
     file has no rows at all (unmeasured). The functions' columns are kept; equal functions are one.
 
-    A function is indexed by one or two bins of the least power of four that isn't smaller than it; a row by the bin of its
-    begin for each size that its file's functions have. So a row meets the functions around it, a few times as many as it
-    lies in, and not all of its file; a generated file of very many functions is dealt over its bins.
+    A function is indexed by the bin of its start, of the least power of four that isn't smaller than it, so that it reaches
+    into one more bin at most; a row by the bin of its begin and the one before, for each size that its file's functions
+    have. So a row meets the functions around it, a few times as many as it lies in, and not all of its file; a generated
+    file of very many functions is dealt over its bins, and a function's rows meet in one place. With ``tasks`` the bins are
+    dealt over so many, else over as many as Spark chooses.
     """
-    own = F.struct(*functions.columns)
     level = _level((F.col("end_line") - F.col("start_line") + 1).cast("long"))
-    bins = F.sequence(F.expr("shiftright(cast(start_line as bigint), 2 * level)"), F.expr("shiftright(cast(end_line as bigint), 2 * level)"))
-    indexed = functions.distinct().select(own.alias("own"), "file", "start_line", "end_line", level.alias("level")).select("own", F.col("file").alias("of"), F.col("start_line").alias("begin"), F.col("end_line").alias("end"), F.col("level").alias("size"), F.explode_outer(bins).alias("bin"))
-    sizes = indexed.select(F.col("of").alias("file"), F.col("size").alias("level")).distinct()
-    placed = rows.join(sizes, "file").select("*", F.expr("shiftright(cast(s as bigint), 2 * level)").alias("at"))
+    own = functions.distinct()
+    names = [f"_{k}" for k in range(len(own.columns))]
+    seen = rows.select(F.col("file").alias("seen")).distinct()
+    indexed = own.select(*(F.col(c).alias(n) for c, n in zip(own.columns, names, strict=True)), F.col("file").alias("of"), F.col("start_line").alias("begin"), F.col("end_line").alias("end"), level.alias("size"))
+    indexed = indexed.join(seen, F.col("of") == F.col("seen"), "left").withColumn("unmeasured", F.col("seen").isNull()).drop("seen")
+    indexed = indexed.withColumn("bin", F.expr("shiftright(cast(begin as bigint), 2 * size)"))
+    sizes = functions.select("file", level.alias("level")).filter("level is not null").distinct()
+    at = F.expr("shiftright(cast(s as bigint), 2 * level)")
+    placed = rows.join(sizes, "file").select("*", F.explode(F.when(F.col("level") == 0, F.array(at)).otherwise(F.array(at, at - 1))).alias("at"))
+    if tasks:
+        indexed, placed = indexed.repartition(tasks, "of", "size", "bin"), placed.repartition(tasks, "file", "level", "at")
     met = indexed.join(placed, (F.col("of") == F.col("file")) & (F.col("size") == F.col("level")) & (F.col("bin") == F.col("at")) & (F.col("s") >= F.col("begin")) & (F.col("e") <= F.col("end")), "left")
-    counted = met.groupBy("own").agg(*sums)
-    measured = rows.select("file").distinct().select(F.col("file").alias("seen"))
-    out = counted.join(measured, F.col("own.file") == F.col("seen"), "left").withColumn("unmeasured", F.col("seen").isNull()).drop("seen")
-    return out.select("own.*", *(c for c in out.columns if c != "own"))
+    counted = met.groupBy("of", "size", "bin", *names, "unmeasured").agg(*sums)
+    made = [c for c in counted.columns if c not in ("of", "size", "bin", "unmeasured", *names)]
+    return counted.select(*(F.col(n).alias(c) for n, c in zip(names, own.columns, strict=True)), *made, "unmeasured")
 
 
-def join_blocks(functions: DataFrame, blocks: DataFrame) -> DataFrame:
+def join_blocks(functions: DataFrame, blocks: DataFrame, tasks: int | None = None) -> DataFrame:
     """Coverage by blocks that lie wholly in a function of the same file: sums of statements, uncovered ranges by start.
 
     The files' report decides what is unmeasured; blocks that repeat are summed, not merged.
@@ -92,23 +108,23 @@ def join_blocks(functions: DataFrame, blocks: DataFrame) -> DataFrame:
     b = blocks.select("file", F.col("start_line").alias("s"), F.col("end_line").alias("e"), F.col("num_stmt").alias("n"), F.col("count").alias("hits"))
     none = F.sort_array(F.collect_list(F.when(F.col("hits") == 0, F.struct(F.col("s").alias("start"), F.col("e").alias("end")))))
     total = lambda c: F.coalesce(F.sum(c), F.lit(0))
-    return _inside(functions, b, total(F.col("n")).alias("lines_total"), total(F.when(F.col("hits") > 0, F.col("n"))).alias("lines_covered"), none.alias("uncovered_lines"))
+    return _inside(functions, b, tasks, total(F.col("n")).alias("lines_total"), total(F.when(F.col("hits") > 0, F.col("n"))).alias("lines_covered"), none.alias("uncovered_lines"))
 
 
-def _points(functions: DataFrame, rows: DataFrame) -> DataFrame:
+def _points(functions: DataFrame, rows: DataFrame, tasks: int | None) -> DataFrame:
     """lines_total, lines_covered, unmeasured by rows(file, line, hit) that lie in a function."""
     own = rows.select("file", F.col("line").alias("s"), F.col("line").alias("e"), "hit")
-    return _inside(functions, own, F.count("s").alias("lines_total"), F.count_if("hit").alias("lines_covered"))
+    return _inside(functions, own, tasks, F.count("s").alias("lines_total"), F.count_if("hit").alias("lines_covered"))
 
 
-def join_lines(functions: DataFrame, lines: DataFrame) -> DataFrame:
+def join_lines(functions: DataFrame, lines: DataFrame, tasks: int | None = None) -> DataFrame:
     """Coverage by lines (file, line, hit): each line counts once, hit if any row says so."""
-    return _points(functions, lines.groupBy("file", "line").agg(F.bool_or("hit").alias("hit")))
+    return _points(functions, lines.groupBy("file", "line").agg(F.bool_or("hit").alias("hit")), tasks)
 
 
-def join_statements(functions: DataFrame, statements: DataFrame) -> DataFrame:
+def join_statements(functions: DataFrame, statements: DataFrame, tasks: int | None = None) -> DataFrame:
     """Coverage by statements (file, line, hits) that begin in a function: each counts, also several on a line."""
-    return _points(functions, statements.select("file", "line", (F.col("hits") > 0).alias("hit")))
+    return _points(functions, statements.select("file", "line", (F.col("hits") > 0).alias("hit")), tasks)
 
 
 def matched_paths(files: DataFrame, reported: DataFrame) -> DataFrame:

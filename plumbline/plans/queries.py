@@ -192,6 +192,13 @@ def uncovered_ranges(spark, sf_dir):
     return crap.merged_ranges(table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'"), ["l_orderkey"], "l_linenumber")
 
 
+def items_by_order(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """The lineitems dealt by their order over tasks of like size however many there are, and how many tasks."""
+    items = table(spark, sf_dir, "lineitem")
+    tasks = crap.tasks_for(items.count())
+    return items.repartition(tasks, "l_orderkey"), tasks
+
+
 @query("""
 WITH f AS (SELECT o_custkey AS file, o_orderkey AS name, datediff('day', DATE '1990-01-01', o_orderdate::DATE)::INTEGER AS s FROM orders),
 b AS (SELECT o_custkey AS file, datediff('day', DATE '1990-01-01', l_shipdate::DATE)::INTEGER AS s, datediff('day', DATE '1990-01-01', l_shipdate::DATE)::INTEGER + 7 AS e, l_quantity::INTEGER AS stmts, (l_returnflag <> 'R')::INTEGER AS c FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
@@ -213,10 +220,10 @@ l AS (SELECT l_orderkey AS file, l_linenumber AS line, bool_or(l_returnflag <> '
 SELECT f.file, f.name, count(line) AS lines_total, count(*) FILTER (hit) AS lines_covered, NOT EXISTS (SELECT 1 FROM l x WHERE x.file = f.file) AS unmeasured
 FROM f LEFT JOIN l ON l.file = f.file AND line BETWEEN s AND e GROUP BY f.file, f.name""")
 def cov_line_join(spark, sf_dir):
-    items = table(spark, sf_dir, "lineitem")
+    items, tasks = items_by_order(spark, sf_dir)
     functions = items.groupBy(F.col("l_orderkey").alias("file"), F.col("l_suppkey").alias("name")).agg(F.min("l_linenumber").alias("start_line"), F.max("l_linenumber").alias("end_line"))
     lines = items.filter("l_linestatus = 'O'").select(F.col("l_orderkey").alias("file"), F.col("l_linenumber").alias("line"), (F.col("l_returnflag") != "R").alias("hit"))
-    return crap.join_lines(functions, lines).select("file", "name", "lines_total", "lines_covered", "unmeasured")
+    return crap.join_lines(functions, lines, tasks).select("file", "name", "lines_total", "lines_covered", "unmeasured")
 
 
 # mutants

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.paths import cleaned, relative_to
 from plumbline.functions.python_facts import python_functions, python_tests
 from plumbline.operators import crap, gates, imports
-from plumbline.plans.queries import query, table
+from plumbline.plans.queries import items_by_order, query, table
 from plumbline.sources.config import PathMapping
 from plumbline.sources.walks import WALKS, eligible, walked
 
@@ -235,10 +235,10 @@ WITH f AS (SELECT l_orderkey AS file, l_suppkey AS name, min(l_linenumber) AS s,
 l AS (SELECT l_orderkey AS file, (l_linenumber + 1) // 2 AS line, l_returnflag <> 'R' AS hit FROM lineitem WHERE l_linestatus = 'O')
 SELECT f.file, f.name, count(line) AS lines_total, count(*) FILTER (hit) AS lines_covered, NOT EXISTS (SELECT 1 FROM l x WHERE x.file = f.file) AS unmeasured FROM f LEFT JOIN l ON l.file = f.file AND line BETWEEN s AND e GROUP BY f.file, f.name""")
 def cov_statement_join(spark, sf_dir):
-    items = table(spark, sf_dir, "lineitem")
+    items, tasks = items_by_order(spark, sf_dir)
     functions = items.groupBy(F.col("l_orderkey").alias("file"), F.col("l_suppkey").alias("name")).agg(F.min("l_linenumber").alias("start_line"), F.max("l_linenumber").alias("end_line"))
     statements = items.filter("l_linestatus = 'O'").select(F.col("l_orderkey").alias("file"), F.floor((F.col("l_linenumber") + 1) / 2).alias("line"), (F.col("l_returnflag") != "R").cast("int").alias("hits"))
-    return crap.join_statements(functions, statements).select("file", "name", "lines_total", "lines_covered", "unmeasured")
+    return crap.join_statements(functions, statements, tasks).select("file", "name", "lines_total", "lines_covered", "unmeasured")
 
 
 @query("""

@@ -30,6 +30,21 @@ def test_coverage_by_bins(spark):
     assert sorted(((x.name, x.lines_total, x.lines_covered, [tuple(u) for u in x.uncovered_lines], x.unmeasured) for x in got.collect())) == sorted(want)
 
 
+def test_rows_of_a_function_meet_in_one_place(spark):
+    """No shuffle follows the join with the bins, and the bins are dealt over as many tasks as were asked for."""
+    r = random.Random(3)
+    functions = [(k % 3, k, s := r.randint(-20, 300), s + r.choice([0, 1, 3, 4, 15, 16, 63, 64])) for k in range(80)] + [(0, 90, None, None), (7, 91, 1, 9), (1, 92, 5, 4)]
+    lines = sorted({(r.randint(0, 4), r.randint(-20, 320), r.random() < 0.5) for _ in range(300)})
+    f = spark.createDataFrame(functions + functions[:5], "file int, name int, start_line int, end_line int")
+    got = crap.join_statements(f, spark.createDataFrame([(a, b, int(c)) for a, b, c in lines], "file int, line int, hits int"), 9)
+    assert got.rdd.getNumPartitions() == 9
+    plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "Exchange" not in plan[: plan.index("Join")]
+    own = lambda x: [h for a, b, h in lines if x[2] is not None and a == x[0] and x[2] <= b <= x[3]]
+    seen = {a for a, _, _ in lines}
+    assert rows(got) == sorted(((*x, len(own(x)), sum(own(x)), x[0] not in seen) for x in functions), key=str)
+
+
 GLOBS = ["a/*", "a/b/**", "**/x?", "x", "./a/", "a/**/c", "**", "a/b/c", "*", "a.b/c+", "", " a/b ", "***/c", "a/****/c"]
 PATHS = ["a", "a/b", "a/b/c", "x", "q/x1", "a.b/c+", "a/q/r/c", "axb/cc", "x/y", "a\\b"]
 
