@@ -251,3 +251,31 @@ def test_context_helps_on_held_out_texts(spark):
     got = lm.score_texts(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), held(F), lm.Shape(top=32, width=8, tails=2, buckets=1024, batch=256)).filter("held_out")
     sums = got.agg(F.sum("score").alias("s"), F.sum("base_score").alias("b"), F.sum("n_tokens").alias("n")).first()
     assert sums.s / sums.n > -0.45 and sums.s > sums.b + 0.5 * sums.n  # a choice of two is 0.3
+
+
+def test_less_frequent_words_depend_on_the_context(spark):
+    """Words beyond the frequent ones: probabilities of all sum to one in each context, and the context decides among them."""
+    from pyspark.sql import functions as F
+
+    r = random.Random(7)
+    pairs = [(f"k{k}", f"w{k}ing") for k in range(12)]  # all second words end alike: one class
+    rows = [(k, " ".join([first for first, _ in pairs] + [w for _ in range(30) for w in r.choice(pairs)])) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    shape = lm.Shape(top=12, width=12, tails=3, fan=8, buckets=1024, batch=256)  # the first words
+    kinds = lm.word_blocks(docs, "doc_id", "text", held(F))
+    words, counts = lm.counted(kinds["words"], shape)
+    tokens = lm.symbols(kinds, words, counts, shape)
+    model = lm.trained(tokens, lm.Model(shape, counts))
+    outcomes, ranks = [(shape.rare + 1, 0, counts.rare_shares()[0])], {w: k for k, (w, _) in enumerate(counts.top)}
+    for w in words.filter("first and c > 0").select("*", lm._leaf(shape)).collect():
+        assert w.c > 2
+        outcomes.append((ranks[w.word], 0, 1.0) if w.word in ranks else (shape.top + w.tail, w.leaf, w.c / counts.leaves[w.tail, w.leaf]))
+    outcomes.append((shape.rare, 0, 0.0))
+    for context in ([], [1], [3, 9]):
+        symbols = np.concatenate([[*context, s] for s, *_ in outcomes])
+        codes = np.array([c for s, c, _ in outcomes if shape.top <= s < shape.rare])
+        last = model.log10(symbols, np.repeat(np.arange(len(outcomes)), len(context) + 1), codes)[len(context) :: len(context) + 1]
+        assert sum(10**x * share for x, (*_, share) in zip(last, outcomes, strict=True)) == pytest.approx(1, abs=1e-4)
+    assert sorted(ranks) == sorted(first for first, _ in pairs)
+    sums = lm.scored(tokens, model, counts.n).filter("held_out").agg(F.sum("score").alias("s"), F.sum("n_tokens").alias("n")).first()
+    assert sums.s / sums.n > -0.7  # 30 choices of twelve in 73 tokens are 0.44; with another 30 inside of the class 0.89
