@@ -182,6 +182,19 @@ def test_base_scores_and_counts(awkward_docs, awkward, no_docs):
     assert lm.score_texts(no_docs, held(F), SMALL).isEmpty()
 
 
+def test_tables_that_nothing_reads_any_more_are_deleted(awkward_docs, spark):
+    from pathlib import Path
+
+    from pyspark.sql import functions as F
+
+    folder = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = set(folder.rglob("*.parquet"))
+    got = lm.score_texts(awkward_docs, held(F), SMALL)
+    left = {p.relative_to(folder).parts[0] for p in set(folder.rglob("*.parquet")) - before}
+    assert len(left) == 1 and left.pop().startswith("lm-symbols-")
+    assert got.count() == awkward_docs.count()
+
+
 def test_nothing_to_learn_from(spark):
     from pyspark.sql import functions as F
 
