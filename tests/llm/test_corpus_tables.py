@@ -248,6 +248,15 @@ def test_gradients_are_those_of_the_log_probability(spark):
             assert (probe.log10(symbol, text).sum() - before) / 1e-4 == pytest.approx(math.log10(math.e) * gradient[column], abs=0.02)
 
 
+def test_sums_beyond_what_a_float_holds_are_bounded():
+    model = lm.Model(SMALL, lm.Counts(100, 20, (4, 3, 2), [(str(k), 20 - k) for k in range(8)], [5, 6, 7]))
+    model.weights[0][3] = [70, 50, 200, 0, 0, 0]
+    rows = np.array([[3, 4], [3, 3]])  # sums of 400 and of 200
+    sums = np.minimum(model.weights[0][rows].astype(float).sum(axis=0) + model.heads, 60)
+    want = np.exp(sums - sums.max(axis=1, keepdims=True))
+    assert np.allclose(model.softmax(0, rows, model.heads), want / want.sum(axis=1, keepdims=True), atol=1e-6)
+
+
 def test_context_helps_on_held_out_texts(spark):
     from pyspark.sql import functions as F
 
