@@ -765,6 +765,18 @@ def test_audio_against_direct_sums():
         assert len(spans) == len(want) and all(s["start_s"] < s["end_s"] for s in (*spans, *segments))
 
 
+def test_spans_and_open_segments_reach_the_end_of_the_payload():
+    r = np.random.default_rng(8)
+    for blocks in (*range(1, 10), 120, 121, 122, 241):  # with 121, the frames fill the last tensor
+        raw = bytes([128]) * (192 * (blocks - blocks // 2)) + r.integers(0, 256, 192 * (blocks // 2), np.uint8).tobytes()
+        n, segments, spans, tensors, _ = audio.features(raw)
+        assert spans[0]["start_s"] == 0 and spans[-1]["end_s"] == round(len(raw) / 24000, 6) and len(spans) == len(tensors)
+        assert all(a["end_s"] == b["start_s"] for a, b in zip(spans, spans[1:]))
+        if blocks > 100:  # loud to the end
+            assert segments[-1]["end_s"] == round(len(raw) / 24000, 6)
+        assert all(s["start_s"] < s["end_s"] for s in (*spans, *segments))
+
+
 def test_audio(spark, docs, no_docs, cases, tmp_path):
     folder = f"file://{tmp_path}/tensors"
     media = audio.store_media(docs)
