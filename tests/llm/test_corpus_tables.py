@@ -248,6 +248,30 @@ def test_gradients_are_those_of_the_log_probability(spark):
             assert (probe.log10(symbol, text).sum() - before) / 1e-4 == pytest.approx(math.log10(math.e) * gradient[column], abs=0.02)
 
 
+def test_a_batch_moves_all_kinds_of_features():
+    shape = replace(SMALL, buckets=1 << 15)
+    model = lm.Model(shape, lm.Counts(100, 20, (4, 3, 2), [(str(k), 20 - k) for k in range(8)], [5, 6, 7]))
+    rng = np.random.default_rng(3)
+    symbol, text = rng.integers(0, shape.rare + 1, shape.batch), np.repeat([0, 1], shape.batch // 2)
+    model.train(symbol, text, [np.zeros_like(w) for w in model.weights], [np.zeros(shape.buckets) for _ in model.weights])
+    for which, (features, *classes) in enumerate(((model.features(symbol, text),), (model.features(symbol, text)[:, symbol < shape.top], symbol[symbol < shape.top] // shape.width))):
+        for kind in model.rows(features, *classes):
+            assert np.abs(model.weights[which][kind]).max(axis=1).min() > 0
+
+
+def test_sums_of_rows():
+    rng = np.random.default_rng(4)
+    for n, many in ((1, 5), (300, 7), (300, 1 << 14)):
+        p, rows = rng.normal(size=(n, 3)).astype(np.float32), rng.integers(0, many, (4, n)).astype(np.uint16)
+        rows[0, : n // 2] = 2
+        want, met = np.zeros((many, 3)), np.bincount(rows.ravel(), minlength=many)
+        for kind in rows:
+            np.add.at(want, kind, p)
+        own, times, got = lm.row_sums(p, rows)
+        assert sorted(own) == np.flatnonzero(met).tolist() and times.tolist() == met[own].tolist()
+        assert np.allclose(got, want[own], atol=1e-4)
+
+
 def test_sums_beyond_what_a_float_holds_are_bounded():
     model = lm.Model(SMALL, lm.Counts(100, 20, (4, 3, 2), [(str(k), 20 - k) for k in range(8)], [5, 6, 7]))
     model.weights[0][3] = [70, 50, 200, 0, 0, 0]
