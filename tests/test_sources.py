@@ -291,6 +291,18 @@ def test_go_edges_make_pairs_without_shuffling_them(spark):
     assert "Aggregate" not in above and "Window" not in above and "Sort" not in above
 
 
+def test_all_importers_meet_one_list_of_a_package_before_the_next(spark):
+    files = spark.createDataFrame([(f"p/f{k:03d}.go", 'package p\n\nimport "m/p"\n') for k in range(320)], "file string, content string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = [tuple(x) for x in imports.go_edges(files, "m").select("src", "dst").collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sorted(got) == sorted((f"p/f{a:03d}.go", f"p/f{b:03d}.go") for a in range(320) for b in range(320) if a != b)
+    assert len({dst for _, dst in got[:300]}) < 160  # all of a package's files for each importer: 300
+
+
 def test_a_component_of_clones_takes_few_bytes_a_window():
     """Islands come in batches and are let go; results are those of all windows at once, also of windows that differ in half of
     their bits only."""
